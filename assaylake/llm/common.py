@@ -93,20 +93,28 @@ def _slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.Recor
         yield batch.slice(at, step)
 
 
-def map_batches(df: DataFrame, kernel: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str | StructType) -> DataFrame:
-    """Runs kernel() once in each task; what it returns maps columns of Python values to columns of Python values, slice by slice."""
-    if isinstance(schema, str):
-        schema = _parse_datatype_string(schema)
-    arrow = to_arrow_schema(schema)
+def map_batches(df: DataFrame, kernel: Callable[[], Callable[..., dict[str, list]]], uses: Sequence[str], adds: str | StructType, keep: bool = True) -> DataFrame:
+    """Runs kernel() once in each task, then what it returns on the columns `uses`, as lists, slice by slice; it returns the columns `adds`.
+
+    keep: the columns of df stay beside the new ones, without passing through Python objects; those named like a new one are replaced.
+    Without keep a slice may give any number of rows.
+    """
+    new = _parse_datatype_string(adds) if isinstance(adds, str) else adds
+    fresh = {f.name for f in new}
+    held = StructType([f for f in df.schema if f.name not in fresh]) if keep else StructType([])
+    order = [i for i, f in enumerate(df.schema) if f.name not in fresh] if keep else []
+    at = [df.columns.index(c) for c in uses]
+    out = StructType(held.fields + new.fields)
+    arrow, tail = to_arrow_schema(out), to_arrow_schema(new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = kernel()
         for batch in batches:
             for part in _slices(batch):
-                out = step({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+                made = step(*(part.column(i).to_pylist() for i in at))
+                yield pa.RecordBatch.from_arrays([part.column(i).cast(f.type) for i, f in zip(order, arrow)] + [pa.array(made[f.name], type=f.type) for f in tail], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, out)
 
 
 def with_text(docs: DataFrame, text_col: str, new: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import bpe, exact_dedup, linededup, mixing
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op4_bpe": bpe.op4_bpe,
+        "op5_line_dedup": linededup.op5_line_dedup,
         "op8_mix": mixing.op8_mix,
     }
 
@@ -15,5 +17,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.OP1_SQL,
+        "op5_line_dedup": linededup.OP5_SQL,
         "op8_mix": mixing.OP8_SQL,
     }
