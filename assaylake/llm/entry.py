@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, linededup, mixing
+from . import bpe, exact_dedup, linededup, mixing, ogg, tokencount
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op4_bpe": bpe.op4_bpe,
         "op5_line_dedup": linededup.op5_line_dedup,
+        "op6_ogg": ogg.op6_ogg,
+        "op7_token_counts": tokencount.op7_token_counts,
         "op8_mix": mixing.op8_mix,
     }
 
