@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, linededup, mixing, ogg, tokencount
+from . import bpe, chat, exact_dedup, htmltext, linededup, mixing, ogg, tokencount
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op3_chat_rotation": chat.op3_chat_rotation,
         "op4_bpe": bpe.op4_bpe,
         "op5_line_dedup": linededup.op5_line_dedup,
         "op6_ogg": ogg.op6_ogg,
         "op7_token_counts": tokencount.op7_token_counts,
         "op8_mix": mixing.op8_mix,
+        "op10_main_text": htmltext.op10_main_text,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.OP1_SQL,
+        "op3_chat_rotation": chat.OP3_SQL,
         "op5_line_dedup": linededup.OP5_SQL,
         "op8_mix": mixing.OP8_SQL,
     }
