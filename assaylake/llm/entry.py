@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, htmltext, linededup, mixing, ogg, tokencount
+from . import bpe, chat, exact_dedup, htmltext, linededup, minhash, mixing, ogg, tokencount, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_minhash": minhash.op2_minhash,
         "op3_chat_rotation": chat.op3_chat_rotation,
         "op4_bpe": bpe.op4_bpe,
         "op5_line_dedup": linededup.op5_line_dedup,
         "op6_ogg": ogg.op6_ogg,
         "op7_token_counts": tokencount.op7_token_counts,
         "op8_mix": mixing.op8_mix,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op10_main_text": htmltext.op10_main_text,
     }
 
