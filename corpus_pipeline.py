@@ -1,3 +1,61 @@
+"""A training corpus from raw documents: toxicity filter, line dedup, near-dedup, mixing, tokens.
+
+Each stage is (spark, docs, sf_dir) -> DataFrame; its result is written as Parquet and read again as the docs of the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from assaylake.llm import bpe, common, linededup, minhash, mixing, toxicity
+
+#: SQL can't express the learned lexicon, the forest and the tokens; the stages are tested against brute force.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir): return spark.range(1)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose predicted label isn't toxic; the scores are learned from these documents and the table of labels."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that at least linededup.MIN_DOCS of them share."""
+    return common.with_text(linededup.dedup_lines(docs).drop("n_lines", "n_dropped"), "text", "kept_text").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that of the smallest id: five-word shingles, similarity of 0.8 or more."""
+    dropped = minhash.near_dedup(docs).filter(~F.col("kept")).select("doc_id")
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, in its order."""
+    return mixing.mixed_documents(docs)
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of each document, and the digest of what they decode to."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN).drop("text")
+    return bpe.decode(encoded, path).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_lines),
+    ("MinHash near-dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("byte-level BPE", tokenise),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = common.materialize(stage(spark, docs, sf_dir), f"pipeline-{k}")
+    return docs
