@@ -42,14 +42,22 @@ class PrefixCounter:
     """counts(text)[i] is the number of tokens of text[: i + 1]."""
 
     def __init__(self, vocabulary: list[bytes], merges: list[tuple[bytes, bytes]], added: list[str], pattern: str):
+        import ahocorasick
         import regex
 
-        self.vocabulary, self.ranks, self.added = set(vocabulary), {m: i for i, m in enumerate(merges)}, added
-        self.longest = max(map(len, vocabulary))
+        self.vocabulary, self.ranks, self.added = vocabulary, {m: i for i, m in enumerate(merges)}, added
         self.split, self.blanks, self.blank = regex.compile(pattern).findall, regex.compile(r"\s\s").search, regex.compile(r"\s+").fullmatch
         self.at_added = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
-        self.pairs: dict[tuple[bytes | None, bytes], bool] = {}
+        # Finds the entries that end at a byte, longest first, over bytes as printable characters.
+        self.characters = {b: ord(c) for b, c in enumerate(byte_characters())}
+        self.entries = ahocorasick.Automaton()
+        for i, token in enumerate(vocabulary):
+            self.entries.add_word(token.decode("latin-1").translate(self.characters), (i, len(token)))
+        self.entries.make_automaton()
+        self.pairs: dict[int, bool] = {}
+        # Counts of pre-tokens met lately, and before that.
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, data: bytes) -> list[bytes]:
         """BPE as defined: the pair of the lowest rank first, from the left."""
@@ -61,37 +69,45 @@ class PrefixCounter:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def fits(self, last: bytes | None, token: bytes) -> bool:
-        key = (last, token)
-        if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) > 4 * MEMORY:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merge((last or b"") + token) == ([token] if last is None else [last, token])
-        return known
-
-    def prefixes(self, piece: str) -> np.ndarray:
-        """Counts at the characters of one pre-token."""
-        data = piece.encode()
-        last: list[bytes | None] = [None] * (len(data) + 1)
-        count = [0] * (len(data) + 1)
-        vocabulary, pairs = self.vocabulary, self.pairs
-        for i in range(1, len(data) + 1):
-            for j in range(max(0, i - self.longest), i):
-                token = data[j:i]
-                if token in vocabulary:
-                    fit = pairs.get((last[j], token))
-                    if fit or fit is None and self.fits(last[j], token):
-                        last[i], count[i] = token, count[j] + 1
-                        break
-            else:
-                raise ValueError("the vocabulary lacks a byte")
-        if len(data) != len(piece):
-            ends = np.cumsum([len(c.encode()) for c in piece])
-            out = np.asarray(count, "<u4")[ends]
-        else:
-            out = np.asarray(count[1:], "<u4")
-        if piece[0] == "'" and len(piece) == 3 and self.split(piece[:2]) != [piece[:2]]:  # a contraction that is cut falls apart
-            out[1] = 2
+    def fits(self, last: int, entry: int) -> bool:
+        """Whether entry follows last (-1: the start) in the tokens of their bytes."""
+        if len(self.pairs) > 4 * MEMORY:
+            self.pairs.clear()
+        token = self.vocabulary[entry]
+        fit = self.merge(token) == [token] if last < 0 else self.merge(self.vocabulary[last] + token) == [self.vocabulary[last], token]
+        self.pairs[(last + 1) << 20 | entry] = fit
+        return fit
+
+    def prefixes(self, pieces: list[str]) -> list[np.ndarray]:
+        """Counts at the characters of each pre-token; these are run through as one string, with a byte between two that no entry has."""
+        data = [p.encode() for p in pieces]
+        joined = "\n".join(d.decode("latin-1").translate(self.characters) for d in data)
+        # State k is that before byte k: the count of the prefix and its last entry, not known yet, or the start of a pre-token.
+        count, last = [0] * (len(joined) + 1), [-2] * (len(joined) + 1)
+        at = 0
+        for d in data:
+            last[at] = -1
+            at += len(d) + 1
+        pairs, fits = self.pairs, self.fits
+        for end, (entry, size) in self.entries.iter(joined):
+            end += 1
+            if last[end] == -2:
+                start = end - size
+                before = last[start]
+                fit = pairs.get((before + 1) << 20 | entry)
+                if fit or fit is None and before != -2 and fits(before, entry):
+                    last[end], count[end] = entry, count[start] + 1
+        raw = np.frombuffer(b"\n".join(data) + b"\n", "u1")
+        counts = np.asarray(count[1:], "<u4")
+        # A character ends where the next byte starts one.
+        counts = counts[((raw[1:] & 0xC0) != 0x80)] if len(counts) else counts
+        out, at = [], 0
+        for p in pieces:
+            own = counts[at : at + len(p)]
+            at += len(p) + 1
+            if p[0] == "'" and len(p) == 3 and self.split(p[:2]) != [p[:2]]:  # a contraction that is cut falls apart
+                own = np.array([own[0], 2, own[2]], "<u4")
+            out.append(own)
         return out
 
     def counts(self, text: str) -> np.ndarray:
@@ -112,9 +128,16 @@ class PrefixCounter:
         memory = self.memory
         if fresh := set(parts).difference(memory):
             if len(memory) + len(fresh) > MEMORY:
-                memory.clear()
-                fresh = set(parts)
-            memory.update((p, self.prefixes(p).tobytes()) for p in fresh)
+                self.older, self.memory = memory, {}
+                memory, fresh = self.memory, set(parts)
+            older = self.older
+            new = []
+            for p in fresh:
+                if p in older:
+                    memory[p] = older[p]
+                else:
+                    new.append(p)
+            memory.update(zip(new, (c.tobytes() for c in self.prefixes(new))) if new else ())
         flat = np.frombuffer(b"".join(map(memory.__getitem__, parts)), "<u4")
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         ends = np.cumsum(sizes)
@@ -124,7 +147,7 @@ class PrefixCounter:
             starts = ends - sizes
             for k in range(1, len(parts)):
                 if parts[k][0].isspace() and self.blank(parts[k - 1]) and self.blank(parts[k][0]):
-                    out[starts[k]] = (upto[k - 2] if k > 1 else 0) + self.prefixes(parts[k - 1] + parts[k][0])[-1]
+                    out[starts[k]] = (upto[k - 2] if k > 1 else 0) + self.prefixes([parts[k - 1] + parts[k][0]])[0][-1]
         for p in fresh:
             if len(p) > MEMORY_CHARS:
                 memory.pop(p, None)
@@ -152,7 +175,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, text_col: str = "text
 
 def tokens_at(prefix_tokens: Column, chars: Column) -> Column:
     """Tokens of the first chars characters."""
-    return F.when(chars > 0, F.element_at(prefix_tokens, F.least(chars.cast("int"), F.size(prefix_tokens)))).otherwise(0)
+    return F.coalesce(F.get(prefix_tokens, F.least(chars.cast("int"), F.size(prefix_tokens)) - 1), F.lit(0))
 
 
 def chars_within(prefix_tokens: Column, budget: Column) -> Column:
