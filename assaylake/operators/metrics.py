@@ -120,8 +120,8 @@ def central_width(points: DataFrame, by: str, along: str, across: str, fallback:
     part = F.floor(((F.col(along) - F.col("low")) / (F.col("high") - F.col("low")) - 0.2) / 0.6 * slices)
     cut = points.join(span.filter("high > low"), by).withColumn("slice", part).filter(F.col("slice").between(0, slices - 1))
     ends = cut.groupBy(by, "slice").agg(F.count("*").alias("n"), (F.percentile(across, 0.995) - F.percentile(across, 0.005)).alias("w")).filter((F.col("n") >= least) & (F.col("w") > 0))
-    widths = ends.groupBy(by).agg(F.count("*").alias("k"), F.percentile("w", 0.90).alias("w"))
-    return points.select(by).distinct().join(widths, by, "left").select(by, F.when(F.col("k") >= usable, F.col("w")).otherwise(F.lit(fallback)).alias("width"))
+    widths = ends.groupBy(by).agg(F.count("*").alias("_slices"), F.percentile("w", 0.90).alias("_width"))
+    return points.select(by).distinct().join(widths, by, "left").select(by, F.when(F.col("_slices") >= usable, F.col("_width")).otherwise(F.lit(fallback)).alias("width"))
 
 
 def top_within(rows: DataFrame, by: str, order: Sequence[Column], most: int) -> DataFrame:

@@ -11,13 +11,11 @@ def flagged(scores: DataFrame, limits: DataFrame) -> DataFrame:
     return scores.join(limits, "category").withColumn("above", F.col("score") > F.col("threshold"))
 
 
-def above_by_window(scores: DataFrame, limits: DataFrame, time: str = "ts", late: str = "10 minutes", window: str = "1 hour") -> DataFrame:
-    """Cases and above counts of each category and window; rows later than `late` are dropped by the watermark."""
+def above_by_window(scores: DataFrame, limits: DataFrame, time: str = "ts", late: str = "10 minutes", window: str = "1 hour", once: bool = True) -> DataFrame:
+    """Cases and above counts of each category and window; rows later than `late` are dropped by the watermark. once: a case that arrives again within
+    the watermark isn't counted again."""
     rows = flagged(scores, limits).withWatermark(time, late)
+    if once:
+        rows = rows.dropDuplicatesWithinWatermark(["case_id"])
     out = rows.groupBy(F.window(time, window).alias("w"), "category").agg(F.count("*").alias("cases"), F.count_if("above").alias("above"))
     return out.select("category", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "cases", "above")
-
-
-def once_each(scores: DataFrame, time: str = "ts", late: str = "10 minutes") -> DataFrame:
-    """The first arrival of each case within the watermark."""
-    return scores.withWatermark(time, late).dropDuplicatesWithinWatermark(["case_id"])
