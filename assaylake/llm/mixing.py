@@ -93,9 +93,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     A row served twice appears twice; documents of no words aren't part of a mix. docs needs unique ids in doc_id.
     """
-    mark = mix(docs, **options).filter("copies > 0").select(F.col("id").alias("_id"), F.explode(F.sequence(F.lit(1), "copies")).alias("_pass"), "virtual_finish", "source_size", "size")
-    out = docs.join(mark, F.col("doc_id") == F.col("_id"))
-    return out.repartitionByRange("_pass", "virtual_finish").sortWithinPartitions("_pass", "virtual_finish").select(*docs.columns)
+    mark = mix(docs, **options).filter("copies > 0").select("id", F.explode(F.sequence(F.lit(1), "copies")).alias("pass"), "virtual_finish")
+    rows = docs.alias("d").join(mark.alias("m"), F.col("d.doc_id") == F.col("m.id"))
+    return rows.repartitionByRange("m.pass", "m.virtual_finish").sortWithinPartitions("m.pass", "m.virtual_finish").select("d.*")
 
 
 def op8_mix(spark, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ def corpus(n=1500):
         text = [word() for _ in range(rnd.randrange(5, 200))]
         for _ in range(rnd.randrange(1, 4) if toxic else 0):
             text.insert(rnd.randrange(len(text)), rnd.choice(["grolk", "Gr0lk", "vexiba", "vexido", "vexira", "plimf"]))
-        if not toxic and rnd.random() < 0.1:
+        if not toxic and rnd.random() < 0.01:
             text[2:2] = ["plimf", "garden"]
         docs.append((i, " ".join(text), "a"))
         labels.append((i, 1, int(toxic)))
