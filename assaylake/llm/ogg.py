@@ -26,7 +26,8 @@ BLOCK, PACKET, RATE = 64, 4000, 8000
 #: Packets of samples on a page; a page has 255 lacing values at most.
 PAGE_PACKETS = 12
 #: Page header: capture pattern, version, flags, granule position, serial number, sequence number, checksum, lacing values.
-HEADER = struct.Struct("<4sBBqIIIB")
+HEADER = "<4sBBqIIIB"
+HEADER_BYTES = struct.calcsize(HEADER)
 CONTINUED, FIRST, LAST = 1, 2, 4
 _MIRROR = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
 
@@ -50,8 +51,8 @@ class Stream:
     def page(self, lacing: bytes, body: bytes, granule: int, flags: int) -> bytes:
         parts = ["OggS".encode(), 0, flags, granule, self.serial, self.sequence, 0, len(lacing)]
         self.sequence += 1
-        parts[6] = checksum(HEADER.pack(*parts) + lacing + body)
-        return HEADER.pack(*parts) + lacing + body
+        parts[6] = checksum(struct.pack(HEADER, *parts) + lacing + body)
+        return struct.pack(HEADER, *parts) + lacing + body
 
     def pages(self, packets: list[Packet], flags: int = 0) -> bytes:
         """The packets on one page, or on several where they have over 255 lacing values; a granule of -1 marks a page on which no packet ends."""
@@ -95,13 +96,13 @@ def pages(media: bytes) -> Iterator[Page | None]:
     """The pages whose checksum holds; None for each stretch that isn't one."""
     at = 0
     while at < len(media):
-        if media[at : at + 4] == b"OggS" and at + HEADER.size <= len(media):
-            _, version, flags, granule, serial, sequence, crc, n = HEADER.unpack_from(media, at)
-            lacing = media[at + HEADER.size : at + HEADER.size + n]
-            end = at + HEADER.size + n + sum(lacing)
+        if media[at : at + 4] == b"OggS" and at + HEADER_BYTES <= len(media):
+            _, version, flags, granule, serial, sequence, crc, n = struct.unpack_from(HEADER, media, at)
+            lacing = media[at + HEADER_BYTES : at + HEADER_BYTES + n]
+            end = at + HEADER_BYTES + n + sum(lacing)
             page = media[at:end]
             if version == 0 and end <= len(media) and checksum(page[:22] + b"\0\0\0\0" + page[26:]) == crc:
-                yield Page(flags, granule, serial, sequence, lacing, page[HEADER.size + n :])
+                yield Page(flags, granule, serial, sequence, lacing, page[HEADER_BYTES + n :])
                 at = end
                 continue
         yield None
