@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from assaylake.sources.scratch import materialize, scratch_path
+
+__all__ = ["ascii_lower", "lookup", "map_batches", "materialize", "scratch_path", "skew_join", "with_text", "words_count"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Rows of a lookup table that may be broadcast; a larger one is joined by shuffle.
@@ -19,40 +21,6 @@ BROADCAST_ROWS = 100_000
 #: A key with at least 1/HOT_SHARE of all rows is hot. At most HOT_SHARE keys can be, so these fit a broadcast.
 HOT_SHARE = 8192
 
-_roots: dict[str, str] = {}
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder for intermediate tables: spark.checkpoint.dir where the cluster names one, else a temporary folder of this process (local runs)."""
-    app = spark.sparkContext.applicationId
-    if app not in _roots:
-        root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-        if not root:
-            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-            spark.sparkContext.setCheckpointDir(root)
-        path = f"{root.rstrip('/')}/assaylake-{app}"
-        jvm = spark.sparkContext._jvm
-        hadoop = jvm.org.apache.hadoop.fs.Path(path)
-        fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        fs.mkdirs(hadoop)
-        fs.deleteOnExit(hadoop)
-        _roots[app] = path
-    return _roots[app]
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Cuts lineage: writes df as Parquet in the shared scratch folder and reads it back."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def lookup(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
     """left joined with a materialized table of unique keys: broadcast while its counted rows are within limit, else a shuffled join."""
     small = right.limit(limit + 1).count() <= limit
@@ -83,6 +51,8 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
+#: Rows of an Arrow batch, where the session has Spark's default: texts and sets are large.
+BATCH_ROWS = 1000
 #: Texts are handed to a kernel in slices of so many bytes, so that a batch of very long ones needs no more memory.
 SLICE_BYTES = 4 << 20
 
@@ -93,6 +63,12 @@ def _slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.Recor
         yield batch.slice(at, step)
 
 
+def small_batches(df: DataFrame) -> None:
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def map_batches(df: DataFrame, kernel: Callable[[], Callable[..., dict[str, list]]], uses: Sequence[str], adds: str | StructType, keep: bool = True) -> DataFrame:
     """Runs kernel() once in each task, then what it returns on the columns `uses`, as lists, slice by slice; it returns the columns `adds`.
 
@@ -107,7 +83,10 @@ def map_batches(df: DataFrame, kernel: Callable[[], Callable[..., dict[str, list
     out = StructType(held.fields + new.fields)
     arrow, tail = to_arrow_schema(out), to_arrow_schema(new)
 
+    small_batches(df)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
         step = kernel()
         for batch in batches:
             for part in _slices(batch):

@@ -71,7 +71,7 @@ class PrefixCounter:
 
     def fits(self, last: int, entry: int) -> bool:
         """Whether entry follows last (-1: the start) in the tokens of their bytes."""
-        if len(self.pairs) > 4 * MEMORY:
+        if len(self.pairs) > 2 * MEMORY:
             self.pairs.clear()
         token = self.vocabulary[entry]
         fit = self.merge(token) == [token] if last < 0 else self.merge(self.vocabulary[last] + token) == [self.vocabulary[last], token]

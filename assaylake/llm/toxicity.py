@@ -244,11 +244,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, phrases: t
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with score (0 to 1), predicted (score >= 0.5) and weight, the sum of the weights of its hits."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(model))
 
     def kernel():
-        m = sent.value
-        matcher, (a, b, c) = Matcher(m.terms, m.phrases), m.coefficients
+        terms, phrases, (a, b, c) = sent.value
+        matcher = Matcher(terms, phrases)
 
         def step(texts):
             totals, scores = [], []
