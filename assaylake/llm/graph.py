@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Links that a task may handle: a small graph doesn't need a task for each shuffle partition.
+TASK_LINKS = 200_000
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of links (a, b) reaches, itself included.
@@ -17,16 +20,17 @@ def components(links: DataFrame) -> DataFrame:
     """
     a, b = F.col("a"), F.col("b")
     edges = common.materialize(links.filter("a <> b").select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "links")
-    state = None
+    tasks, state = edges.count() // TASK_LINKS + 1, None
+    kept = lambda df, name: common.materialize(df.coalesce(tasks), name)
     while True:
         both = edges.unionByName(edges.select(b.alias("a"), a.alias("b")))
-        least = common.materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "stars")
+        least = kept(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "stars")
         edges = both.join(least, "a").filter("b > a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
-        edges = common.materialize(edges, "links")
-        least = common.materialize(edges.groupBy("b").agg(F.min("a").alias("m")), "stars")
+        edges = kept(edges, "links")
+        least = kept(edges.groupBy("b").agg(F.min("a").alias("m")), "stars")
         joined = edges.join(least, "b")
         edges = joined.select(F.col("m").alias("a"), "b").unionByName(joined.select(F.col("m").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
-        edges = common.materialize(edges, "links")
+        edges = kept(edges, "links")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break

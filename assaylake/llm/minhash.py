@@ -9,8 +9,10 @@ classes to components. Then, in all orders, every two classes of a region that a
 its pairs across components are more than CROWD for each row, it is split by the next label, so depth adapts to how dense it is, up to DEPTH labels,
 where all pairs across components are taken. So a group of thousands of copies costs a few pairs a member, yet no member is left out by a cap.
 
-Every link is confirmed on full sets, of 64-bit shingle hashes; the chance of two shingles of one pair being equal in these is below 1e-10. A pair
-of similarity s is met in an order of START labels with probability s ** START: at 0.85 and 20 orders it is missed with less than 1e-8.
+Every pair is confirmed on full sets, of 64-bit shingle hashes; the chance of two shingles of one pair being equal in these is below 1e-10. To this end classes
+have homes of HOME members that are neighbours in the first order. A pair is checked at the home of its smaller id, where each set arrives once, however many
+pairs need it. A pair of similarity s is met in an order of START labels with probability s ** START: at 0.85 and 32 orders it is missed with less than 1e-12, in a region split to 8
+labels with 4e-5.
 
 Defined results: null text is empty; a document without words has an empty set, is linked with nothing and is kept; with fewer words than
 a shingle its words are one shingle; rows of a null id take no part, are kept and have a null component; ids should be unique, rows that repeat one have its
@@ -22,8 +24,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,11 +35,13 @@ from . import common, graph
 from .exact_dedup import bit_filter, maybe_in
 
 WORDS, PERCENT = 5, 80
-HASHES, TREES, FIRST_TREES, START, DEPTH = 128, 20, 4, 3, 16
+HASHES, TREES, FIRST_TREES, START, DEPTH = 128, 32, 4, 3, 16
 #: Pairs across components for each row of a region, above which it is split.
 CROWD = 32
+#: Classes of a home.
+HOME = 128
 #: Words whose hashes a task remembers.
-MEMORY = 500_000
+MEMORY = 200_000
 _RANDOM = np.random.default_rng(20)
 _A = _RANDOM.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RANDOM.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -103,13 +109,13 @@ def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
 
 
 def forest(classes: DataFrame, trees: int) -> DataFrame:
-    """A row (tree, labels, id, size, component) for each class and order, range-sorted."""
+    """A row (tree, labels, id, size, component, home) for each class and order, range-sorted."""
 
     def kernel():
-        def step(ids, sizes, parts, sigs):
+        def step(ids, sizes, parts, homes, sigs):
             table = np.frombuffer(b"".join(sigs), ">u2").reshape(-1, HASHES)
             width = 2 * DEPTH
-            out: dict[str, list] = {"tree": [], "labels": [], "id": [], "size": [], "component": []}
+            out: dict[str, list] = {"tree": [], "labels": [], "id": [], "size": [], "component": [], "home": []}
             for t in range(trees):
                 flat = table[:, ORDERS[t]].tobytes()
                 out["tree"] += [t] * len(ids)
@@ -117,15 +123,28 @@ def forest(classes: DataFrame, trees: int) -> DataFrame:
                 out["id"] += ids
                 out["size"] += sizes
                 out["component"] += parts
+                out["home"] += homes
             return out
 
         return step
 
-    kind = "tree int, labels binary, id long, size long, component long"
-    rows = common.map_batches(classes, kernel, ["id", "size", "component", "sig"], kind, keep=False)
+    kind = "tree int, labels binary, id long, size long, component long, home long"
+    rows = common.map_batches(classes, kernel, ["id", "size", "component", "home", "sig"], kind, keep=False)
     return rows.repartitionByRange("tree", "labels", "id").sortWithinPartitions("tree", "labels", "id")
 
 
+def homes(classes: DataFrame) -> DataFrame:
+    """(id, home): HOME neighbours in the first order have a home together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.arange(at, at + batch.num_rows) // HOME)], names=["id", "home"])
+            at += batch.num_rows
+
+    return forest(classes, 1).mapInArrow(run, "id long, home long")
+
+
 def _like(sizes_a: np.ndarray, sizes_b: np.ndarray, percent: int) -> np.ndarray:
     """Whether sets of these sizes can be similar enough."""
     return 100 * np.minimum(sizes_a, sizes_b) >= percent * np.maximum(sizes_a, sizes_b)
@@ -154,11 +173,13 @@ def _region(labels: np.ndarray, component: np.ndarray, depth: int) -> Iterator[t
 
 
 def candidates(classes: DataFrame, percent: int, first: bool) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of classes to be confirmed."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """(home, packed): the pairs (a, b), a < b, to be confirmed at the home of a, as binaries of 64-bit ids; a pair may be in several."""
+    common.small_batches(classes)
+    schema = pa.schema([("home", pa.int64()), ("packed", pa.binary())])
 
-    def pairs_of(rows: tuple[np.ndarray, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        tree, labels, ids, sizes, component = rows
+    def pairs_of(rows: tuple[np.ndarray, ...]) -> Iterator[np.ndarray]:
+        """Arrays of columns home, a, b."""
+        tree, labels, ids, sizes, component, home = rows
         start = np.any(labels[1:, : 2 * START] != labels[:-1, : 2 * START], axis=1) | (tree[1:] != tree[:-1])
         if first:
             i = np.flatnonzero(~start)
@@ -170,19 +191,21 @@ def candidates(classes: DataFrame, percent: int, first: bool) -> DataFrame:
         for i, j in found:
             ok = _like(sizes[i], sizes[j], percent) & (ids[i] != ids[j])
             if ok.any():
-                a, b = ids[i[ok]], ids[j[ok]]
-                yield np.minimum(a, b), np.maximum(a, b)
+                i, j = i[ok], j[ok]
+                less = ids[i] < ids[j]
+                yield np.stack([np.where(less, home[i], home[j]), np.where(less, ids[i], ids[j]), np.where(less, ids[j], ids[i])], axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[np.ndarray, ...] | None = None
-        out: list[tuple[np.ndarray, np.ndarray]] = []
+        out: list[np.ndarray] = []
 
         def flush(force: bool):
-            if out and (force or sum(len(a) for a, _ in out) > 50_000):
-                a, b = (np.concatenate(x) for x in zip(*out))
+            if out and (force or sum(map(len, out)) > 50_000):
+                rows = np.unique(np.concatenate(out), axis=0)
                 out.clear()
-                unique = np.unique(np.stack([a, b], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(unique[:, 0]), pa.array(unique[:, 1])], schema=schema)
+                cuts = np.flatnonzero(np.diff(rows[:, 0])) + 1
+                packed = [part.tobytes() for part in np.split(np.ascontiguousarray(rows[:, 1:]), cuts)]
+                yield pa.RecordBatch.from_arrays([pa.array(rows[np.r_[0, cuts], 0]), pa.array(packed, pa.binary())], schema=schema)
 
         def scan(rows):
             for pair in pairs_of(rows):
@@ -193,7 +216,7 @@ def candidates(classes: DataFrame, percent: int, first: bool) -> DataFrame:
             if not batch.num_rows:
                 continue
             labels = np.frombuffer(b"".join(batch.column("labels").to_pylist()), np.uint8).reshape(-1, 2 * DEPTH)
-            rows = (batch.column("tree").to_numpy(), labels, *(batch.column(c).to_numpy() for c in ("id", "size", "component")))
+            rows = (batch.column("tree").to_numpy(), labels, *(batch.column(c).to_numpy() for c in ("id", "size", "component", "home")))
             if held is not None:
                 rows = tuple(np.concatenate(x) for x in zip(held, rows))
             # The last region may go on in the next batch.
@@ -208,13 +231,27 @@ def candidates(classes: DataFrame, percent: int, first: bool) -> DataFrame:
         yield from flush(True)
 
     rows = forest(classes, FIRST_TREES if first else TREES)
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    # A home has HOME classes, each with a bounded number of neighbours.
+    return rows.mapInArrow(run, "home long, packed binary").groupBy("home").agg(F.collect_list("packed").alias("packed"))
+
+
+def unpack(packed: list[bytes]) -> np.ndarray:
+    """The distinct pairs, as rows a, b."""
+    return np.unique(np.frombuffer(b"".join(packed), np.int64).reshape(-1, 2), axis=0)
 
 
 def confirm(docs: DataFrame, pairs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. Texts of other documents, told by a bit filter of bounded size, aren't moved."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    needed = common.materialize(bit_filter(ids, "doc_id"), "minhash-filter")
+    """The candidates (a, b) whose full sets are similar enough. Texts of other documents, told by a bit filter of bounded size, aren't moved."""
+
+    def visit():
+        def step(homes, packed):
+            ids = [np.unique(unpack(p)) for p in packed]
+            return {"at": np.repeat(np.array(homes, np.int64), [len(i) for i in ids]), "doc_id": np.concatenate([np.zeros(0, np.int64), *ids])}
+
+        return step
+
+    there = common.materialize(common.map_batches(pairs, visit, ["home", "packed"], "at long, doc_id long", keep=False), "minhash-visits")
+    needed = common.materialize(bit_filter(there, "doc_id"), "minhash-filter")
     rows = maybe_in(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id", needed)
 
     def shingle():
@@ -222,21 +259,20 @@ def confirm(docs: DataFrame, pairs: DataFrame, words: int, percent: int, id_col:
         return lambda texts: {"set": [shingler(t).tobytes() for t in texts]}
 
     sets = common.map_batches(rows, shingle, ["text"], "set binary").drop("text")
-
-    def compare():
-        def step(a, b):
-            ok = []
-            for x, y in zip(a, b):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    visits = there.join(sets, "doc_id")
+
+    def compare(visitors: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        known = {i: np.frombuffer(x, np.uint64) for i, x in zip(visitors["doc_id"], visitors["set"])}
+        links = []
+        for a, b in unpack(list(wanted["packed"].iloc[0])) if len(wanted) else ():
+            x, y = known.get(a), known.get(b)
+            if x is not None and y is not None:
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            return {"ok": ok}
-
-        return step
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    links.append((a, b))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a")
-    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
-    return common.map_batches(both, compare, ["set_a", "set_b"], "ok boolean").filter("ok").select("a", "b")
+    return visits.groupBy("at").cogroup(pairs.groupBy("home")).applyInPandas(compare, "a long, b long")
 
 
 def near_dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -246,11 +282,12 @@ def near_dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_c
     # Rows of a class have equal signatures and sizes: any will do.
     classes = usable.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.any_value("sig").alias("sig"), F.any_value("n_shingles").alias("size"), F.count("*").alias("class_size"))
     classes = common.materialize(classes, "minhash-classes")
-    alone = classes.select("id", "size", F.col("id").alias("component"), "sig")
+    alone = classes.select("id", "size", F.col("id").alias("component"), F.lit(0).cast("long").alias("home"), "sig")
+    alone = alone.drop("home").join(common.materialize(homes(alone), "minhash-homes"), "id")
     pairs = common.materialize(candidates(alone, percent, first=True), "minhash-pairs")
     links = common.materialize(confirm(docs, pairs, words, percent, id_col, text_col), "minhash-links")
     parts = common.materialize(graph.components(links), "minhash-components")
-    joined = alone.drop("component").join(parts, F.col("id") == F.col("node"), "left").select("id", "size", F.coalesce("component", "id").alias("component"), "sig")
+    joined = alone.drop("component").join(parts, F.col("id") == F.col("node"), "left").select("id", "size", F.coalesce("component", "id").alias("component"), "home", "sig")
     pairs = common.materialize(candidates(joined, percent, first=False), "minhash-pairs")
     more = confirm(docs, pairs, words, percent, id_col, text_col)
     parts = graph.components(parts.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
