@@ -134,7 +134,7 @@ m AS (SELECT * FROM l WHERE x IN (SELECT x FROM l WHERE l_returnflag = 'R'))
 SELECT (SELECT count(*) FROM m) AS matched_sources, (SELECT count(DISTINCT g) FROM m) AS excluded_groups, (SELECT count(*) FROM l WHERE g NOT IN (SELECT g FROM m)) AS eligible_sources""",
     "role_disjointness": "SELECT sha256(text) AS group_id, count(DISTINCT doc_id % 3) AS roles FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(DISTINCT doc_id % 3) > 1",
     "paired_delta_grouping_sets": f"""WITH {LINES}
-SELECT category, variant, CASE WHEN grouping(variant) = 1 THEN 'category' ELSE 'category,variant' END AS grain, count(*) AS n, round({P95.format(x="delta")}, 6) AS p95, round(max(delta), 6) AS max
+SELECT category, coalesce(variant, 0) AS variant, CASE WHEN grouping(variant) = 1 THEN 'category' ELSE 'category,variant' END AS grain, count(*) AS n, round({P95.format(x="delta")}, 6) AS p95, round(max(delta), 6) AS max
 FROM lines GROUP BY GROUPING SETS ((category), (category, variant))""",
     "delta_summary": f"""WITH {LINES}
 SELECT category, count(*) AS pairs, round(avg(delta), 6) AS mean, {_median("delta")} AS median, round(min(delta), 6) AS minimum, round(max(delta), 6) AS maximum,
@@ -146,6 +146,11 @@ SELECT category, family, level, count(*) AS stimuli, count(*) FILTER (above) AS
        round(max(raw_above) / max(raw), 6) AS raw_rate, round(avg(delta), 6) AS mean_delta, round(min(delta), 6) AS min_delta, round(max(delta), 6) AS max_delta,
        count(*) FILTER (delta > 0) AS positive, count(*) FILTER (delta = 0) AS zero
 FROM lines JOIN raws USING (category) GROUP BY GROUPING SETS ((category), (category, family), (category, level), (category, family, level))""",
+    "nuisance_contrast": """
+WITH p AS (SELECT user_id, avg(value) AS parent_score FROM events GROUP BY 1),
+d AS (SELECT user_id, parent_score, event_type < 'p' AS control, value - parent_score AS delta FROM events JOIN p USING (user_id)),
+s AS (SELECT user_id, max(parent_score) AS parent_score, count(*) FILTER (control) AS control_count, avg(delta) FILTER (control) AS c, count(*) FILTER (NOT control) AS stimulus_count, avg(delta) FILTER (NOT control) AS t FROM d GROUP BY 1)
+SELECT user_id, round(parent_score, 6) AS parent_score, control_count, round(c, 6) AS control_delta, stimulus_count, round(t, 6) AS stimulus_delta, round(t - c, 6) AS contrast FROM s WHERE c IS NOT NULL AND t IS NOT NULL""",
     "report_case_deltas": f"{REPORTS} SELECT case_id, category, role, kind, defect, round(baseline_score, 6) AS baseline_score, round(candidate_score, 6) AS candidate_score, round(delta, 6) AS delta FROM deltas",
     "report_categories": f"""{REPORTS},
 c1 AS ({RAW_AUROC.format(by="category", x="baseline_score", positive="kind = 'ANOMALY'", source="(SELECT * FROM deltas WHERE role = 'BLIND')")}),
@@ -168,7 +173,7 @@ e AS (SELECT vec_id AS case_id, embedding::DOUBLE[] AS v, vec_id % 11 <> 0 AS a,
 d AS (SELECT case_id, label, {COSINE.format(a="e.v", b="g.v")} AS d FROM e, g WHERE a AND b),
 s AS (SELECT case_id, first(label ORDER BY d, label) AS nearest_id, round(min(d), 6) AS nearest_distance, round(avg(d), 6) AS global_distance, round(least(1.0, max(d) - min(d)), 6) AS uncertainty FROM d GROUP BY 1)
 SELECT case_id, CASE WHEN a THEN 'PASSED' ELSE 'FAILED' END AS "DIGEST_state", CASE WHEN NOT a THEN 'NOT_RUN' WHEN b THEN 'PASSED' ELSE 'FAILED' END AS "ALIGNMENT_state",
-       CASE WHEN a AND b THEN 'AVAILABLE' ELSE 'UNAVAILABLE' END AS state, CASE WHEN NOT a THEN 'DIGEST' WHEN NOT b THEN 'ALIGNMENT' END AS reason, nearest_id, nearest_distance, global_distance, uncertainty,
+       CASE WHEN a AND b THEN 'AVAILABLE' ELSE 'UNAVAILABLE' END AS state, CASE WHEN NOT a THEN 'DIGEST' WHEN NOT b THEN 'ALIGNMENT' END AS reason, coalesce(nearest_id, -1) AS nearest_id, nearest_distance, global_distance, uncertainty,
        CASE WHEN nearest_distance >= 0.9 THEN 'HIGH' WHEN nearest_distance >= 0.7 THEN 'REVIEW' ELSE 'LOW' END AS priority
 FROM e LEFT JOIN s USING (case_id)""",
     "still_gate": """

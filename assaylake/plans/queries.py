@@ -111,7 +111,8 @@ def role_disjointness(s: SparkSession, d: str) -> DataFrame:
 
 
 def paired_delta_grouping_sets(s: SparkSession, d: str) -> DataFrame:
-    return _rounded(deltas.delta_quantiles(lines(s, d), [["category"], ["category", "variant"]], ["category", "variant"]), "p95", "max")
+    out = deltas.delta_quantiles(lines(s, d), [["category"], ["category", "variant"]], ["category", "variant"])
+    return _rounded(out, "p95", "max").withColumn("variant", F.coalesce("variant", F.lit(0)))  # 0: all variants
 
 
 def delta_summary(s: SparkSession, d: str) -> DataFrame:
@@ -126,8 +127,8 @@ def stress_multi_grain(s: SparkSession, d: str) -> DataFrame:
 def nuisance_contrast(s: SparkSession, d: str) -> DataFrame:
     rows = _events(s, d).select("user_id", "event_type", F.col("value").alias("score"))
     parents = rows.groupBy("user_id").agg(F.avg("score").alias("score"))
-    kinds = F.crc32("event_type") % 2
-    out = deltas.contrasts(parents, rows.filter(kinds == 0), rows.filter(kinds == 1), "user_id")
+    control = F.col("event_type") < "p"
+    out = deltas.contrasts(parents, rows.filter(control), rows.filter(~control), "user_id")
     return _rounded(out, "parent_score", "control_delta", "stimulus_delta", "contrast")
 
 
@@ -181,7 +182,7 @@ def nearest_reference(s: SparkSession, d: str) -> DataFrame:
     golden = scoring.mean_vectors(rows, "label", "embedding").select(F.col("label").alias("reference_id"), F.col("mean").alias("embedding"))
     stages = [("DIGEST", F.col("case_id") % 11 != 0), ("ALIGNMENT", F.col("case_id") % 7 != 0)]
     out = observe.observe(rows.select(F.col("vec_id").alias("case_id"), "embedding"), golden, stages=stages).drop("embedding")
-    return _rounded(out, "nearest_distance", "global_distance", "uncertainty").withColumn("priority", regions.priority(F.col("nearest_distance"), 0.9, 0.7))
+    return _rounded(out, "nearest_distance", "global_distance", "uncertainty").withColumns({"priority": regions.priority(F.col("nearest_distance"), 0.9, 0.7), "nearest_id": F.coalesce("nearest_id", F.lit(-1))})
 
 
 def still_gate(s: SparkSession, d: str) -> DataFrame:
