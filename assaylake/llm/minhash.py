@@ -8,11 +8,11 @@ Two rounds find links. First the next neighbours in the first FIRST_TREES orders
 classes to components. Then, in all orders, every two classes of a region that aren't in one component yet. A region is what shares START labels; while
 its pairs across components are more than CROWD for each row, it is split by the next label, so depth adapts to how dense it is, up to DEPTH labels,
 where all pairs across components are taken. So a group of thousands of copies costs a few pairs a member, yet no member is left out by a cap.
+Members of a region that was split go through an exact similarity join (see exact_pairs).
 
 Every pair is confirmed on full sets, of 64-bit shingle hashes; the chance of two shingles of one pair being equal in these is below 1e-10. To this end classes
 have homes of HOME members that are neighbours in the first order. A pair is checked at the home of its smaller id, where each set arrives once, however many
-pairs need it. A pair of similarity s is met in an order of START labels with probability s ** START: at 0.85 and 32 orders it is missed with less than 1e-12, in a region split to 8
-labels with 4e-5.
+pairs need it. A pair of similarity s is met in an order of START labels with probability s ** START: at 0.85 and 32 orders it is missed with less than 1e-12, at 0.80 with 6e-11.
 
 Defined results: null text is empty; a document without words has an empty set, is linked with nothing and is kept; with fewer words than
 a shingle its words are one shingle; rows of a null id take no part, are kept and have a null component; ids should be unique, rows that repeat one have its
@@ -38,6 +38,10 @@ WORDS, PERCENT = 5, 80
 HASHES, TREES, FIRST_TREES, START, DEPTH = 128, 32, 4, 3, 16
 #: Pairs across components for each row of a region, above which it is split.
 CROWD = 32
+#: Kinds of rows that a scan gives.
+PAIRS, SPLIT = 0, 1
+#: Counts of the sketch of shingles, the shift that gives a shingle's, and classes that meet at a shingle in one block.
+SLOTS, SLOT_SHIFT, BLOCK = 1 << 20, np.uint64(44), 2000
 #: Classes of a home.
 HOME = 128
 #: Words whose hashes a task remembers.
@@ -150,6 +154,12 @@ def _like(sizes_a: np.ndarray, sizes_b: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(sizes_a, sizes_b) >= percent * np.maximum(sizes_a, sizes_b)
 
 
+def _crowded(component: np.ndarray) -> bool:
+    """Whether a region of these rows is split."""
+    n, counts = len(component), np.unique(component, return_counts=True)[1].astype(np.int64)
+    return (n * n - int((counts**2).sum())) // 2 > CROWD * n
+
+
 def _region(labels: np.ndarray, component: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions of pairs across components within a region of rows that share their first depth labels."""
     n = len(component)
@@ -172,45 +182,62 @@ def _region(labels: np.ndarray, component: np.ndarray, depth: int) -> Iterator[t
                 yield i + low, j + low
 
 
-def candidates(classes: DataFrame, percent: int, first: bool) -> DataFrame:
-    """(home, packed): the pairs (a, b), a < b, to be confirmed at the home of a, as binaries of 64-bit ids; a pair may be in several."""
+def _pack(rows: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Distinct rows home, a, b as homes and the packed pairs of each."""
+    rows = np.unique(rows, axis=0)
+    cuts = np.flatnonzero(np.diff(rows[:, 0])) + 1
+    return rows[np.r_[0, cuts], 0], [part.tobytes() for part in np.split(np.ascontiguousarray(rows[:, 1:]), cuts)]
+
+
+def scan(classes: DataFrame, percent: int, first: bool) -> DataFrame:
+    """Rows of a kind: PAIRS (home, packed) are pairs (a, b), a < b, to be confirmed at the home of a, as binaries of 64-bit ids, a pair may be in several;
+    SPLIT (packed) are the ids of regions not all of whose pairs were taken."""
     common.small_batches(classes)
-    schema = pa.schema([("home", pa.int64()), ("packed", pa.binary())])
-
-    def pairs_of(rows: tuple[np.ndarray, ...]) -> Iterator[np.ndarray]:
-        """Arrays of columns home, a, b."""
-        tree, labels, ids, sizes, component, home = rows
-        start = np.any(labels[1:, : 2 * START] != labels[:-1, : 2 * START], axis=1) | (tree[1:] != tree[:-1])
-        if first:
-            i = np.flatnonzero(~start)
-            found = iter([(i, i + 1)])
-        else:
-            cuts = np.flatnonzero(start) + 1
-            lows, highs = np.r_[0, cuts], np.r_[cuts, len(ids)]
-            found = ((i + low, j + low) for low, high in zip(lows, highs) if high - low > 1 for i, j in _region(labels[low:high], component[low:high], START))
-        for i, j in found:
-            ok = _like(sizes[i], sizes[j], percent) & (ids[i] != ids[j])
-            if ok.any():
-                i, j = i[ok], j[ok]
-                less = ids[i] < ids[j]
-                yield np.stack([np.where(less, home[i], home[j]), np.where(less, ids[i], ids[j]), np.where(less, ids[j], ids[i])], axis=1)
+    schema = pa.schema([("kind", pa.int32()), ("home", pa.int64()), ("packed", pa.binary())])
+
+    def made(**columns) -> pa.RecordBatch:
+        size = len(columns["packed"])
+        return pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None] * size), f.type) for f in schema], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[np.ndarray, ...] | None = None
         out: list[np.ndarray] = []
+        split: list[np.ndarray] = []
+
+        def pairs_of(rows: tuple[np.ndarray, ...]) -> Iterator[np.ndarray]:
+            """Arrays of columns home, a, b."""
+            tree, labels, ids, sizes, component, home = rows
+            start = np.any(labels[1:, : 2 * START] != labels[:-1, : 2 * START], axis=1) | (tree[1:] != tree[:-1])
+            if first:
+                i = np.flatnonzero(~start)
+                found = iter([(i, i + 1)])
+            else:
+                cuts = np.flatnonzero(start) + 1
+                lows, highs = np.r_[0, cuts], np.r_[cuts, len(ids)]
+                split.extend(ids[low:high] for low, high in zip(lows, highs) if high - low > 1 and _crowded(component[low:high]))
+                found = ((i + low, j + low) for low, high in zip(lows, highs) if high - low > 1 for i, j in _region(labels[low:high], component[low:high], START))
+            for i, j in found:
+                ok = _like(sizes[i], sizes[j], percent) & (ids[i] != ids[j])
+                if ok.any():
+                    i, j = i[ok], j[ok]
+                    less = ids[i] < ids[j]
+                    yield np.stack([np.where(less, home[i], home[j]), np.where(less, ids[i], ids[j]), np.where(less, ids[j], ids[i])], axis=1)
 
         def flush(force: bool):
             if out and (force or sum(map(len, out)) > 50_000):
-                rows = np.unique(np.concatenate(out), axis=0)
+                at, packed = _pack(np.concatenate(out))
                 out.clear()
-                cuts = np.flatnonzero(np.diff(rows[:, 0])) + 1
-                packed = [part.tobytes() for part in np.split(np.ascontiguousarray(rows[:, 1:]), cuts)]
-                yield pa.RecordBatch.from_arrays([pa.array(rows[np.r_[0, cuts], 0]), pa.array(packed, pa.binary())], schema=schema)
+                yield made(kind=[PAIRS] * len(at), home=at, packed=packed)
+            if split and (force or sum(map(len, split)) > 50_000):
+                packed = [np.unique(np.concatenate(split)).astype(np.int64).tobytes()]
+                split.clear()
+                yield made(kind=[SPLIT], packed=packed)
 
-        def scan(rows):
+        def visit(rows):
             for pair in pairs_of(rows):
                 out.append(pair)
                 yield from flush(False)
+            yield from flush(False)
 
         for batch in batches:
             if not batch.num_rows:
@@ -224,15 +251,141 @@ def candidates(classes: DataFrame, percent: int, first: bool) -> DataFrame:
             other = np.flatnonzero(np.any(labels[:, : 2 * START] != labels[-1, : 2 * START], axis=1) | (tree != tree[-1]))
             cut = int(other[-1]) + 1 if len(other) else 0
             if cut:
-                yield from scan(tuple(x[:cut] for x in rows))
+                yield from visit(tuple(x[:cut] for x in rows))
             held = tuple(x[cut:] for x in rows)
         if held is not None:
-            yield from scan(held)
+            yield from visit(held)
         yield from flush(True)
 
-    rows = forest(classes, FIRST_TREES if first else TREES)
+    return forest(classes, FIRST_TREES if first else TREES).mapInArrow(run, "kind int, home long, packed binary")
+
+
+def by_home(found: DataFrame) -> DataFrame:
+    """(home, packed): the pairs of each home."""
     # A home has HOME classes, each with a bounded number of neighbours.
-    return rows.mapInArrow(run, "home long, packed binary").groupBy("home").agg(F.collect_list("packed").alias("packed"))
+    return found.filter(F.col("kind") == PAIRS).groupBy("home").agg(F.collect_list("packed").alias("packed"))
+
+
+def second_round(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(home, packed) of all orders, and the ids of classes left to the exact join."""
+    found = common.materialize(scan(classes, percent, first=False), "minhash-found")
+    ids = lambda: lambda packed: {"id": np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(p, np.int64) for p in packed)])}
+    split = common.map_batches(found.filter(F.col("kind") == SPLIT).select("packed"), ids, ["packed"], "id long", keep=False).distinct()
+    return common.materialize(by_home(found), "minhash-pairs"), common.materialize(split, "minhash-split")
+
+
+def _ordered(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """By how many classes have them, as the sketch has it, the rarest first."""
+    return shingles[np.lexsort((shingles, counts[shingles >> SLOT_SHIFT]))]
+
+
+def least_common(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Shingles that sets of these sizes share at least if they are similar enough."""
+    return -(-percent * (a + b) // (100 + percent))
+
+
+def exact_pairs(docs: DataFrame, classes: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(home, packed) of all pairs of the classes (id, component, home), across components, that can be similar enough.
+
+    Sets that share c shingles share one of the first size - c + 1 of each, in any order of all shingles. So classes meet at the rarest shingles, by an order that
+    a sketch of SLOTS counts gives, and only where the rest of both sets is long enough. A shingle with more than BLOCK classes is dealt to blocks, and these meet in twos;
+    those of its largest component don't meet each other.
+    """
+    needed = common.materialize(bit_filter(classes, "id"), "minhash-filter")
+    rows = maybe_in(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id", needed)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, counts = Shingler(words), np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for text in batch.column("text"):
+                np.add.at(counts, (shingler(text.as_py()) >> SLOT_SHIFT).astype(np.int64), 1)
+        pieces = counts.reshape(-1, 4096)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([p.tobytes() for p in pieces], pa.binary())], names=["at", "counts"])
+
+    def add(pieces: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"at": pieces["at"].iloc[:1], "counts": [sum(np.frombuffer(p, np.int64) for p in pieces["counts"]).tobytes()]})
+
+    counted = rows.mapInArrow(count, "at int, counts binary").groupBy("at").applyInPandas(add, "at int, counts binary").orderBy("at").collect()
+    sketch = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["counts"], np.int64) for r in counted)])
+    sent = docs.sparkSession.sparkContext.broadcast(np.minimum(sketch, np.iinfo(np.int32).max).astype(np.int32))
+
+    def prefixes():
+        shingler, counts = Shingler(words), sent.value
+
+        def step(ids, texts):
+            out = [(i, len(s), _ordered(s, counts)[: len(s) - -(-percent * len(s) // 100) + 1]) for i, t in zip(ids, texts) if len(s := shingler(t))]
+            lengths = [len(p) for _, _, p in out]
+            token = np.concatenate([np.zeros(0, np.uint64), *(p for _, _, p in out)])
+            shared = counts[token >> SLOT_SHIFT] > 1
+            columns = {"token": token.view(np.int64), "id": np.repeat(np.array([o[0] for o in out], np.int64), lengths), "size": np.repeat(np.array([o[1] for o in out], np.int64), lengths)}
+            columns["place"] = np.concatenate([np.zeros(0, np.int64), *map(np.arange, lengths)])
+            return {k: v[shared] for k, v in columns.items()}
+
+        return step
+
+    found = common.map_batches(rows.filter("doc_id is not null"), prefixes, ["doc_id", "text"], "token long, id long, size long, place long", keep=False)
+    found = common.materialize(found.join(classes.select("id", "component", "home"), "id"), "minhash-prefixes")
+    parts = found.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.max_by("component", F.struct("n", "component")).alias("top"), F.max("n").alias("top_n"))
+    # At most 1 / BLOCK of the rows.
+    hot = common.materialize(parts.filter(F.col("n") > BLOCK).select("token", "top", F.ceil(F.col("top_n") / BLOCK).alias("tops"), F.ceil((F.col("n") - F.col("top_n")) / BLOCK).alias("others")), "minhash-hot")
+    dealt = common.lookup(found, hot, ["token"])
+    at = F.xxhash64("id")
+    is_top = F.col("component") == F.col("top")
+    block = F.when(F.col("tops").isNull(), F.lit(0)).when(is_top, F.pmod(at, F.col("tops"))).otherwise(F.col("tops") + F.pmod(at, F.col("others")))
+    dealt = dealt.withColumn("block", block.cast("long"))
+    upto = lambda low, n: F.when(n > 0, F.sequence(low, low + n - 1)).otherwise(F.array().cast("array<bigint>"))
+    meets = F.when(F.col("tops").isNull(), F.array(F.lit(0).cast("long"))).when(is_top, upto(F.col("tops"), F.col("others"))).otherwise(upto(F.lit(0).cast("long"), F.col("tops") + F.col("others")))
+    dealt = dealt.withColumn("other", F.explode(meets)).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    columns = ["token", "low", "high", "block", "id", "size", "place", "component", "home"]
+    common.small_batches(dealt)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[np.ndarray] = []
+        out: list[np.ndarray] = []
+
+        def pairs(x: np.ndarray) -> Iterator[np.ndarray]:
+            cuts = np.flatnonzero(np.any(x[1:, :3] != x[:-1, :3], axis=1)) + 1
+            ends = np.repeat(np.r_[cuts, len(x)], np.diff(np.r_[0, cuts, len(x)]))
+            i, lag = np.arange(len(x)), 1
+            while len(i := i[i + lag < ends[i]]):
+                a, b = x[i], x[i + lag]
+                lag += 1
+                most = least_common(a[:, 5], b[:, 5], percent)
+                ok = (a[:, 7] != b[:, 7]) & ((a[:, 1] == a[:, 2]) | (a[:, 3] != b[:, 3])) & (a[:, 4] != b[:, 4])
+                ok &= (a[:, 5] - a[:, 6] >= most) & (b[:, 5] - b[:, 6] >= most) & _like(a[:, 5], b[:, 5], percent)
+                if ok.any():
+                    a, b = a[ok], b[ok]
+                    less = a[:, 4] < b[:, 4]
+                    yield np.stack([np.where(less, a[:, 8], b[:, 8]), np.minimum(a[:, 4], b[:, 4]), np.maximum(a[:, 4], b[:, 4])], axis=1)
+
+        def flush(force: bool):
+            if out and (force or sum(map(len, out)) > 50_000):
+                at, packed = _pack(np.concatenate(out))
+                out.clear()
+                yield pa.RecordBatch.from_arrays([pa.array([PAIRS] * len(at), pa.int32()), pa.array(at, pa.int64()), pa.array(packed, pa.binary())], names=["kind", "home", "packed"])
+
+        def visit(x):
+            for found in pairs(x):
+                out.append(found)
+                yield from flush(False)
+
+        for batch in batches:
+            if batch.num_rows:
+                waiting.append(np.stack([batch.column(c).to_numpy() for c in columns], axis=1))
+            if sum(map(len, waiting)) > 50_000:
+                x = np.concatenate(waiting)
+                # The last shingle may go on in the next batch.
+                other = np.flatnonzero(np.any(x[:, :3] != x[-1, :3], axis=1))
+                cut = int(other[-1]) + 1 if len(other) else 0
+                yield from visit(x[:cut]) if cut else ()
+                waiting = [x[cut:]]
+        if waiting:
+            yield from visit(np.concatenate(waiting))
+        yield from flush(True)
+
+    key = ["token", "low", "high"]
+    met = dealt.select(*columns).repartition(*key).sortWithinPartitions(*key).mapInArrow(meet, "kind int, home long, packed binary")
+    return common.materialize(by_home(met), "minhash-exact")
 
 
 def unpack(packed: list[bytes]) -> np.ndarray:
@@ -284,13 +437,18 @@ def near_dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_c
     classes = common.materialize(classes, "minhash-classes")
     alone = classes.select("id", "size", F.col("id").alias("component"), F.lit(0).cast("long").alias("home"), "sig")
     alone = alone.drop("home").join(common.materialize(homes(alone), "minhash-homes"), "id")
-    pairs = common.materialize(candidates(alone, percent, first=True), "minhash-pairs")
+    pairs = common.materialize(by_home(scan(alone, percent, first=True)), "minhash-pairs")
     links = common.materialize(confirm(docs, pairs, words, percent, id_col, text_col), "minhash-links")
     parts = common.materialize(graph.components(links), "minhash-components")
-    joined = alone.drop("component").join(parts, F.col("id") == F.col("node"), "left").select("id", "size", F.coalesce("component", "id").alias("component"), "home", "sig")
-    pairs = common.materialize(candidates(joined, percent, first=False), "minhash-pairs")
-    more = confirm(docs, pairs, words, percent, id_col, text_col)
-    parts = graph.components(parts.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
+    of = lambda parts: alone.drop("component").join(parts, F.col("id") == F.col("node"), "left").select("id", "size", F.coalesce("component", "id").alias("component"), "home", "sig")
+    pairs, split = second_round(of(parts), percent)
+    links = confirm(docs, pairs, words, percent, id_col, text_col)
+    parts = graph.components(parts.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(links))
+    if not split.isEmpty():
+        parts = common.materialize(parts, "minhash-components")
+        pairs = exact_pairs(docs, common.materialize(of(parts).drop("sig").join(split, "id", "left_semi"), "minhash-crowd"), words, percent, id_col, text_col)
+        links = confirm(docs, pairs, words, percent, id_col, text_col)
+        parts = graph.components(parts.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(links))
     named = classes.select("set_hash", "id", "class_size").join(parts, F.col("id") == F.col("node"), "left")
     named = common.materialize(named.select("set_hash", F.coalesce("component", "id").alias("component_id"), "class_size"), "minhash-named")
     rows = usable.select("doc_id", "n_shingles", "set_hash")

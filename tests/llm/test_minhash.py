@@ -95,3 +95,28 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 103: 100, 105: 100} | {i: 200 for i in range(200, 400)}
     assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_template_below_the_threshold(spark):
+    rnd = random.Random(8)
+    base = [f"t{i}" for i in range(172)]
+    texts = [base + [f"d{d}x{i}" for i in range(28)] for d in range(1100)]  # 0.75 to each other
+    links = rnd.sample(range(1100), 60)
+    texts += [texts[d][:-21] + [f"e{d}x{i}" for i in range(21)] for d in links]  # 0.81 to one of them
+    got = minhash.near_dedup(docs_frame(spark, [(i, " ".join(t), "a") for i, t in enumerate(texts)]), 3, 80).collect()
+    want = {i: i for i in range(len(texts))} | {1100 + k: d for k, d in enumerate(links)}
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_exact_pairs_with_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    rnd = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(300)]
+    texts = list(family(rnd, vocabulary, 60, 60, 0.02)) + list(family(rnd, vocabulary, 30, 40, 0.02))
+    docs = list(enumerate(texts))
+    classes = spark.createDataFrame([(i, 0 if i < 45 else i, 0) for i, _ in docs], "id long, component long, home long")
+    found = minhash.exact_pairs(docs_frame(spark, [(i, t, "a") for i, t in docs]), classes, 3, 80, "doc_id", "text").collect()
+    got = {tuple(map(int, p)) for r in found for p in minhash.unpack(list(r["packed"]))}
+    sets = sets_of(docs, 3)
+    like = {(a, b) for a in sets for b in sets if a < b and max(a, b) >= 45 and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert like and like <= got and not any(b < 45 for _, b in got)
