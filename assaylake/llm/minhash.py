@@ -8,7 +8,8 @@ Two rounds find links. First the next neighbours in the first FIRST_TREES orders
 classes to components. Then, in all orders, every two classes of a region that aren't in one component yet. A region is what shares START labels; while
 its pairs across components are more than CROWD for each row, it is split by the next label, so depth adapts to how dense it is, up to DEPTH labels,
 where all pairs across components are taken. So a group of thousands of copies costs a few pairs a member, yet no member is left out by a cap.
-Members of a region that was split go through an exact similarity join (see exact_pairs).
+Where a range border cuts a region its parts are put together: few rows outside its main component are compared with every row of the region (see across_borders).
+Members of a region that was split, or cut with more such rows, go through an exact similarity join (see exact_pairs).
 
 Every pair is confirmed on full sets, of 64-bit shingle hashes; the chance of two shingles of one pair being equal in these is below 1e-10. To this end classes
 have homes of HOME members that are neighbours in the first order. A pair is checked at the home of its smaller id, where each set arrives once, however many
@@ -21,6 +22,7 @@ component; an empty table gives no rows. Other columns are neither read nor retu
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +40,10 @@ WORDS, PERCENT = 5, 80
 HASHES, TREES, FIRST_TREES, START, DEPTH = 128, 32, 4, 3, 16
 #: Pairs across components for each row of a region, above which it is split.
 CROWD = 32
+#: Rows outside the largest component that a region has at most if it isn't split.
+FEW = 2 * CROWD
 #: Kinds of rows that a scan gives.
-PAIRS, SPLIT = 0, 1
+PAIRS, SPLIT, PART = 0, 1, 2
 #: Counts of the sketch of shingles, the shift that gives a shingle's, and classes that meet at a shingle in one block.
 SLOTS, SLOT_SHIFT, BLOCK = 1 << 20, np.uint64(44), 2000
 #: Classes of a home.
@@ -189,11 +193,21 @@ def _pack(rows: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     return rows[np.r_[0, cuts], 0], [part.tobytes() for part in np.split(np.ascontiguousarray(rows[:, 1:]), cuts)]
 
 
+def _part(rows: tuple[np.ndarray, ...]) -> dict[str, object]:
+    """What a task holds of a region that may go on in another: its largest component, and the rows outside of it if they are few; all rows if these are."""
+    tree, labels, ids, sizes, component, home = rows
+    values, counts = np.unique(component, return_counts=True)
+    top, n = values[counts.argmax()], counts.max()
+    kept = np.ones(len(ids), bool) if n <= FEW else component != top
+    packed = np.stack([ids, sizes, component, home], axis=1)[kept].astype(np.int64).tobytes() if len(ids) - n <= FEW else None
+    return {"tree": int(tree[0]), "region": labels[0, : 2 * START].tobytes(), "top": int(top), "n": int(n), "packed": packed}
+
+
 def scan(classes: DataFrame, percent: int, first: bool) -> DataFrame:
     """Rows of a kind: PAIRS (home, packed) are pairs (a, b), a < b, to be confirmed at the home of a, as binaries of 64-bit ids, a pair may be in several;
-    SPLIT (packed) are the ids of regions not all of whose pairs were taken."""
+    SPLIT (packed) are the ids of regions not all of whose pairs were taken; PART are the parts of regions at either end of a task."""
     common.small_batches(classes)
-    schema = pa.schema([("kind", pa.int32()), ("home", pa.int64()), ("packed", pa.binary())])
+    schema = pa.schema([("kind", pa.int32()), ("home", pa.int64()), ("packed", pa.binary()), ("tree", pa.int32()), ("region", pa.binary()), ("top", pa.int64()), ("n", pa.int64())])
 
     def made(**columns) -> pa.RecordBatch:
         size = len(columns["packed"])
@@ -203,6 +217,7 @@ def scan(classes: DataFrame, percent: int, first: bool) -> DataFrame:
         held: tuple[np.ndarray, ...] | None = None
         out: list[np.ndarray] = []
         split: list[np.ndarray] = []
+        ended = False
 
         def pairs_of(rows: tuple[np.ndarray, ...]) -> Iterator[np.ndarray]:
             """Arrays of columns home, a, b."""
@@ -239,6 +254,10 @@ def scan(classes: DataFrame, percent: int, first: bool) -> DataFrame:
                 yield from flush(False)
             yield from flush(False)
 
+        def end(rows):
+            if not first:
+                yield made(kind=[PART], **{k: [v] for k, v in _part(rows).items()})
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -251,13 +270,71 @@ def scan(classes: DataFrame, percent: int, first: bool) -> DataFrame:
             other = np.flatnonzero(np.any(labels[:, : 2 * START] != labels[-1, : 2 * START], axis=1) | (tree != tree[-1]))
             cut = int(other[-1]) + 1 if len(other) else 0
             if cut:
+                if not ended:
+                    ended = True
+                    after = np.flatnonzero(np.any(labels[:, : 2 * START] != labels[0, : 2 * START], axis=1) | (tree != tree[0]))
+                    yield from end(tuple(x[: int(after[0])] for x in rows))
                 yield from visit(tuple(x[:cut] for x in rows))
             held = tuple(x[cut:] for x in rows)
         if held is not None:
+            yield from end(held)
             yield from visit(held)
         yield from flush(True)
 
-    return forest(classes, FIRST_TREES if first else TREES).mapInArrow(run, "kind int, home long, packed binary")
+    return forest(classes, FIRST_TREES if first else TREES).mapInArrow(run, "kind int, home long, packed binary, tree int, region binary, top long, n long")
+
+
+def across_borders(classes: DataFrame, percent: int, found: DataFrame) -> DataFrame:
+    """Rows of kinds PAIRS and SPLIT for the regions that range borders cut. The driver gets at most two parts of 2 * FEW rows for each task.
+
+    Rows outside of the region's largest component are compared with all rows, at the homes of the latter; if they aren't few, the region counts as split.
+    """
+    parts: dict[tuple[int, bytes], list] = {}
+    every = F.collect_list(F.struct("top", "n", "packed"))
+    for r in found.filter(F.col("kind") == PART).groupBy("tree", "region").agg(every.alias("parts")).filter("size(parts) > 1").collect():
+        parts[r["tree"], bytes(r["region"])] = r["parts"]
+    few: dict[int, dict[int, np.ndarray | None]] = {}
+    for (tree, region), held in parts.items():
+        sums = Counter()
+        for p in held:
+            sums[p["top"]] += p["n"]
+        top = max(sums, key=lambda c: (sums[c], -c))
+        whole = all(p["packed"] is not None and (p["top"] == top or p["n"] <= FEW) for p in held)
+        rows = np.concatenate([np.frombuffer(p["packed"], np.int64).reshape(-1, 4) for p in held]) if whole else None
+        rows = rows[rows[:, 2] != top] if whole else None
+        if rows is None or len(rows):
+            few.setdefault(tree, {})[int.from_bytes(region, "big")] = rows if whole and len(rows) <= FEW else None
+    sent = classes.sparkSession.sparkContext.broadcast(few)
+
+    def kernel():
+        few = sent.value
+        places = np.uint64(65536) ** np.arange(START - 1, -1, -1, dtype=np.uint64)
+
+        def step(ids, sizes, parts, homes, sigs):
+            table = np.frombuffer(b"".join(sigs), ">u2").reshape(-1, HASHES)
+            ids, sizes, parts, homes = (np.array(x, np.int64) for x in (ids, sizes, parts, homes))
+            pairs, split = [], []
+            for tree, regions in few.items():
+                codes = (table[:, ORDERS[tree][:START]].astype(np.uint64) * places).sum(axis=1)
+                inside = np.flatnonzero(np.isin(codes, np.array(list(regions), np.uint64)))
+                for code in np.unique(codes[inside]):
+                    at, rows = inside[codes[inside] == code], regions[int(code)]
+                    if rows is None:
+                        split.append(ids[at])
+                        continue
+                    i, j = np.repeat(at, len(rows)), np.tile(np.arange(len(rows)), len(at))
+                    ok = (parts[i] != rows[j, 2]) & (ids[i] != rows[j, 0]) & _like(sizes[i], rows[j, 1], percent)
+                    i, other = i[ok], rows[j[ok], 0]
+                    pairs.append(np.stack([homes[i], np.minimum(ids[i], other), np.maximum(ids[i], other)], axis=1))
+            pairs = np.concatenate(pairs) if pairs else np.zeros((0, 3), np.int64)
+            at, packed = _pack(pairs) if len(pairs) else ([], [])
+            more = [np.unique(np.concatenate(split)).tobytes()] if split else []
+            return {"kind": [PAIRS] * len(at) + [SPLIT] * len(more), "home": [*map(int, at)] + [None] * len(more), "packed": packed + more}
+
+        return step
+
+    kind = "kind int, home long, packed binary"
+    return common.map_batches(classes if few else classes.limit(0), kernel, ["id", "size", "component", "home", "sig"], kind, keep=False)
 
 
 def by_home(found: DataFrame) -> DataFrame:
@@ -269,6 +346,8 @@ def by_home(found: DataFrame) -> DataFrame:
 def second_round(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(home, packed) of all orders, and the ids of classes left to the exact join."""
     found = common.materialize(scan(classes, percent, first=False), "minhash-found")
+    cut = common.materialize(across_borders(classes, percent, found), "minhash-cut")
+    found = found.select("kind", "home", "packed").unionByName(cut)
     ids = lambda: lambda packed: {"id": np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(p, np.int64) for p in packed)])}
     split = common.map_batches(found.filter(F.col("kind") == SPLIT).select("packed"), ids, ["packed"], "id long", keep=False).distinct()
     return common.materialize(by_home(found), "minhash-pairs"), common.materialize(split, "minhash-split")

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from assaylake.llm import graph, minhash
 
@@ -120,3 +121,22 @@ def test_exact_pairs_with_blocks(spark, monkeypatch):
     sets = sets_of(docs, 3)
     like = {(a, b) for a in sets for b in sets if a < b and max(a, b) >= 45 and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
     assert like and like <= got and not any(b < 45 for _, b in got)
+
+
+@pytest.mark.parametrize("parts", [1, 50])
+def test_regions_meet_across_borders(spark, parts):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        sig = bytes(2 * minhash.HASHES)
+        frame = lambda parts: spark.createDataFrame([(i, 100, c, i // 128, sig) for i, c in enumerate(parts)], "id long, size long, component long, home long, sig binary")
+        component = [1000] + [7] * 298 + [2000]
+        pairs, split = minhash.second_round(frame(component), 80)
+        got = {tuple(map(int, p)) for r in pairs.collect() for p in minhash.unpack(list(r["packed"]))}
+        assert got == {(a, b) for a in range(300) for b in range(a + 1, 300) if component[a] != component[b]}
+        assert split.collect() == []
+        assert {r["id"] for r in minhash.second_round(frame(range(300)), 80)[1].collect()} == set(range(300))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
