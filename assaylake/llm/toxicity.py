@@ -118,7 +118,7 @@ def held_out(id_col) -> F.Column:
 
 
 def sketches(folded: str) -> tuple[int, int]:
-    """Least and greatest hash of the word pairs; near copies agree in them as a rule."""
+    """Least and greatest hash of the word pairs; near copies agree in both as a rule, other texts hardly ever."""
     words = folded.split()
     hashes = [zlib.crc32(f"{a} {b}".encode()) for a, b in zip(words, words[1:])] or [zlib.crc32(folded.encode())]
     return min(hashes), max(hashes)
@@ -126,7 +126,7 @@ def sketches(folded: str) -> tuple[int, int]:
 
 def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """(toxic, folded) of the labelled rows that may be learned from, at most fit_rows or so, whose ids and labels are broadcast;
-    a row isn't taken if one of a smaller id has its label and either of its sketches."""
+    a row isn't taken if one of a smaller id has its label and both of its sketches."""
     known = labels.filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     known = common.materialize(known, "toxic-labels")
     n = known.count()
@@ -143,7 +143,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
         return step
 
     rows = common.materialize(common.map_batches(rows, kernel, ["text"], "folded string, low long, high long").drop("text"), "toxic-training")
-    first = rows.groupBy("toxic", "low").agg(F.min("doc_id").alias("doc_id")).select("doc_id").intersect(rows.groupBy("toxic", "high").agg(F.min("doc_id").alias("doc_id")).select("doc_id"))
+    first = rows.groupBy("toxic", "low", "high").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     return rows.join(F.broadcast(common.materialize(first, "toxic-first")), "doc_id", "left_semi").select("toxic", "folded")
 
 

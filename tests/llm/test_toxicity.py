@@ -58,3 +58,14 @@ def test_odd(spark, odd, none, labels):
     got = toxicity.score(odd, toxicity.fit(odd, known)).collect()
     assert len(got) == odd.count() and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
     assert toxicity.score(none, toxicity.fit(none, known)).collect() == []
+
+
+def test_unrelated_texts_are_learned_from(spark):
+    rnd = random.Random(6)
+    common_pair = min((f"a{x} b{y}" for x in "cdefghijk" for y in "mnopqrtuvw"), key=lambda p: zlib.crc32(toxicity.fold(p).strip().encode()))
+    docs = [(i, " ".join(["".join(rnd.choice("cdefghmnopqr") for _ in range(7)) for _ in range(60)] + [common_pair]), "a") for i in range(80)]
+    docs += [(100 + i, docs[i][1].replace(common_pair, common_pair.upper()), "a") for i in range(10)]
+    known = spark.createDataFrame([(i, 1, 0) for i, _, _ in docs], "doc_id long, quality int, toxic int")
+    taken = {i for i, _, _ in docs if zlib.crc32(str(i).encode()) % 5}
+    got = [r["folded"] for r in toxicity.training_rows(docs_frame(spark, docs), known).collect()]
+    assert sorted(got) == sorted({toxicity.fold(t) for i, t, _ in docs if i in taken})
