@@ -13,7 +13,7 @@ a null id is ordered as the smallest; repeated rows count as rows of their own;
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from . import common
@@ -48,12 +48,22 @@ def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_halves: in
     return rows.select("src", "weight", "source_size", "docs", F.coalesce(F.least("cap", F.col("share") * F.col("weight")), "cap").alias("target"))
 
 
+def _source(source: Column) -> Column:
+    """Key of a source; null is a source of its own, last in order."""
+    return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source.cast("string")))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, budget_halves: int = BUDGET_HALVES, most: int = MOST) -> DataFrame:
     """For each row of docs: id, size, source_size, target, taken (tokens), copies (times served) and virtual_finish of its first pass."""
+    return _mix(docs, id_col, text_col, source_col, weights, budget_halves, most).drop("src")
+
+
+def _mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, budget_halves: int = BUDGET_HALVES, most: int = MOST) -> DataFrame:
+    """As mix, with src, the key of the source."""
     spark = docs.sparkSession
     sized = docs.select(
         F.col(id_col).alias("id"), common.words_count(F.col(text_col)).alias("size"),
-        F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col).cast("string"))).alias("src"),
+        _source(F.col(source_col)).alias("src"),
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("h"),
     )
     sized = common.materialize(sized.withColumn("range", F.substring("h", 1, 3)), "mix-sizes")
@@ -68,7 +78,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     turn = lambda k: ((F.col("cum") + k * F.col("source_size")) / F.col("weight"))
     end = sources.agg(F.max(most * F.col("source_size") / F.col("weight")).alias("end"), F.sum("source_size").alias("all")).first()
     if not end["all"]:
-        return queued.select("id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(0).alias("copies"), F.lit(0.0).alias("virtual_finish"))
+        return queued.select("id", "src", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(0).alias("copies"), F.lit(0.0).alias("virtual_finish"))
     # At most RANGES sums: the range in which the budget ends, and what is served before it.
     served = queued.select("src", "h", "id", "size", "cum", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), turn(k).alias("finish")) for k in range(most)])).alias("turn")).select("*", "turn.*").drop("turn")
     served = served.withColumn("slot", F.floor(F.col("finish") / F.lit(end["end"]) * RANGES).cast("int")).filter("size > 0")
@@ -76,7 +86,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     edge = slots.filter(F.col("upto") * 2 > F.lit(budget_halves * end["all"])).orderBy("slot").select("slot", (F.col("upto") - F.col("n")).alias("before")).first()
     out = queued.withColumn("virtual_finish", turn(0))
     if edge is None:
-        return out.select("id", "size", "source_size", "target", (most * F.col("size")).alias("taken"), F.lit(most).alias("copies"), "virtual_finish")
+        return out.select("id", "src", "size", "source_size", "target", (most * F.col("size")).alias("taken"), F.lit(most).alias("copies"), "virtual_finish")
     order = ["finish", "src", "h", "id", "cum"]
     key = [F.col("finish"), F.col("src"), F.col("h"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("cum")]
     last = served.filter(F.col("slot") == edge["slot"]).withColumn("sum", F.sum("size").over(W.orderBy(*key).rowsBetween(W.unboundedPreceding, W.currentRow)) + F.lit(edge["before"]))
@@ -85,17 +95,27 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     tuple_of = lambda columns: F.struct(*[c.cast(t).alias(n) for c, t, n in zip(columns, kinds, order)])
     copies = sum((tuple_of([turn(k), *key[1:]]) < tuple_of([F.lit(cut[n]) for n in order])).cast("int") for k in range(most))
     copies = F.when(F.col("size") > 0, copies).otherwise(0)
-    return out.select("id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "virtual_finish")
+    return out.select("id", "src", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "virtual_finish")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The training order: rows of docs, each as often as the mix takes it, range-sorted by virtual finish time.
 
-    A row served twice appears twice; documents of no words aren't part of a mix. docs needs unique ids in doc_id.
+    A row served twice appears twice; documents of no words aren't part of a mix. Repeated rows and those of a null id are rows of their own: rows of one id,
+    source and size are alike to the mix, so its turns are dealt to them by number.
     """
-    mark = mix(docs, **options).filter("copies > 0").select("id", F.explode(F.sequence(F.lit(1), "copies")).alias("pass"), "virtual_finish")
-    rows = docs.alias("d").join(mark.alias("m"), F.col("d.doc_id") == F.col("m.id"))
-    return rows.repartitionByRange("m.pass", "m.virtual_finish").sortWithinPartitions("m.pass", "m.virtual_finish").select("d.*")
+    ident, source = options.get("id_col", "doc_id"), options.get("source_col", "source")
+    text = options.get("text_col", "text")
+    key = [F.col(ident).alias("id"), _source(F.col(source)).alias("src"), common.words_count(F.col(text)).alias("size")]
+    # Rows alike get numbers in the order of their contents; equal rows are exchangeable.
+    number = F.row_number().over(W.partitionBy("id", "src", "size").orderBy("h"))
+    rows = docs.select(*key, F.xxhash64(*[F.col(c) for c in docs.columns]).alias("h"), F.struct(*docs.columns).alias("row")).withColumn("number", number)
+    mark = _mix(docs, **options).filter("size > 0")
+    mark = mark.select("id", "src", "size", "copies", "virtual_finish", F.row_number().over(W.partitionBy("id", "src", "size").orderBy("virtual_finish", "copies")).alias("number"))
+    mark = mark.filter("copies > 0").select("*", F.explode(F.sequence(F.lit(1), "copies")).alias("pass")).alias("m")
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"m.{c}")) for c in ("id", "src", "size", "number")]
+    rows = rows.alias("d").join(mark, same[0] & same[1] & same[2] & same[3])
+    return rows.repartitionByRange("m.pass", "m.virtual_finish").sortWithinPartitions("m.pass", "m.virtual_finish").select("d.row.*")
 
 
 def op8_mix(spark, sf_dir: str) -> DataFrame:

@@ -67,3 +67,15 @@ def test_odd(odd, none):
 def test_one_source_and_no_words(spark):
     check([(r, "a b c", "s") for r in mixing.mix(docs_frame(spark, [(i, "a b c", "s") for i in range(40)])).collect()])
     assert [r["taken"] for r in mixing.mix(docs_frame(spark, [(1, "", "s"), (2, None, None)])).collect()] == [0, 0]
+
+
+def test_each_row_keeps_its_copies(spark, odd):
+    repeated = docs_frame(spark, [(1, "one two three", "a")] * 2 + [(1, "uno dos tres", "a"), (1, "four", "b"), (None, "five six", "a"), (None, "five six", "a")])
+    for frame in (odd, repeated):
+        want = defaultdict(int)
+        for r in mixing.mix(frame).collect():
+            want[r["id"], r["size"]] += r["copies"]
+        got = defaultdict(int)
+        for r in mixing.mixed_documents(frame).collect():
+            got[r["doc_id"], words(r["text"])] += 1
+        assert got == {k: n for k, n in want.items() if n}
