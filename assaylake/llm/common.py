@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from assaylake.sources.scratch import materialize, scratch_path
 
-__all__ = ["ascii_lower", "lookup", "map_batches", "materialize", "scratch_path", "skew_join", "with_text", "words_count"]
+__all__ = ["ascii_lower", "lookup", "map_batches", "materialize", "scratch_path", "skew_join", "spread_lookup", "with_text", "words_count"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -41,6 +41,13 @@ def skew_join(left: DataFrame, right: DataFrame, on: Sequence[str], weight: str,
     return marked.filter("_hot").drop("_hot").unionByName(rest)
 
 
+def spread_lookup(left: DataFrame, right: DataFrame, on: str, weight: str) -> DataFrame:
+    """left joined with a materialized table that has each of its keys once: broadcast while its counted rows are within BROADCAST_ROWS, else in two parts as skew_join does."""
+    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), on, "left")
+    return skew_join(left, right, [on], weight, right.agg(F.sum(weight)).first()[0])
+
+
 def words_count(text: Column) -> Column:
     """Number of [^\\x20\\x09-\\x0D]+ in text."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")

@@ -1,24 +1,30 @@
 """Main text of web pages by consensus host paths.
 
 Each page is read once into its containers (article, main, section, div and the like) with the text they hold outside of boilerplate. A container
-scores by the characters of its own blocks, less those in links, and half of what its child containers score; the best one of each page votes for
-its path, tags with their classes from the root, with digits taken out. Votes are counted by host in Spark, ahead of the shuffle as far as they can
-be. Then every page is read again and the containers on its host's winning path are its text; a page that has none, or none with text,
-takes its own best container.
+scores by the characters of its own blocks, less those in links, and half of what its child containers score. The best one is widened: to the
+outermost article or main around it, else to the outermost container that adds blocks of its own, headings say, or siblings that aren't small beside it. The page
+votes for the path of the result, tags with all their classes from the root, with digits taken out. Votes are counted by host in Spark, ahead of the
+shuffle as far as they can be. Then every page is read again and the containers on its host's winning path are its text; a page that has none,
+or none with text, takes its own choice.
 
-Boilerplate is left out by tag (nav, header, footer, aside, form, script, ...), by role, by hidden attributes and by words in class or id.
-Blocks are joined by one space, and any run of white space is one space.
+Boilerplate is left out by tag (nav, footer, aside, form, script, header outside of an article, ...), by role, by hidden attributes, by words in class or id, and, outside
+of articles, containers that are little but links. Words that content also uses ("search", "related") count only where nothing but layout stands beside
+them: "related-posts" is boilerplate, "related-work" isn't. Blocks are joined by one space, and any run of white space is one space.
 
-Defined results: null or empty html gives the empty text; a null or odd url is on the host ""; ties between paths go to the smaller path; rows
-that repeat vote as often and give equal texts; an empty table gives no rows; other columns stay, those named like a result are replaced.
+A page is read in time and memory linear in its length: unclosed tags, quotes and comments and any depth of nesting included.
+
+Defined results: null or empty html gives the empty text; a null or odd url is on the host ""; ties between paths go to the smaller path; a "<" that starts no
+tag, and a tag that never ends, are text; rows that repeat vote as often and give equal texts; an empty table gives no rows; other columns stay, whatever
+their names, those named like a result are replaced.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from typing import NamedTuple
+from collections import defaultdict
 
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,44 +33,59 @@ from . import common
 # HTML element names and words of class, id and role that mark boilerplate.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
-DROPPED = frozenset("head script style title textarea xmp iframe noembed noframes noscript template svg canvas object nav header footer aside form button select dialog menu".split())
+DROPPED = frozenset("head script style title textarea xmp iframe noembed noframes noscript template svg canvas object nav footer aside form button select dialog menu".split())
 CONTAINERS = frozenset("html body main article section div td th center".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr caption blockquote pre figure figcaption address details summary fieldset hgroup br hr nav header footer aside form dialog menu".split())
 CLOSES_P = BLOCKS - {"br"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+LISTS = ("ul", "ol", "table")
 MARKS = frozenset(
-    "nav navbar navigation menu menubar header masthead footer sidebar aside ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted "
-    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social breadcrumb breadcrumbs comment comments "
-    "disqus reply replies respond discussion related recommended recommendations pagination pager toolbar widget search skip legal copyright disclaimer".split()
+    "nav navbar navigation menu menubar masthead footer sidebar ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo "
+    "cookie cookies consent gdpr popup modal newsletter subscribe breadcrumb breadcrumbs comment comments disqus pagination pager share sharing social signup".split()
+)
+#: These mark boilerplate only beside words of LAYOUT, or alone.
+WEAK_MARKS = frozenset(
+    "header aside promotion promoted notice notices alert overlay subscription login reply replies respond discussion related recommended recommendations toolbar widget widgets search skip "
+    "legal copyright disclaimer".split()
+)
+LAYOUT = frozenset(
+    "site page global top bottom left right main primary secondary box bar block list links link items item posts articles stories section area container wrapper wrap inner outer row col panel "
+    "form button buttons icon icons message msg to".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 LIKELY = frozenset("article content post entry story main body text".split())
 #: Elements that are never boilerplate by class, as themes mark whole pages ("has-sidebar").
 WHOLE = frozenset("html body main article".split())
+SEMANTIC = ("article", "main")
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
+#: A sibling container is small with under this share of the other's characters. A container is a menu with so many links, and so many times more characters in
+#: links than outside.
+SMALL, MENU_LINKS, MENU_TIMES = 0.1, 3, 2
 
-
-class Container(NamedTuple):
-    path: str
-    start: int
-    end: int
-    score: float
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+#: The rest of a tag. Quotes count where they follow "=" and are closed.
+_REST = re.compile(r"""((?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|[="'])*+)>""")
+_ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
+_WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
+_GENERAL = re.compile(r"[\d/]+")
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)} if raw.strip(" \t\r\n/") else {}
 
 
-def _names(value: str) -> list[list[str]]:
-    """Words of each class: "postHeader-2" gives post, header."""
-    return [[w.lower() for w in _WORD.findall(x)] for x in value.split()]
+def _marked(name: str) -> bool:
+    """Whether a class or id, such as "postHeader-2" (post, header), marks boilerplate."""
+    words = [w.lower() for w in _WORD.findall(name)]
+    if not words or words[0] in ("has", "no", "with", "is"):
+        return False
+    if not MARKS.isdisjoint(words):  # "content-sidebar-wrap" holds both
+        return LIKELY.isdisjoint(words) or words[0] in MARKS or words[-1] in MARKS
+    return not WEAK_MARKS.isdisjoint(words) and all(w in WEAK_MARKS or w in LAYOUT for w in words)
 
 
-def _boilerplate(tag: str, attributes: dict[str, str]) -> bool:
-    if tag in DROPPED:
+def _boilerplate(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
+    if tag in DROPPED or tag == "header" and not in_article:
         return True
     if not attributes:
         return False
@@ -72,133 +93,235 @@ def _boilerplate(tag: str, attributes: dict[str, str]) -> bool:
         return True
     if attributes.get("role", "").lower() in ROLES:
         return True
-    if tag in WHOLE:
+    if tag in WHOLE or tag == "header":
         return False
-    names = _names(f"{attributes.get('class', '')} {attributes.get('id', '')}")
-    return any(w[0] not in ("has", "no", "with", "is") and not MARKS.isdisjoint(w) for w in names if w)
-
-
-def parse(page: str) -> tuple[list[str], list[Container]]:
-    """The page's pieces of text in order, and its containers as ranges of them."""
-    pieces: list[str] = []
-    found: list[Container] = []
-    # Of each open element: tag, path, first piece, own characters, characters of child containers, boilerplate.
-    stack: list[list] = [["", "", 0, 0.0, 0.0, False]]
-    links = 0
-
-    def close(to: int) -> None:
-        nonlocal links
-        while len(stack) > to:
-            tag, path, start, own, inner, dropped = stack.pop()
-            links -= tag == "a"
-            if dropped:
+    return any(map(_marked, f"{attributes.get('class', '')} {attributes.get('id', '')}".split()))
+
+
+class Page:
+    """Pieces of text in order, and containers as ranges of them. Container 0 is the whole page; children come after their parents."""
+
+    def __init__(self, page: str):
+        self.pieces: list[str] = []
+        # Of each container: label, parent, first and last piece, characters outside and inside of links, links, whether in an article.
+        self.labels, self.parents, self.starts, self.ends = [""], [-1], [0], [0]
+        self.plain, self.linked, self.links, self.inside = [0], [0], [0], [False]
+        self._keys = [xxhash.xxh64(seed=42)]
+        self._read(page)
+        self.ends[0] = len(self.pieces)
+
+    def _read(self, page: str) -> None:
+        # Of each open element: tag, its container, boilerplate or not. where: positions of open elements by tag.
+        stack: list[tuple[str, int, bool]] = [("", 0, False)]
+        where: dict[str, list[int]] = defaultdict(list)
+        pieces, last_end = self.pieces, page.rfind(">")
+        dropped_at, quotes = 0, True
+
+        def close(to: int) -> None:
+            nonlocal dropped_at
+            while len(stack) > to:
+                tag, at, _ = stack.pop()
+                where[tag].pop()
+                if dropped_at == len(stack):
+                    dropped_at = 0
+                if at != stack[-1][1]:
+                    self.ends[at] = len(pieces)
+
+        def text(data: str) -> None:
+            if not dropped_at and data:
+                data = entities.unescape(data) if "&" in data else data
+                pieces.append(data)
+                (self.linked if where["a"] else self.plain)[stack[-1][1]] += len(data.strip())
+
+        at = held = 0  # text from held to at isn't taken yet
+        while (at := page.find("<", at)) >= 0:
+            if page.startswith("<!--", at):
+                text(page[held:at])
+                end = page.find("-->", at + 4)
+                at = held = len(page) if end < 0 else end + 3
                 continue
-            if tag in CONTAINERS:
-                likely = tag in ("article", "main") or not LIKELY.isdisjoint(re.split(r"[./-]", path.rpartition("/")[2]))
-                score = (own + 0.5 * inner) * (1.5 if likely else 1.0)
-                found.append(Container(path, start, len(pieces), score))
-                stack[-1][4] += own
+            if at > last_end:
+                break
+            if page.startswith(("<!", "<?"), at):
+                text(page[held:at])
+                at = held = page.find(">", at) + 1
+                continue
+            m = _OPEN.match(page, at)
+            if not m:
+                at += 1
+                continue
+            rest = _REST.match(page, m.end()) if quotes else None
+            if rest is None:  # a quote runs past all tags: from here on the first ">" ends a tag
+                quotes = False
+                raw, end = page[m.end() : (close_at := page.find(">", m.end()))], close_at + 1
             else:
-                stack[-1][3] += own
-                stack[-1][4] += inner
-
-    def text(data: str) -> None:
-        if not stack[-1][5] and data:
-            data = entities.unescape(data) if "&" in data else data
-            pieces.append(data)
-            stack[-1][3] += -len(data) if links else len(data)
-
-    at = 0
-    while m := _TOKEN.search(page, at):
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        name = m[2] or m[5]
-        if not name:
-            continue
-        tag, dropped = name.lower(), stack[-1][5]
-        if tag in BLOCKS and not dropped:
-            pieces.append("\n")
-        if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
+                raw, end = rest[1], rest.end()
+            text(page[held:at])
+            at = held = end
+            tag = m[2].lower()
+            if tag in BLOCKS and not dropped_at:
+                pieces.append("\n")
+            if m[1]:
+                k = where[tag][-1] if where[tag] else 0
+                if k and (tag in BLOCKS or tag in DROPPED or k > max((where[c][-1] for c in CONTAINERS if where[c]), default=0)):
                     close(k)
-                    break
-                if stack[k][0] in CONTAINERS and tag not in BLOCKS and tag not in DROPPED:
-                    break
-            continue
-        if tag in VOID:
-            continue
-        if tag in CLOSES_P or tag in SIBLINGS:
+                continue
+            if tag in VOID:
+                continue
             ends = SIBLINGS.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in ends:
+            if ends:
+                k = max((where[e][-1] for e in ends if where[e]), default=0)
+                if k and k > max(dropped_at, *(where[c][-1] for c in (*CONTAINERS, *LISTS) if c not in ends and where[c]), 0):
                     close(k)
-                    break
-                if stack[k][0] in CONTAINERS and stack[k][0] not in ends or stack[k][0] in ("ul", "ol", "table") or stack[k][5]:
-                    break
-            dropped = stack[-1][5]
-        raw = m[3] if m[2] else m[6]
-        attributes = _attributes(raw)
-        classes = sorted({re.sub(r"\d+", "", c).lower() for c in attributes.get("class", "").split()} - {""})[:3]
-        stack.append([tag, f"{stack[-1][1]}/{'.'.join([tag, *classes])}" if tag in CONTAINERS else stack[-1][1], len(pieces), 0.0, 0.0, dropped or _boilerplate(tag, attributes)])
-        links += tag == "a"
-        if tag in RAW and not raw.endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            close(len(stack) - 1)
-    if at < len(page):
-        text(page[at:])
-    close(1)
-    found.append(Container("", 0, len(pieces), 0.25 * (stack[0][3] + stack[0][4])))
-    return pieces, found
-
-
-def _text(pieces: list[str], ranges: list[Container]) -> str:
-    return " ".join("".join("".join(pieces[c.start : c.end]) + "\n" for c in ranges).split())
-
-
-def _best(found: list[Container]) -> Container:
-    return max(found, key=lambda c: (c.score, -c.start, c.end))
+            attributes = _attributes(raw)
+            parent = stack[-1][1]
+            dropped = bool(dropped_at) or _boilerplate(tag, attributes, bool(where["article"] or where["main"]))
+            if dropped and not dropped_at:
+                dropped_at = len(stack)
+            own = parent
+            if tag in CONTAINERS and not dropped:
+                own = len(self.labels)
+                classes = sorted({_GENERAL.sub("", c).lower() for c in attributes.get("class", "").split()} - {""})
+                self._open(".".join([tag, *classes]), parent, bool(where["article"]))
+            elif tag == "a" and not dropped:
+                self.links[parent] += 1
+            where[tag].append(len(stack))
+            stack.append((tag, own, dropped))
+            if tag in RAW and not raw.endswith("/"):
+                found = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+                end = page.find(">", found.end()) if found else -1
+                at = held = end + 1 if end >= 0 else len(page)
+                close(len(stack) - 1)
+        text(page[held:])
+        close(1)
+
+    def _open(self, label: str, parent: int, in_article: bool) -> None:
+        key = self._keys[parent].copy()
+        key.update("/" + label)
+        for column, value in ((self.labels, label), (self.parents, parent), (self.starts, len(self.pieces)), (self.ends, 0), (self.plain, 0), (self.linked, 0), (self.links, 0), (self.inside, in_article), (self._keys, key)):
+            column.append(value)
+
+    def _tag(self, i: int) -> str:
+        return self.labels[i].partition(".")[0]
+
+    def _totals(self, column: list[int]) -> list[int]:
+        out = list(column)
+        for i in range(len(out) - 1, 0, -1):
+            out[self.parents[i]] += out[i]
+        return out
+
+    def choice(self) -> int | None:
+        """The container that holds the page's main text; None if it has none."""
+        own = [p - q for p, q in zip(self.plain, self.linked)]
+        score = list(map(float, own))
+        for i in range(1, len(own)):
+            score[self.parents[i]] += 0.5 * own[i]
+        for i, label in enumerate(self.labels):
+            score[i] *= 1.5 if not LIKELY.isdisjoint(re.split(r"[.-]", label)) else 1.0 if i else 0.25
+        best = max(range(len(own)), key=lambda i: (score[i], -self.starts[i], self.ends[i]))
+        if score[best] <= 0:
+            return None
+        up = [best]
+        while up[-1] > 0:
+            up.append(self.parents[up[-1]])
+        semantic = [i for i in up if self._tag(i) in SEMANTIC]
+        return semantic[-1] if semantic else self._widened(up)
+
+    def _widened(self, up: list[int]) -> int:
+        plain, on_way = self._totals(self.plain), dict(zip(up[1:], up))
+        largest = dict.fromkeys(up[1:], 0)  # sibling of the container on the way up
+        for i in range(1, len(plain)):
+            p = self.parents[i]
+            if p in largest and on_way[p] != i and not self._is_menu(i):
+                largest[p] = max(largest[p], plain[i])
+        out = up[0]
+        for p in up[1:]:
+            if self.plain[p] > self.linked[p] or largest[p] > 0 and largest[p] >= SMALL * plain[on_way[p]]:
+                out = p
+        return out
+
+    def _is_menu(self, i: int) -> bool:
+        if not hasattr(self, "_all"):
+            self._all = self._totals(self.plain), self._totals(self.linked), self._totals(self.links)
+        plain, linked, links = self._all
+        return links[i] >= MENU_LINKS and linked[i] > MENU_TIMES * plain[i]
+
+    def path(self, i: int) -> str:
+        labels = []
+        while i > 0:
+            labels.append("/" + self.labels[i])
+            i = self.parents[i]
+        return "".join(reversed(labels))
+
+    def on(self, key: int | None) -> list[int]:
+        """Containers whose path has this hash, those inside of others left out."""
+        out: list[int] = []
+        for i, k in enumerate(self._keys):
+            if k.intdigest() == key and (not out or self.starts[i] >= self.ends[out[-1]]):
+                out.append(i)
+        return out
+
+    def text(self, ranges: list[int]) -> str:
+        """The pieces of the containers, in order and apart from each other, without menus inside of them."""
+        out: list[str] = []
+        menus = iter([i for i in range(1, len(self.labels)) if not self.inside[i] and self._is_menu(i)])
+        menu = next(menus, None)
+        for r in ranges:
+            at = self.starts[r]
+            while menu is not None and (menu <= r or self.starts[menu] < self.ends[r]):
+                if menu > r and self.starts[menu] >= at:
+                    out += self.pieces[at : self.starts[menu]]
+                    at = self.ends[menu]
+                menu = next(menus, None)
+            out += [*self.pieces[at : self.ends[r]], "\n"]
+        return " ".join("".join(out).split())
+
+
+def path_key(path: str) -> int:
+    """The hash of a path, as Spark's xxhash64 has it but unsigned."""
+    return xxhash.xxh64_intdigest(path, seed=42)
 
 
 def vote(page: str | None) -> str | None:
-    """The path of the page's best container; null if the page has no text."""
+    """The path of the page's own choice; null if the page has no text."""
     if not page:
         return None
-    best = _best(parse(page)[1])
-    return best.path if best.score > 0 else None
+    read = Page(page)
+    found = read.choice()
+    return None if found is None else read.path(found)
 
 
-def extract(page: str | None, path: str | None) -> str:
-    """The text of the containers on path, those inside of others left out; else that of the best container."""
+def extract(page: str | None, key: int | None) -> str:
+    """The text of the containers on the path of this hash; else that of the page's own choice."""
     if not page:
         return ""
-    pieces, found = parse(page)
-    on: list[Container] = []
-    for c in sorted((c for c in found if c.path == path), key=lambda c: (c.start, -c.end)):
-        if not on or c.start >= on[-1].end:
-            on.append(c)
-    return _text(pieces, on) or _text(pieces, [_best(found)])
+    read = Page(page)
+    return read.text(read.on(key)) or read.text([read.choice() or 0])
 
 
-def host_paths(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
-    """(host, path, votes, pages): each host's winning path."""
-    votes = common.map_batches(_hosted(pages, url_col).select("host", html_col), lambda: lambda h: {"path": [vote(x) for x in h]}, [html_col], "path string")
-    counted = votes.filter("path is not null").groupBy("host", "path").agg(F.count("*").alias("votes"))
-    return counted.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), F.col("path"))).alias("path"), F.max("votes").alias("votes"), F.sum("votes").alias("pages"))
+def _host(url_col: str) -> F.Column:
+    return F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-def _hosted(pages: DataFrame, url_col: str) -> DataFrame:
-    return pages.withColumn("host", F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)))
+def host_paths(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
+    """(host, path, votes, pages): each host's winning path, null without votes, the votes for it, and the rows of the host."""
+    rows = pages.select(_host(url_col).alias("host"), F.col(html_col).alias("html"))
+    votes = common.map_batches(rows, lambda: lambda h: {"path": [vote(x) for x in h]}, ["html"], "path string").drop("html")
+    counted = votes.groupBy("host", "path").agg(F.count("*").alias("votes"))
+    least = F.when(F.col("path").isNotNull(), F.struct(-F.col("votes"), F.col("path")))
+    return counted.groupBy("host").agg(F.min_by("path", least).alias("path"), F.max(F.when(F.col("path").isNotNull(), F.col("votes"))).alias("votes"), F.sum("votes").alias("pages"))
 
 
 def main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
-    """pages with text, its main text. The table of winners has a row for each host: broadcast within common.BROADCAST_ROWS, else joined by shuffle."""
-    winners = common.materialize(host_paths(pages, html_col, url_col).select("host", F.col("path").alias("_path")), "host-paths")
-    rows = common.lookup(_hosted(pages.drop("text"), url_col), winners, ["host"])
-    out = common.map_batches(rows, lambda: lambda h, p: {"text": [extract(x, y) for x, y in zip(h, p)]}, [html_col, "_path"], "text string")
-    return out.select(*[c for c in pages.columns if c != "text"], "text")
+    """pages with text, its main text. The winners, a row of a hash for each host, are broadcast within common.BROADCAST_ROWS; beyond that hosts with many pages are, and only
+    pages of the others move, once."""
+    winners = common.materialize(host_paths(pages, html_col, url_col).select("host", F.xxhash64("path").alias("key"), "pages"), "host-paths")
+    others = [c for c in pages.columns if c not in (html_col, "text")]
+    rows = pages.select(F.struct(F.lit(0).alias("_"), *others).alias("row"), F.col(html_col).alias("html"), _host(url_col).alias("host"))
+    found = common.spread_lookup(rows, winners, "host", "pages")
+    unsigned = lambda k: None if k is None else k % (1 << 64)
+    out = common.map_batches(found.drop("host", "pages"), lambda: lambda h, k: {"text": [extract(x, unsigned(y)) for x, y in zip(h, k)]}, ["html", "key"], "text string")
+    return out.select(*[F.col("html").alias(html_col) if c == html_col else F.col(f"row.`{c}`") for c in pages.columns if c != "text"], "text")
 
 
 def op10_main_text(spark, sf_dir: str) -> DataFrame:

@@ -1,10 +1,13 @@
+import time
+
 import pytest
 
-from assaylake.llm import htmltext
+from assaylake.llm import common, htmltext
 
 
 def text(page):
-    return htmltext.extract(page, htmltext.vote(page))
+    path = htmltext.vote(page)
+    return htmltext.extract(page, None if path is None else htmltext.path_key(path))
 
 
 @pytest.mark.parametrize(
@@ -24,6 +27,16 @@ def text(page):
         ('<article><p title="a > b">t</p><p hidden>h</p><p style="display: none">n</p></article>', "t"),
         ("<article><table><tr><td>a<td>b<tr><td>c</table></article>", "a b c"),
         ('<article><a title="unclosed>x</a><p>y</p></article>', "x y"),
+        ("<body><h1>Head</h1><div class=a>long</div><div class=b>second</div></body>", "Head long second"),
+        ("<div id=main><p>A</p><div class=search-results>real text</div></div>", "A real text"),
+        ("<article><h1>T</h1><div class='related-work'>kept</div><div class='related-posts'>not</div></article>", "T kept"),
+        ("<header>site</header><article><header><h1>Title</h1><nav>x</nav></header><div class=body>" + "text " * 50 + "</div><footer>f</footer></article>", "Title " + ("text " * 50).strip()),
+        ("<main><h1>T</h1><p>lead</p><article><section>" + "text " * 90 + "</section></article></main>", "T lead " + ("text " * 90).strip()),
+        ("<div><a href=1>one</a><a href=2>two</a><a href=3>three</a></div><h1>T</h1><div>some words here</div>", "T some words here"),
+        ("<article><p>x <y and z", "x <y and z"),
+        ("<article><p>a</p><!-- open <p>b</p>", "a"),
+        ("<article><script>x</script ><p>a</p><style>b", "a"),
+        ("<div class='a b c d'><p>t</p></div><div class='nav-links'>n</div>", "t"),
     ],
 )
 def test_pages(page, want):
@@ -46,3 +59,32 @@ def test_consensus_overrules_a_page(spark):
 def test_deep_and_long_pages():
     assert text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
     assert len(text("<article>" + "<p>word word</p>" * 20_000 + "</article>")) == 20_000 * 10 - 1
+
+
+def test_paths_have_all_classes():
+    page = htmltext.Page("<div class='a b c d1'><p>one</p></div><div class='a b c e'><p>two</p></div>")
+    assert [page.path(i) for i in range(3)] == ["", "/div.a.b.c.d", "/div.a.b.c.e"]
+    assert page.text(page.on(htmltext.path_key("/div.a.b.c.e"))) == "two"
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 400_000, "<div>" * 100_000 + "deep", "<!-" * 400_000, "<script>" + "</script " * 200_000, "<p>" + "</div>" * 200_000, '<a x="' * 200_001 + ">", "<a =' \">" * 150_000, "<b>" + "<i>" * 100_000 + "<div>" + "</b>" * 100_000, "<li>" * 100_000, "<div class=x>" * 50_000 + "</p>" * 50_000],
+)
+def test_linear_in_odd_pages(page):
+    began = time.process_time()
+    htmltext.extract(page, htmltext.path_key("/div"))
+    assert time.process_time() - began < 8
+
+
+def test_path_key_is_that_of_spark(spark):
+    assert [r[0] % (1 << 64) for r in spark.sql("select xxhash64(x) from values ('/div.é'), ('') t(x)").collect()] == [htmltext.path_key("/div.é"), htmltext.path_key("")]
+
+
+def test_hosts_beyond_a_broadcast(spark, monkeypatch):
+    pages = [(i, f"https://h{i % 7 * (i % 2)}/", f"<article><p>text {i}</p></article><p>x") for i in range(60)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    want = {i: f"text {i}" for i in range(60)}
+    assert {r["page_id"]: r["text"] for r in htmltext.main_text(frame).collect()} == want
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 2)
+    assert {r["page_id"]: r["text"] for r in htmltext.main_text(frame).collect()} == want
