@@ -1,16 +1,18 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick after folding, normalised by length, with exception phrases.
 
-Folding undoes look-alike letters, accents, digits for letters and signs within words. The lexicon consists of word beginnings whose share among the
+Folding undoes look-alike letters, accents, digits for letters and signs within words. The lexicon consists of whole words, and beginnings of words, whose share among the
 labelled rows is far higher in toxic ones; the weight is the log-odds. A beginning is taken where it is as specific as its evidence: a longer one that has nearly
 all of the same toxic words replaces it, and beginnings of beginnings cover their continuations. A hit doesn't count where its word and a neighbour make an
 exception phrase: given ones, and word pairs that labelled clean rows have and toxic ones hardly do. The score is a logistic function of the sum of weights and
 of that sum in proportion to length; its three coefficients are fitted on the same labelled rows.
 
-Labels are learned from rows with crc32(id as text) mod 5 <> 0, at most fit_rows of them (chosen by a hash of the id). The lexicon, at most max_terms
-entries, and the phrases, as many at most, are broadcast.
+Labels are learned from rows with crc32(id as text) mod 5 <> 0, at most fit_rows of them (chosen by a hash of the id). All of these count: rows with the same label and the same
+four sketches of their word pairs, copies as a rule, share the weight of one row, so that a text isn't evidence as often as it was copied. Lexicon and phrases are as many as
+the evidence gives; they are broadcast, behind a check that fails beyond max_terms. Words are what blanks or signs part: in scripts without either a sentence is one word.
 
 Defined results: null or empty text has no hits and the score of such texts; without labelled rows of both classes every score is the base rate; a null id
-counts as held out; labels other than 0 and 1 and those without a document aren't used; an empty table gives no rows.
+counts as held out; labels other than 0 and 1 and those without a document aren't used; a document labelled several times is learned from as often; an empty table gives no rows;
+other columns stay, those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -28,14 +30,17 @@ from pyspark.sql import functions as F
 
 from . import common
 
-FIT_ROWS, MAX_TERMS = 200_000, 20_000
-#: Characters of a word beginning.
+#: Rows that labels are learned from at most, and entries beyond which a lexicon isn't broadcast but an error.
+FIT_ROWS, MAX_TERMS = 200_000, 2_000_000
+#: Characters of a word beginning; longer words are taken as a whole besides.
 SHORTEST, LONGEST = 3, 14
 #: Toxic rows that a beginning needs, its least log-odds, the least likelihood ratio (natural logarithm) against chance, and the share of toxic rows
 #: at which a longer beginning replaces it.
 SUPPORT, LOG_ODDS, EVIDENCE, AS_GOOD = 4, 2.5, 12.0, 0.9
 #: Clean rows that an exception phrase needs, and their least share among its rows.
 PHRASE_SUPPORT, PHRASE_SHARE = 5, 0.9
+#: Columns of the sketches.
+SKETCHES = ("low1", "high1", "low2", "high2")
 #: Exception phrases known beforehand, as (word, next word) after folding; hits in either don't count.
 PHRASES: tuple[tuple[str, str], ...] = ()
 
@@ -66,12 +71,13 @@ _SIGN = re.compile(r"(?<=[^\W\d_])[@$€|!](?=[^\W_])|[@$](?=[^\W\d_])")
 
 
 def fold(text: str | None) -> str:
-    """Words of folded letters, a blank before each and after the last."""
+    """Words of folded letters, one blank before each and after the last."""
     if not text:
         return " "
     if "@" in text or "$" in text or "!" in text or "|" in text or "€" in text:
         text = _SIGN.sub(lambda m: SIGNS[m[0]], text)
-    return f" {text.translate(_TABLE)} "
+    words = text.translate(_TABLE).split()
+    return f" {' '.join(words)} " if words else " "
 
 
 class Model(NamedTuple):
@@ -98,9 +104,8 @@ class Matcher:
             start = end - size + 1
             stop = folded.find(" ", end + 1)
             word = folded[start:stop]
-            before = folded[max(0, start - 80) : start].split()[-1:]
-            after = folded[stop : stop + 80].split()[:1]
-            yield weight, (before[0] if before else "", word), (word, after[0] if after else "")
+            before = folded[folded.rfind(" ", 0, start - 1) + 1 : start - 1] if start > 1 else ""
+            yield weight, (before, word), (word, folded[stop + 1 : folded.find(" ", stop + 1)] if stop + 1 < len(folded) else "")
 
     def total(self, folded: str) -> float:
         if not self.phrases:
@@ -117,68 +122,89 @@ def held_out(id_col) -> F.Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % 5 == 0
 
 
-def sketches(folded: str) -> tuple[int, int]:
-    """Least and greatest hash of the word pairs; near copies agree in both as a rule, other texts hardly ever."""
+def sketches(folded: str) -> tuple[int, int, int, int]:
+    """Least and greatest of two hashes of the word pairs; near copies agree in all as a rule, other texts hardly ever."""
     words = folded.split()
-    hashes = [zlib.crc32(f"{a} {b}".encode()) for a, b in zip(words, words[1:])] or [zlib.crc32(folded.encode())]
-    return min(hashes), max(hashes)
+    first = np.array([zlib.crc32(f"{a} {b}".encode()) for a, b in zip(words, words[1:])] or [zlib.crc32(folded.encode())], np.uint64)
+    second = (first * np.uint64(0x9E3779B1)) & np.uint64(0xFFFFFFFF)
+    return int(first.min()), int(first.max()), int(second.min()), int(second.max())
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """(toxic, folded) of the labelled rows that may be learned from, at most fit_rows or so, whose ids and labels are broadcast;
-    a row isn't taken if one of a smaller id has its label and both of its sketches."""
+    """(toxic, folded, share) of the labelled rows that may be learned from, at most fit_rows or so, whose ids and labels are broadcast.
+
+    share: 1 over the rows that have this row's label and sketches.
+    """
     known = labels.filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     known = common.materialize(known, "toxic-labels")
     n = known.count()
     if n > fit_rows:
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * fit_rows / n))
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "toxic", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("toxic", "text")
 
     def kernel():
         def step(texts):
             folded = [fold(t) for t in texts]
-            pairs = [sketches(t) for t in folded]
-            return {"folded": folded, "low": [p[0] for p in pairs], "high": [p[1] for p in pairs]}
+            found = np.array([sketches(t) for t in folded], np.int64).reshape(-1, 4)
+            return {"folded": folded} | {name: found[:, k] for k, name in enumerate(SKETCHES)}
 
         return step
 
-    rows = common.materialize(common.map_batches(rows, kernel, ["text"], "folded string, low long, high long").drop("text"), "toxic-training")
-    first = rows.groupBy("toxic", "low", "high").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    return rows.join(F.broadcast(common.materialize(first, "toxic-first")), "doc_id", "left_semi").select("toxic", "folded")
+    rows = common.materialize(common.map_batches(rows, kernel, ["text"], "folded string, " + ", ".join(f"{x} long" for x in SKETCHES)).drop("text"), "toxic-training")
+    alike = common.materialize(rows.groupBy("toxic", *SKETCHES).agg((1.0 / F.count("*")).alias("share")), "toxic-shares")
+    # At most as many rows as were learned from, of six numbers each.
+    return rows.join(F.broadcast(alike), ["toxic", *SKETCHES]).select("toxic", "folded", "share")
+
+
+def _bounded(found: DataFrame, most: int) -> list:
+    """The rows, at the driver; an error if they are more than most."""
+    rows = found.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} entries: learn from fewer rows (fit_rows)")
+    return rows
+
+
+def _tally(labels, shares, items) -> dict[str, list]:
+    """Sums of shares of toxic and of clean rows by item; items has a set for each row."""
+    toxic, clean = Counter(), Counter()
+    for label, share, found in zip(labels, shares, items):
+        into = toxic if label else clean
+        for x in found:
+            into[x] += share
+    every = list(toxic.keys() | clean.keys())
+    return {"item": every, "t": [float(toxic[x]) for x in every], "c": [float(clean[x]) for x in every]}
 
 
 def lexicon(rows: DataFrame, max_terms: int = MAX_TERMS) -> dict[str, float]:
-    """Word beginnings and their weights."""
+    """Words and word beginnings, and their weights."""
 
     def kernel():
-        def step(labels, texts):
-            toxic, clean = Counter(), Counter()
-            for label, text in zip(labels, texts):
-                (toxic if label else clean).update({w[:LONGEST] for w in text.split()})
-            words = list(toxic.keys() | clean.keys())
-            return {"word": words, "t": [toxic[w] for w in words], "c": [clean[w] for w in words]}
+        def step(labels, texts, shares):
+            found = _tally(labels, shares, (set(t.split()) for t in texts))
+            return {"word": found["item"], "t": found["t"], "c": found["c"]}
 
         return step
 
-    totals = rows.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
-    t, c = totals["t"] or 0, totals["n"] - (totals["t"] or 0)
-    if not t or not c:
+    totals = rows.agg(F.sum(F.col("toxic") * F.col("share")).alias("t"), F.sum("share").alias("n")).first()
+    t, c = totals["t"] or 0.0, (totals["n"] or 0.0) - (totals["t"] or 0.0)
+    if t <= 0 or c <= 1e-9:
         return {}
-    words = common.map_batches(rows, kernel, ["toxic", "folded"], "word string, t long, c long", keep=False).groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    begins = F.explode(F.expr(f"transform(sequence({SHORTEST}, greatest({SHORTEST}, least(length(word), {LONGEST}))), k -> substring(word, 1, k))"))
-    terms = words.filter(F.length("word") >= SHORTEST).select(begins.alias("term"), "t", "c").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    words = common.map_batches(rows, kernel, ["toxic", "folded", "share"], "word string, t double, c double", keep=False).groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    cuts = F.transform(F.sequence(F.lit(SHORTEST), F.greatest(F.lit(SHORTEST), F.least(F.length("word"), F.lit(LONGEST)))), lambda k: F.substring(F.col("word"), F.lit(1), k))
+    begins = F.explode(F.when(F.length("word") > LONGEST, F.array_append(cuts, F.col("word"))).otherwise(cuts))
+    terms = words.filter(F.length("word") >= SHORTEST).select(begins.alias("term"), "t", "c").groupBy("term").agg(F.round(F.sum("t"), 6).alias("t"), F.round(F.sum("c"), 6).alias("c"))
     odds = F.log((F.col("t") + 0.5) / (t + 1)) - F.log((F.col("c") + 0.5) / (c + 1))
     rate, share = t / (t + c), F.col("t") / (F.col("t") + F.col("c"))
     evidence = F.col("t") * F.log(share / rate) + F.when(F.col("c") > 0, F.col("c") * F.log((1 - share) / (1 - rate))).otherwise(0.0)
-    found = terms.filter((F.col("t") >= SUPPORT) & (share > rate)).withColumn("odds", odds).filter((F.col("odds") >= LOG_ODDS) & (evidence >= EVIDENCE)).orderBy(F.col("t").desc(), "term").limit(max_terms).collect()
+    found = _bounded(terms.filter((F.col("t") >= SUPPORT) & (share > rate)).withColumn("odds", F.round(odds, 6)).filter((F.col("odds") >= LOG_ODDS) & (evidence >= EVIDENCE)), max_terms)
     support = {r["term"]: r["t"] for r in found}
     weights = {r["term"]: r["odds"] for r in found}
-    replaced = {p for p in support if len(p) > SHORTEST for p in [p[:-1]] if p in support}
-    best = Counter()
+    best = Counter()  # support of the best entry that is longer by one step
     for term in support:
-        best[term[:-1]] = max(best[term[:-1]], support[term])
-    kept = {x for x in support if x not in replaced or best[x] < AS_GOOD * support[x]}
-    return {x: weights[x] for x in kept if not any(x[:k] in kept for k in range(SHORTEST, len(x)))}
+        shorter = term[: min(len(term) - 1, LONGEST)]
+        best[shorter] = max(best[shorter], support[term])
+    kept = {x for x in support if best[x] < AS_GOOD * support[x]}
+    return {x: weights[x] for x in kept if not any(x[:k] in kept for k in range(SHORTEST, min(len(x), LONGEST + 1)))}
 
 
 def exception_phrases(rows: DataFrame, terms: dict[str, float], most: int = MAX_TERMS) -> frozenset[tuple[str, str]]:
@@ -190,18 +216,14 @@ def exception_phrases(rows: DataFrame, terms: dict[str, float], most: int = MAX_
     def kernel():
         matcher = Matcher(sent.value, frozenset())
 
-        def step(labels, texts):
-            toxic, clean = Counter(), Counter()
-            for label, text in zip(labels, texts):
-                (toxic if label else clean).update({p for _, a, b in matcher.hits(text) for p in (a, b) if all(p)})
-            pairs = list(toxic.keys() | clean.keys())
-            return {"a": [p[0] for p in pairs], "b": [p[1] for p in pairs], "t": [toxic[p] for p in pairs], "c": [clean[p] for p in pairs]}
+        def step(labels, texts, shares):
+            found = _tally(labels, shares, ({p for _, a, b in matcher.hits(text) for p in (a, b) if all(p)} for text in texts))
+            return {"a": [p[0] for p in found["item"]], "b": [p[1] for p in found["item"]], "t": found["t"], "c": found["c"]}
 
         return step
 
-    pairs = common.map_batches(rows, kernel, ["toxic", "folded"], "a string, b string, t long, c long", keep=False).groupBy("a", "b").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    pairs = pairs.filter((F.col("c") >= PHRASE_SUPPORT) & (F.col("c") >= PHRASE_SHARE * (F.col("c") + F.col("t"))))
-    return frozenset((r["a"], r["b"]) for r in pairs.orderBy(F.col("c").desc(), "a", "b").limit(most).collect())
+    pairs = common.map_batches(rows, kernel, ["toxic", "folded", "share"], "a string, b string, t double, c double", keep=False).groupBy("a", "b").agg(F.round(F.sum("t"), 6).alias("t"), F.round(F.sum("c"), 6).alias("c"))
+    return frozenset((r["a"], r["b"]) for r in _bounded(pairs.filter((F.col("c") >= PHRASE_SUPPORT) & (F.col("c") >= PHRASE_SHARE * (F.col("c") + F.col("t")))), most))
 
 
 def coefficients(rows: DataFrame, terms: dict[str, float], phrases: frozenset[tuple[str, str]]) -> tuple[float, float, float]:
@@ -211,13 +233,15 @@ def coefficients(rows: DataFrame, terms: dict[str, float], phrases: frozenset[tu
     def kernel():
         matcher = Matcher(*sent.value)
 
-        def step(labels, texts):
-            seen = Counter((label, *(round(x, 2) for x in features(matcher.total(t), t))) for label, t in zip(labels, texts))
-            return {"y": [k[0] for k in seen], "a": [k[1] for k in seen], "b": [k[2] for k in seen], "n": list(seen.values())}
+        def step(labels, texts, shares):
+            seen = Counter()
+            for label, t, share in zip(labels, texts, shares):
+                seen[(label, *(round(x, 2) for x in features(matcher.total(t), t)))] += share
+            return {"y": [k[0] for k in seen], "a": [k[1] for k in seen], "b": [k[2] for k in seen], "n": [float(n) for n in seen.values()]}
 
         return step
 
-    cells = common.map_batches(rows, kernel, ["toxic", "folded"], "y int, a double, b double, n long", keep=False).groupBy("y", "a", "b").agg(F.sum("n").alias("n")).orderBy("y", "a", "b").collect()
+    cells = common.map_batches(rows, kernel, ["toxic", "folded", "share"], "y int, a double, b double, n double", keep=False).groupBy("y", "a", "b").agg(F.round(F.sum("n"), 6).alias("n")).orderBy("y", "a", "b").collect()
     y, n = np.array([r["y"] for r in cells], float), np.array([r["n"] for r in cells], float)
     positive, every = float((y * n).sum()), float(n.sum())
     base = math.log((positive + 0.5) / (every - positive + 0.5)) if every else -4.0

@@ -66,6 +66,23 @@ def test_unrelated_texts_are_learned_from(spark):
     docs = [(i, " ".join(["".join(rnd.choice("cdefghmnopqr") for _ in range(7)) for _ in range(60)] + [common_pair]), "a") for i in range(80)]
     docs += [(100 + i, docs[i][1].replace(common_pair, common_pair.upper()), "a") for i in range(10)]
     known = spark.createDataFrame([(i, 1, 0) for i, _, _ in docs], "doc_id long, quality int, toxic int")
-    taken = {i for i, _, _ in docs if zlib.crc32(str(i).encode()) % 5}
-    got = [r["folded"] for r in toxicity.training_rows(docs_frame(spark, docs), known).collect()]
-    assert sorted(got) == sorted({toxicity.fold(t) for i, t, _ in docs if i in taken})
+    taken = [i for i, _, _ in docs if zlib.crc32(str(i).encode()) % 5]
+    got = [(r["folded"], r["share"]) for r in toxicity.training_rows(docs_frame(spark, docs), known).collect()]
+    folded = [toxicity.fold(docs[i if i < 80 else i - 20][1]) for i in taken]
+    assert sorted(got) == sorted((t, 1 / folded.count(t)) for t in folded)
+
+
+def test_long_words_and_neighbours(spark):
+    long = "x" * 300
+    m = toxicity.Matcher({"trash": 2.0}, frozenset({(long, "trash"), ("trash", long)}))
+    assert m.total(toxicity.fold(f"trash {long}")) == m.total(toxicity.fold(f"{long}    trash")) == 0.0 and m.total(toxicity.fold(f"trash y{long} trash")) == 4.0
+    docs = [(i, f"word{i % 7} of a text {'abcdefghijklmnopqr' if i % 3 == 0 else 'abcdefghijklmnopst'} and other{i}", "a") for i in range(300)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    terms = toxicity.lexicon(toxicity.training_rows(docs_frame(spark, docs), labels))
+    assert toxicity.fold("abcdefghijklmnopqr").strip() in terms and not any("abcdefghijklmnopst".replace("l", "i").startswith(t) for t in terms)
+
+
+def test_too_many_terms_is_an_error(spark):
+    docs, labels = corpus(400)
+    with pytest.raises(ValueError, match="fit_rows"):
+        toxicity.lexicon(toxicity.training_rows(docs_frame(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")), max_terms=1)
