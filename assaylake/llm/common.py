@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from assaylake.sources.scratch import materialize, scratch_path
 
-__all__ = ["ascii_lower", "lookup", "map_batches", "materialize", "scratch_path", "skew_join", "spread_lookup", "with_text", "words_count"]
+__all__ = ["ascii_lower", "lookup", "map_batches", "materialize", "range_sorted", "scratch_path", "skew_join", "spread_lookup", "with_text", "words_count"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -48,6 +48,12 @@ def spread_lookup(left: DataFrame, right: DataFrame, on: str, weight: str) -> Da
     return skew_join(left, right, [on], weight, right.agg(F.sum(weight)).first()[0])
 
 
+def range_sorted(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """rows as a table sorted by order across tasks, however often a value of the first columns occurs, with _at, which grows along the order, and _task (its upper bits)."""
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    return materialize(placed.withColumn("_task", F.shiftright("_at", 33).cast("int")), name)
+
+
 def words_count(text: Column) -> Column:
     """Number of [^\\x20\\x09-\\x0D]+ in text."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
