@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from assaylake.sources.scratch import materialize, scratch_path
 
-__all__ = ["ascii_lower", "lookup", "map_batches", "materialize", "range_sorted", "scratch_path", "skew_join", "spread_lookup", "with_text", "words_count"]
+__all__ = ["ascii_lower", "lookup", "map_batches", "materialize", "numbered", "range_sorted", "scratch_path", "skew_join", "spread_lookup", "with_text", "words_count"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -54,6 +54,14 @@ def range_sorted(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     return materialize(placed.withColumn("_task", F.shiftright("_at", 33).cast("int")), name)
 
 
+def numbered(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """rows as a table with _rank, 0 for the first by order, whose columns must tell rows apart; the sums that this needs have one row for each task."""
+    placed = range_sorted(rows, order, name)
+    tasks = placed.groupBy("_task").agg(F.count("*").alias("n"), F.min("_at").alias("first"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("_task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return placed.join(F.broadcast(tasks.select("_task", (F.col("first") - before).alias("_base"))), "_task").withColumn("_rank", F.col("_at") - F.col("_base")).drop("_task", "_at", "_base")
+
+
 def words_count(text: Column) -> Column:
     """Number of [^\\x20\\x09-\\x0D]+ in text."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")

@@ -4,11 +4,13 @@ Every document, in an order shuffled by a hash of its id, gets a virtual finish
 divided by the weight of the source. A second pass over a source goes on from its first. Documents are served by virtual finish time until
 the total budget is used; a source that has been served `most` times in full has nothing left, and its excess goes to the rest by weight.
 
-Running sums are taken in two levels (sums of hash ranges, then rows within a range), so that no source is ever in one task; the global order
-is known by range sums, and only the range in which the budget ends needs its rows in order.
+No running sum has a source, or all sources, in one task: rows are range-sorted, tasks are summed, and rows are summed within a task. The global order
+is known by range sums; the range in which the budget ends is sorted again until few rows are left, and only these are summed in order. Targets are found by
+filling: sources whose cap is below the level leave it to the rest, until none is.
 
 Defined results: null text has size 0; a null source is a source of its own, last in order; rows of size 0 are taken 0 times;
-a null id is ordered as the smallest; repeated rows count as rows of their own; an empty table gives no rows.
+a null id is ordered as the smallest; rows that repeat an id are rows of their own, in order of size and a hash of the text, so that reruns agree (rows alike in
+these are exchangeable); an empty table gives no rows. Other columns are neither read nor returned by mix, and kept by mixed_documents, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,28 +26,25 @@ WEIGHTS = (5, 2, 1)
 BUDGET_HALVES = 3
 #: Times that a source may be served in full.
 MOST = 2
-#: Ranges of virtual finish time.
-RANGES = 8192
+#: Ranges of virtual finish time, and rows of the range in which the budget ends that may be summed in one task.
+RANGES, EDGE_ROWS = 8192, 1_000_000
 
 
 def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_halves: int = BUDGET_HALVES, most: int = MOST) -> DataFrame:
-    """One row for each source (src, weight, source_size, target): targets share the budget by weight and stop at most times the source.
-
-    Windows without partitions run over one row for each source.
-    """
-    by_src = W.orderBy("src")
-    rows = sized.groupBy("src").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
-    rank = F.row_number().over(by_src) - 1
-    rows = rows.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int")))
-    rows = rows.withColumns({"cap": F.lit(float(most)) * F.col("source_size"), "ratio": F.lit(float(most)) * F.col("source_size") / F.col("weight")})
-    order = W.orderBy("ratio", "src")
-    before, rest = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(W.currentRow, W.unboundedFollowing)
-    every = W.partitionBy()
-    rows = rows.withColumn("budget", F.sum("source_size").over(every) * F.lit(budget_halves / 2.0))
-    rows = rows.withColumn("level", (F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(rest))
-    # Sources are full in the order of ratio; the first that isn't sets the level for all that follow.
-    rows = rows.withColumn("share", F.min_by(F.when(F.col("ratio") >= F.col("level"), F.col("level")), F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", "src"))).over(every))
-    return rows.select("src", "weight", "source_size", "docs", F.coalesce(F.least("cap", F.col("share") * F.col("weight")), "cap").alias("target"))
+    """One row for each source (src, weight, source_size, target): targets share the budget by weight and stop at most times the source."""
+    rows = common.numbered(sized.groupBy("src").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")), ["src"], "mix-names")
+    rows = rows.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_rank") % len(weights) + 1).cast("int"))).drop("_rank")
+    rows = common.materialize(rows.withColumns({"cap": F.lit(float(most)) * F.col("source_size"), "ratio": F.lit(float(most)) * F.col("source_size") / F.col("weight")}), "mix-weights")
+    budget = (rows.agg(F.sum("source_size")).first()[0] or 0) * (budget_halves / 2.0)
+    level, full = None, -1
+    while True:
+        is_full = F.lit(False) if level is None else F.col("ratio") < F.lit(level)
+        now = rows.agg(F.count_if(is_full).alias("full"), F.sum(F.when(is_full, F.col("cap")).otherwise(0.0)).alias("caps"), F.sum(F.when(is_full, 0.0).otherwise(F.col("weight"))).alias("weights")).first()
+        if not now["weights"] or now["full"] == full:
+            break
+        level, full = (budget - now["caps"]) / now["weights"], now["full"]
+    share = F.col("cap") if not now["weights"] else F.lit(level) * F.col("weight")
+    return rows.select("src", "weight", "source_size", "docs", F.least("cap", share).alias("target"))
 
 
 def _source(source: Column) -> Column:
@@ -55,66 +54,82 @@ def _source(source: Column) -> Column:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, budget_halves: int = BUDGET_HALVES, most: int = MOST) -> DataFrame:
     """For each row of docs: id, size, source_size, target, taken (tokens), copies (times served) and virtual_finish of its first pass."""
-    return _mix(docs, id_col, text_col, source_col, weights, budget_halves, most).drop("src")
+    return _mix(docs, id_col, text_col, source_col, weights, budget_halves, most).drop("src", "tie")
 
 
 def _mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, budget_halves: int = BUDGET_HALVES, most: int = MOST) -> DataFrame:
-    """As mix, with src, the key of the source."""
+    """As mix, with src, the key of the source, and tie, a hash of the text."""
     spark = docs.sparkSession
     sized = docs.select(
         F.col(id_col).alias("id"), common.words_count(F.col(text_col)).alias("size"),
-        _source(F.col(source_col)).alias("src"),
+        _source(F.col(source_col)).alias("src"), F.xxhash64(F.col(text_col)).alias("tie"),
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("h"),
     )
-    sized = common.materialize(sized.withColumn("range", F.substring("h", 1, 3)), "mix-sizes")
+    sized = common.range_sorted(sized, ["src", "h", "id", "size", "tie"], "mix-sizes")
     sources = common.materialize(plan(sized, weights, budget_halves, most), "mix-sources")
-    # Two levels: sums of a source's hash ranges, at most 4096 a source, then rows within a range.
-    upto = W.partitionBy("src").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    starts = sized.groupBy("src", "range").agg(F.sum("size").alias("n")).select("src", "range", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("start"))
-    within = W.partitionBy("src", "range").orderBy("h", F.col("id").asc_nulls_first()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    queued = sized.withColumn("cum", F.sum("size").over(within)).join(starts, ["src", "range"]).withColumn("cum", F.col("cum") + F.col("start"))
-    queued = common.lookup(queued.drop("range", "start"), sources, ["src"], "inner")
+    # Two levels: sums of a source in each task that has rows of it, then rows within the task.
+    upto = W.partitionBy("src").orderBy("_task").rowsBetween(W.unboundedPreceding, -1)
+    starts = sized.groupBy("src", "_task").agg(F.sum("size").alias("n")).select("src", "_task", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("start"))
+    within = W.partitionBy("src", "_task").orderBy("_at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    queued = common.lookup(sized.withColumn("cum", F.sum("size").over(within)), common.materialize(starts, "mix-starts"), ["src", "_task"], "inner").withColumn("cum", F.col("cum") + F.col("start"))
+    queued = common.lookup(queued.drop("_task", "_at", "start"), sources, ["src"], "inner")
     queued = common.materialize(queued, "mix-queue")
     turn = lambda k: ((F.col("cum") + k * F.col("source_size")) / F.col("weight"))
     end = sources.agg(F.max(most * F.col("source_size") / F.col("weight")).alias("end"), F.sum("source_size").alias("all")).first()
+    kept = ["id", "src", "tie", "size", "source_size", "target"]
     if not end["all"]:
-        return queued.select("id", "src", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(0).alias("copies"), F.lit(0.0).alias("virtual_finish"))
+        return queued.select(*kept, F.lit(0).cast("long").alias("taken"), F.lit(0).alias("copies"), F.lit(0.0).alias("virtual_finish"))
     # At most RANGES sums: the range in which the budget ends, and what is served before it.
-    served = queued.select("src", "h", "id", "size", "cum", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), turn(k).alias("finish")) for k in range(most)])).alias("turn")).select("*", "turn.*").drop("turn")
-    served = served.withColumn("slot", F.floor(F.col("finish") / F.lit(end["end"]) * RANGES).cast("int")).filter("size > 0")
-    slots = served.groupBy("slot").agg(F.sum("size").alias("n")).withColumn("upto", F.sum("n").over(W.orderBy("slot")))
-    edge = slots.filter(F.col("upto") * 2 > F.lit(budget_halves * end["all"])).orderBy("slot").select("slot", (F.col("upto") - F.col("n")).alias("before")).first()
+    turns = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), turn(k).alias("finish")) for k in range(most)]))
+    served = queued.filter("size > 0").select("src", "h", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), "cum", "size", turns.alias("turn")).select("*", "turn.finish").drop("turn")
+    served = served.withColumn("slot", F.floor(F.col("finish") / F.lit(end["end"]) * RANGES).cast("int"))
+    slots = served.groupBy("slot").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).withColumn("upto", F.sum("n").over(W.orderBy("slot")))
+    over = lambda upto: F.col(upto) * 2 > F.lit(budget_halves * end["all"])
+    edge = slots.filter(over("upto")).orderBy("slot").select("slot", "rows", (F.col("upto") - F.col("n")).alias("before")).first()
     out = queued.withColumn("virtual_finish", turn(0))
     if edge is None:
-        return out.select("id", "src", "size", "source_size", "target", (most * F.col("size")).alias("taken"), F.lit(most).alias("copies"), "virtual_finish")
+        return out.select(*kept, (most * F.col("size")).alias("taken"), F.lit(most).alias("copies"), "virtual_finish")
     order = ["finish", "src", "h", "id", "cum"]
-    key = [F.col("finish"), F.col("src"), F.col("h"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("cum")]
-    last = served.filter(F.col("slot") == edge["slot"]).withColumn("sum", F.sum("size").over(W.orderBy(*key).rowsBetween(W.unboundedPreceding, W.currentRow)) + F.lit(edge["before"]))
-    cut = last.filter(F.col("sum") * 2 > F.lit(budget_halves * end["all"])).orderBy(*key).select(*[k.alias(n) for k, n in zip(key, order)]).first()
+    cut = _cut(served.filter(F.col("slot") == edge["slot"]).select(*order, "size"), order, edge["rows"], edge["before"], over)
     kinds = ["double", "string", "string", "string", "long"]
     tuple_of = lambda columns: F.struct(*[c.cast(t).alias(n) for c, t, n in zip(columns, kinds, order)])
-    copies = sum((tuple_of([turn(k), *key[1:]]) < tuple_of([F.lit(cut[n]) for n in order])).cast("int") for k in range(most))
+    rest = [F.col("src"), F.col("h"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("cum")]
+    copies = sum((tuple_of([turn(k), *rest]) < tuple_of([F.lit(cut[n]) for n in order])).cast("int") for k in range(most))
     copies = F.when(F.col("size") > 0, copies).otherwise(0)
-    return out.select("id", "src", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "virtual_finish")
+    return out.select(*kept, (copies * F.col("size")).alias("taken"), copies.alias("copies"), "virtual_finish")
+
+
+def _cut(rows: DataFrame, order: list[str], count: int, before: int, over):
+    """The first of rows, by order, with which the sum of sizes is over the budget; before is the sum ahead of them."""
+    while count > EDGE_ROWS:
+        placed = common.range_sorted(rows, order, "mix-edge")
+        tasks = placed.groupBy("_task").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).withColumn("upto", F.sum("n").over(W.orderBy("_task")) + F.lit(before))
+        edge = tasks.filter(over("upto")).orderBy("_task").select("_task", "rows", (F.col("upto") - F.col("n")).alias("before")).first()
+        if edge["rows"] == count:  # one task took them all
+            break
+        rows, count, before = placed.filter(F.col("_task") == edge["_task"]).select(*order, "size"), edge["rows"], edge["before"]
+    summed = rows.withColumn("sum", F.sum("size").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)) + F.lit(before))
+    return summed.filter(over("sum")).orderBy(*order).select(*order).first()
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The training order: rows of docs, each as often as the mix takes it, range-sorted by virtual finish time.
 
     A row served twice appears twice; documents of no words aren't part of a mix. Repeated rows and those of a null id are rows of their own: rows of one id,
-    source and size are alike to the mix, so its turns are dealt to them by number.
+    source and text are alike to the mix, so its turns are dealt to them by number.
     """
     ident, source = options.get("id_col", "doc_id"), options.get("source_col", "source")
     text = options.get("text_col", "text")
-    key = [F.col(ident).alias("id"), _source(F.col(source)).alias("src"), common.words_count(F.col(text)).alias("size")]
+    alike = ["id", "src", "size", "tie"]
+    key = [F.col(ident).alias("id"), _source(F.col(source)).alias("src"), common.words_count(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("tie")]
     # Rows alike get numbers in the order of their contents; equal rows are exchangeable.
-    number = F.row_number().over(W.partitionBy("id", "src", "size").orderBy("h"))
-    rows = docs.select(*key, F.xxhash64(*[F.col(c) for c in docs.columns]).alias("h"), F.struct(*docs.columns).alias("row")).withColumn("number", number)
+    number = F.row_number().over(W.partitionBy(*alike).orderBy("h"))
+    rows = docs.select(*key, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("number", number)
     mark = _mix(docs, **options).filter("size > 0")
-    mark = mark.select("id", "src", "size", "copies", "virtual_finish", F.row_number().over(W.partitionBy("id", "src", "size").orderBy("virtual_finish", "copies")).alias("number"))
+    mark = mark.select(*alike, "copies", "virtual_finish", F.row_number().over(W.partitionBy(*alike).orderBy("virtual_finish", "copies")).alias("number"))
     mark = mark.filter("copies > 0").select("*", F.explode(F.sequence(F.lit(1), "copies")).alias("pass")).alias("m")
-    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"m.{c}")) for c in ("id", "src", "size", "number")]
-    rows = rows.alias("d").join(mark, same[0] & same[1] & same[2] & same[3])
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"m.{c}")) for c in (*alike, "number")]
+    rows = rows.alias("d").join(mark, same[0] & same[1] & same[2] & same[3] & same[4])
     return rows.repartitionByRange("m.pass", "m.virtual_finish").sortWithinPartitions("m.pass", "m.virtual_finish").select("d.row.*")
 
 

@@ -79,3 +79,26 @@ def test_each_row_keeps_its_copies(spark, odd):
         for r in mixing.mixed_documents(frame).collect():
             got[r["doc_id"], words(r["text"])] += 1
         assert got == {k: n for k, n in want.items() if n}
+
+
+def test_reruns_agree_with_repeated_ids(spark):
+    docs = [(i % 40, " ".join(["w"] * (1 + i * 31 % 17) + [f"x{i % 5}"]), "ab"[i % 2]) for i in range(400)] + [(None, f"n {i}", "b") for i in range(50)]
+    runs = [sorted(map(str, mixing.mix(docs_frame(spark, docs, parts)).collect())) for parts in (1, 3, 8)]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == 450
+
+
+def test_edge_is_sorted_again(spark, monkeypatch):
+    docs = [(i, " ".join(["w"] * (1 + i * 37 % 23)), f"s{i % 90:02d}") for i in range(2000)]
+    frame = docs_frame(spark, docs)
+    want = sorted(map(tuple, mixing.mix(frame).collect()))
+    check([(r, docs[r["id"]][1], docs[r["id"]][2]) for r in mixing.mix(frame).collect()])
+    monkeypatch.setattr(mixing, "RANGES", 2)
+    monkeypatch.setattr(mixing, "EDGE_ROWS", 10)
+    assert sorted(map(tuple, mixing.mix(frame).collect())) == want
+
+
+def test_clashing_columns(spark):
+    rows = [(i, "a b c", "s", i, i, i, i, i, i, str(i)) for i in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, number long, size long, pass long, copies long, virtual_finish long, tie long, row string")
+    got = mixing.mixed_documents(frame).collect()
+    assert len(got) == 45 and all(r["number"] == r["size"] == r["copies"] == r["tie"] == int(r["row"]) == r["doc_id"] for r in got)
