@@ -36,8 +36,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes df as Parquet in the shared scratch folder and reads it back."""
+def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    """Cuts lineage: writes df as Parquet in the shared scratch folder, in a folder for each value of partition_by, and reads it back."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all intermediate tables of this application: results that still read them must be written first."""
+    path = _roots.pop(spark.sparkContext.applicationId, None)
+    if path is not None:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
