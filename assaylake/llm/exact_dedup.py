@@ -1,9 +1,12 @@
 """Exact dedup by a log-structured merge index, in DataFrame functions alone.
 
-Each input partition is a memtable: it is sorted by digest and flushed as one run, a Parquet file with a Bloom filter and bounds on the
-digest. Compaction merges runs into one segment, keeps the smallest identifier of each digest and counts its rows. Digests seen twice are
-hits: a bit filter over them, of fixed size, lets the texts of the rest go unread by the byte verification, which compares the smallest and the
-largest text of each digest. Digests that stand for several texts, if there are any, are split by text.
+Rows are dealt to memtables, a log of digests on disk. Each memtable is flushed as a run: one row for each of its digests, with the smallest identifier and the number of rows,
+sorted by digest across tasks. A new run is probed against the bit filter of the runs before it, so that what they may share is known without a join.
+Compaction merges only these digests and takes over all others as they are; it keeps the smallest identifier of each digest. Digests seen twice are hits: a filter
+over them lets the texts of the rest go unread by the byte verification, which compares the smallest and the largest text of each digest. Digests
+that stand for several texts, if there are any, are split by text.
+
+Filters have 8 to 16 bits for each key and are broadcast; beyond MAX_FILTER_BITS there is none, and digests are merged and looked up by joins on them.
 
 Defined results: null text is empty; ids are ordered as numbers, a null id loses to any other; rows that repeat an id are members of their
 own and are kept or dropped alike; an empty table gives no rows. Other columns are neither read nor returned.
@@ -11,73 +14,105 @@ own and are kept or dropped alike; an empty table gives no rows. Other columns a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Bits of the filter over hits, a multiple of 32768: its broadcast has FILTER_BITS / 8 bytes at most.
-FILTER_BITS = 1 << 24
-
-
-class DigestIndex:
-    """Runs and segments below one path. Rows: digest (binary), ident (long, the smallest wins), and what the caller adds."""
-
-    def __init__(self, spark: SparkSession, path: str | None = None, name: str = "digest-index"):
-        self.spark, self.path = spark, path or common.scratch_path(spark, name)
-        self.runs = 0
-
-    def flush(self, batch: DataFrame) -> DataFrame:
-        """Writes each partition of batch (digest, ident, ...) as a sorted run; returns the rows as read back."""
-        path = f"{self.path}/run-{self.runs}"
-        self.runs += 1
-        batch.sortWithinPartitions("digest", "ident").write.options(**{"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "200000"}).parquet(path)
-        return self.spark.read.schema(batch.schema).parquet(path)
+#: Memtables that the rows are dealt to.
+RUNS = 4
+#: Bits of the largest filter that is broadcast, 64 MB, and of the smallest.
+MAX_FILTER_BITS, MIN_FILTER_BITS = 1 << 29, 1 << 16
 
-    def rows(self) -> DataFrame:
-        out = self.spark.read.parquet(f"{self.path}/run-0")
-        for k in range(1, self.runs):
-            out = out.unionByName(self.spark.read.parquet(f"{self.path}/run-{k}"))
-        return out
 
-    def compact(self) -> DataFrame:
-        """One row for each digest: ident (smallest), n. Sums go ahead of the shuffle, so a digest sends one row a run at most."""
-        path = f"{self.path}/segment-{self.runs}"
-        self.rows().groupBy("digest").agg(F.min("ident").alias("ident"), F.count("*").alias("n")).write.parquet(path)
-        return self.spark.read.parquet(path)
+def filter_bits(keys: int) -> int | None:
+    """Bits of a filter over so many keys; None if it would be too large to broadcast."""
+    bits = max(MIN_FILTER_BITS, 1 << (8 * max(keys, 1) - 1).bit_length())
+    return bits if bits <= MAX_FILTER_BITS else None
 
 
-def bit_filter(keys: DataFrame, col: str, bits: int = FILTER_BITS) -> DataFrame:
+def bit_filter(keys: DataFrame, col: str, bits: int) -> DataFrame:
     """(bucket, bitmap): at most bits / 32768 rows of 4096 bytes, whatever the number of keys."""
     slot = F.pmod(F.xxhash64(col), F.lit(bits))
     return keys.select(F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
 
 
-def maybe_in(rows: DataFrame, col: str, filt: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """The rows whose col may be among the filter's keys; none that are get lost."""
+def marked(rows: DataFrame, col: str, filt: DataFrame, bits: int) -> DataFrame:
+    """rows with _maybe: false only if col is none of the filter's keys."""
     slot = F.pmod(F.xxhash64(col), F.lit(bits))
     bit = F.bitmap_bit_position(slot)
     byte = F.conv(F.hex(F.substring(F.col("bitmap"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return rows.join(F.broadcast(filt), (F.bitmap_bucket_number(slot) == F.col("bucket")) & (F.getbit(byte, (bit % 8).cast("int")) == 1), "left_semi")
+    told = rows.join(F.broadcast(filt), F.bitmap_bucket_number(slot) == F.col("bucket"), "left")
+    return told.withColumn("_maybe", F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))).drop("bucket", "bitmap")
+
+
+def among(rows: DataFrame, keys: DataFrame, col: str) -> DataFrame:
+    """The rows whose col is among the materialized keys, and perhaps a few more; those of a null col aren't. Rows move only beyond the largest filter."""
+    bits = filter_bits(keys.count())
+    if bits is None:
+        return rows.join(keys.select(col).distinct(), col, "left_semi")
+    return marked(rows, col, common.materialize(bit_filter(keys, col, bits), "digest-filter"), bits).filter("_maybe").drop("_maybe")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: Column | None = None, keep: str = "largest", digest_bytes: int = 16) -> DataFrame:
+class DigestIndex:
+    """Sorted runs of (digest, ident, n), the filter over them, and the digests that runs may share. rows: how many rows will come, for the filter's size."""
+
+    def __init__(self, rows: int):
+        self.runs: list[DataFrame] = []
+        self.shared: list[DataFrame] = []
+        self.bits, self.filter = filter_bits(rows), None
+
+    def flush(self, memtable: DataFrame) -> DataFrame:
+        """Writes (digest, ident) as a run and probes it against the runs before it. Sums go ahead of the shuffle."""
+        run = memtable.groupBy("digest").agg(F.min("ident").alias("ident"), F.count("*").alias("n"))
+        run = common.materialize(run.repartitionByRange("digest").sortWithinPartitions("digest"), f"digest-run-{len(self.runs)}")
+        if self.bits is not None:
+            own = bit_filter(run, "digest", self.bits)
+            if self.filter is not None:
+                self.shared.append(common.materialize(marked(run.select("digest"), "digest", self.filter, self.bits).filter("_maybe").select("digest"), "digest-shared"))
+                own = own.unionByName(self.filter).groupBy("bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+            self.filter = common.materialize(own, "digest-filter")
+        self.runs.append(run)
+        return run
+
+    def compact(self) -> DataFrame:
+        """One segment with a row for each digest: ident (smallest), n."""
+        every, whole = _union(self.runs), None
+        if self.shared:
+            shared = _union(self.shared)
+            bits = filter_bits(shared.count())
+            if bits is not None:
+                told = marked(every, "digest", common.materialize(bit_filter(shared, "digest", bits), "digest-filter"), bits)
+                every, whole = told.filter("_maybe").drop("_maybe"), told.filter("not _maybe").drop("_maybe")
+        merged = every.groupBy("digest").agg(F.min("ident").alias("ident"), F.sum("n").alias("n")) if len(self.runs) > 1 else every
+        return common.materialize(merged if whole is None else whole.unionByName(merged), "digest-segment")
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: Column | None = None, keep: str = "largest", digest_bytes: int = 16, runs: int = RUNS) -> DataFrame:
     """For each row: id, keep_id, group_size, kept, text_sha256. text: the bytes to compare, as a string; A-Z lower-cased by default.
 
     digest_bytes: length of the index's digest, a prefix of SHA-256; shorter ones cost more verification and don't change the result.
     """
-    spark = docs.sparkSession
     norm = common.ascii_lower(F.col("text")) if text is None else text
     ident = F.bitwise_not(F.col(id_col).cast("long")) if keep == "largest" else F.col(id_col).cast("long")
-    index = DigestIndex(spark)
-    sha = F.unhex(F.sha2(norm, 256))
-    rows = index.flush(docs.select(ident.alias("ident"), sha.alias("sha")).select("ident", "sha", F.substring("sha", 1, digest_bytes).alias("digest")))
-    segment = index.compact()
+    log = docs.select(ident.alias("ident"), F.unhex(F.sha2(norm, 256)).alias("sha")).withColumns({"digest": F.substring("sha", 1, digest_bytes), "memtable": F.pmod(F.xxhash64("ident", "sha"), F.lit(runs)).cast("int")})
+    rows = common.materialize(log, "digest-log", partition_by="memtable")
     total = rows.count()
+    index = DigestIndex(total)
+    for k in range(runs):
+        index.flush(rows.filter(F.col("memtable") == k).select("digest", "ident"))
+    segment, rows = index.compact(), rows.drop("memtable")
 
     # Byte verification of the hits.
     texts = docs.select(ident.alias("ident"), norm.alias("norm")).select("ident", "norm", F.substring(F.unhex(F.sha2("norm", 256)), 1, digest_bytes).alias("digest"))
-    suspects = maybe_in(texts, "digest", common.materialize(bit_filter(segment.filter("n > 1"), "digest"), "digest-filter"))
+    suspects = among(texts, common.materialize(segment.filter("n > 1").select("digest"), "digest-hits"), "digest")
     mixed = suspects.groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("b")).filter("a <> b").select("digest")
     mixed = common.materialize(mixed, "digest-mixed")
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, graph
-from .exact_dedup import bit_filter, maybe_in
+from .exact_dedup import among
 
 WORDS, PERCENT = 5, 80
 HASHES, TREES, FIRST_TREES, START, DEPTH = 128, 32, 4, 3, 16
@@ -370,8 +370,7 @@ def exact_pairs(docs: DataFrame, classes: DataFrame, words: int, percent: int, i
     a sketch of SLOTS counts gives, and only where the rest of both sets is long enough. A shingle with more than BLOCK classes is dealt to blocks, and these meet in twos;
     those of its largest component don't meet each other.
     """
-    needed = common.materialize(bit_filter(classes, "id"), "minhash-filter")
-    rows = maybe_in(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id", needed)
+    rows = among(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), classes.select(F.col("id").alias("doc_id")), "doc_id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, counts = Shingler(words), np.zeros(SLOTS, np.int64)
@@ -483,8 +482,8 @@ def confirm(docs: DataFrame, pairs: DataFrame, words: int, percent: int, id_col:
         return step
 
     there = common.materialize(common.map_batches(pairs, visit, ["home", "packed"], "at long, doc_id long", keep=False), "minhash-visits")
-    needed = common.materialize(bit_filter(there, "doc_id"), "minhash-filter")
-    rows = maybe_in(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id", needed)
+    needed = common.materialize(there.select("doc_id").distinct(), "minhash-needed")
+    rows = among(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), needed, "doc_id")
 
     def shingle():
         shingler = Shingler(words)

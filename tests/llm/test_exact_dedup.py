@@ -41,16 +41,26 @@ def test_empty(none):
     assert exact_dedup.exact_dedup(none).collect() == []
 
 
-def test_runs_and_segments(spark):
-    index = exact_dedup.DigestIndex(spark)
+@pytest.mark.parametrize("most", [exact_dedup.MAX_FILTER_BITS, 1])
+def test_runs_and_segments(spark, monkeypatch, most):
+    monkeypatch.setattr(exact_dedup, "MAX_FILTER_BITS", most)
+    index = exact_dedup.DigestIndex(9)
     for k in range(3):
-        index.flush(spark.createDataFrame([(bytearray([i]), 10 * k + i) for i in range(k, 4)], "digest binary, ident long"))
+        index.flush(spark.createDataFrame([(bytearray([i]), 10 * k + i) for i in range(k, 4)] * 2, "digest binary, ident long"))
+    if most > 1:  # what a run shares with older ones is known by their filter
+        assert [sorted(bytes(r["digest"]) for r in s.collect()) for s in index.shared] == [[b"\1", b"\2", b"\3"], [b"\2", b"\3"]]
+    assert all([bytes(r["digest"]) for r in run.collect()] == sorted(bytes(r["digest"]) for r in run.collect()) for run in index.runs)
     got = {(bytes(r["digest"]), r["ident"], r["n"]) for r in index.compact().collect()}
-    assert got == {(b"\0", 0, 1), (b"\1", 1, 2), (b"\2", 2, 3), (b"\3", 3, 3)}
+    assert got == {(b"\0", 0, 2), (b"\1", 1, 4), (b"\2", 2, 6), (b"\3", 3, 6)}
+
+
+def test_beyond_the_filters(odd, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MAX_FILTER_BITS", 1)
+    got = exact_dedup.exact_dedup(odd, runs=2).collect()
+    assert sorted([(r["id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in got], key=str) == brute(odd)
 
 
 def test_filter_loses_nothing(spark):
     keys = spark.range(0, 1000, 7).withColumnRenamed("id", "k")
-    filt = exact_dedup.bit_filter(keys, "k", bits=1 << 16)
-    passed = {r["k"] for r in exact_dedup.maybe_in(spark.range(1000).withColumnRenamed("id", "k"), "k", filt, bits=1 << 16).collect()}
+    passed = {r["k"] for r in exact_dedup.among(spark.range(1000).withColumnRenamed("id", "k"), keys, "k").collect()}
     assert set(range(0, 1000, 7)) <= passed and len(passed) < 200
