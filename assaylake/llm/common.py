@@ -72,9 +72,7 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
-#: Rows of an Arrow batch, where the session has Spark's default: texts and sets are large.
-BATCH_ROWS = 1000
-#: Texts are handed to a kernel in slices of so many bytes, so that a batch of very long ones needs no more memory.
+#: Texts are handed to a kernel in slices of so many bytes, so that a batch of very long ones needs no more memory. The batches themselves are bounded by Spark (maxBytesPerBatch).
 SLICE_BYTES = 4 << 20
 
 
@@ -84,12 +82,6 @@ def _slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.Recor
         yield batch.slice(at, step)
 
 
-def small_batches(df: DataFrame) -> None:
-    conf = df.sparkSession.conf
-    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
 def map_batches(df: DataFrame, kernel: Callable[[], Callable[..., dict[str, list]]], uses: Sequence[str], adds: str | StructType, keep: bool = True) -> DataFrame:
     """Runs kernel() once in each task, then what it returns on the columns `uses`, as lists, slice by slice; it returns the columns `adds`.
 
@@ -104,8 +96,6 @@ def map_batches(df: DataFrame, kernel: Callable[[], Callable[..., dict[str, list
     out = StructType(held.fields + new.fields)
     arrow, tail = to_arrow_schema(out), to_arrow_schema(new)
 
-    small_batches(df)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.set_memory_pool(pa.system_memory_pool())
         step = kernel()

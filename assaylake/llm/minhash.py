@@ -13,7 +13,7 @@ Members of a region that was split, or cut with more such rows, go through an ex
 
 Every pair is confirmed on full sets, of 64-bit shingle hashes; the chance of two shingles of one pair being equal in these is below 1e-10. To this end classes
 have homes of HOME members that are neighbours in the first order. A pair is checked at the home of its smaller id, where each set arrives once, however many
-pairs need it. A pair of similarity s is met in an order of START labels with probability s ** START: at 0.85 and 32 orders it is missed with less than 1e-12, at 0.80 with 6e-11.
+pairs need it; a home with many pairs is dealt to parts, so that no group is large. A pair of similarity s is met in an order of START labels with probability s ** START: at 0.85 and 32 orders it is missed with less than 1e-12, at 0.80 with 6e-11.
 
 Defined results: null text is empty; a document without words has an empty set, is linked with nothing and is kept; with fewer words than
 a shingle its words are one shingle; rows of a null id take no part, are kept and have a null component; ids should be unique, rows that repeat one have its
@@ -46,13 +46,13 @@ FEW = 2 * CROWD
 PAIRS, SPLIT, PART = 0, 1, 2
 #: Counts of the sketch of shingles, the shift that gives a shingle's, and classes that meet at a shingle in one block.
 SLOTS, SLOT_SHIFT, BLOCK = 1 << 20, np.uint64(44), 2000
-#: Classes of a home.
-HOME = 128
+#: Classes of a home, and pairs of a home that are confirmed in one group or so.
+HOME, GROUP = 128, 1024
 #: Words whose hashes a task remembers.
 MEMORY = 200_000
 _RANDOM = np.random.default_rng(20)
-_A = _RANDOM.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RANDOM.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+_A = _RANDOM.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _RANDOM.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 #: Signature positions of each order: the first START are no other order's.
 ORDERS = np.array([np.r_[t * START : t * START + START, _RANDOM.permutation(np.r_[0 : t * START, t * START + START : HASHES])[: DEPTH - START]] for t in range(TREES)])
 
@@ -88,12 +88,13 @@ class Shingler:
 
 
 def signature(shingles: np.ndarray) -> bytes:
-    """HASHES labels of 16 bits, big-endian: of each hash function's least value its last bits."""
-    least = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 2048):
-        x = shingles[at : at + 2048, None]
-        np.minimum(least, ((x * _A + _B) >> np.uint64(24)).min(axis=0), out=least)
-    return (least & np.uint64(0xFFFF)).astype(">u2").tobytes()
+    """HASHES labels of 16 bits, big-endian, of each hash function's least value over the shingles. Functions have 32 bits, which processors multiply several at a time."""
+    least = np.full(HASHES, np.iinfo(np.uint32).max, np.uint32)
+    x = (shingles >> np.uint64(32)).astype(np.uint32)[:, None]
+    for at in range(0, len(x), 1024):
+        np.minimum(least, (x[at : at + 1024] * _A + _B).min(axis=0), out=least)
+    # The least values of large sets are small numbers: all their bits are mixed into the label.
+    return ((least * np.uint32(0x9E3779B1) ^ least >> np.uint32(15)) >> np.uint32(16)).astype(">u2").tobytes()
 
 
 def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -172,10 +173,13 @@ def _region(labels: np.ndarray, component: np.ndarray, depth: int) -> Iterator[t
         return
     across = (n * n - int((counts.astype(np.int64) ** 2).sum())) // 2
     if across <= CROWD * n or depth == DEPTH:
-        for i in range(n - 1):
-            j = np.flatnonzero(which[i + 1 :] != which[i]) + i + 1
-            if len(j):
-                yield np.full(len(j), i), j
+        # Rows of the largest component meet all others, and these each other; so only rows that give pairs are walked.
+        top = counts.argmax()
+        main, rest = np.flatnonzero(which == top), np.flatnonzero(which != top)
+        for k, i in enumerate(rest):
+            later = rest[k + 1 :]
+            j = np.r_[main, later[which[later] != which[i]]]
+            yield np.minimum(i, j), np.maximum(i, j)
         return
     cuts = np.flatnonzero(np.any(labels[1:, 2 * depth : 2 * depth + 2] != labels[:-1, 2 * depth : 2 * depth + 2], axis=1)) + 1
     near = cuts[which[cuts] != which[cuts - 1]]  # neighbours on either side of a cut have the longest common prefix there
@@ -206,7 +210,6 @@ def _part(rows: tuple[np.ndarray, ...]) -> dict[str, object]:
 def scan(classes: DataFrame, percent: int, first: bool) -> DataFrame:
     """Rows of a kind: PAIRS (home, packed) are pairs (a, b), a < b, to be confirmed at the home of a, as binaries of 64-bit ids, a pair may be in several;
     SPLIT (packed) are the ids of regions not all of whose pairs were taken; PART are the parts of regions at either end of a task."""
-    common.small_batches(classes)
     schema = pa.schema([("kind", pa.int32()), ("home", pa.int64()), ("packed", pa.binary()), ("tree", pa.int32()), ("region", pa.binary()), ("top", pa.int64()), ("n", pa.int64())])
 
     def made(**columns) -> pa.RecordBatch:
@@ -214,7 +217,7 @@ def scan(classes: DataFrame, percent: int, first: bool) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None] * size), f.type) for f in schema], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[np.ndarray, ...] | None = None
+        held: list[tuple[np.ndarray, ...]] = []
         out: list[np.ndarray] = []
         split: list[np.ndarray] = []
         ended = False
@@ -263,22 +266,25 @@ def scan(classes: DataFrame, percent: int, first: bool) -> DataFrame:
                 continue
             labels = np.frombuffer(b"".join(batch.column("labels").to_pylist()), np.uint8).reshape(-1, 2 * DEPTH)
             rows = (batch.column("tree").to_numpy(), labels, *(batch.column(c).to_numpy() for c in ("id", "size", "component", "home")))
-            if held is not None:
-                rows = tuple(np.concatenate(x) for x in zip(held, rows))
+            same = lambda tree, labels, k: ~np.any(labels[:, : 2 * START] != labels[k, : 2 * START], axis=1) & (tree == tree[k])
             # The last region may go on in the next batch.
-            tree, labels = rows[0], rows[1]
-            other = np.flatnonzero(np.any(labels[:, : 2 * START] != labels[-1, : 2 * START], axis=1) | (tree != tree[-1]))
+            if held and held[-1][0][-1] == rows[0][-1] and not np.any(held[-1][1][-1, : 2 * START] != labels[-1, : 2 * START]):
+                held.append(rows)
+                continue
+            rows = tuple(np.concatenate(x) for x in zip(*held, rows))
+            other = np.flatnonzero(~same(rows[0], rows[1], -1))
             cut = int(other[-1]) + 1 if len(other) else 0
             if cut:
                 if not ended:
                     ended = True
-                    after = np.flatnonzero(np.any(labels[:, : 2 * START] != labels[0, : 2 * START], axis=1) | (tree != tree[0]))
+                    after = np.flatnonzero(~same(rows[0], rows[1], 0))
                     yield from end(tuple(x[: int(after[0])] for x in rows))
                 yield from visit(tuple(x[:cut] for x in rows))
-            held = tuple(x[cut:] for x in rows)
-        if held is not None:
-            yield from end(held)
-            yield from visit(held)
+            held = [tuple(x[cut:] for x in rows)]
+        if held:
+            rows = tuple(np.concatenate(x) for x in zip(*held))
+            yield from end(rows)
+            yield from visit(rows)
         yield from flush(True)
 
     return forest(classes, FIRST_TREES if first else TREES).mapInArrow(run, "kind int, home long, packed binary, tree int, region binary, top long, n long")
@@ -337,10 +343,31 @@ def across_borders(classes: DataFrame, percent: int, found: DataFrame) -> DataFr
     return common.map_batches(classes if few else classes.limit(0), kernel, ["id", "size", "component", "home", "sig"], kind, keep=False)
 
 
-def by_home(found: DataFrame) -> DataFrame:
-    """(home, packed): the pairs of each home."""
-    # A home has HOME classes, each with a bounded number of neighbours.
-    return found.filter(F.col("kind") == PAIRS).groupBy("home").agg(F.collect_list("packed").alias("packed"))
+def by_home(found: DataFrame, name: str) -> DataFrame:
+    """(home, part, packed): the pairs of each home, those of a home with more than GROUP dealt to parts by their larger id. So a group has the sets of its home and about GROUP others at most."""
+    rows = found.filter(F.col("kind") == PAIRS).select("home", "packed")
+    full = rows.groupBy("home").agg(F.floor(F.sum(F.length("packed")) / (16 * GROUP)).alias("parts")).filter("parts > 0")
+    full = common.materialize(full.withColumn("parts", F.col("parts") + 1), f"{name}-full")
+    told = common.lookup(rows, full, ["home"])
+
+    def deal():
+        def step(homes, packed, parts):
+            out: dict[str, list] = {"at": [], "part": [], "pairs": []}
+            for home, p, n in zip(homes, packed, parts):
+                pairs = np.frombuffer(p, np.int64).reshape(-1, 2)
+                part = (_mix(pairs[:, 1].astype(np.uint64)) % np.uint64(n)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+                    out["at"].append(home)
+                    out["part"].append(int(part[own[0]]))
+                    out["pairs"].append(pairs[own].tobytes())
+            return out
+
+        return step
+
+    dealt = common.map_batches(told.filter("parts is not null"), deal, ["home", "packed", "parts"], "at long, part long, pairs binary", keep=False).select(F.col("at").alias("home"), "part", F.col("pairs").alias("packed"))
+    whole = told.filter("parts is null").select("home", F.lit(0).cast("long").alias("part"), "packed")
+    return common.materialize(whole.unionByName(dealt).groupBy("home", "part").agg(F.collect_list("packed").alias("packed")), name)
 
 
 def second_round(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -350,7 +377,7 @@ def second_round(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame
     found = found.select("kind", "home", "packed").unionByName(cut)
     ids = lambda: lambda packed: {"id": np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(p, np.int64) for p in packed)])}
     split = common.map_batches(found.filter(F.col("kind") == SPLIT).select("packed"), ids, ["packed"], "id long", keep=False).distinct()
-    return common.materialize(by_home(found), "minhash-pairs"), common.materialize(split, "minhash-split")
+    return by_home(found, "minhash-pairs"), common.materialize(split, "minhash-split")
 
 
 def _ordered(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -415,7 +442,6 @@ def exact_pairs(docs: DataFrame, classes: DataFrame, words: int, percent: int, i
     meets = F.when(F.col("tops").isNull(), F.array(F.lit(0).cast("long"))).when(is_top, upto(F.col("tops"), F.col("others"))).otherwise(upto(F.lit(0).cast("long"), F.col("tops") + F.col("others")))
     dealt = dealt.withColumn("other", F.explode(meets)).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
     columns = ["token", "low", "high", "block", "id", "size", "place", "component", "home"]
-    common.small_batches(dealt)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[np.ndarray] = []
@@ -463,7 +489,7 @@ def exact_pairs(docs: DataFrame, classes: DataFrame, words: int, percent: int, i
 
     key = ["token", "low", "high"]
     met = dealt.select(*columns).repartition(*key).sortWithinPartitions(*key).mapInArrow(meet, "kind int, home long, packed binary")
-    return common.materialize(by_home(met), "minhash-exact")
+    return by_home(common.materialize(met, "minhash-met"), "minhash-exact")
 
 
 def unpack(packed: list[bytes]) -> np.ndarray:
@@ -475,13 +501,14 @@ def confirm(docs: DataFrame, pairs: DataFrame, words: int, percent: int, id_col:
     """The candidates (a, b) whose full sets are similar enough. Texts of other documents, told by a bit filter of bounded size, aren't moved."""
 
     def visit():
-        def step(homes, packed):
+        def step(homes, parts, packed):
             ids = [np.unique(unpack(p)) for p in packed]
-            return {"at": np.repeat(np.array(homes, np.int64), [len(i) for i in ids]), "doc_id": np.concatenate([np.zeros(0, np.int64), *ids])}
+            times = [len(i) for i in ids]
+            return {"at": np.repeat(np.array(homes, np.int64), times), "group": np.repeat(np.array(parts, np.int64), times), "doc_id": np.concatenate([np.zeros(0, np.int64), *ids])}
 
         return step
 
-    there = common.materialize(common.map_batches(pairs, visit, ["home", "packed"], "at long, doc_id long", keep=False), "minhash-visits")
+    there = common.materialize(common.map_batches(pairs, visit, ["home", "part", "packed"], "at long, group long, doc_id long", keep=False), "minhash-visits")
     needed = common.materialize(there.select("doc_id").distinct(), "minhash-needed")
     rows = among(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), needed, "doc_id")
 
@@ -503,7 +530,7 @@ def confirm(docs: DataFrame, pairs: DataFrame, words: int, percent: int, id_col:
                     links.append((a, b))
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    return visits.groupBy("at").cogroup(pairs.groupBy("home")).applyInPandas(compare, "a long, b long")
+    return visits.groupBy("at", "group").cogroup(pairs.groupBy("home", "part")).applyInPandas(compare, "a long, b long")
 
 
 def near_dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -515,7 +542,7 @@ def near_dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_c
     classes = common.materialize(classes, "minhash-classes")
     alone = classes.select("id", "size", F.col("id").alias("component"), F.lit(0).cast("long").alias("home"), "sig")
     alone = alone.drop("home").join(common.materialize(homes(alone), "minhash-homes"), "id")
-    pairs = common.materialize(by_home(scan(alone, percent, first=True)), "minhash-pairs")
+    pairs = by_home(common.materialize(scan(alone, percent, first=True), "minhash-found"), "minhash-pairs")
     links = common.materialize(confirm(docs, pairs, words, percent, id_col, text_col), "minhash-links")
     parts = common.materialize(graph.components(links), "minhash-components")
     of = lambda parts: alone.drop("component").join(parts, F.col("id") == F.col("node"), "left").select("id", "size", F.coalesce("component", "id").alias("component"), "home", "sig")

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -140,3 +141,22 @@ def test_regions_meet_across_borders(spark, parts):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_homes_with_many_pairs_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "GROUP", 8)
+    pairs = [(a, b) for a in range(5) for b in range(100, 140)] + [(200, 201)]
+    rows = [(minhash.PAIRS, 0 if a < 5 else 1, np.array([(a, b)], np.int64).tobytes()) for a, b in pairs]
+    found = minhash.by_home(spark.createDataFrame(rows, "kind int, home long, packed binary"), "test").collect()
+    groups = [(r["home"], [tuple(map(int, p)) for p in minhash.unpack(list(r["packed"]))]) for r in found]
+    assert sorted(p for _, g in groups for p in g) == pairs and [len(g) for h, g in groups if h == 1] == [1]
+    assert len([g for h, g in groups if h == 0]) > 10 and max(len({b for _, b in g}) for _, g in groups) <= 8
+
+
+def test_region_of_one_component_and_an_outsider_is_quick():
+    n = 200_000
+    labels, component = np.zeros((n, 2 * minhash.DEPTH), np.uint8), np.zeros(n, np.int64)
+    component[n // 2] = 1
+    began = time.process_time()
+    assert sum(len(i) for i, _ in minhash._region(labels, component, minhash.START)) == n - 1
+    assert time.process_time() - began < 2
