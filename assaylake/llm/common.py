@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from assaylake.sources.scratch import materialize, scratch_path
 
-__all__ = ["ascii_lower", "lookup", "map_batches", "materialize", "numbered", "range_sorted", "scratch_path", "skew_join", "spread_lookup", "with_text", "words_count"]
+__all__ = ["ascii_lower", "lookup", "map_batches", "materialize", "numbered", "packed", "range_sorted", "scratch_path", "skew_join", "spread_lookup", "unpacked", "words_count"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -107,7 +107,11 @@ def map_batches(df: DataFrame, kernel: Callable[[], Callable[..., dict[str, list
     return df.mapInArrow(run, out)
 
 
-def with_text(docs: DataFrame, text_col: str, new: str) -> DataFrame:
-    """docs with text_col replaced by the column new, and n_chars, if docs has it, set to the new length."""
-    out = docs.withColumn(text_col, F.col(new)).drop(new)
-    return out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+def packed(docs: DataFrame, *apart: str) -> DataFrame:
+    """(row, apart...): all other columns in one struct, whose names can't clash with what an operator adds."""
+    return docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c not in apart]).alias("row"), *apart)
+
+
+def unpacked(rows: DataFrame, columns: Sequence[str], **values: str) -> list[Column]:
+    """The columns of what was packed, in their order; those named in values come from a column of rows."""
+    return [F.col(values[c]).alias(c) if c in values else F.col(f"row.`{c}`") for c in columns]

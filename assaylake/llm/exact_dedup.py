@@ -54,6 +54,16 @@ def among(rows: DataFrame, keys: DataFrame, col: str) -> DataFrame:
     return marked(rows, col, common.materialize(bit_filter(keys, col, bits), "digest-filter"), bits).filter("_maybe").drop("_maybe")
 
 
+def without(rows: DataFrame, keys: DataFrame, col: str) -> DataFrame:
+    """The rows whose col isn't among the materialized keys, those of a null col too. Only rows that the filter can't tell apart move, up to the largest filter."""
+    wanted, bits = keys.select(col).distinct(), filter_bits(keys.count())
+    if bits is None:
+        return rows.join(wanted, col, "left_anti").select(*rows.columns)
+    told = marked(rows, col, common.materialize(bit_filter(keys, col, bits), "digest-filter"), bits)
+    sure, rest = told.filter("not _maybe").drop("_maybe"), told.filter("_maybe").drop("_maybe")
+    return sure.unionByName(rest.join(wanted, col, "left_anti").select(*rows.columns))
+
+
 class DigestIndex:
     """Sorted runs of (digest, ident, n), the filter over them, and the digests that runs may share. rows: how many rows will come, for the filter's size."""
 

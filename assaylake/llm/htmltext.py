@@ -316,12 +316,11 @@ def main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url") ->
     """pages with text, its main text. The winners, a row of a hash for each host, are broadcast within common.BROADCAST_ROWS; beyond that hosts with many pages are, and only
     pages of the others move, once."""
     winners = common.materialize(host_paths(pages, html_col, url_col).select("host", F.xxhash64("path").alias("key"), "pages"), "host-paths")
-    others = [c for c in pages.columns if c not in (html_col, "text")]
-    rows = pages.select(F.struct(F.lit(0).alias("_"), *others).alias("row"), F.col(html_col).alias("html"), _host(url_col).alias("host"))
+    rows = common.packed(pages.withColumn("_host", _host(url_col)), html_col, "_host").withColumnsRenamed({html_col: "html", "_host": "host"})
     found = common.spread_lookup(rows, winners, "host", "pages")
     unsigned = lambda k: None if k is None else k % (1 << 64)
     out = common.map_batches(found.drop("host", "pages"), lambda: lambda h, k: {"text": [extract(x, unsigned(y)) for x, y in zip(h, k)]}, ["html", "key"], "text string")
-    return out.select(*[F.col("html").alias(html_col) if c == html_col else F.col(f"row.`{c}`") for c in pages.columns if c != "text"], "text")
+    return out.select(*common.unpacked(out, [c for c in pages.columns if c != "text"], **{html_col: "html"}), "text")
 
 
 def op10_main_text(spark, sf_dir: str) -> DataFrame:

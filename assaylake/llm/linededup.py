@@ -1,13 +1,15 @@
 """Line dedup: a sharded minimal perfect hash over the repeated lines; documents probe its arrays instead of joining lines.
 
 A line's key is the line without [\\x20\\x09-\\x0D] at its ends and with A-Z lower-cased; 128 bits of hash stand for it. Counting needs one
-aggregation over (hash, documents), combined ahead of the shuffle. Lines found in at least min_docs documents are dealt by the first bits of their
+aggregation over (hash, documents), combined ahead of the shuffle. Lines found in several documents are dealt by the first bits of their
 hash to shards of about SHARD_KEYS lines. Each shard gets a minimal perfect hash (displacements by bucket) that gives the slot of a line in two
-arrays: 64-bit fingerprints and counts. Documents probe these arrays where they are, without a shuffle. The arrays are broadcast in volumes
-of at most volume_bytes: one as a rule, several passes over the documents beyond that.
+arrays: 64-bit fingerprints and counts. A line that isn't in the index is found in one document only, so the index answers for every line.
+
+Documents probe these arrays where they are, without a shuffle, while the index has at most volume_bytes and can be broadcast. Beyond that the hashes of their lines go to the shards,
+hot shards in several shares, and what is found comes back by a hash of the text; only texts that lose lines move, once.
 
 Defined results: null or empty text is one empty line; empty keys are never dropped; each row counts as a document of its own, so
-repeated rows count; a text all of whose lines go becomes empty; an empty table gives no rows.
+repeated rows count; a text all of whose lines go becomes empty; an empty table gives no rows; other columns stay, whatever their names, those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -21,10 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .exact_dedup import among, without
 
 MIN_DOCS = 10
 SHARD_KEYS = 2048
-VOLUME_BYTES = 64 << 20
+#: Bytes of an index that is broadcast, and lines that meet a shard in one group beyond that.
+VOLUME_BYTES, SHARD_LINES = 64 << 20, 200_000
 BLANK = b"\x20\x09\x0a\x0b\x0c\x0d"
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -83,9 +87,9 @@ def build_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "n": [n], "displacement": [displacement.tobytes()], "prints": [prints.tobytes()], "counts": [counts.tobytes()]})
 
 
-def line_index(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS) -> tuple[DataFrame, int]:
-    """The index as a table (shard, n, displacement, prints, counts), and the number of its shard bits."""
-    lines = common.materialize(line_counts(docs, text_col).filter(F.col("n") >= min_docs), "line-counts")
+def line_index(docs: DataFrame, text_col: str = "text", least: int = 2) -> tuple[DataFrame, int]:
+    """The index of lines found in at least `least` documents as a table (shard, n, displacement, prints, counts), and the number of its shard bits."""
+    lines = common.materialize(line_counts(docs, text_col).filter(F.col("n") >= least), "line-counts")
     bits = max(0, (lines.count() // SHARD_KEYS).bit_length())
     shard = F.shiftrightunsigned("h1", 64 - bits).cast("int") if bits else F.lit(0)
     built = lines.withColumn("shard", shard).groupBy("shard").applyInPandas(build_shard, "shard int, n int, displacement binary, prints binary, counts binary")
@@ -121,62 +125,113 @@ class Volume:
         return out
 
 
-def _volumes(index: DataFrame, bits: int, most: int):
-    """The index in lists of rows of at most `most` bytes (a single shard may be more); only one is at the driver at a time."""
-    sizes = index.select("shard", (F.length("displacement") + F.length("prints") + F.length("counts")).alias("bytes"))
-    if (sizes.agg(F.sum("bytes")).first()[0] or 0) <= most:
-        return [index.collect()]
-    step = max(1, most // (16 * SHARD_KEYS * 2))
-    return (rows for at in range(0, 1 << bits, step) if (rows := index.filter(F.col("shard").between(at, at + step - 1)).collect()))
+def _hashes(keys: list[bytes]) -> np.ndarray:
+    """Rows h1, h2."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, keys)), ">u8").astype(np.uint64).reshape(-1, 2)
 
 
-def dedup_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS, volume_bytes: int = VOLUME_BYTES) -> DataFrame:
-    """docs with kept_text, n_lines (before dropping) and n_dropped; lines of keys found in at least min_docs documents are dropped."""
-    index, bits = line_index(docs, text_col, min_docs)
-    marked, mark = docs, None
-    for rows in _volumes(index, bits, volume_bytes):
-        if mark is not None:  # a further volume: what the last one found is kept in a table
-            marked = common.materialize(marked, "line-marks")
-        volume = docs.sparkSession.sparkContext.broadcast((rows, bits))
-        marked, mark = _probe(marked, text_col, volume, mark), "_marks"
-    if mark is None:
-        marked = docs.withColumn("_marks", F.lit(b""))
+def _cut(text: str | None, drop: np.ndarray) -> tuple[str, int, int]:
+    """The text without the lines to drop, its lines, and how many go."""
+    parts, n = (text or "").split("\n"), int(drop.sum())
+    return "\n".join(x for x, y in zip(parts, drop.tolist()) if not y) if n else text or "", len(parts), n
 
-    def kernel():
-        def step(texts, marks):
-            kept, lines, dropped = [], [], []
-            for text, m in zip(texts, marks):
-                parts = (text or "").split("\n")
-                kept.append("\n".join(x for x, y in zip(parts, m) if not y) if any(m) else text or "")
-                lines.append(len(parts))
-                dropped.append(sum(m))
-            return {"kept_text": kept, "n_lines": lines, "n_dropped": dropped}
 
-        return step
+def _rows(cut: list[tuple[str, int, int]]) -> dict[str, list]:
+    return {"kept_text": [c[0] for c in cut], "n_lines": [c[1] for c in cut], "n_dropped": [c[2] for c in cut]}
+
 
-    return common.map_batches(marked, kernel, [text_col, "_marks"], "kept_text string, n_lines long, n_dropped long").drop("_marks")
+RESULTS = "kept_text string, n_lines long, n_dropped long"
 
 
-def _probe(docs: DataFrame, text_col: str, volume, mark: str | None) -> DataFrame:
-    """Adds _marks: a byte for each line, 1 if the volume, or one before it, has the line."""
+def _probed(rows: DataFrame, index: DataFrame, bits: int, min_docs: int) -> DataFrame:
+    """Every document probes the index, which is broadcast."""
+    volume = rows.sparkSession.sparkContext.broadcast((index.collect(), bits))
 
     def kernel():
         probe = Volume(*volume.value)
 
-        def step(texts, before=None):
+        def step(texts):
             keys = [line_keys(t) for t in texts]
             flat = [k for ks in keys for k in ks]
-            halves = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, flat)), ">u8").astype(np.uint64).reshape(-1, 2)
-            hit = (probe.count(halves[:, 0], halves[:, 1]) > 0) & np.fromiter(map(bool, flat), bool, len(flat))
+            halves = _hashes(flat)
+            found = np.maximum(probe.count(halves[:, 0], halves[:, 1]), 1)
+            drop = (found >= min_docs) & np.fromiter(map(bool, flat), bool, len(flat))
             ends = np.cumsum([len(k) for k in keys])
-            marks = [hit[e - len(k) : e].astype("u1") for k, e in zip(keys, ends)]
-            if before is not None:
-                marks = [a | np.frombuffer(b, "u1") for a, b in zip(marks, before)]
-            return {"_marks": [m.tobytes() for m in marks]}
+            return _rows([_cut(t, drop[e - len(k) : e]) for t, k, e in zip(texts, keys, ends)])
+
+        return step
+
+    return common.map_batches(rows, kernel, ["text"], RESULTS)
+
+
+def _sent(rows: DataFrame, index: DataFrame, bits: int, min_docs: int) -> DataFrame:
+    """Lines go to the shards of the index."""
+    rows = rows.withColumn("key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+
+    def lines():
+        def step(keys, texts):
+            sets = [{k for k in line_keys(t) if k} for t in texts]
+            halves = _hashes([k for s in sets for k in s]).view(np.int64)
+            return {"key": [k for k, s in zip(keys, sets) for _ in s], "h1": halves[:, 0], "h2": halves[:, 1]}
 
         return step
 
-    return common.map_batches(docs, kernel, [text_col] + ([mark] if mark else []), "_marks binary")
+    shard = F.shiftrightunsigned("h1", 64 - bits).cast("int") if bits else F.lit(0)
+    sent = common.materialize(common.map_batches(rows.select("key", "text"), lines, ["key", "text"], "key binary, h1 long, h2 long", keep=False).distinct().withColumn("shard", shard), "line-sent")
+    shares = common.materialize(sent.groupBy("shard").agg(F.ceil(F.count("*") / SHARD_LINES).alias("shares")), "line-shares")
+    dealt = common.lookup(sent, shares, ["shard"], "inner").withColumn("share", F.pmod(F.xxhash64("key"), F.col("shares"))).drop("shares")
+    copies = shares.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"))
+    copies = index.join(copies.toDF("shard", "share"), "shard")
+
+    def probe(own: pd.DataFrame, arrays: pd.DataFrame) -> pd.DataFrame:
+        if not len(arrays) or not len(own):
+            return own[["key", "h1", "h2"]].iloc[:0]
+        row = arrays.iloc[0].to_dict() | {"shard": 0}
+        found = Volume([row], 0).count(own["h1"].to_numpy().view(np.uint64), own["h2"].to_numpy().view(np.uint64))
+        return own.loc[found >= min_docs, ["key", "h1", "h2"]]
+
+    hits = dealt.groupBy("shard", "share").cogroup(copies.groupBy("shard", "share")).applyInPandas(probe, "key binary, h1 long, h2 long")
+    # A text has no more hits than lines.
+    found = common.materialize(hits.groupBy("key").agg(F.collect_list("h1").alias("h1s"), F.collect_list("h2").alias("h2s")), "line-hits")
+
+    def cut():
+        def step(texts, h1s, h2s):
+            out = []
+            for text, a, b in zip(texts, h1s, h2s):
+                gone = set(zip(a or (), b or ()))
+                keys = line_keys(text)
+                halves = _hashes(keys).view(np.int64).tolist() if gone else ()
+                out.append(_cut(text, np.array([bool(k) and tuple(h) in gone for k, h in zip(keys, halves)] if gone else [False] * len(keys), bool)))
+            return _rows(out)
+
+        return step
+
+    lost = among(rows, found, "key").join(found, "key", "left")
+    whole = without(rows, found, "key").withColumns({"h1s": F.lit(None).cast("array<bigint>"), "h2s": F.lit(None).cast("array<bigint>")})
+    # Rows that only seem to be among the found ones have no partner; they are in `without` already.
+    every = lost.filter("h1s is not null").unionByName(whole).drop("key")
+    return common.map_batches(every, cut, ["text", "h1s", "h2s"], RESULTS).drop("h1s", "h2s")
+
+
+def _dedup(docs: DataFrame, text_col: str, min_docs: int, volume_bytes: int) -> DataFrame:
+    """(row, text, kept_text, n_lines, n_dropped)"""
+    index, bits = line_index(docs, text_col, min(2, min_docs))
+    size = index.agg(F.sum(F.length("displacement") + F.length("prints") + F.length("counts"))).first()[0] or 0
+    rows = common.packed(docs, text_col).withColumnRenamed(text_col, "text")
+    return (_probed if size <= volume_bytes else _sent)(rows, index, bits, min_docs)
+
+
+def dedup_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS, volume_bytes: int = VOLUME_BYTES) -> DataFrame:
+    """docs with kept_text, n_lines (before dropping) and n_dropped; lines of keys found in at least min_docs documents are dropped."""
+    out = _dedup(docs, text_col, min_docs, volume_bytes)
+    return out.select(*common.unpacked(out, [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")], **{text_col: "text"}), "kept_text", "n_lines", "n_dropped")
+
+
+def without_shared_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS, volume_bytes: int = VOLUME_BYTES) -> DataFrame:
+    """docs whose text has lost its lines of keys found in at least min_docs documents; n_chars, if docs has it, is the new length."""
+    out = _dedup(docs, text_col, min_docs, volume_bytes).withColumn("chars", F.length("kept_text"))
+    columns = common.unpacked(out, docs.columns, **{text_col: "kept_text"} | ({"n_chars": "chars"} if "n_chars" in docs.columns else {}))
+    return out.select(*[c.cast(docs.schema[n].dataType).alias(n) if n == "n_chars" else c for n, c in zip(docs.columns, columns)])
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:

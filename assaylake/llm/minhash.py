@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, graph
-from .exact_dedup import among
+from .exact_dedup import among, without
 
 WORDS, PERCENT = 5, 80
 HASHES, TREES, FIRST_TREES, START, DEPTH = 128, 32, 4, 3, 16
@@ -562,5 +562,11 @@ def near_dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_c
     return out.unionByName(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "n_shingles", "component_id", "kept", "class_size")
 
 
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the ids that near_dedup doesn't keep; rows of a null id stay. Texts that stay move only if a filter can't tell them apart."""
+    dropped = common.materialize(near_dedup(docs, words, percent, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias(id_col)), "minhash-dropped")
+    return without(docs, dropped, id_col)
+
+
 def op2_minhash(spark, sf_dir: str) -> DataFrame:
     return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, percent=85)

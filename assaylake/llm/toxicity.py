@@ -151,9 +151,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
         return step
 
     rows = common.materialize(common.map_batches(rows, kernel, ["text"], "folded string, " + ", ".join(f"{x} long" for x in SKETCHES)).drop("text"), "toxic-training")
-    alike = common.materialize(rows.groupBy("toxic", *SKETCHES).agg((1.0 / F.count("*")).alias("share")), "toxic-shares")
-    # At most as many rows as were learned from, of six numbers each.
-    return rows.join(F.broadcast(alike), ["toxic", *SKETCHES]).select("toxic", "folded", "share")
+    alike = common.materialize(rows.groupBy("toxic", *SKETCHES).agg(F.count("*").alias("n")).filter("n > 1"), "toxic-alike")
+    # At most half as many rows as were learned from, of six numbers each.
+    return rows.join(F.broadcast(alike), ["toxic", *SKETCHES], "left").select("toxic", "folded", (1.0 / F.coalesce("n", F.lit(1))).alias("share"))
 
 
 def _bounded(found: DataFrame, most: int) -> list:
@@ -288,6 +288,12 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     return common.map_batches(docs, kernel, [text_col], "score double, predicted int, weight double")
 
 
+def clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs that aren't predicted toxic, as they are."""
+    told = score(common.packed(docs, text_col), model, text_col).filter("predicted = 0")
+    return told.select(*common.unpacked(told, docs.columns, **{text_col: text_col}))
+
+
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -53,3 +53,27 @@ def test_many_shards(spark, monkeypatch):
     for volume_bytes in (64 << 20, 700):
         got = linededup.dedup_lines(docs, min_docs=3, volume_bytes=volume_bytes).collect()
         assert sorted([(r["text"], r["kept_text"], r["n_lines"], r["n_dropped"]) for r in got], key=str) == brute(texts, 3)
+
+
+def test_hot_shards_and_repeated_texts(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "SHARD_LINES", 50)
+    texts = [f"of all\nown {i % 150}\nline {i % 20}" for i in range(600)] + [None, "", "\n", "of all", "OF ALL \n"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    got = linededup.dedup_lines(docs, min_docs=5, volume_bytes=0).collect()
+    assert sorted([(r["text"], r["kept_text"], r["n_lines"], r["n_dropped"]) for r in got], key=str) == brute(texts, 5)
+
+
+@pytest.mark.parametrize("volume_bytes", [64 << 20, 0])
+def test_clashing_columns(spark, volume_bytes):
+    docs = spark.createDataFrame([(i, "a\nb" if i < 12 else f"c {i}", i, i, str(i), str(i), str(i)) for i in range(20)], "doc_id long, text string, n_chars int, n_lines long, kept_text string, row string, key string")
+    got = linededup.without_shared_lines(docs, volume_bytes=volume_bytes)
+    assert got.dtypes == docs.dtypes
+    assert sorted(map(tuple, got.collect())) == [(i, t := "" if i < 12 else f"c {i}", len(t), i, str(i), str(i), str(i)) for i in range(20)]
+    assert linededup.dedup_lines(docs, volume_bytes=volume_bytes).columns == ["doc_id", "text", "n_chars", "row", "key", "kept_text", "n_lines", "n_dropped"]
+
+
+def test_counts_are_consulted(spark):
+    docs = spark.createDataFrame([(f"line {i % 7}\nown {i}",) for i in range(20)], "text string")
+    index, bits = linededup.line_index(docs)
+    assert linededup.Volume(index.collect(), bits).n.sum() == 7
+    assert sum(r["n_dropped"] for r in linededup.dedup_lines(docs, min_docs=3).collect()) == 18
