@@ -2,6 +2,7 @@ import re
 
 import public_tokenizers as P
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from assaylake.llm import bpe, common
@@ -42,3 +43,27 @@ def test_stages(spark, tmp_path):
     encoding = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={t: i for i, t in enumerate(vocabulary)}, special_tokens={})
     texts = {r["doc_id"]: r["text"] for r in rows[4]}
     assert len(rows[5]) == len(rows[4]) and all(r["n_tokens"] == len(encoding.encode_ordinary(texts[r["doc_id"]] or "")) for r in rows[5])
+
+
+NAMES = "n_lines n_dropped kept_text score predicted weight number tie pass copies virtual_finish row key".split()
+
+
+def test_odd_rows_and_names(spark, odd, none, tmp_path):
+    """Null and repeated ids, no rows, and columns named like the stages' own; the same results however rows are dealt."""
+    more = lambda f: f.drop("kept").select("*", *[F.lit(k).cast("long").alias(n) for k, n in enumerate(NAMES)])
+    spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(14)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = []
+    for parts in (1, 3, 8):
+        docs = more(odd).repartition(parts)
+        for name, stage in corpus_pipeline.STAGES[:4]:
+            before, docs = docs, common.materialize(stage(spark, docs, str(tmp_path)), "odd-stage")
+            assert docs.dtypes == before.dtypes, name
+            assert all(r[n] == k for r in docs.collect() for k, n in enumerate(NAMES)), name
+        found.append(sorted((r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] is not None))
+        nulls = [r for r in docs.collect() if r["doc_id"] is None]
+        assert all(r["text"] == "one two three four" for r in nulls) and len(nulls) <= 2
+    assert found[0] == found[1] == found[2]
+    empty = more(none)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = common.materialize(stage(spark, empty, str(tmp_path)), "empty-stage")
+        assert empty.collect() == []
