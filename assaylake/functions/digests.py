@@ -6,6 +6,7 @@ import hashlib
 import json
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -78,7 +79,13 @@ def rounded(value: Column, digits: int) -> Column:
 
     @F.pandas_udf("double")
     def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if v is None or math.isnan(v) else round(v, digits))
+        v = x.to_numpy(float)
+        scaled = v * 10.0**digits
+        out = np.rint(scaled) / 10.0**digits
+        # Near a tie, or where the product isn't exact, the binary value itself decides.
+        odd = np.flatnonzero((np.abs(np.abs(scaled - np.floor(scaled)) - 0.5) < 1e-3) | (np.abs(scaled) > 2.0**50))
+        out[odd] = [round(float(v[i]), digits) for i in odd]
+        return pd.Series(out).where(~np.isnan(v), None)
 
     return run(value)
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,51 +19,28 @@ def overlaps(x1: Column, y1: Column, w1: Column, h1: Column, x2: Column, y2: Col
     return (x1 < x2 + w2) & (x2 < x1 + w1) & (y1 < y2 + h2) & (y2 < y1 + h1)
 
 
-def seen_box(width: Column, height: Column) -> dict[str, Column]:
-    """What the extractor sees of an image: left, top, width and height in the image's pixels."""
-    scale = SHORT_EDGE / F.least(width, height)
-    left = F.greatest(F.lit(0.0), (width * scale - INPUT_SIZE) / 2.0) / scale
-    top = F.greatest(F.lit(0.0), (height * scale - INPUT_SIZE) / 2.0) / scale
-    return {"left": left, "top": top, "width": F.least(width - left, INPUT_SIZE / scale), "height": F.least(height - top, INPUT_SIZE / scale)}
-
-
-def axis_starts(start: float, length: float, window: float) -> Iterator[float]:
-    """Starts of overlapping windows that cover one axis, its end included; one centred window if it is longer than the axis."""
-    if length <= window:
-        yield start + (length - window) / 2.0
-        return
-    end, at = start + length - window, start
-    while True:
-        yield at
-        if at + STRIDE * window >= end:
-            break
-        at += STRIDE * window
-    if end - at > 1e-6:
-        yield end
-
-
-def tiles(regions: Sequence[tuple[float, float, float, float]], width: int, height: int) -> list[tuple[int, int, int]]:
-    """(x, y, side) of square tiles whose seen centres cover all regions (x, y, width, height), by y, x and side."""
-    out = set()
-    for x, y, w, h in regions:
-        side = math.ceil(min(MOST_SIDE, width, height, max(LEAST_SIDE, MARGIN * min(w, h))))
-        seen = side * INPUT_SIZE / SHORT_EDGE
-        edge = (side - seen) / 2.0
-        place = lambda at, whole: max(0, min(whole - side, round(at - edge)))  # noqa: B023, E731
-        out |= {(place(a, width), place(b, height), side) for b in axis_starts(y, h, seen) for a in axis_starts(x, w, seen)}
-    return sorted(out, key=lambda t: (t[1], t[0], t[2]))
+def window_starts(start: Column, length: Column, window: Column) -> Column:
+    """Starts, as an array, of windows that cover one axis: every STRIDE of a window from the axis' start on, and one that closes at its end. A longer window is centred."""
+    room = length - window
+    last = F.ceil(room / (STRIDE * window)) - 1  # the last start short of the end
+    along = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(last, F.lit(0))), lambda i: start + i * (STRIDE * window))
+    closing = F.filter(F.array(start + room), lambda x: x - (start + F.greatest(last, F.lit(0)) * (STRIDE * window)) > 1e-6)
+    return F.when(room <= 0, F.array(start + room / 2.0)).otherwise(F.concat(along, closing))
 
 
 def tiles_of(regions: Column, width: Column, height: Column) -> Column:
-    """Tiles of an array of region structs (x, y, width, height), as an array of structs."""
+    """Square tiles (x, y, side) whose seen centres cover all regions, an array of structs (x, y, width, height); distinct, by y, x and side."""
 
-    @F.udf("array<struct<x:int,y:int,side:int>>", useArrow=True)
-    def run(rs, w, h):
-        if rs is None or w is None or h is None:
-            return None
-        return tiles([(r["x"], r["y"], r["width"], r["height"]) for r in rs], w, h)
+    def cover(r: Column) -> Column:
+        side = F.ceil(F.least(F.lit(float(MOST_SIDE)), width.cast("double"), height.cast("double"), F.greatest(F.lit(LEAST_SIDE), MARGIN * F.least(r["width"], r["height"]))))
+        seen = side * (INPUT_SIZE / SHORT_EDGE)
+        edge = (side - seen) / 2.0
+        place = lambda at, whole: F.greatest(F.lit(0), F.least(whole.cast("int") - side.cast("int"), F.rint(at - edge).cast("int")))
+        down, across = window_starts(r["y"], r["height"], seen), window_starts(r["x"], r["width"], seen)
+        return F.flatten(F.transform(down, lambda b: F.transform(across, lambda a: F.struct(place(b, height).alias("y"), place(a, width).alias("x"), side.cast("int").alias("side")))))
 
-    return run(regions, width, height)
+    found = F.array_sort(F.array_distinct(F.flatten(F.transform(regions, cover))))
+    return F.transform(found, lambda t: F.struct(t["x"].alias("x"), t["y"].alias("y"), t["side"].alias("side")))
 
 
 def quad_residual(a: Column, b: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,12 +22,16 @@ def plan(parents: DataFrame, variants: int, anchor: str, case: str = "case_id",
 def sampled(seeds: Column, ranges: Sequence[tuple[str, float, float]]) -> Column:
     """A map of uniform samples within ranges, drawn in their order by CPython's generator from each seed, rounded to 8 digits."""
 
-    @F.udf("map<string,double>", useArrow=True)
-    def draw(value):
-        if value is None:
-            return None
-        rng = random.Random(int(value))
-        return {name: round(rng.uniform(low, high), 8) for name, low, high in ranges}
+    @F.pandas_udf("map<string,double>")
+    def draw(values: pd.Series) -> pd.Series:
+        # The generator is seeded anew for each row, as the definition has it.
+        rng = random.Random()
+
+        def one(value):
+            rng.seed(int(value))
+            return {name: round(rng.uniform(low, high), 8) for name, low, high in ranges}
+
+        return values.map(one, na_action="ignore")
 
     return draw(seeds)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from .running import hash_rank, running_totals
@@ -11,16 +13,25 @@ from .running import hash_rank, running_totals
 def evenly_spaced(rows: DataFrame, by: str, order: str, maximum: int) -> DataFrame:
     """rows of each group at positions ((2k + 1) total) // (2 maximum) of its order, k = 0..maximum - 1; all rows of groups within maximum.
 
-    order is a number, unique within its group. A position p is chosen iff some k gives it: the first k that reaches p must not pass it.
+    order is a number, unique within its group.
+    """
+    return evenly_spaced_sizes(rows, by, order, [maximum]).drop("maximum")
+
+
+def evenly_spaced_sizes(rows: DataFrame, by: str, order: str, maxima: Sequence[int]) -> DataFrame:
+    """Banks of several sizes at once: rows with position and maximum, once for each size that takes them.
+
+    A position p is chosen iff some k gives it: the first k that reaches p must not pass it.
     """
-    if maximum < 1:
+    if min(maxima) < 1:
         raise ValueError("maximum must be positive")
     total = rows.groupBy(by).agg(F.count("*").alias("_total"))
     placed = running_totals(rows.withColumn("_one", F.lit(1).cast("long")), [by], order, ["_one"]).join(total, by)
-    p, n = F.col("_one_before"), F.col("_total")
-    k = F.greatest(F.ceil((2 * maximum * p - n) / (2 * n)).cast("long"), F.lit(0))
-    near = F.exists(F.array(k - 1, k, k + 1), lambda x: (x >= 0) & (x < maximum) & (F.expr("1L") * F.floor(((2 * x + 1) * n) / (2 * maximum)) == p))
-    return placed.filter((n <= maximum) | near).withColumnsRenamed({"_one_before": "position"}).drop("_one", "_total")
+    placed = placed.withColumn("maximum", F.explode(F.array(*[F.lit(m).cast("long") for m in maxima])))
+    p, n, most = F.col("_one_before"), F.col("_total"), F.col("maximum")
+    k = F.greatest(F.ceil((2 * most * p - n) / (2 * n)).cast("long"), F.lit(0))
+    near = F.exists(F.array(k - 1, k, k + 1), lambda x: (x >= 0) & (x < most) & (F.floor(((2 * x + 1) * n) / (2 * most)) == p))
+    return placed.filter((n <= most) | near).withColumnsRenamed({"_one_before": "position"}).drop("_one", "_total")
 
 
 def stratified(rows: DataFrame, stratum: str, rank_hex: str, tie: str, maximum: int) -> DataFrame:
@@ -30,6 +41,4 @@ def stratified(rows: DataFrame, stratum: str, rank_hex: str, tie: str, maximum:
     """
     ranked = hash_rank(rows, [stratum], rank_hex, [tie]).filter(F.col("rank") < maximum)
     chosen = ranked.orderBy("rank", stratum).limit(maximum)
-    from pyspark.sql import Window as W
-
     return chosen.withColumn("position", F.row_number().over(W.orderBy("rank", stratum)) - 1)

@@ -5,19 +5,22 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import accumulate
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .running import hash_rank
+from .running import hash_rank, running_totals
 
+#: Variants of a frozen list.
+MAX_VARIANTS = 1000
 
-def roles_by_share(cases: DataFrame, by: Sequence[str], rank_hex: str, ties: Sequence[str], tenths: Mapping[str, int]) -> DataFrame:
-    """cases with role: consecutive tenths of each group in hash order."""
+
+def roles_by_share(cases: DataFrame, by: Sequence[str], rank_hex: str, ties: Sequence[str], shares: Mapping[str, int], of: int = 10) -> DataFrame:
+    """cases with role: consecutive shares of each group in hash order, in parts of `of`."""
     n = cases.groupBy(*by).agg(F.count("*").alias("_n"))
     ranked = hash_rank(cases, by, rank_hex, ties).join(n, list(by))
     role = F.lit(None).cast("string")
-    for name, upto in reversed(list(zip(tenths, accumulate(tenths.values())))):
-        role = F.when(F.col("rank") * 10 < F.col("_n") * upto, name).otherwise(role)
+    for name, upto in reversed(list(zip(shares, accumulate(shares.values())))):
+        role = F.when(F.col("rank") * of < F.col("_n") * upto, name).otherwise(role)
     return ranked.withColumn("role", role).drop("_n")
 
 
@@ -85,15 +88,80 @@ def shared_groups(rows: DataFrame, group: str, role: str) -> DataFrame:
 def coverage(parents: DataFrame, variants: DataFrame, observed: DataFrame, parent: str, variant: str) -> DataFrame:
     """(parent, variant, problem): pairs that are MISSING, UNEXPECTED or DUPLICATE against every parent with every variant.
 
-    variants is a frozen list of a few values, which is broadcast and multiplies parents by their number.
+    variants is a frozen list of at most MAX_VARIANTS values, by which parents are multiplied; more are an error.
     """
-    expected = parents.select(parent).distinct().withColumn("_v", F.array(*[F.lit(r[0]) for r in variants.select(variant).distinct().orderBy(variant).collect()])).select(parent, F.explode("_v").alias(variant))
+    frozen = [r[0] for r in variants.select(variant).distinct().orderBy(variant).limit(MAX_VARIANTS + 1).collect()]
+    if len(frozen) > MAX_VARIANTS:
+        raise ValueError(f"more than {MAX_VARIANTS} variants")
+    kind = variants.schema[variant].dataType
+    expected = parents.select(parent).distinct().select(parent, F.explode(F.array(*[F.lit(v).cast(kind) for v in frozen])).alias(variant))
     seen = observed.groupBy(parent, variant).agg(F.count("*").alias("n"))
     both = expected.withColumn("e", F.lit(True)).join(seen, [parent, variant], "full_outer")
     problem = F.when(F.col("n").isNull(), "MISSING").when(F.col("e").isNull(), "UNEXPECTED").when(F.col("n") > 1, "DUPLICATE")
     return both.select(parent, variant, problem.alias("problem")).filter("problem is not null")
 
 
+def drop_known(rows: DataFrame, ledger: DataFrame, digest: str) -> DataFrame:
+    """rows whose digest isn't in the ledger; a row goes by itself, its group stays. Null digests are in no ledger."""
+    return rows.join(ledger.select(digest).distinct(), digest, "left_anti")
+
+
+def remaining_violations(rows: DataFrame, ledger: DataFrame, expected: DataFrame, by: str, digest: str) -> DataFrame:
+    """(by, remaining, expected) of categories in which drop_known leaves another number of rows than expected (by, expected)."""
+    left = drop_known(rows, ledger, digest).groupBy(by).agg(F.count("*").alias("remaining"))
+    both = left.join(expected.select(by, "expected"), by, "full_outer").select(by, F.coalesce("remaining", F.lit(0)).alias("remaining"), F.coalesce("expected", F.lit(0)).alias("expected"))
+    return both.filter("remaining <> expected")
+
+
+def union_of_sources(sources: Sequence[DataFrame], column: str) -> DataFrame:
+    """(column): each value that any of the sources has, once; nulls left out."""
+    out = None
+    for s in sources:
+        own = s.select(column).filter(F.col(column).isNotNull())
+        out = own if out is None else out.unionByName(own)
+    return out.distinct()
+
+
+def with_children(originals: DataFrame, children: DataFrame) -> DataFrame:
+    """Originals and their derived cases in one table; columns that only one side has are null in the other."""
+    return originals.unionByName(children, allowMissingColumns=True)
+
+
+def set_differences(stated: DataFrame, expected: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, problem): MISSING from stated, or UNKNOWN to expected; none if both are the same set."""
+    both = stated.select(*keys).distinct().withColumn("_s", F.lit(True)).join(expected.select(*keys).distinct().withColumn("_e", F.lit(True)), list(keys), "full_outer")
+    return both.filter("_s is null or _e is null").select(*keys, F.when(F.col("_s").isNull(), "MISSING").otherwise("UNKNOWN").alias("problem"))
+
+
+def development_inputs(raw: DataFrame, derived: DataFrame, policy: str, case: str = "case_id", parent: str = "parent_case_id") -> DataFrame:
+    """Prototype inputs: raw FIT cases, and with the policy RAW_FIT_PLUS_R3 also derived cases of those parents. Tuning cases are raw under either policy."""
+    if policy not in ("RAW_FIT_ONLY", "RAW_FIT_PLUS_R3"):
+        raise ValueError(f"unknown policy {policy}")
+    fit = raw.filter("role = 'FIT'")
+    if policy == "RAW_FIT_ONLY":
+        return fit
+    return with_children(fit, derived.join(fit.select(F.col(case).alias(parent)), parent, "left_semi"))
+
+
+def evidence(cases: DataFrame, by: Sequence[str], case: str, digest: str, members: Sequence[str]) -> DataFrame:
+    """One row for each group: cases, distinct ids and digests, and for each of members (roles, kinds: few values) the sorted set and its size."""
+    sets = [F.array_sort(F.collect_set(m)).alias(m) for m in members]
+    out = cases.groupBy(*by).agg(F.count("*").alias("cases"), F.count_distinct(case).alias("distinct_cases"), F.count_distinct(digest).alias("distinct_sources"), *sets)
+    return out.withColumns({f"n_{m}": F.size(m) for m in members})
+
+
+def ordered_digest(records: DataFrame, by: Sequence[str], order: Sequence[str], record: Column, block: int = 4096) -> DataFrame:
+    """(by, records, digest): SHA-256 over the digests of blocks of `block` records in order, each that of its records joined by newlines; so no task has more than a block.
+
+    order must be unique within a group.
+    """
+    ranked = running_totals(records.withColumns({"_one": F.lit(1).cast("long"), "_record": record}), by, order, ["_one"])
+    blocks = ranked.groupBy(*by, F.floor(F.col("_one_before") / block).alias("_b")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("_one_before", "_record"))).alias("r"))
+    blocks = blocks.select(*by, "_b", "n", F.sha2(F.array_join(F.transform("r", lambda x: x["_record"]), "\n"), 256).alias("d"))
+    whole = blocks.groupBy(*by).agg(F.sum("n").alias("records"), F.array_sort(F.collect_list(F.struct("_b", "d"))).alias("r"))
+    return whole.select(*by, "records", F.sha2(F.array_join(F.transform("r", lambda x: x["d"]), "\n"), 256).alias("digest"))
+
+
 def strict_join(left: DataFrame, right: DataFrame, key: str, same: Sequence[str]) -> DataFrame:
     """1:1 join whose sides must have the same keys, each once, and equal columns `same`: else the query fails with the first difference."""
     a = left.select(F.struct(*left.columns).alias("a"), F.col(key).alias("_k")).groupBy("_k").agg(F.count("*").alias("na"), F.first("a").alias("a"))

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
 from .cohort import strict_join
 from .metrics import auroc, rate
-from .running import order_statistics
+from .running import order_statistics, quantiles_of_counts
 
 
 def paired(children: DataFrame, parents: DataFrame, parent_of: str, case: str, score: str = "score") -> DataFrame:
@@ -20,24 +21,17 @@ def paired(children: DataFrame, parents: DataFrame, parent_of: str, case: str, s
     return joined.withColumn("delta", F.when(F.col("_found"), F.col(score) - F.col("parent_score")).otherwise(orphan)).drop("_found")
 
 
-def grained(rows: DataFrame, grains: Sequence[Sequence[str]], columns: Sequence[str]) -> DataFrame:
-    """rows once for each grain, with columns outside of the grain null and `grain` naming it: grouping sets for operators of several steps."""
-    out = None
-    kinds = {c: rows.schema[c].dataType for c in columns}
-    for g in grains:
-        part = rows.withColumns({c: F.col(c) if c in g else F.lit(None).cast(kinds[c]) for c in columns}).withColumn("grain", F.lit(",".join(g) or "all"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def delta_quantiles(rows: DataFrame, grains: Sequence[Sequence[str]], columns: Sequence[str]) -> DataFrame:
-    """(columns, grain, n, p95, max) of delta at every grain."""
-    keyed = grained(rows, grains, columns)
+    """(columns, grain, n, p95, max) of delta at every grain; columns outside of a grain are null. Rows are counted by value once, and only the counts are taken at each grain."""
+    counts = rows.filter("delta is not null").groupBy(*columns, "delta").agg(F.count("*").alias("_n"))
+    sets = counts.groupingSets([[*g, "delta"] for g in grains], *columns, "delta").agg(F.sum("_n").alias("_n"), *[F.grouping(c).alias(f"_out{i}") for i, c in enumerate(columns)])
+    named = [F.when(F.col(f"_out{i}") == 0, F.lit(c)) for i, c in enumerate(columns)]
+    grain = F.array_join(F.array_compact(F.array(*named)), ",")
     # Nulls of a grain are equal: the group's key is its text.
-    key = F.concat_ws("\0", "grain", *[F.coalesce(F.col(c).cast("string"), F.lit("\1")) for c in columns])
-    keyed = keyed.withColumn("_key", key)
+    key = F.concat_ws("\0", F.col("grain"), *[F.coalesce(F.col(c).cast("string"), F.lit("\1")) for c in columns])
+    keyed = materialize(sets.withColumn("grain", F.when(grain == "", "all").otherwise(grain)).withColumn("_key", key), "delta-counts")
     names = keyed.groupBy("_key").agg(F.first("grain").alias("grain"), *[F.first(c).alias(c) for c in columns], F.max("delta").alias("max"))
-    return order_statistics(keyed, ["_key"], "delta", {"p95": "p95"}).join(names, "_key").select(*columns, "grain", "n", "p95", "max")
+    return quantiles_of_counts(keyed.select("_key", "delta", "_n"), ["_key"], "delta", {"p95": "p95"}).join(names, "_key").select(*columns, "grain", "n", "p95", "max")
 
 
 def delta_summary(rows: DataFrame, by: Sequence[str], value: str = "delta") -> DataFrame:
@@ -72,10 +66,17 @@ def contrasts(parents: DataFrame, controls: DataFrame, stimuli: DataFrame, paren
     return base.join(both, parent).withColumn("contrast", F.col("stimulus_delta") - F.col("control_delta"))
 
 
+def contrast_summary(contrasts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Of what contrasts gives: parents, mean control and stimulus deltas, and mean, median, least, greatest and signs of the contrast."""
+    means = contrasts.groupBy(*by).agg(F.avg("control_delta").alias("mean_control_delta"), F.avg("stimulus_delta").alias("mean_stimulus_delta"))
+    return delta_summary(contrasts, by, "contrast").withColumnRenamed("pairs", "parents").join(means, list(by))
+
+
 def compare_reports(baseline: DataFrame, candidate: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Case deltas, category comparison and blind anomalies by defect, of two reports (case_id, category, role, kind, defect, source_sha256, score) over the same cases."""
     both = strict_join(baseline, candidate, "case_id", ["source_sha256", "category", "kind"])
     cases = both.select("a.case_id", "a.category", "a.role", "a.kind", "a.defect", F.col("a.score").alias("baseline_score"), F.col("b.score").alias("candidate_score"), (F.col("b.score") - F.col("a.score")).alias("delta"))
+    cases = materialize(cases, "report-cases")
     blind = cases.filter("role = 'BLIND'")
     tuning = cases.filter("role = 'THRESHOLD_TUNING'").groupBy("category").agg(F.max("baseline_score").alias("baseline_threshold"), F.max("candidate_score").alias("candidate_threshold"))
     positive: Column = F.col("kind") == "ANOMALY"

@@ -6,11 +6,13 @@ without a denominator are null, never 0. Scores are counted by value before anyt
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
 from .running import order_statistics, running_totals
 
 
@@ -92,14 +94,14 @@ def aupro(pixels: DataFrame, by: str, score: str, region: str, limit: float = 0.
     pixels: (by, score, region, n), n pixels of a score in a region, or in none (region is null). With the sizes of regions known, each pixel adds
     1 / (size * regions) to the mean overlap; so overlap and false positives are both running sums over scores, largest first.
     """
-    counts = pixels.groupBy(by, score, region).agg(F.sum("n").alias("n"))
+    counts = materialize(pixels.groupBy(by, score, region).agg(F.sum("n").alias("n")), "aupro-counts")
     sizes = counts.filter(F.col(region).isNotNull()).groupBy(by, region).agg(F.sum("n").alias("size"))
     regions = sizes.groupBy(by).agg(F.count("*").alias("regions"))
     weighed = counts.join(sizes, [by, region], "left").join(regions, by)
     events = weighed.groupBy(by, score).agg(
         F.sum(F.when(F.col(region).isNull(), F.col("n")).otherwise(0)).cast("double").alias("fp"), F.sum(F.when(F.col(region).isNotNull(), F.col("n") / F.col("size") / F.col("regions")).otherwise(0.0)).alias("pro")
     )
-    events = running_totals(events.withColumn("_order", -F.col(score)), [by], "_order", ["fp", "pro"])
+    events = materialize(running_totals(events.withColumn("_order", -F.col(score)), [by], "_order", ["fp", "pro"]), "aupro-events")
     normal = events.groupBy(by).agg(F.sum("fp").alias("normal"))
     steps = events.join(normal.filter("normal > 0"), by).select(by, (F.col("fp_before") / F.col("normal")).alias("x0"), ((F.col("fp_before") + F.col("fp")) / F.col("normal")).alias("x1"), F.col("pro_before").alias("y0"), (F.col("pro_before") + F.col("pro")).alias("y1"))
     share = F.least(F.lit(1.0), (F.lit(limit) - F.col("x0")) / (F.col("x1") - F.col("x0")))
@@ -108,22 +110,40 @@ def aupro(pixels: DataFrame, by: str, score: str, region: str, limit: float = 0.
     return steps.filter(F.col("x0") < limit).groupBy(by).agg((F.sum(width * (F.col("y0") + height) / 2.0) / limit).alias("aupro"))
 
 
+def pixel_localization(patches: DataFrame, masked: DataFrame, by: str, case: str, size: int) -> DataFrame:
+    """(by, mask_cases, regions, pixel_auroc, aupro) of patch scores (by, case, row, col, score), each for size x size pixels, against masks: pixels (case, x, y, region).
+
+    Pixels out of the masks aren't listed: a patch has size * size of them less those that are. A region belongs to its case.
+    """
+    inside = masked.groupBy(case, F.floor(F.col("y") / size).alias("row"), F.floor(F.col("x") / size).alias("col"), "region").agg(F.count("*").alias("n"))
+    hits = patches.join(inside, [case, "row", "col"]).select(by, "score", F.concat_ws("/", F.col(case).cast("string"), F.col("region").cast("string")).alias("region"), "n")
+    totals = patches.groupBy(by, "score").agg(F.count("*").alias("patches")).join(hits.groupBy(by, "score").agg(F.sum("n").alias("pos")), [by, "score"], "left").na.fill(0, ["pos"])
+    counts = materialize(totals.select(by, "score", "pos", (F.col("patches") * size * size - F.col("pos")).alias("neg")), "pixel-counts")
+    pixels = hits.unionByName(counts.select(by, "score", F.lit(None).cast("string").alias("region"), F.col("neg").alias("n")))
+    seen = hits.groupBy(by).agg(F.count_distinct("region").alias("regions"), F.count_distinct(F.substring_index("region", "/", 1)).alias("mask_cases"))
+    curve = auroc_from_counts(counts, [by], "score").withColumnRenamed("auroc", "pixel_auroc")
+    return patches.select(by).distinct().join(seen, by, "left").na.fill(0, ["regions", "mask_cases"]).join(curve, by, "left").join(aupro(pixels.filter("n > 0"), by, "score", "region"), by, "left").select(by, "mask_cases", "regions", "pixel_auroc", "aupro")
+
+
+def inconsistent_scores(scored: DataFrame, case: str, tolerance: float = 0.0) -> DataFrame:
+    """Cases whose parts don't bracket the score: mean_patch_distance <= score <= max_patch_distance."""
+    low, high = F.col("mean_patch_distance") - tolerance, F.col("max_patch_distance") + tolerance
+    return scored.filter(~F.coalesce((low <= F.col("score")) & (F.col("score") <= high), F.lit(False))).select(case, "score", "mean_patch_distance", "max_patch_distance")
+
+
 def region_overlap_counts(predicted: Column, actual: Column) -> dict[str, Column]:
     """Aggregates over pixels: intersection over union, missing and protruding shares of the actual area."""
     both, either, area = F.count_if(predicted & actual), F.count_if(predicted | actual), F.count_if(actual)
     return {"iou": F.try_divide(both, either), "missing_ratio": F.try_divide(F.count_if(actual & ~predicted), area), "protruding_ratio": F.try_divide(F.count_if(predicted & ~actual), area), "area_delta": F.try_divide(F.count_if(predicted) - area, area)}
 
 
-def central_width(points: DataFrame, by: str, along: str, across: str, fallback: float, slices: int = 12, least: int = 32, usable: int = 8) -> DataFrame:
-    """(by, width): 0.90 quantile of the cross-section widths in the middle 60 % of the long axis; fallback with under `usable` slices."""
-    span = points.groupBy(by).agg(F.min(along).alias("low"), F.max(along).alias("high"))
-    part = F.floor(((F.col(along) - F.col("low")) / (F.col("high") - F.col("low")) - 0.2) / 0.6 * slices)
-    cut = points.join(span.filter("high > low"), by).withColumn("slice", part).filter(F.col("slice").between(0, slices - 1))
-    ends = cut.groupBy(by, "slice").agg(F.count("*").alias("n"), (F.percentile(across, 0.995) - F.percentile(across, 0.005)).alias("w")).filter((F.col("n") >= least) & (F.col("w") > 0))
+def central_width(points: DataFrame, by: str, along: str, across: str, fallback: float, slices: int = 12, least: int = 32, usable: int = 8, floor: int = 128, angle: float = 0.0) -> DataFrame:
+    """(by, width): 0.90 quantile of the cross-section widths (0.005 to 0.995) in the middle 60 % of the long axis, which is `angle` radians from `along`; fallback with fewer
+    than `floor` points or `usable` slices of `least` points. A slice is bounded by the resolution of its image."""
+    turned = points.select(by, (F.col(along) * math.cos(angle) + F.col(across) * math.sin(angle)).alias("u"), (F.col(across) * math.cos(angle) - F.col(along) * math.sin(angle)).alias("v"))
+    span = turned.groupBy(by).agg(F.min("u").alias("low"), F.max("u").alias("high"), F.count("*").alias("points"))
+    part = F.floor(((F.col("u") - F.col("low")) / (F.col("high") - F.col("low")) - 0.2) / 0.6 * slices)
+    cut = turned.join(span.filter((F.col("high") - F.col("low") > 1e-9) & (F.col("points") >= floor)), by).withColumn("slice", part).filter(F.col("slice").between(0, slices - 1))
+    ends = cut.groupBy(by, "slice").agg(F.count("*").alias("n"), (F.percentile("v", 0.995) - F.percentile("v", 0.005)).alias("w")).filter((F.col("n") >= least) & (F.col("w") > 0))
     widths = ends.groupBy(by).agg(F.count("*").alias("_slices"), F.percentile("w", 0.90).alias("_width"))
     return points.select(by).distinct().join(widths, by, "left").select(by, F.when(F.col("_slices") >= usable, F.col("_width")).otherwise(F.lit(fallback)).alias("width"))
-
-
-def top_within(rows: DataFrame, by: str, order: Sequence[Column], most: int) -> DataFrame:
-    """The first `most` rows of each group with their rank from 1, as a window filter that Spark limits ahead of the shuffle."""
-    return rows.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= most)

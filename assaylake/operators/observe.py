@@ -8,8 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine_distance
-from .scoring import reference_summary
+from .scoring import distances_to_references, summarised
 from .selection import first_failure, reasons
 
 
@@ -42,19 +41,10 @@ def cascade(stages: Sequence[tuple[str, Column]]) -> dict[str, Column]:
 
 
 def observe(requests: DataFrame, references: DataFrame, case: str = "case_id", vector: str = "embedding", reference: str = "reference_id", stages: Sequence[tuple[str, Column]] = ()) -> DataFrame:
-    """Requests with stage states and, where all stages pass, the summary of distances to the references, a few vectors of one artifact that are broadcast.
-
-    references is checked to be within 4096 rows.
-    """
-    n = references.limit(4097).count()
-    if n > 4096:
-        raise ValueError("an artifact has at most 4096 references")
+    """Requests with stage states and, where all stages pass, the summary of distances to the references of one artifact."""
     rows = requests.withColumns(cascade(stages))
-    known = references.select(F.col(reference), F.col(vector).alias("_r"))
-    # One row that holds all references, so that every request reads them without a join of rows.
-    bank = F.array(*[F.struct(F.lit(r[reference]).alias("id"), F.lit(list(map(float, r["_r"]))).alias("v")) for r in known.orderBy(reference).collect()])
-    pairs = rows.filter("state = 'AVAILABLE'").select(case, vector, F.explode(bank).alias("b")).select(case, F.col("b.id").alias(reference), cosine_distance(F.col(vector), F.col("b.v")).alias("distance"))
-    return rows.join(reference_summary(pairs, case, reference, "distance"), case, "left")
+    found = distances_to_references(rows.filter("state = 'AVAILABLE'"), references.select(F.col(reference), F.col(vector)), case, vector, reference)
+    return rows.join(summarised(found, case), case, "left")
 
 
 def extracted(rows: DataFrame, extractor: Callable[[], Callable[[list[bytes]], list[list[float]]]], content: str = "content") -> DataFrame:

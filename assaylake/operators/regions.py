@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import overlaps
+from ..functions.vectors import cosine_distance
 
 
 def priority(distance: Column, high: float, review: float) -> Column:
@@ -70,11 +71,45 @@ def components(grids: DataFrame, key: str, grid: str, width: int, threshold: flo
     return grids.select(key, grid).mapInPandas(run, f"`{key}` {kind}, label int, area int, x int, y int, width int, height int, peak double, mean double")
 
 
-def rank_regions(regions: DataFrame, by: str, most: int, interior: Column | None = None, prefix: str = "R-") -> DataFrame:
-    """The first `most` regions of each image: interior ones first, then peak, area (all descending), then label; with region_id."""
-    first = [F.when(interior, 1).otherwise(0).desc()] if interior is not None else []
-    rank = F.row_number().over(W.partitionBy(by).orderBy(*first, F.desc("peak"), F.desc("area"), "label"))
-    return regions.withColumn("rank", rank).filter(F.col("rank") <= most).withColumn("region_id", F.format_string(prefix + "%03d", "rank"))
+#: Orders of an image's regions, first column first: by evidence, after verification, by area alone, and boundaries by area. "interior" is 1 or 0.
+ORDERS = {
+    "evidence": ("interior", "peak", "area"),
+    "verified": ("interior", "priority_rank", "crop_distance", "peak", "area"),
+    "area": ("area",),
+}
+
+
+def rank_regions(regions: DataFrame, by: str, most: int, interior: Column | None = None, prefix: str = "R-", order: str = "evidence") -> DataFrame:
+    """The first `most` regions of each image, greatest first in one of ORDERS (nulls last), then by label; with region_id. Boundaries are ranked with order "area" and prefix "B-"."""
+    rows = regions.withColumn("interior", F.when(interior, 1).otherwise(0)) if interior is not None else regions
+    columns = [c for c in ORDERS[order] if c != "interior" or interior is not None]
+    rank = F.row_number().over(W.partitionBy(by).orderBy(*[F.desc(c) for c in columns], "label"))
+    ranked = rows.withColumn("rank", rank).filter(F.col("rank") <= most).withColumn("region_id", F.format_string(prefix + "%03d", "rank"))
+    return ranked.drop("interior") if interior is not None else ranked
+
+
+def priority_rank(priority: Column) -> Column:
+    """2, 1, 0 for HIGH, REVIEW, LOW; null if not verified."""
+    return F.when(priority == "HIGH", 2).when(priority == "REVIEW", 1).when(priority == "LOW", 0)
+
+
+def largest_mask(masks: DataFrame, by: str) -> DataFrame:
+    """Of each image the mask of the greatest (score, ratio)."""
+    return masks.groupBy(by).agg(F.max_by(F.struct(*[c for c in masks.columns if c != by]), F.struct("score", "ratio")).alias("m")).select(by, "m.*")
+
+
+def tile_pairs(current: DataFrame, reference: DataFrame, on: str, distance: str = "distance") -> DataFrame:
+    """(on, tiles, score): mean of per-tile distances of two tilings (on, x, y, side, vector), which must have the same tiles; else the query fails."""
+    keys = [on, "x", "y", "side"]
+    both = current.select(*keys, F.col("vector").alias("_a")).join(reference.select(*keys, F.col("vector").alias("_b")), keys, "full_outer")
+    lone = F.raise_error(F.concat(F.lit("TILE_WITHOUT_PARTNER "), F.col(on).cast("string")))
+    d = F.when(F.col("_a").isNull() | F.col("_b").isNull(), lone).otherwise(cosine_distance(F.col("_a"), F.col("_b")))
+    return both.withColumn(distance, d).groupBy(on).agg(F.count("*").alias("tiles"), F.avg(distance).alias("score"))
+
+
+def intruding(rois: DataFrame, protected: DataFrame, on: str) -> DataFrame:
+    """Regions of interest that share area with a protected one of the same image; none if the two are disjoint."""
+    return touching(rois, protected, on)
 
 
 def touching(boxes: DataFrame, regions: DataFrame, on: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Running totals, order statistics and hash ranks that no single task has to hold a whole group for.
 
-A group is dealt to bins along its order. Bins are summed, their sums are accumulated (a few rows a group), and rows are accumulated within a bin only; so a
-category with a third of all rows is spread over as many tasks as it has bins.
+Rows are sorted across tasks by group and order, so a category with a third of all rows, whatever its values, is spread over as many tasks as its rows need.
+Tasks are summed by group (a few rows), and rows are accumulated within a group and task only.
 """
 
 from __future__ import annotations
@@ -11,56 +11,62 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-BINS = 1024
+from ..sources.scratch import materialize
 
 
-def _accumulated(rows: DataFrame, by: Sequence[str], order: Sequence[Column], values: Sequence[str]) -> DataFrame:
-    """rows, which have a column _bin, with <value>_before for each value: its sum over the rows of the group that come earlier."""
-    before_bin = W.partitionBy(*by).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
-    starts = rows.groupBy(*by, "_bin").agg(*[F.sum(v).alias(f"_{v}") for v in values])
-    starts = starts.select(*by, "_bin", *[F.coalesce(F.sum(f"_{v}").over(before_bin), F.lit(0)).alias(f"_{v}") for v in values])
-    within = W.partitionBy(*by, "_bin").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumns({f"{v}_before": F.coalesce(F.sum(v).over(within), F.lit(0)) for v in values}).join(starts, [*by, "_bin"])
-    return rows.withColumns({f"{v}_before": F.col(f"{v}_before") + F.col(f"_{v}") for v in values}).drop("_bin", *[f"_{v}" for v in values])
+def range_sorted(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """rows as a table sorted by order across tasks, with _at, which grows along the order, and _task (its upper bits)."""
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    return materialize(placed.withColumn("_task", F.shiftright("_at", 33).cast("int")), name)
 
 
-def running_totals(rows: DataFrame, by: Sequence[str], order: str, values: Sequence[str], bins: int = BINS) -> DataFrame:
-    """rows with <value>_before: sums over rows of a smaller `order`, a finite number that is unique within a group. Groups (by) must not be null."""
-    low_high = rows.groupBy(*by).agg(F.min(F.col(order).cast("double")).alias("_low"), F.max(F.col(order).cast("double")).alias("_high"))
-    at = (F.col(order).cast("double") - F.col("_low")) / (F.col("_high") - F.col("_low")) * bins
-    rows = rows.join(low_high, list(by)).withColumn("_bin", F.when(F.col("_high") > F.col("_low"), F.floor(at)).otherwise(0).cast("long")).drop("_low", "_high")
-    return _accumulated(rows, by, [F.col(order)], values)
+def running_totals(rows: DataFrame, by: Sequence[str], order: str | Sequence[str], values: Sequence[str]) -> DataFrame:
+    """rows with <value>_before: sums over the rows of the group that come earlier. order is unique within a group; groups (by) must not be null."""
+    placed = range_sorted(rows, [*by, *([order] if isinstance(order, str) else order)], "running")
+    before_task = W.partitionBy(*by).orderBy("_task").rowsBetween(W.unboundedPreceding, -1)
+    starts = placed.groupBy(*by, "_task").agg(*[F.sum(v).alias(f"_{v}") for v in values])
+    starts = starts.select(*by, "_task", *[F.coalesce(F.sum(f"_{v}").over(before_task), F.lit(0)).alias(f"_{v}") for v in values])
+    within = W.partitionBy(*by, "_task").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    summed = placed.withColumns({f"{v}_before": F.coalesce(F.sum(v).over(within), F.lit(0)) for v in values}).join(starts, [*by, "_task"])
+    return summed.withColumns({f"{v}_before": F.col(f"{v}_before") + F.col(f"_{v}") for v in values}).drop("_task", "_at", *[f"_{v}" for v in values])
 
 
 def hash_rank(rows: DataFrame, by: Sequence[str], rank_hex: str, ties: Sequence[str] = ()) -> DataFrame:
-    """rows with rank, 0 for the first by a hexadecimal digest, then by ties. The digest's first digits are the bins: they are even by nature."""
-    rows = rows.withColumn("_bin", F.substring(rank_hex, 1, 3)).withColumn("_one", F.lit(1).cast("long"))
-    out = _accumulated(rows, by, [F.col(rank_hex), *[F.col(t) for t in ties]], ["_one"])
+    """rows with rank, 0 for the first by a hexadecimal digest, then by ties."""
+    out = running_totals(rows.withColumn("_one", F.lit(1).cast("long")), by, [rank_hex, *ties], ["_one"])
     return out.withColumn("rank", F.col("_one_before")).drop("_one", "_one_before")
 
 
 def positions(n: Column) -> dict[str, tuple[Column, Column, Column]]:
     """For each definition of a quantile: lower and upper position (0-based) and the weight of the upper.
 
-    p95: nearest rank; upper_median: sorted[n // 2]; median and q95: linear between neighbours. They differ on purpose.
+    p95: nearest rank; upper_median: sorted[n // 2]; median, q05 and q95: linear between neighbours. They differ on purpose.
     """
     rank = F.greatest(F.ceil(n * F.lit(0.95)) - 1, F.lit(0))
     whole = lambda p: F.floor((n - 1) * F.lit(p))
     linear = lambda p: (whole(p), F.least(whole(p) + 1, n - 1), (n - 1) * F.lit(p) - whole(p))
-    return {"p95": (rank, rank, F.lit(0.0)), "upper_median": (F.floor(n / 2), F.floor(n / 2), F.lit(0.0)), "median": linear(0.5), "q95": linear(0.95)}
+    return {"p95": (rank, rank, F.lit(0.0)), "upper_median": (F.floor(n / 2), F.floor(n / 2), F.lit(0.0)), "median": linear(0.5), "q05": linear(0.05), "q95": linear(0.95)}
 
 
-def order_statistics(rows: DataFrame, by: Sequence[str], value: str, wanted: Mapping[str, str], bins: int = BINS) -> DataFrame:
+def value_counts(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """(by, value, _n) of values that aren't null."""
+    return rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+
+
+def order_statistics(rows: DataFrame, by: Sequence[str], value: str, wanted: Mapping[str, str]) -> DataFrame:
     """One row for each group: by, n, and each wanted name's quantile (a key of positions()), exact; nulls aren't counted."""
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    counts = running_totals(counts, by, value, ["_n"], bins)
-    totals = counts.groupBy(*by).agg(F.sum("_n").alias("n"))
-    placed = counts.join(totals, list(by))
+    return quantiles_of_counts(value_counts(rows, by, value), by, value, wanted)
+
+
+def quantiles_of_counts(counts: DataFrame, by: Sequence[str], value: str, wanted: Mapping[str, str]) -> DataFrame:
+    """As order_statistics, of rows (by, value, _n)."""
+    counts = running_totals(counts, by, value, ["_n"])
+    placed = counts.join(counts.groupBy(*by).agg(F.sum("_n").alias("n")), list(by))
     spots = positions(F.col("n"))
     here = lambda at: (F.col("_n_before") <= at) & (at < F.col("_n_before") + F.col("_n"))
     found = []
     for name, kind in wanted.items():
         low, high, weight = spots[kind]
         a, b = F.max(F.when(here(low), F.col(value))), F.max(F.when(here(high), F.col(value)))
-        found.append((a + (b - a) * F.max(weight)).alias(name) if kind in ("median", "q95") else a.alias(name))
+        found.append((a + (b - a) * F.max(weight)).alias(name) if kind in ("median", "q05", "q95") else a.alias(name))
     return placed.groupBy(*by).agg(F.max("n").alias("n"), *found)

@@ -1,7 +1,8 @@
 """Nearest-neighbour scoring in blocks.
 
 Queries and banks are dealt by hash to blocks of a bounded number of vectors within their category; every query block meets every bank block of its category,
-one matrix product each, and the least distances are combined. Blocks spread a large category over tasks, and no task holds more than two.
+one matrix product each, and the least distances are combined. SHARE query blocks meet a bank block in one place, so a category is spread over as many tasks as it has such
+shares and bank blocks, and no task holds more than two blocks at a time.
 """
 
 from __future__ import annotations
@@ -12,16 +13,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-BLOCK = 1024
+#: Vectors of a block, and query blocks that meet a bank block in one place.
+BLOCK, SHARE = 1024, 8
+#: References of an artifact, which are broadcast.
+MAX_REFERENCES = 4096
 
 
 def _blocks(rows: DataFrame, by: str, key: str, vector: str, size: int, prefix: str) -> DataFrame:
-    """(by, <prefix>_keys, <prefix>_vectors): about size rows in each."""
+    """(by, <prefix>_block, <prefix>_keys, <prefix>_vectors): about size rows in each block, which are numbered from 0."""
     n = rows.groupBy(by).agg(F.ceil(F.count("*") / size).alias("_blocks"))
     dealt = rows.join(n, by).withColumn("_block", F.pmod(F.xxhash64(key), F.col("_blocks")))
     packed = dealt.groupBy(by, "_block").agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col(vector).alias("v"))).alias("p"))
-    return packed.select(by, F.transform("p", lambda x: x["k"]).alias(f"{prefix}_keys"), F.flatten(F.transform("p", lambda x: F.transform(x["v"], lambda y: y.cast("double")))).alias(f"{prefix}_vectors"))
+    return packed.select(by, F.col("_block").alias(f"{prefix}_block"), F.transform("p", lambda x: x["k"]).alias(f"{prefix}_keys"), F.flatten(F.transform("p", lambda x: F.transform(x["v"], lambda y: y.cast("double")))).alias(f"{prefix}_vectors"))
 
 
 def unit_rows(flat: np.ndarray, count: int) -> np.ndarray:
@@ -43,7 +48,13 @@ def nearest(queries: DataFrame, bank: DataFrame, by: str, key: str, vector: str,
     if block < 1:
         raise ValueError("block must be positive")
     kind, bank_kind = queries.schema[key].dataType.simpleString(), bank.schema[key].dataType.simpleString()
-    pairs = _blocks(queries, by, key, vector, block, "q").join(_blocks(bank, by, key, vector, block, "b"), by)
+    q, b = _blocks(queries, by, key, vector, block, "q"), _blocks(bank, by, key, vector, block, "b")
+    shares = queries.groupBy(by).agg(F.ceil(F.ceil(F.count("*") / block) / SHARE).alias("_shares"))
+    blocks = bank.groupBy(by).agg(F.ceil(F.count("*") / block).alias("_blocks"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    q = q.withColumn("_share", F.floor(F.col("q_block") / SHARE)).join(blocks, by).withColumn("_at", upto("_blocks")).drop("_blocks", "q_block")
+    b = b.join(shares, by).withColumn("_share", upto("_shares")).withColumnRenamed("b_block", "_at").drop("_shares")
+    pairs = q.join(b, [by, "_share", "_at"]).drop("_share", "_at")
     group = queries.schema[by].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,11 +93,34 @@ def patch_scores(queries: DataFrame, bank: DataFrame, by: str, case: str, top_k:
     return grids.select(by, case, checked.alias("score"), F.get("d", F.lit(0)).alias("max_patch_distance"), (total(F.col("d")) / F.size("d")).alias("mean_patch_distance"))
 
 
-def reference_summary(distances: DataFrame, case: str, reference: str, distance: str, nearest_only: bool = False) -> DataFrame:
-    """Of each case's distances to the references: nearest_id (the smallest id among equals), nearest_distance, global_distance (their mean, or the nearest), uncertainty."""
-    agg = distances.groupBy(case).agg(F.min_by(reference, F.struct(distance, reference)).alias("nearest_id"), F.min(distance).alias("nearest_distance"), F.avg(distance).alias("mean"), F.max(distance).alias("most"))
+def distances_to_references(rows: DataFrame, references: DataFrame, case: str, vector: str, reference: str) -> DataFrame:
+    """(case, nearest_id, nearest_distance, mean, most) of cosine distances to all references, at most MAX_REFERENCES vectors that are broadcast; the smallest id among equals."""
+    known = references.select(reference, vector).orderBy(reference).limit(MAX_REFERENCES + 1).collect()
+    if len(known) > MAX_REFERENCES:
+        raise ValueError(f"an artifact has at most {MAX_REFERENCES} references")
+    ids = [r[0] for r in known]
+    sent = rows.sparkSession.sparkContext.broadcast((ids, unit_rows(np.array([r[1] for r in known], float).ravel(), len(known)) if known else None))
+    kinds = rows.schema[case].dataType.simpleString(), references.schema[reference].dataType.simpleString()
+    arrow = to_arrow_type(references.schema[reference].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, bank = sent.value
+        for batch in batches:
+            if not batch.num_rows or bank is None:
+                continue
+            column = batch.column(1)
+            distances = np.clip(1.0 - unit_rows(column.flatten().to_numpy(zero_copy_only=False).astype(float), batch.num_rows) @ bank.T, 0.0, 2.0)
+            least = distances.argmin(axis=1)
+            found = [pa.array([ids[i] for i in least], type=arrow), pa.array(distances.min(axis=1)), pa.array(distances.mean(axis=1)), pa.array(distances.max(axis=1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *found], names=[case, "nearest_id", "nearest_distance", "mean", "most"])
+
+    return rows.select(case, vector).mapInArrow(run, f"`{case}` {kinds[0]}, nearest_id {kinds[1]}, nearest_distance double, mean double, most double")
+
+
+def summarised(found: DataFrame, case: str, nearest_only: bool = False) -> DataFrame:
+    """(case, nearest_id, nearest_distance, global_distance, uncertainty) of what distances_to_references gives."""
     spread = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("most") - F.col("nearest_distance")))
-    return agg.select(case, "nearest_id", "nearest_distance", (F.col("nearest_distance") if nearest_only else F.col("mean")).alias("global_distance"), spread.alias("uncertainty"))
+    return found.select(case, "nearest_id", "nearest_distance", (F.col("nearest_distance") if nearest_only else F.col("mean")).alias("global_distance"), spread.alias("uncertainty"))
 
 
 def mean_vectors(rows: DataFrame, by: str, vector: str) -> DataFrame:

@@ -52,36 +52,29 @@ deltas AS (
   FROM one a JOIN two b USING (case_id))"""
 
 
-def _candidate(size: int) -> str:
-    x = P95.format(x="s.score")
-    return f"""
-m{size} AS (
-  SELECT 'bank-{size:02d}' AS candidate_id, category, count(*) FILTER (s.score > threshold) / count(*) AS above_rate, round({x} - max(threshold), 6) AS p95_minus_threshold, round(max(s.score) - max(threshold), 6) AS maximum_minus_threshold
-  FROM s{size} s JOIN (SELECT category, max(score) AS threshold FROM s{size} WHERE role = 'THRESHOLD_TUNING' GROUP BY 1) USING (category)
-  WHERE role = 'BLIND' AND kind = 'NOMINAL' GROUP BY category)"""
-
+def _median(x: str) -> str:
+    return f"round(quantile_cont({x}, 0.5), 6)"
 
-def _select() -> str:
-    sizes = (4, 8, 16)
-    parts = ", ".join(f"{spaced('fit', 'case_id', n, f'b{n}')}, {scores(f'b{n}', f's{n}')}, {_candidate(n)}" for n in sizes)
-    union = " UNION ALL ".join(f"SELECT * FROM m{n}" for n in sizes)
-    gate = "CASE WHEN {m} > {limit} THEN category || '.{m}' END"
-    gates = ", ".join(gate.format(m=m, limit=limit) for m, limit in (("above_rate", 0.25), ("p95_minus_threshold", 0.02), ("maximum_minus_threshold", 0.05)))
-    return f"""WITH {CASES}, {FIT}, {parts},
-everything AS ({union}),
-gated AS (SELECT *, list_filter([{gates}], lambda x: x IS NOT NULL) AS why FROM everything),
-judged AS (
-  SELECT candidate_id, array_to_string(flatten(list(why ORDER BY category)), ',') AS reasons, max(above_rate) AS worst_above_rate, avg(above_rate) AS mean_above_rate,
-         max(p95_minus_threshold) AS worst_p95_excess, avg(p95_minus_threshold) AS mean_p95_excess FROM gated GROUP BY 1),
-winner AS (SELECT candidate_id AS w FROM judged WHERE reasons = '' ORDER BY worst_above_rate, mean_above_rate, worst_p95_excess, mean_p95_excess, candidate_id LIMIT 1)
-SELECT candidate_id, reasons = '' AS passed, reasons, round(worst_above_rate, 6) AS worst_above_rate, round(mean_above_rate, 6) AS mean_above_rate, round(worst_p95_excess, 6) AS worst_p95_excess,
-       round(mean_p95_excess, 6) AS mean_p95_excess,
-       CASE WHEN EXISTS (SELECT 1 FROM winner) THEN 'RESEARCH_CONFIGURATION_LOCKED' ELSE 'NO_ELIGIBLE_CONFIGURATION' END AS state, candidate_id IS NOT DISTINCT FROM (SELECT w FROM winner) AS selected
-FROM judged"""
+def _affine_fits() -> str:
+    """Four passes, each a fit, the median of its residuals, and their median distance to it."""
+    parts = ["p0 AS (SELECT o_custkey AS image, CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y, true AS kept FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL)"]
+    for k in range(4):
+        before = f" OR (SELECT poor FROM f{k - 1} g WHERE g.image = p.image)" if k else ""
+        parts.append(f"f{k} AS (SELECT image, regr_slope(y, x) FILTER (kept) AS slope, regr_intercept(y, x) FILTER (kept) AS intercept, count(*) FILTER (kept) < 16 OR coalesce(max(x) FILTER (kept) <= min(x) FILTER (kept), true){before} AS poor FROM p{k} p GROUP BY image)")
+        if k < 3:
+            parts.append(f"r{k} AS (SELECT p.*, y - (slope * x + intercept) AS off FROM p{k} p JOIN f{k} USING (image) WHERE NOT poor)")
+            parts.append(f"m{k} AS (SELECT image, quantile_cont(off, 0.5) FILTER (kept) AS middle FROM r{k} GROUP BY 1)")
+            parts.append(f"d{k} AS (SELECT r.*, abs(off - middle) AS far FROM r{k} r JOIN m{k} USING (image))")
+            parts.append(f"s{k} AS (SELECT image, quantile_cont(far, 0.5) FILTER (kept) AS spread FROM d{k} GROUP BY 1)")
+            parts.append(f"p{k + 1} AS (SELECT image, x, y, CASE WHEN spread <= 1e-12 THEN kept ELSE far <= greatest(3.5 * 1.4826::DOUBLE * spread, 1e-10) END AS kept FROM d{k} JOIN s{k} USING (image))")
+    return f"WITH {', '.join(parts)} SELECT i.image, CASE WHEN NOT poor AND slope > 0 THEN round(slope, 6) END AS slope, CASE WHEN NOT poor AND slope > 0 THEN round(intercept, 6) END AS intercept FROM (SELECT DISTINCT image FROM p0) i LEFT JOIN f3 USING (image)"
 
 
-def _median(x: str) -> str:
-    return f"round(quantile_cont({x}, 0.5), 6)"
+def _starts(at: str, length: str) -> str:
+    stride = "(0.7 * seen)"
+    last = f"greatest(ceil(({length} - seen) / {stride}) - 1, 0)"
+    closing = f"CASE WHEN {at} + {length} - seen - ({at} + {last} * {stride}) > 1e-6 THEN [{at} + {length} - seen] ELSE [] END"
+    return f"CASE WHEN {length} <= seen THEN [{at} + ({length} - seen) / 2] ELSE list_concat(list_transform(range(0, CAST({last} AS BIGINT) + 1), lambda i: {at} + i * {stride}), {closing}) END"
 
 
 ORACLES: dict[str, str] = {
@@ -102,9 +95,10 @@ SELECT category, part, count(*) AS n, {UPPER.format(x="score")} AS median, {P95.
     "image_auroc": AUROC.format(by="lang", x="n_chars", positive="toxic = 1", source=LABELLED),
     "binned_auroc": AUROC.format(by="lang", x="n_chars // 100", positive="toxic = 1", source=LABELLED),
     "confusion_by_family": """
-WITH e AS (SELECT event_id, user_id % 5 AS category, event_type, value FROM events),
-limits AS (SELECT category, max(value) / 4 AS threshold FROM e WHERE event_id % 97 = 0 GROUP BY 1),
-j AS (SELECT * FROM e JOIN limits USING (category) WHERE event_id % 97 <> 0),
+WITH e AS (SELECT event_id, user_id % 5 AS category, event_type, value, count(*) OVER (PARTITION BY user_id % 5) AS n,
+  row_number() OVER (PARTITION BY user_id % 5 ORDER BY sha256('calibration|' || event_id), event_id) - 1 AS r FROM events WHERE value IS NOT NULL),
+limits AS (SELECT category, max(value) / 4 AS threshold FROM e WHERE r * 20 < n GROUP BY 1),
+j AS (SELECT * FROM e JOIN limits USING (category) WHERE r * 20 >= n),
 nominal AS (SELECT category, count(*) FILTER (value > threshold) AS fp, count(*) FILTER (value <= threshold) AS tn FROM j WHERE event_id % 2 = 0 GROUP BY 1),
 own AS (SELECT category, event_type, count(*) FILTER (value > threshold) AS tp, count(*) FILTER (value <= threshold) AS fn FROM j WHERE event_id % 2 = 1 GROUP BY 1, 2),
 m AS (SELECT category, event_type, tp, coalesce(fp, 0) AS fp, fn, coalesce(tn, 0) AS tn FROM own LEFT JOIN nominal USING (category)),
@@ -160,10 +154,9 @@ SELECT category, count(*) AS cases, round(avg(delta), 6) AS mean, {_median("delt
        round(max(c2.auroc) - max(c1.auroc), 6) AS auroc_delta, round(max(c) - max(b), 6) AS threshold_delta
 FROM deltas JOIN t USING (category) JOIN c1 USING (category) JOIN c2 USING (category) GROUP BY category""",
     "report_defects": f"{REPORTS} SELECT category, defect, count(*) AS cases, round(avg(delta), 6) AS mean, {_median('delta')} AS median FROM deltas WHERE role = 'BLIND' AND kind = 'ANOMALY' GROUP BY 1, 2",
-    "gate_and_select": _select(),
     "coverage_violations": """
 WITH expected AS (SELECT user_id, event_type FROM (SELECT DISTINCT user_id FROM events), (SELECT DISTINCT event_type FROM events)),
-seen AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_id % 4 = 0 GROUP BY 1, 2)
+seen AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2)
 SELECT user_id, event_type, CASE WHEN n IS NULL THEN 'MISSING' ELSE 'DUPLICATE' END AS problem FROM expected LEFT JOIN seen USING (user_id, event_type) WHERE n IS NULL OR n > 1""",
     "mean_references": "SELECT label, CAST(i AS BIGINT) AS i, round(avg(x), 6) AS x FROM (SELECT label, unnest(range(64)) AS i, unnest(embedding::DOUBLE[]) AS x FROM embeddings) GROUP BY 1, 2",
     "nearest_reference": f"""
@@ -204,4 +197,24 @@ SELECT category, round(sum((x1 - x0) * share * (y0 + y0 + share * (y1 - y0)) / 2
 SELECT vec_id AS case_id, k AS variant_id, vec_id || '/augmented/' || lpad(CAST(k AS VARCHAR), 2, '0') AS child_case_id,
        CAST(CAST('0x' || substr(sha256('recipe' || chr(0) || vec_id || chr(0) || sha256(CAST(vec_id AS VARCHAR)) || chr(0) || k), 1, 16) AS UBIGINT) AS VARCHAR) AS seed
 FROM embeddings, range(1, 4) t(k)""",
+    "roi_tiles": f"""WITH {BOXES},
+r AS (SELECT p_partkey, x * 2.0::DOUBLE AS x, y * 2.0::DOUBLE AS y, width * 2.0::DOUBLE AS w, height * 2.0::DOUBLE AS h, ceil(least(384, 1280, 960, greatest(224.0, 1.25 * least(width * 2.0::DOUBLE, height * 2.0::DOUBLE)))) AS side FROM boxes),
+s AS (SELECT *, side * 224 / 256.0 AS seen, (side - side * 224 / 256.0) / 2 AS edge FROM r),
+a AS (SELECT p_partkey, side, edge, unnest({_starts("x", "w")}) AS ax, {_starts("y", "h")} AS ys FROM s),
+b AS (SELECT p_partkey, side, edge, ax, unnest(ys) AS ay FROM a),
+t AS (SELECT DISTINCT p_partkey, CAST(greatest(0, least(1280 - side, round_even(ax - edge, 0))) AS INTEGER) AS x, CAST(greatest(0, least(960 - side, round_even(ay - edge, 0))) AS INTEGER) AS y, CAST(side AS INTEGER) AS side FROM b)
+SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY y, x, side) - 1 AS INTEGER) AS n, x, y, side FROM t""",
+    "difference_regions": """
+WITH RECURSIVE cells AS (SELECT vec_id, i // 8 AS r, i % 8 AS c, i, embedding[i + 1]::DOUBLE AS v FROM embeddings, range(64) t(i) WHERE embedding[i + 1]::DOUBLE >= 0.1),
+reach AS (
+  SELECT vec_id, i AS a, i AS b FROM cells
+  UNION SELECT x.vec_id, x.a, z.i FROM reach x JOIN cells y ON y.vec_id = x.vec_id AND y.i = x.b JOIN cells z ON z.vec_id = y.vec_id AND abs(z.r - y.r) <= 1 AND abs(z.c - y.c) <= 1),
+least AS (SELECT vec_id, b AS i, min(a) AS first FROM reach GROUP BY 1, 2),
+found AS (SELECT vec_id, first, count(*) AS area, min(c) AS x, min(r) AS y, max(c) - min(c) + 1 AS width, max(r) - min(r) + 1 AS height, least(1, greatest(0, max(v) / 2)) AS peak, least(1, greatest(0, avg(v) / 2)) AS mean
+  FROM cells JOIN least USING (vec_id, i) GROUP BY 1, 2),
+named AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY first) AS label FROM found),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY peak DESC, area DESC, label) AS rank FROM named)
+SELECT vec_id, CAST(label AS INTEGER) AS label, CAST(area AS INTEGER) AS area, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(width AS INTEGER) AS width, CAST(height AS INTEGER) AS height, round(peak, 6) AS peak, round(mean, 6) AS mean,
+  CAST(rank AS INTEGER) AS rank, 'R-' || lpad(CAST(rank AS VARCHAR), 3, '0') AS region_id FROM ranked WHERE rank <= 3""",
+    "affine_fits": _affine_fits(),
 }

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions.digests import rank_hex
 from ..functions.geometry import tiles_of
-from ..operators import augment, banks, cohort, deltas, depth, metrics, observe, regions, running, scoring, selection
+from ..operators import augment, banks, cohort, deltas, depth, metrics, observe, regions, running, scoring
+from ..sources.scratch import materialize
+from . import checks, runs
 from .adapters import cases, knn_scores, lines, patch_cases, scored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
-GATES = {"above_rate": 0.25, "p95_minus_threshold": 0.02, "maximum_minus_threshold": 0.05}
-BANK_SIZES = (4, 8, 16)
 RANGES = [("rotation", -4.0, 4.0), ("scale", -0.05, 0.05), ("exposure", -0.5, 0.5)]
 
 
@@ -55,9 +55,11 @@ def binned_auroc(s: SparkSession, d: str) -> DataFrame:
 
 
 def confusion_by_family(s: SparkSession, d: str) -> DataFrame:
-    rows = _events(s, d).withColumn("category", F.col("user_id") % 5)
-    limits = rows.filter("event_id % 97 = 0").groupBy("category").agg((F.max("value") / 4).alias("threshold"))
-    joined = rows.filter("event_id % 97 <> 0").join(limits, "category")
+    """A twentieth of each category's events, the first by hash, calibrates its threshold; the rest is judged."""
+    rows = _events(s, d).filter("value is not null").withColumn("category", F.col("user_id") % 5).withColumn("rank_hex", rank_hex(F.lit("calibration"), F.col("event_id"), separator="|"))
+    rows = materialize(cohort.roles_by_share(rows, ["category"], "rank_hex", ["event_id"], {"CALIBRATION": 1, "JUDGED": 19}, of=20), "judged-events")
+    limits = rows.filter("role = 'CALIBRATION'").groupBy("category").agg((F.max("value") / 4).alias("threshold"))
+    joined = rows.filter("role = 'JUDGED'").join(limits, "category")
     out = metrics.confusion_by_family(joined, "category", "event_type", F.col("event_id") % 2 == 1, F.col("value") > F.col("threshold"))
     return _rounded(out, "precision", "recall", "f1")
 
@@ -111,12 +113,12 @@ def role_disjointness(s: SparkSession, d: str) -> DataFrame:
 
 
 def paired_delta_grouping_sets(s: SparkSession, d: str) -> DataFrame:
-    out = deltas.delta_quantiles(lines(s, d), [["category"], ["category", "variant"]], ["category", "variant"])
+    out = deltas.delta_quantiles(materialize(lines(s, d), "lines"), [["category"], ["category", "variant"]], ["category", "variant"])
     return _rounded(out, "p95", "max").withColumn("variant", F.coalesce("variant", F.lit(0)))  # 0: all variants
 
 
 def delta_summary(s: SparkSession, d: str) -> DataFrame:
-    return _rounded(deltas.delta_summary(lines(s, d), ["category"]), "mean", "median", "minimum", "maximum", "positive_rate")
+    return _rounded(deltas.delta_summary(materialize(lines(s, d), "lines"), ["category"]), "mean", "median", "minimum", "maximum", "positive_rate")
 
 
 def stress_multi_grain(s: SparkSession, d: str) -> DataFrame:
@@ -151,24 +153,9 @@ def report_defects(s: SparkSession, d: str) -> DataFrame:
     return _rounded(_reports(s, d)[2], "mean", "median")
 
 
-def gate_and_select(s: SparkSession, d: str) -> DataFrame:
-    rows, found = cases(s, d), None
-    for size in BANK_SIZES:
-        bank = banks.evenly_spaced(rows.filter("role = 'FIT'"), "category", "case_id", size)
-        scores = scored(rows, bank)
-        limits = metrics.thresholds(scores.filter("role = 'THRESHOLD_TUNING'"))
-        own = metrics.against_thresholds(scores.filter("role = 'BLIND' AND kind = 'NOMINAL'"), limits).withColumn("candidate_id", F.lit(f"bank-{size:02d}"))
-        own = _rounded(own, "p95_minus_threshold", "maximum_minus_threshold")
-        found = own if found is None else found.unionByName(own)
-    judged = selection.evaluate(found, GATES, selection.FRESH)
-    chosen = judged.join(F.broadcast(selection.choose(judged, selection.FRESH)), F.lit(True))
-    out = chosen.select("candidate_id", "passed", F.array_join("reasons", ",").alias("reasons"), *[n for n, _, _ in selection.FRESH], "state", F.col("candidate_id").eqNullSafe(F.col("selected")).alias("selected"))
-    return _rounded(out, *[n for n, _, _ in selection.FRESH])
-
-
 def coverage_violations(s: SparkSession, d: str) -> DataFrame:
     rows = _events(s, d)
-    seen = rows.filter("event_id % 4 = 0").select("user_id", "event_type")
+    seen = rows.select("user_id", "event_type")
     return cohort.coverage(rows.select("user_id"), rows.select("event_type"), seen, "user_id", "event_type")
 
 
@@ -208,7 +195,7 @@ def roi_tiles(s: SparkSession, d: str) -> DataFrame:
 
 def difference_regions(s: SparkSession, d: str) -> DataFrame:
     found = regions.components(table(s, d, "embeddings"), "vec_id", "embedding", 8, 0.1)
-    return regions.rank_regions(found, "vec_id", 3)
+    return _rounded(regions.rank_regions(found, "vec_id", 3), "peak", "mean")
 
 
 def densest_window(s: SparkSession, d: str) -> DataFrame:
@@ -218,7 +205,7 @@ def densest_window(s: SparkSession, d: str) -> DataFrame:
 def affine_fits(s: SparkSession, d: str) -> DataFrame:
     """Totals against line prices of each clerk-sized group of customers."""
     rows = table(s, d, "orders").join(table(s, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("image"), "l_quantity", "l_extendedprice")
-    return depth.affine_fits(rows, "image", "l_quantity", "l_extendedprice")
+    return _rounded(depth.affine_fits(rows, "image", "l_quantity", "l_extendedprice"), "slope", "intercept")
 
 
 def content_duplicates(s: SparkSession, d: str) -> DataFrame:
@@ -255,8 +242,10 @@ QUERIES: dict[str, Query] = {
         for f in (
             calibrated_thresholds, blind_metric_summary, normal_calibration_summary, image_auroc, binned_auroc, confusion_by_family, evenly_spaced_bank, stratified_bank, patch_knn,
             quota_allocation, history_group_anti_join, history_counts, role_disjointness, paired_delta_grouping_sets, delta_summary, stress_multi_grain, nuisance_contrast,
-            report_case_deltas, report_categories, report_defects, gate_and_select, coverage_violations, mean_references, nearest_reference, still_gate, touching_regions,
+            report_case_deltas, report_categories, report_defects, coverage_violations, mean_references, nearest_reference, still_gate, touching_regions,
             roi_tiles, difference_regions, densest_window, affine_fits, content_duplicates, score_quantiles, aupro, augmentation_plan, augmentation_parameters,
         )
     },
+    **runs.QUERIES,
+    **checks.QUERIES,
 }

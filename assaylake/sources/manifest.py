@@ -58,13 +58,14 @@ def read_partitions(spark: SparkSession, path: str, partitions: Sequence[str], c
     return spark.read.option("basePath", path).parquet(*[f"{path}/{column}={p}" for p in partitions])
 
 
-def read_pool(spark: SparkSession, pattern: str, metadata: DataFrame, path: str = "source_remote_path", digest: str = "expected_remote_sha256", size: str = "expected_remote_bytes") -> DataFrame:
-    """metadata with actual_sha256 and intact, by hashing the files of a glob pattern; a missing file isn't intact."""
-    files = spark.read.format("binaryFile").load(pattern).select(F.col("path").alias("_path"), F.sha2("content", 256).alias("actual_sha256"), F.col("length").alias("_bytes"))
-    keyed = files.withColumn("_name", F.element_at(F.split("_path", "/"), -1))
-    joined = metadata.join(keyed, F.element_at(F.split(F.col(path), "/"), -1) == F.col("_name"), "left")
+def read_pool(spark: SparkSession, root: str, metadata: DataFrame, path: str = "source_remote_path", digest: str = "expected_remote_sha256", size: str = "expected_remote_bytes") -> DataFrame:
+    """metadata with actual_sha256 and intact, by hashing the files below root; path is relative to root. A missing file isn't intact."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.col("path").alias("_path"), F.sha2("content", 256).alias("actual_sha256"), F.col("length").alias("_bytes"))
+    below = root.split("://", 1)[-1].removeprefix("file:").rstrip("/") + "/"
+    keyed = files.withColumn("_name", F.expr("substring(_path, instr(_path, below) + length(below))".replace("below", repr(below))))
+    joined = metadata.join(keyed.drop("_path"), F.col(path) == F.col("_name"), "left")
     intact = (F.concat(F.lit("sha256:"), F.col("actual_sha256")) == F.col(digest)) & (F.col("_bytes") == F.col(size))
-    return joined.withColumn("intact", F.coalesce(intact, F.lit(False))).drop("_path", "_name", "_bytes")
+    return joined.withColumn("intact", F.coalesce(intact, F.lit(False))).drop("_name", "_bytes")
 
 
 def read_ledger(spark: SparkSession, path: str, column: str = "normal_source_sha256") -> DataFrame:

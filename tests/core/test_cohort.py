@@ -93,3 +93,34 @@ def test_digests(spark):
     assert r[0] == str(int.from_bytes(hashlib.sha256(b"x\x001").digest()[:8], "big")) and r[1] == 2.67 and list(r)[2:] == [True, False, False, False]
     with pytest.raises(Exception, match="RANK_MATERIAL_NULL"):
         spark.range(1).select(rank_hex(F.lit("a"), F.lit(None))).collect()
+
+
+def test_sets_and_policies(spark):
+    rows = spark.createDataFrame([(1, "x"), (2, "y"), (3, None), (4, "x")], "k int, d string")
+    ledger = spark.createDataFrame([("x",), ("x",), (None,)], "d string")
+    assert {r["k"] for r in cohort.drop_known(rows, ledger, "d").collect()} == {2, 3}
+    expected = spark.createDataFrame([("a", 2), ("b", 1), ("c", 1)], "c string, expected long")
+    of = rows.withColumn("c", F.when(F.col("k") < 4, "a").otherwise("b"))
+    assert {tuple(r) for r in cohort.remaining_violations(of, ledger, expected, "c", "d").collect()} == {("b", 0, 1), ("c", 0, 1)}
+    assert sorted(r["d"] for r in cohort.union_of_sources([rows, ledger], "d").collect()) == ["x", "y"]
+    assert {tuple(r) for r in cohort.set_differences(rows, ledger.filter("d is not null"), ["d"]).collect() if r["d"]} == {("y", "UNKNOWN")}
+    raw = spark.createDataFrame([(1, "FIT"), (2, "FIT"), (3, "THRESHOLD_TUNING")], "case_id int, role string")
+    children = spark.createDataFrame([(10, 1), (11, 1), (30, 3)], "case_id int, parent_case_id int")
+    got = {p: sorted(r["case_id"] for r in cohort.development_inputs(raw, children, p).collect()) for p in ("RAW_FIT_ONLY", "RAW_FIT_PLUS_R3")}
+    assert got == {"RAW_FIT_ONLY": [1, 2], "RAW_FIT_PLUS_R3": [1, 2, 10, 11]}
+    with pytest.raises(ValueError):
+        cohort.development_inputs(raw, children, "ALL")
+
+
+def test_too_many_variants(spark, monkeypatch):
+    monkeypatch.setattr(cohort, "MAX_VARIANTS", 2)
+    v = spark.createDataFrame([(1, k) for k in range(3)], "p int, v int")
+    with pytest.raises(ValueError):
+        cohort.coverage(v, v, v, "p", "v")
+
+
+def test_ordered_digest(spark):
+    rows = spark.createDataFrame([("a", i, f"r{i}") for i in range(10)] + [("b", 1, "x")], "g string, i int, r string").repartition(3)
+    got = {r["g"]: (r["records"], r["digest"]) for r in cohort.ordered_digest(rows, ["g"], ["i"], F.col("r"), block=4).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got["a"] == (10, sha("\n".join(sha("\n".join(f"r{i}" for i in range(k, min(k + 4, 10)))) for k in (0, 4, 8)))) and got["b"] == (1, sha(sha("x")))

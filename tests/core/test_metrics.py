@@ -98,3 +98,44 @@ def test_central_width(spark):
     rows = spark.createDataFrame([("a", x / 10, y / 10) for x in range(400) for y in range(60)] + [("b", 0.0, 0.0), ("b", 1.0, 1.0)], "k string, along double, across double")
     got = {r["k"]: r["width"] for r in metrics.central_width(rows, "k", "along", "across", -1.0).collect()}
     assert got["a"] == pytest.approx(5.9, abs=0.1) and got["b"] == -1.0
+
+
+def test_no_task_has_all_of_a_skewed_group(spark):
+    """One far value doesn't bring the others together: rows are cut by rank, not by value."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled",)}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        rows = spark.range(20_000).selectExpr("'a' AS g", "id / 20000 AS x").unionByName(spark.sql("SELECT 'a' AS g, 1e12 AS x"))
+        tasks = [r["count"] for r in running.range_sorted(rows, ["g", "x"], "skew").groupBy("_task").count().collect()]
+        assert len(tasks) >= 4 and max(tasks) < 0.5 * 20_001
+        r = running.order_statistics(rows, ["g"], "x", {"p95": "p95", "median": "median"}).first()
+        assert (r["n"], r["p95"], r["median"]) == (20_001, 19_000 / 20_000, 10_000 / 20_000)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_overlap_counts_and_consistency(spark):
+    cells = spark.createDataFrame([(p, a) for p, a, n in ((True, True, 3), (True, False, 2), (False, True, 1), (False, False, 4)) for _ in range(n)], "p boolean, a boolean")
+    r = cells.agg(*[c.alias(n) for n, c in metrics.region_overlap_counts(F.col("p"), F.col("a")).items()]).first()
+    assert (r["iou"], r["missing_ratio"], r["protruding_ratio"], r["area_delta"]) == (0.5, 0.25, 0.5, 0.25)
+    rows = spark.createDataFrame([(1, 0.5, 0.1, 0.9), (2, 1.0, 0.1, 0.9), (3, None, 0.1, 0.9)], "case_id int, score double, mean_patch_distance double, max_patch_distance double")
+    assert {r["case_id"] for r in metrics.inconsistent_scores(rows, "case_id").collect()} == {2, 3}
+
+
+def test_pixel_localization_as_pixels(spark):
+    rnd = random.Random(4)
+    patches, masked, pixels = [], [], []
+    for case in range(12):
+        box = {(x, y): 1 + (x > 5) for x in range(2, 8) for y in range(case % 3, 5)} if case % 2 else {}
+        for row in range(4):
+            for col in range(4):
+                score = rnd.randrange(6) / 10
+                patches.append(("c", case, row, col, score))
+                pixels += [("c", score, f"{case}/{box[2 * col + i, 2 * row + j]}" if (2 * col + i, 2 * row + j) in box else None, 1) for i in range(2) for j in range(2)]
+        masked += [(case, x, y, r) for (x, y), r in box.items()]
+    got = metrics.pixel_localization(spark.createDataFrame(patches, "c string, k int, row long, col long, score double"), spark.createDataFrame(masked, "k int, x int, y int, region int"), "c", "k", 2).first()
+    frame = spark.createDataFrame(pixels, "c string, s double, r string, n long")
+    area = metrics.aupro(frame, "c", "s", "r").first()["aupro"]
+    curve = metrics.auroc(frame, ["c"], "s", F.col("r").isNotNull()).first()["auroc"]
+    assert (got["mask_cases"], got["regions"]) == (6, 12) and got["aupro"] == pytest.approx(area) and got["pixel_auroc"] == pytest.approx(curve)

@@ -50,16 +50,40 @@ def test_region_table(spark):
     assert [r["region_id"] for r in touched] == ["R-001"]  # touching edges don't count
 
 
-def test_tiles_cover():
+def covered(x, y, w, h, found):
+    """Whether the seen centres of the tiles cover the box, but for rounding."""
+    xs, ys = sorted({t[0] for t in found}), sorted({t[1] for t in found})
+    side = found[0][2]
+    edge, seen = side / 16, side * 7 / 8
+    for at, upto, starts in ((x, x + w, xs), (y, y + h, ys)):
+        for start in starts:
+            if start + edge <= at + 1:
+                at = max(at, start + edge + seen)
+        if at < upto - 1:
+            return False
+    return True
+
+
+def test_tiles_cover(spark):
     rnd = random.Random(3)
-    for _ in range(200):
+    boxes = []
+    for k in range(200):
         w, h = rnd.randrange(250, 2000), rnd.randrange(250, 2000)
         x, y = rnd.randrange(w - 50), rnd.randrange(h - 50)
-        box = (x, y, rnd.randrange(20, w - x), rnd.randrange(20, h - y))
-        found = geometry.tiles([box], w, h)
-        assert found == sorted(set(found), key=lambda t: (t[1], t[0], t[2])) and all(0 <= a <= w - s and 0 <= b <= h - s for a, b, s in found)
-    assert geometry.tiles([(0, 0, 100, 100)], 1000, 1000) == [(0, 0, 224)]
-    assert list(geometry.axis_starts(0.0, 100.0, 50.0)) == [0.0, 35.0, 50.0] and list(geometry.axis_starts(10.0, 20.0, 50.0)) == [-5.0]
+        boxes.append((k, w, h, [(float(x), float(y), float(rnd.randrange(20, w - x)), float(rnd.randrange(20, h - y)))]))
+    boxes += [(200, 1000, 1000, [(0.0, 0.0, 100.0, 100.0)]), (201, 1000, 1000, [(0.0, 0.0, 100.0, 100.0)] * 2), (202, 1000, 1000, [])]
+    frame = spark.createDataFrame(boxes, "k int, w int, h int, r array<struct<x:double,y:double,width:double,height:double>>")
+    rows = frame.select("*", geometry.tiles_of(F.col("r"), F.col("w"), F.col("h")).alias("t")).collect()
+    for r in rows:
+        found = [tuple(t) for t in r["t"]]
+        assert found == sorted(set(found), key=lambda t: (t[1], t[0], t[2])) and all(0 <= a <= r["w"] - s and 0 <= b <= r["h"] - s for a, b, s in found)
+        if r["k"] < 200:
+            x, y, w, h = r["r"][0]
+            margin = found[0][2] / 16 + 1  # where tiles are pushed inside, their margins see what is left
+            assert covered(max(x, margin), max(y, margin), min(x + w, r["w"] - margin) - max(x, margin), min(y + h, r["h"] - margin) - max(y, margin), found)
+    assert [tuple(t) for t in rows[200]["t"]] == [tuple(t) for t in rows[201]["t"]] == [(0, 0, 224)] and rows[202]["t"] == []
+    starts = lambda a, n, w: spark.range(1).select(geometry.window_starts(F.lit(a), F.lit(n), F.lit(w))).first()[0]
+    assert starts(0.0, 100.0, 50.0) == [0.0, 35.0, 50.0] and starts(10.0, 20.0, 50.0) == [-5.0] and starts(0.0, 50.0, 50.0) == [0.0]
 
 
 def test_geometry_columns(spark):
@@ -100,12 +124,15 @@ def test_fits(spark):
     x = np.linspace(1, 5, 60)
     y = 2 * x + 1
     y[::10] += 50
-    assert depth.affine_fit(x, y) == pytest.approx((2.0, 1.0)) and depth.affine_fit(x, -y) is None and depth.affine_fit(x[:5], y[:5]) is None
+    flat = [("line", float(a), float(b)) for a, b in zip(x, y)] + [("falling", float(a), -float(b)) for a, b in zip(x, y)] + [("few", 1.0 * k, 2.0 * k) for k in range(15)] + [("one x", 1.0, 1.0 * k) for k in range(30)]
+    flat += [("exact", 1.0 * k, 3.0 * k) for k in range(20)] + [("null", None, 1.0)]
+    fits = {r["k"]: (r["slope"], r["intercept"]) for r in depth.affine_fits(spark.createDataFrame(flat, "k string, x double, y double"), "k", "x", "y").collect()}
+    assert fits.pop("line") == pytest.approx((2.0, 1.0)) and fits.pop("exact") == pytest.approx((3.0, 0.0), abs=1e-9) and set(fits.values()) == {(None, None)} and set(fits) == {"falling", "few", "one x", "null"}
     pixels = [(1, r, c, 0.01 * r + 0.02 * c + (0.5 if 12 <= r < 24 and c < 12 and raised else 0.0), not (r >= 12 and c < 12), r >= 12 and c < 12, k) for k, raised in (("flat", 0), ("front", 1)) for r in range(24) for c in range(24)]
     rows = spark.createDataFrame([(k, *p) for *p, k in [(r, c, d, b, s, k) for _, r, c, d, b, s, k in pixels]], "k string, row int, col int, inverse_depth double, is_board boolean, is_subject boolean")
     got = {r["k"]: r["observation"] for r in depth.coplanarity(rows, "k").collect()}
     assert got == {"flat": "COPLANAR_CANDIDATE", "front": "NON_COPLANAR_RISK"}
-    assert depth.coplanarity(rows.limit(10), "k").first()["observation"] == "BOARD_SUPPORT_INSUFFICIENT"
+    assert depth.coplanarity(rows.filter("row < 2"), "k").first()["observation"] == "BOARD_SUPPORT_INSUFFICIENT"
 
 
 def test_augmentation(spark):
@@ -117,3 +144,33 @@ def test_augmentation(spark):
     assert got[0]["p"] == {"rotation": round(rng.uniform(-4, 4), 8), "scale": round(rng.uniform(-0.1, 0.1), 8)} and got[0]["child_case_id"] == "p/augmented/01" and got[0]["seed"] != got[1]["seed"]
     assert augment.out_of_bounds(rows, "p", ranges, "child_case_id").collect() == []
     assert {(r["parameter"]) for r in augment.out_of_bounds(rows, "p", [("rotation", 5.0, 6.0), ("gamma", 0.0, 1.0)], "child_case_id").collect()} == {"rotation", "gamma", "scale"}
+
+
+def test_affine_fits_as_least_squares(spark):
+    rnd = np.random.default_rng(5)
+    data = {k: (rnd.normal(size=200), rnd.normal(size=200)) for k in range(4)}
+    for k, (x, e) in data.items():
+        e[: 10 * k] += 30
+    rows = spark.createDataFrame([(k, float(a), float(2 * a + 1 + 0.1 * b)) for k, (x, e) in data.items() for a, b in zip(x, e)], "k int, x double, y double")
+    for r in depth.affine_fits(rows, "k", "x", "y").collect():
+        x, e = data[r["k"]]
+        y, kept = 2 * x + 1 + 0.1 * e, np.ones(200, bool)
+        for _ in range(4):
+            slope, intercept = np.polyfit(x[kept], y[kept], 1)
+            off = y - slope * x - intercept
+            far = np.abs(off - np.median(off[kept]))
+            kept = far <= 3.5 * 1.4826 * np.median(far[kept])
+        assert (r["slope"], r["intercept"]) == pytest.approx((slope, intercept), abs=1e-9)
+
+
+def test_dominant_layer_and_posterior(spark):
+    rnd = random.Random(2)
+    data = [("a", rnd.gauss(0, 1)) for _ in range(300)] + [("a", rnd.gauss(50, 1)) for _ in range(320)] + [("b", float(k)) for k in range(300)]
+    rows = spark.createDataFrame(data, "k string, x double")
+    got = {r["k"]: r for r in depth.dominant_layer(rows, "k", "x", 4.0, least=100, share=0.3).collect()}
+    near = np.array([x for k, x in data if k == "a" and x > 25])
+    assert set(got) == {"a"} and got["a"]["n"] == 320 and got["a"]["offset"] == pytest.approx(np.median(near)) and got["a"]["spread"] == pytest.approx(np.percentile(np.abs(near - np.median(near)), 95))
+    band = depth.posterior(F.lit(20.0), F.lit(2.0), F.lit(1.0))
+    low, high = band["lower95"], band["upper95"]
+    r = spark.range(1).select(band["offset"], low, high, depth.improves_prior(low, high, F.lit(0.0), F.lit(60.0)), depth.improves_prior(low, high, F.lit(10.0), F.lit(60.0)), depth.improves_prior(low, F.lit(None), F.lit(0.0), F.lit(60.0))).first()
+    assert list(r) == [20.0, 9.0, 31.0, True, False, False]

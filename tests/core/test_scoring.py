@@ -54,10 +54,35 @@ def test_vector_expressions(spark):
 
 
 def test_references(spark):
-    d = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.2), (1, "c", 0.2), (2, "a", 0.0)], "case_id int, ref string, d double")
-    got = {r["case_id"]: tuple(r)[1:] for r in scoring.reference_summary(d, "case_id", "ref", "d").collect()}
-    assert got[1] == ("b", 0.2, pytest.approx(0.3), pytest.approx(0.3)) and got[2] == ("a", 0.0, 0.0, 0.0)
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0])], "case_id int, v array<double>")
+    known = spark.createDataFrame([("c", [1.0, 0.0]), ("b", [3.0, 0.0]), ("a", [0.0, 1.0])], "ref string, v array<double>")
+    found = scoring.distances_to_references(rows, known, "case_id", "v", "ref")
+    got = {r["case_id"]: tuple(r)[1:] for r in scoring.summarised(found, "case_id").collect()}
+    assert got[1] == ("b", 0.0, pytest.approx(1 / 3), 1.0) and got[2] == ("a", 0.0, pytest.approx(2 / 3), 1.0)
+    assert {r["global_distance"] for r in scoring.summarised(found, "case_id", nearest_only=True).collect()} == {0.0}
+    assert scoring.distances_to_references(rows, known.limit(0), "case_id", "v", "ref").collect() == []
+    with pytest.raises(Exception, match="zero norm"):
+        scoring.distances_to_references(rows, spark.createDataFrame([("z", [0.0, 0.0])], known.schema), "case_id", "v", "ref").collect()
     m = scoring.mean_vectors(spark.createDataFrame([(1, [1.0, 2.0]), (1, [3.0, 4.0])], "k int, v array<double>"), "k", "v").first()
     assert m["mean"] == [2.0, 3.0]
     with pytest.raises(Exception, match="MISMATCH"):
         scoring.mean_vectors(spark.createDataFrame([(1, [1.0, 2.0]), (1, [3.0])], "k int, v array<double>"), "k", "v").collect()
+
+
+def test_one_category_is_spread(spark, monkeypatch):
+    """Without a broadcast the products of one category run in several tasks, and the results are those of one block."""
+    monkeypatch.setattr(scoring, "SHARE", 1)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    rng = np.random.default_rng(1)
+    rows = spark.createDataFrame([("a", k, rng.normal(size=4).tolist()) for k in range(400)], "c string, k long, v array<double>")
+    bank = spark.createDataFrame([("a", k, rng.normal(size=4).tolist()) for k in range(60)], "c string, k long, v array<double>")
+    want = sorted(map(tuple, scoring.nearest(rows, bank, "c", "k", "v", block=1000).collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = scoring.nearest(rows, bank, "c", "k", "v", block=20)
+        got = sorted(map(tuple, found.collect()))
+        plan = found._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert [(c, k, n) for c, k, _, n in got] == [(c, k, n) for c, k, _, n in want] and np.allclose([r[2] for r in got], [r[2] for r in want])
+    assert "_share" in plan and "_at" in plan

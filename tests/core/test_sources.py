@@ -36,10 +36,10 @@ def test_partitions_pool_ledger_report_cache(spark, tmp_path):
     assert [r["i"] for r in part.collect()] == [1] and all("RESERVE" not in f for f in part.inputFiles())
     with pytest.raises(Exception, match="ALREADY_EXISTS|already exists"):
         evidence.write_table(part, cohort)
-    (tmp_path / "pool").mkdir()
-    (tmp_path / "pool" / "x.bin").write_bytes(b"abc")
+    (tmp_path / "pool" / "r").mkdir(parents=True)
+    (tmp_path / "pool" / "r" / "x.bin").write_bytes(b"abc")
     meta = spark.createDataFrame([("r/x.bin", "sha256:" + hashlib.sha256(b"abc").hexdigest(), 3), ("r/y.bin", "sha256:0", 1)], "source_remote_path string, expected_remote_sha256 string, expected_remote_bytes long")
-    assert {r["source_remote_path"]: r["intact"] for r in manifest.read_pool(spark, f"{tmp_path}/pool/*", meta).collect()} == {"r/x.bin": True, "r/y.bin": False}
+    assert {r["source_remote_path"]: r["intact"] for r in manifest.read_pool(spark, f"{tmp_path}/pool", meta).collect()} == {"r/x.bin": True, "r/y.bin": False}
     (tmp_path / "l.json").write_text(json.dumps({"normal_source_sha256": ["a", "b"]}))
     (tmp_path / "bad.json").write_text(json.dumps({"normal_source_sha256": ["b", "a"]}))
     assert manifest.read_ledger(spark, f"{tmp_path}/l.json").count() == 2
@@ -82,3 +82,14 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [(r["category"], r["cases"], r["above"]) for r in spark.table("above").collect()] == [("a", 2, 1)]
+
+
+def test_pool_with_equal_names(spark, tmp_path):
+    for c, data in (("a", b"one"), ("b", b"two"), ("a/pool", b"three")):
+        (tmp_path / "pool" / c).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "pool" / c / "000 x.png").write_bytes(data)
+    sha = lambda b: "sha256:" + hashlib.sha256(b).hexdigest()
+    meta = spark.createDataFrame([("a/000 x.png", sha(b"one"), 3), ("b/000 x.png", sha(b"two"), 3), ("a/pool/000 x.png", sha(b"three"), 5), ("c/000 x.png", sha(b"two"), 3)], "source_remote_path string, expected_remote_sha256 string, expected_remote_bytes long")
+    for root in (f"{tmp_path}/pool", f"file://{tmp_path}/pool/"):
+        got = [(r["source_remote_path"], r["intact"]) for r in manifest.read_pool(spark, root, meta).collect()]
+        assert sorted(got) == [("a/000 x.png", True), ("a/pool/000 x.png", True), ("b/000 x.png", True), ("c/000 x.png", False)]
