@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -113,26 +114,28 @@ class Encoder:
         return b"".join(map(self.vocabulary.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", digests: bool = False) -> DataFrame:
-    """docs with n_tokens and ids (binary, little-endian unsigned 32-bit); with digests, SHA-256 of the ids and of the decoded bytes instead of ids."""
+#: What encode can add besides n_tokens: ids as little-endian unsigned 32-bit, SHA-256 of these, and SHA-256 of the bytes that they decode to.
+RESULTS = {"ids": "binary", "ids_sha256": "string", "decoded_sha256": "string"}
+
+
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", adds: Sequence[str] = ("ids",)) -> DataFrame:
+    """docs with n_tokens and what `adds` names of RESULTS."""
     vocabulary = read_ranks(path)
     sent = docs.sparkSession.sparkContext.broadcast((vocabulary, serialise(vocabulary)))
 
     def kernel():
         words, model = sent.value
         bpe = Encoder(words, pattern, model)
+        sha = lambda b: hashlib.sha256(b).hexdigest()
+        made = {"ids": lambda i: i, "ids_sha256": sha, "decoded_sha256": lambda i: sha(bpe.decode(i))}
 
         def step(texts):
             ids = [bpe.encode(t or "") for t in texts]
-            out = {"n_tokens": [len(i) // 4 for i in ids]}
-            if not digests:
-                return out | {"ids": ids}
-            sha = lambda b: hashlib.sha256(b).hexdigest()
-            return out | {"ids_sha256": [sha(i) for i in ids], "decoded_sha256": [sha(bpe.decode(i)) for i in ids]}
+            return {"n_tokens": [len(i) // 4 for i in ids]} | {n: [made[n](i) for i in ids] for n in adds}
 
         return step
 
-    return common.map_batches(docs, kernel, [text_col], "n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids binary"))
+    return common.map_batches(docs, kernel, [text_col], ", ".join(["n_tokens long", *(f"{n} {RESULTS[n]}" for n in adds)]))
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -150,5 +153,5 @@ def op4_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
+    out = encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, adds=("ids_sha256", "decoded_sha256"))
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
