@@ -6,7 +6,6 @@ Each stage is (spark, docs, sf_dir) -> DataFrame; its result is written as Parqu
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from assaylake.llm import bpe, common, linededup, minhash, mixing, toxicity
 
@@ -39,8 +38,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN).drop("text")
-    return bpe.decode(encoded, path).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+    return bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN, adds=("ids", "decoded_sha256")).drop("text")
 
 
 STAGES = [
