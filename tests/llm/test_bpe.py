@@ -43,6 +43,6 @@ def test_frame(odd, none):
     for r in back:
         want = REFERENCE.encode_ordinary(r["text"] or "")
         assert r["n_tokens"] == len(want) and bytes(r["ids"]) == np.array(want, "<u4").tobytes() and bytes(r["decoded"]) == (r["text"] or "").encode()
-    for r in bpe.encode(odd, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, digests=True).collect():
+    for r in bpe.encode(odd, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, adds=("ids_sha256", "decoded_sha256")).collect():
         assert r["decoded_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest()
     assert bpe.encode(none, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect() == []
