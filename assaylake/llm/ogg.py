@@ -3,7 +3,7 @@
 Stream 1 holds the samples in packets of PACKET bytes after a header packet, stream 2 a checksum for each page of samples. Reading verifies
 the checksum of every page, reassembles packets from lacing values (over page borders too), parts the streams by serial number, and
 derives the time of each packet from granule positions. A damaged page is skipped up to the next capture pattern, and packets that lack a part are
-left out; both are counted.
+left out; both are counted. Streams that only look like these two are damage, not an error.
 
 Defined results: null text is empty (one block of 64 zeros); equal texts give equal media; null media gives null results; an empty table gives no rows;
 other columns stay, those named like a result are replaced.
@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from . import common
 
 BLOCK, PACKET, RATE = 64, 4000, 8000
+#: Bytes of the header packet of samples: "pcm8", rate, samples that aren't padding.
+PCM_HEADER = 16
 #: Packets of samples on a page; a page has 255 lacing values at most.
 PAGE_PACKETS = 12
 #: Page header: capture pattern, version, flags, granule position, serial number, sequence number, checksum, lacing values.
@@ -179,19 +181,22 @@ def read_media(docs: DataFrame, media_col: str = "media") -> DataFrame:
         if media is None:
             return (None,) * len(names)
         got = read(media)
-        sound = next((s for s in got.streams.values() if s and s[0][0][:4] == b"pcm8"), [(b"pcm8" + bytes(12), 0)])
-        marks = next((s for s in got.streams.values() if s and s[0][0][:4] == b"mark"), [(b"", 0)])
+        kinds = [(s[0][0][:4], s) for s in got.streams.values() if s]
+        sound = next((s for kind, s in kinds if kind == b"pcm8" and len(s[0][0]) >= PCM_HEADER), [(b"pcm8" + bytes(PCM_HEADER - 4), 0)])
+        marks = next((s for kind, s in kinds if kind == b"mark"), [(b"", 0)])
+        # Streams of others may use these names: headers too short and marks of another length count as damage.
+        damaged = got.damaged + sum(kind == b"pcm8" and len(s[0][0]) < PCM_HEADER for kind, s in kinds) + sum(len(m) != 4 for m, _ in marks[1:])
         rate, n_bytes = struct.unpack_from("<IQ", sound[0][0], 4)
         samples = b"".join(p for p, _ in sound[1:])
         x = np.frombuffer(samples, "u1")
         at, agree = 0, True
         for mark, granule in marks[1:]:
-            agree &= zlib.crc32(samples[at:granule]) == struct.unpack("<I", mark)[0]
+            agree &= len(mark) == 4 and zlib.crc32(samples[at:granule]) == int.from_bytes(mark, "little")
             at = granule
         signs = int(np.count_nonzero(np.diff((x >= 96).view("i1"))))
         mean, deviation = (float(x.mean()), float(x.std())) if len(x) else (0.0, 0.0)
         feature = f"{got.pages}/{len(sound) - 1}/{1000 * max(sound[-1][1], 0) // (rate or RATE)}/{mean:.3f}/{deviation:.3f}/{signs}/{'ok' if agree else 'differs'}"
-        return (n_bytes, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature, got.damaged, got.lost)
+        return (n_bytes, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature, damaged, got.lost)
 
     def step(column):
         rows = [one(m) for m in column]

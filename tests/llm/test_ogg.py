@@ -56,3 +56,12 @@ def test_frame(odd, none, spark):
         assert r["tail_crc32"] == zlib.crc32(padded[-64:]) and r["media_bytes"] == len(r["media"]) and r["feature"].endswith("/ok")
     assert ogg.read_media(ogg.store(none)).collect() == []
     assert ogg.read_media(spark.createDataFrame([(1, None)], "k int, media binary")).first()["feature"] is None
+
+
+def test_foreign_streams(spark):
+    stream = lambda serial, packets: ogg.Stream(serial).pages([ogg.Packet(p, len(p)) for p in packets])
+    short, marks = stream(1, [b"pcm8abc", b"\1" * 50]), stream(2, [b"mark", b"long mark", b""])
+    good = ogg.write(*ogg.payload("text"))
+    rows = spark.createDataFrame([(1, short), (2, marks), (3, short + marks), (4, good)], "k int, media binary")
+    got = {r["k"]: (r["payload_bytes"], r["damaged"], r["feature"].rpartition("/")[2]) for r in ogg.read_media(rows).collect()}
+    assert got == {1: (0, 1, "ok"), 2: (0, 2, "differs"), 3: (0, 3, "differs"), 4: (64, 0, "ok")}
