@@ -45,3 +45,14 @@ def out_of_bounds(rows: DataFrame, parameters: str, ranges: Sequence[tuple[str,
     names = F.array(*[F.lit(n) for n, _, _ in ranges])
     extra = rows.select(key, F.explode(F.map_filter(parameters, lambda k, _: ~F.array_contains(names, k))).alias("parameter", "value"))
     return bad.unionByName(extra)
+
+
+def package_faults(children: DataFrame, parents: DataFrame, variants: int, anchor: str, case: str = "case_id", digest: str = "source_sha256") -> DataFrame:
+    """(child_case_id, fault) of a package of derived cases (child_case_id, parent_case_id, parent_source_sha256, variant_id, seed) that isn't what plan() gives for these parents:
+    MISSING, UNEXPECTED, TWICE, PARENT_DIFFERS, SOURCE_DIFFERS, VARIANT_DIFFERS, SEED_DIFFERS. A null differs from any value."""
+    wanted = plan(parents, variants, anchor, case, digest).select("child_case_id", F.struct(F.col(case).cast("string").alias("parent"), F.col(digest).alias("source"), "variant_id", "seed").alias("w"))
+    have = children.groupBy("child_case_id").agg(F.count("*").alias("n"), F.min(F.struct(F.col("parent_case_id").cast("string").alias("parent"), F.col("parent_source_sha256").alias("source"), "variant_id", "seed")).alias("h"))
+    both = wanted.join(have, "child_case_id", "full_outer")
+    differs = [F.when(F.col("w").isNotNull() & F.col("h").isNotNull() & ~F.col(f"w.{c}").eqNullSafe(F.col(f"h.{c}")), name) for c, name in (("parent", "PARENT_DIFFERS"), ("source", "SOURCE_DIFFERS"), ("variant_id", "VARIANT_DIFFERS"), ("seed", "SEED_DIFFERS"))]
+    found = F.array_compact(F.array(F.when(F.col("h").isNull(), "MISSING"), F.when(F.col("w").isNull(), "UNEXPECTED"), F.when(F.col("n") > 1, "TWICE"), *differs))
+    return both.select("child_case_id", F.explode(found).alias("fault"))

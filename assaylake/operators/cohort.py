@@ -143,6 +143,26 @@ def development_inputs(raw: DataFrame, derived: DataFrame, policy: str, case: st
     return with_children(fit, derived.join(fit.select(F.col(case).alias(parent)), parent, "left_semi"))
 
 
+def membership(parents: DataFrame, variants: int, case: str) -> DataFrame:
+    """(case, variant_id): every parent itself (variant 0) and each of its variants 1..variants."""
+    return parents.select(case).distinct().withColumn("variant_id", F.explode(F.sequence(F.lit(0), F.lit(variants))))
+
+
+def classified(records: DataFrame, history: DataFrame, confirmation: DataFrame, group: str) -> DataFrame:
+    """records with class: HISTORICAL if their group is in history, CONFIRMATION if in confirmation, CONFLICT if in both, else RESERVE."""
+    flag = lambda rows, name: rows.select(group).filter(F.col(group).isNotNull()).distinct().withColumn(name, F.lit(True))
+    told = records.join(flag(history, "_h"), group, "left").join(flag(confirmation, "_c"), group, "left")
+    kind = F.when(F.col("_h") & F.col("_c"), "CONFLICT").when(F.col("_h"), "HISTORICAL").when(F.col("_c"), "CONFIRMATION").otherwise("RESERVE")
+    return told.withColumn("class", kind).drop("_h", "_c")
+
+
+def quarantined(rows: DataFrame, pins: DataFrame, columns: Sequence[str], pin: str) -> DataFrame:
+    """rows of which any of these digests is pinned by an incident, actual or declared; pins are an incident's few, broadcast behind Spark's own size check."""
+    known = pins.select(F.col(pin).alias("_pin")).filter("_pin is not null").distinct()
+    keyed = rows.withColumn("_d", F.explode(F.array_distinct(F.array(*columns))))
+    return keyed.join(known, F.col("_d") == F.col("_pin"), "left_semi").drop("_d").distinct()
+
+
 def evidence(cases: DataFrame, by: Sequence[str], case: str, digest: str, members: Sequence[str]) -> DataFrame:
     """One row for each group: cases, distinct ids and digests, and for each of members (roles, kinds: few values) the sorted set and its size."""
     sets = [F.array_sort(F.collect_set(m)).alias(m) for m in members]

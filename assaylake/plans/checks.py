@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import digests, geometry, vectors
-from ..operators import cohort, depth, metrics, observe, regions, running, selection
+from ..operators import augment, cohort, depth, metrics, observe, regions, running, selection
 from ..sources import manifest
 from ..sources.scratch import materialize
 from ..streaming import scores as streaming
@@ -241,6 +241,40 @@ def board_planes(s: SparkSession, d: str) -> DataFrame:
     return rounded(depth.coplanarity(pixels, "label"), "board_p95", "subject_median", "subject_p95")
 
 
+def package_faults(s: SparkSession, d: str) -> DataFrame:
+    """A package of three derived cases a vector with planted faults: some gone, some twice, some with another seed, source or variant."""
+    parents = table(s, d, "embeddings").select(F.col("vec_id").alias("case_id"), F.sha2(F.col("vec_id").cast("string"), 256).alias("source_sha256"))
+    k, v = F.col("case_id"), F.col("variant_id")
+    made = augment.plan(parents, 3, "recipe").filter("case_id % 11 <> 0 OR variant_id <> 2").withColumn("n", F.explode(F.when((k % 13 == 0) & (v == 1), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    rows = made.select(
+        F.when((k % 17 == 0) & (v == 3), F.concat("child_case_id", F.lit("x"))).otherwise(F.col("child_case_id")).alias("child_case_id"), k.alias("parent_case_id"), F.when(k % 19 == 0, F.lit("other")).otherwise(F.col("source_sha256")).alias("parent_source_sha256"),
+        F.when((k % 23 == 0) & (v == 1), 9).otherwise(v).alias("variant_id"), F.when(k % 29 == 0, F.lit(None)).otherwise(F.col("seed")).alias("seed"),
+    )
+    return augment.package_faults(rows, parents, 3, "recipe")
+
+
+def expected_members(s: SparkSession, d: str) -> DataFrame:
+    """Customers with orders as parents and two variants, against the pairs that orders give."""
+    orders = table(s, d, "orders")
+    wanted = cohort.membership(orders.select(F.col("o_custkey").alias("case_id")), 2, "case_id")
+    stated = orders.select(F.col("o_custkey").alias("case_id"), (F.col("o_orderkey") % 4).cast("int").alias("variant_id"))
+    return cohort.set_differences(stated, wanted, ["case_id", "variant_id"])
+
+
+def parent_classes(s: SparkSession, d: str) -> DataFrame:
+    rows = _texts(s, d)
+    toxic = table(s, d, "labels")
+    by = lambda keep: rows.join(toxic.filter(keep).select("doc_id"), "doc_id", "left_semi")
+    return cohort.classified(rows, by("toxic = 1"), by("toxic = 0"), "digest").select("doc_id", "class")
+
+
+def quarantined_documents(s: SparkSession, d: str) -> DataFrame:
+    rows = _texts(s, d).withColumn("declared", F.when(F.col("doc_id") % 50 == 0, F.sha2(F.lit("pinned"), 256)).otherwise(F.col("digest")))
+    pins = table(s, d, "benchmark").select(F.sha2("text", 256).alias("pin")).unionByName(rows.join(table(s, d, "labels").filter("toxic = 1 AND quality > 2").select("doc_id"), "doc_id", "left_semi").select(F.col("digest").alias("pin")))
+    pins = pins.unionByName(s.range(1).select(F.sha2(F.lit("pinned"), 256).alias("pin")))
+    return cohort.quarantined(rows.select("doc_id", "digest", "declared"), pins, ["digest", "declared"], "pin")
+
+
 def flags_by_window(s: SparkSession, d: str) -> DataFrame:
     """The streaming report over events at rest."""
     rows = table(s, d, "events").select(F.col("event_type").alias("category"), F.col("event_id").alias("case_id"), "ts", F.col("value").alias("score")).filter("score is not null")
@@ -253,7 +287,7 @@ QUERIES = {
     for f in (
         roles_by_rank, unmet_quotas, seeded_top_violations, exclusion_overlap, duplicate_keys, query_set_ids, known_rows_dropped, source_union, field_differences, case_evidence, manifest_faults,
         recorded_fixtures, replayed_orders, transform_bounds, planar_geometry, patch_distances, score_faults, mask_overlap, summary_faults, large_regions, region_orders, largest_masks,
-        intruding_regions, tile_pair_scores, mutual_parts, overlap_means, dominant_layer, central_widths, board_planes, flags_by_window,
+        intruding_regions, tile_pair_scores, mutual_parts, overlap_means, dominant_layer, central_widths, board_planes, package_faults, expected_members, parent_classes, quarantined_documents, flags_by_window,
     )
 }
 
@@ -364,6 +398,22 @@ f AS (SELECT label, avg(u) FILTER (b) AS mu, avg(v) FILTER (b) AS mv, avg(z) FIL
 o AS (SELECT p.*, abs(z - (mz + (uz * vv - vz * uv) / (uu * vv - uv * uv) * (u - mu) + (vz * uu - uz * uv) / (uu * vv - uv * uv) * (v - mv))) / span AS off FROM p JOIN f USING (label)),
 q AS (SELECT label, quantile_cont(off, 0.95) FILTER (b) AS b95, quantile_cont(off, 0.5) FILTER (s) AS s50, quantile_cont(off, 0.95) FILTER (s) AS s95 FROM o GROUP BY 1)
 SELECT label, 'AVAILABLE' AS state, CASE WHEN b95 <= 0.05 AND s50 <= 0.08 AND s95 <= 0.15 THEN 'COPLANAR_CANDIDATE' ELSE 'NON_COPLANAR_RISK' END AS observation, round(b95, 6) AS board_p95, round(s50, 6) AS subject_median, round(s95, 6) AS subject_p95 FROM q""",
+    "package_faults": """
+WITH p AS (SELECT vec_id AS k, sha256(CAST(vec_id AS VARCHAR)) AS source, v, vec_id || '/augmented/' || lpad(CAST(v AS VARCHAR), 2, '0') AS child,
+  CAST(CAST('0x' || substr(sha256('recipe' || chr(0) || vec_id || chr(0) || sha256(CAST(vec_id AS VARCHAR)) || chr(0) || v), 1, 16) AS UBIGINT) AS VARCHAR) AS seed FROM embeddings, range(1, 4) t(v)),
+c AS (SELECT CASE WHEN k % 17 = 0 AND v = 3 THEN child || 'x' ELSE child END AS child, k, CASE WHEN k % 19 = 0 THEN 'other' ELSE source END AS source, CASE WHEN k % 23 = 0 AND v = 1 THEN 9 ELSE v END AS v, CASE WHEN k % 29 = 0 THEN NULL ELSE seed END AS seed,
+  CASE WHEN k % 13 = 0 AND v = 1 THEN 2 ELSE 1 END AS n FROM p WHERE k % 11 <> 0 OR v <> 2),
+b AS (SELECT coalesce(p.child, c.child) AS child_case_id, [CASE WHEN c.child IS NULL THEN 'MISSING' END, CASE WHEN p.child IS NULL THEN 'UNEXPECTED' END, CASE WHEN n > 1 THEN 'TWICE' END,
+  CASE WHEN p.child = c.child AND p.source <> c.source THEN 'SOURCE_DIFFERS' END, CASE WHEN p.child = c.child AND p.v <> c.v THEN 'VARIANT_DIFFERS' END, CASE WHEN p.child = c.child AND p.seed IS DISTINCT FROM c.seed THEN 'SEED_DIFFERS' END] AS f FROM p FULL JOIN c ON p.child = c.child)
+SELECT child_case_id, unnest(list_filter(f, lambda x: x IS NOT NULL)) AS fault FROM b""",
+    "expected_members": """
+WITH e AS (SELECT DISTINCT o_custkey AS case_id, CAST(v AS INTEGER) AS variant_id FROM orders, range(3) t(v)), s AS (SELECT DISTINCT o_custkey AS case_id, CAST(o_orderkey % 4 AS INTEGER) AS variant_id FROM orders)
+SELECT *, 'MISSING' AS problem FROM (SELECT * FROM e EXCEPT SELECT * FROM s) UNION ALL SELECT *, 'UNKNOWN' FROM (SELECT * FROM s EXCEPT SELECT * FROM e)""",
+    "parent_classes": f"""WITH {_TEXTS}, h AS (SELECT digest FROM texts WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)), c AS (SELECT digest FROM texts WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 0))
+SELECT doc_id, CASE WHEN digest IN (SELECT digest FROM h) AND digest IN (SELECT digest FROM c) THEN 'CONFLICT' WHEN digest IN (SELECT digest FROM h) THEN 'HISTORICAL' WHEN digest IN (SELECT digest FROM c) THEN 'CONFIRMATION' ELSE 'RESERVE' END AS "class" FROM texts""",
+    "quarantined_documents": f"""WITH {_TEXTS}, d AS (SELECT doc_id, digest, CASE WHEN doc_id % 50 = 0 THEN sha256('pinned') ELSE digest END AS declared FROM texts),
+p AS (SELECT sha256(text) AS pin FROM benchmark WHERE text IS NOT NULL UNION SELECT digest FROM texts WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND quality > 2) UNION SELECT sha256('pinned'))
+SELECT * FROM d WHERE digest IN (SELECT pin FROM p) OR declared IN (SELECT pin FROM p)""",
     "flags_by_window": """WITH t AS (SELECT event_type, max(value) / 2 AS threshold FROM events GROUP BY 1)
 SELECT event_type AS category, strftime(ts, '%Y-%m-%d') AS day, count(*) AS cases, count(*) FILTER (value > threshold) AS above FROM events JOIN t USING (event_type) WHERE value IS NOT NULL GROUP BY 1, 2""",
 }
