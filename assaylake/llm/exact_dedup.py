@@ -6,7 +6,7 @@ Compaction merges only these digests and takes over all others as they are; it k
 over them lets the texts of the rest go unread by the byte verification, which compares the smallest and the largest text of each digest. Digests
 that stand for several texts, if there are any, are split by text.
 
-Filters have 8 to 16 bits for each key and are broadcast; beyond MAX_FILTER_BITS there is none, and digests are merged and looked up by joins on them.
+Filters have KEY_BITS bits for each key and are broadcast; beyond MAX_PIECES there is none, and digests are merged and looked up by joins on them.
 
 Defined results: null text is empty; ids are ordered as numbers, a null id loses to any other; rows that repeat an id are members of their
 own and are kept or dropped alike; an empty table gives no rows. Other columns are neither read nor returned.
@@ -21,45 +21,53 @@ from . import common
 
 #: Memtables that the rows are dealt to.
 RUNS = 4
-#: Bits of the largest filter that is broadcast, 64 MB, and of the smallest.
-MAX_FILTER_BITS, MIN_FILTER_BITS = 1 << 29, 1 << 16
+#: Bits of a filter for each key, bits that each key sets, and pieces of PIECE bits of the largest filter that is broadcast, 64 MB.
+KEY_BITS, SETS, PIECE, MAX_PIECES = 16, 4, 32768, 16384
 
 
-def filter_bits(keys: int) -> int | None:
-    """Bits of a filter over so many keys; None if it would be too large to broadcast."""
-    bits = max(MIN_FILTER_BITS, 1 << (8 * max(keys, 1) - 1).bit_length())
-    return bits if bits <= MAX_FILTER_BITS else None
+def pieces_for(keys: int) -> int | None:
+    """Pieces of a filter over so many keys; None if it would be too large to broadcast."""
+    pieces = -(-KEY_BITS * max(keys, 1) // PIECE)
+    return pieces if pieces <= MAX_PIECES else None
 
 
-def bit_filter(keys: DataFrame, col: str, bits: int) -> DataFrame:
-    """(bucket, bitmap): at most bits / 32768 rows of 4096 bytes, whatever the number of keys."""
-    slot = F.pmod(F.xxhash64(col), F.lit(bits))
-    return keys.select(F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+def _spots(col: str, pieces: int) -> tuple[Column, list[Column]]:
+    """A key's piece, and its bits there."""
+    bits = F.xxhash64(col, F.lit(1))
+    return F.pmod(F.xxhash64(col), F.lit(pieces)), [F.pmod(F.shiftrightunsigned(bits, 16 * k), F.lit(PIECE)) for k in range(SETS)]
 
 
-def marked(rows: DataFrame, col: str, filt: DataFrame, bits: int) -> DataFrame:
-    """rows with _maybe: false only if col is none of the filter's keys."""
-    slot = F.pmod(F.xxhash64(col), F.lit(bits))
-    bit = F.bitmap_bit_position(slot)
-    byte = F.conv(F.hex(F.substring(F.col("bitmap"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    told = rows.join(F.broadcast(filt), F.bitmap_bucket_number(slot) == F.col("bucket"), "left")
-    return told.withColumn("_maybe", F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))).drop("bucket", "bitmap")
+def bit_filter(keys: DataFrame, col: str, pieces: int) -> DataFrame:
+    """(piece, bitmap): at most `pieces` rows of 4096 bytes, whatever the number of keys."""
+    piece, spots = _spots(col, pieces)
+    return keys.select(piece.alias("piece"), F.explode(F.array(*spots)).alias("bit")).groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+
+
+def marked(rows: DataFrame, col: str, filt: DataFrame, pieces: int) -> DataFrame:
+    """rows with _maybe: false only if col is none of the filter's keys; true for some 1 in 400 of the others."""
+    piece, spots = _spots(col, pieces)
+    byte = lambda bit: F.conv(F.hex(F.substring(F.col("bitmap"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.lit(True)
+    for bit in spots:
+        held = held & (F.getbit(byte(bit), (bit % 8).cast("int")) == 1)
+    told = rows.join(F.broadcast(filt), piece == F.col("piece"), "left")
+    return told.withColumn("_maybe", F.coalesce(held, F.lit(False))).drop("piece", "bitmap")
 
 
 def among(rows: DataFrame, keys: DataFrame, col: str) -> DataFrame:
     """The rows whose col is among the materialized keys, and perhaps a few more; those of a null col aren't. Rows move only beyond the largest filter."""
-    bits = filter_bits(keys.count())
-    if bits is None:
+    pieces = pieces_for(keys.count())
+    if pieces is None:
         return rows.join(keys.select(col).distinct(), col, "left_semi")
-    return marked(rows, col, common.materialize(bit_filter(keys, col, bits), "digest-filter"), bits).filter("_maybe").drop("_maybe")
+    return marked(rows, col, common.materialize(bit_filter(keys, col, pieces), "digest-filter"), pieces).filter("_maybe").drop("_maybe")
 
 
 def without(rows: DataFrame, keys: DataFrame, col: str) -> DataFrame:
     """The rows whose col isn't among the materialized keys, those of a null col too. Only rows that the filter can't tell apart move, up to the largest filter."""
-    wanted, bits = keys.select(col).distinct(), filter_bits(keys.count())
-    if bits is None:
+    wanted, pieces = keys.select(col).distinct(), pieces_for(keys.count())
+    if pieces is None:
         return rows.join(wanted, col, "left_anti").select(*rows.columns)
-    told = marked(rows, col, common.materialize(bit_filter(keys, col, bits), "digest-filter"), bits)
+    told = marked(rows, col, common.materialize(bit_filter(keys, col, pieces), "digest-filter"), pieces)
     sure, rest = told.filter("not _maybe").drop("_maybe"), told.filter("_maybe").drop("_maybe")
     return sure.unionByName(rest.join(wanted, col, "left_anti").select(*rows.columns))
 
@@ -70,17 +78,17 @@ class DigestIndex:
     def __init__(self, rows: int):
         self.runs: list[DataFrame] = []
         self.shared: list[DataFrame] = []
-        self.bits, self.filter = filter_bits(rows), None
+        self.pieces, self.filter = pieces_for(rows), None
 
     def flush(self, memtable: DataFrame) -> DataFrame:
         """Writes (digest, ident) as a run and probes it against the runs before it. Sums go ahead of the shuffle."""
         run = memtable.groupBy("digest").agg(F.min("ident").alias("ident"), F.count("*").alias("n"))
         run = common.materialize(run.repartitionByRange("digest").sortWithinPartitions("digest"), f"digest-run-{len(self.runs)}")
-        if self.bits is not None:
-            own = bit_filter(run, "digest", self.bits)
+        if self.pieces is not None:
+            own = bit_filter(run, "digest", self.pieces)
             if self.filter is not None:
-                self.shared.append(common.materialize(marked(run.select("digest"), "digest", self.filter, self.bits).filter("_maybe").select("digest"), "digest-shared"))
-                own = own.unionByName(self.filter).groupBy("bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+                self.shared.append(common.materialize(marked(run.select("digest"), "digest", self.filter, self.pieces).filter("_maybe").select("digest"), "digest-shared"))
+                own = own.unionByName(self.filter).groupBy("piece").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
             self.filter = common.materialize(own, "digest-filter")
         self.runs.append(run)
         return run
@@ -90,9 +98,9 @@ class DigestIndex:
         every, whole = _union(self.runs), None
         if self.shared:
             shared = _union(self.shared)
-            bits = filter_bits(shared.count())
-            if bits is not None:
-                told = marked(every, "digest", common.materialize(bit_filter(shared, "digest", bits), "digest-filter"), bits)
+            pieces = pieces_for(shared.count())
+            if pieces is not None:
+                told = marked(every, "digest", common.materialize(bit_filter(shared, "digest", pieces), "digest-filter"), pieces)
                 every, whole = told.filter("_maybe").drop("_maybe"), told.filter("not _maybe").drop("_maybe")
         merged = every.groupBy("digest").agg(F.min("ident").alias("ident"), F.sum("n").alias("n")) if len(self.runs) > 1 else every
         return common.materialize(merged if whole is None else whole.unionByName(merged), "digest-segment")

@@ -26,7 +26,8 @@ from . import common
 from .exact_dedup import among, without
 
 MIN_DOCS = 10
-SHARD_KEYS = 2048
+#: Lines of a shard, and displacements that are tried at a time.
+SHARD_KEYS, TRIALS = 2048, 64
 #: Bytes of an index that is broadcast, and lines that meet a shard in one group beyond that.
 VOLUME_BYTES, SHARD_LINES = 64 << 20, 200_000
 BLANK = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -72,11 +73,13 @@ def build_shard(pdf: pd.DataFrame) -> pd.DataFrame:
         own = members[b]
         if len(own) == 1:
             break
-        for d in range(1, 1 << 30):
-            slots = _slot(h2[own], np.full(len(own), d), np.full(len(own), n)).astype(int)
-            if not taken[slots].any() and len(set(slots)) == len(own):
+        for start in range(1, 1 << 30, TRIALS):  # many displacements at a time; the first with free slots, all different, is taken
+            slots = _slot(h2[own][None, :], np.arange(start, start + TRIALS)[:, None], np.array(n)).astype(int)
+            in_order = np.sort(slots, axis=1)
+            good = np.flatnonzero(~taken[slots].any(axis=1) & (in_order[:, 1:] != in_order[:, :-1]).all(axis=1))
+            if len(good):
                 break
-        displacement[b], taken[slots], place[own] = d, True, slots
+        displacement[b], taken[slots[good[0]]], place[own] = start + good[0], True, slots[good[0]]
     free = iter(np.flatnonzero(~taken))
     for b, own in members.items():
         if len(own) == 1:

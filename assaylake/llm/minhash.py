@@ -48,8 +48,6 @@ PAIRS, SPLIT, PART = 0, 1, 2
 SLOTS, SLOT_SHIFT, BLOCK = 1 << 20, np.uint64(44), 2000
 #: Classes of a home, and pairs of a home that are confirmed in one group or so.
 HOME, GROUP = 128, 1024
-#: Words whose hashes a task remembers.
-MEMORY = 200_000
 _RANDOM = np.random.default_rng(20)
 _A = _RANDOM.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _RANDOM.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -67,24 +65,19 @@ class Shingler:
     """Sorted distinct 64-bit hashes of a text's word shingles."""
 
     def __init__(self, words: int):
-        self.words, self.known = words, {}
+        self.words = words
 
     def __call__(self, text: str | None) -> np.ndarray:
         parts = (text or "").encode().lower().split()
         if not parts:
             return np.zeros(0, np.uint64)
-        known = self.known
-        if fresh := set(parts).difference(known):
-            if len(known) > MEMORY:
-                known.clear()
-                fresh = set(parts)
-            known.update((w, xxhash.xxh3_64_intdigest(w)) for w in fresh)
-        h = np.fromiter(map(known.__getitem__, parts), np.uint64, len(parts))
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts))
         k = min(self.words, len(h))
         x = np.full(len(h) - k + 1, k, np.uint64)
         for i in range(k):
             x = _mix((x + np.uint64(0x9E3779B97F4A7C15)) ^ h[i : len(h) - k + 1 + i])
-        return np.unique(x)
+        x = np.sort(x)
+        return x[np.r_[True, x[1:] != x[:-1]]]
 
 
 def signature(shingles: np.ndarray) -> bytes:
@@ -417,19 +410,21 @@ def exact_pairs(docs: DataFrame, classes: DataFrame, words: int, percent: int, i
     def prefixes():
         shingler, counts = Shingler(words), sent.value
 
-        def step(ids, texts):
-            out = [(i, len(s), _ordered(s, counts)[: len(s) - -(-percent * len(s) // 100) + 1]) for i, t in zip(ids, texts) if len(s := shingler(t))]
-            lengths = [len(p) for _, _, p in out]
-            token = np.concatenate([np.zeros(0, np.uint64), *(p for _, _, p in out)])
+        def step(ids, components, homes, texts):
+            out = [(i, c, h, len(s), _ordered(s, counts)[: len(s) - -(-percent * len(s) // 100) + 1]) for i, c, h, t in zip(ids, components, homes, texts) if len(s := shingler(t))]
+            lengths = [len(o[4]) for o in out]
+            token = np.concatenate([np.zeros(0, np.uint64), *(o[4] for o in out)])
             shared = counts[token >> SLOT_SHIFT] > 1
-            columns = {"token": token.view(np.int64), "id": np.repeat(np.array([o[0] for o in out], np.int64), lengths), "size": np.repeat(np.array([o[1] for o in out], np.int64), lengths)}
-            columns["place"] = np.concatenate([np.zeros(0, np.int64), *map(np.arange, lengths)])
+            columns = {n: np.repeat(np.array([o[k] for o in out], np.int64), lengths) for k, n in enumerate(("id", "component", "home", "size"))}
+            columns |= {"token": token.view(np.int64), "place": np.concatenate([np.zeros(0, np.int64), *map(np.arange, lengths)])}
             return {k: v[shared] for k, v in columns.items()}
 
         return step
 
-    found = common.map_batches(rows.filter("doc_id is not null"), prefixes, ["doc_id", "text"], "token long, id long, size long, place long", keep=False)
-    found = common.materialize(found.join(classes.select("id", "component", "home"), "id"), "minhash-prefixes")
+    # The filter lets a few others pass: only the classes themselves are read for prefixes.
+    members = rows.join(classes.select(F.col("id").alias("doc_id"), "component", "home"), "doc_id")
+    kind = "token long, id long, size long, place long, component long, home long"
+    found = common.materialize(common.map_batches(members, prefixes, ["doc_id", "component", "home", "text"], kind, keep=False), "minhash-prefixes")
     parts = found.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.max_by("component", F.struct("n", "component")).alias("top"), F.max("n").alias("top_n"))
     # At most 1 / BLOCK of the rows.
     hot = common.materialize(parts.filter(F.col("n") > BLOCK).select("token", "top", F.ceil(F.col("top_n") / BLOCK).alias("tops"), F.ceil((F.col("n") - F.col("top_n")) / BLOCK).alias("others")), "minhash-hot")

@@ -65,7 +65,8 @@ def _mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         _source(F.col(source_col)).alias("src"), F.xxhash64(F.col(text_col)).alias("tie"),
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("h"),
     )
-    sized = common.range_sorted(sized, ["src", "h", "id", "size", "tie"], "mix-sizes")
+    # Written ahead of the sort, which reads its input twice.
+    sized = common.range_sorted(common.materialize(sized, "mix-sizes"), ["src", "h", "id", "size", "tie"], "mix-order")
     sources = common.materialize(plan(sized, weights, budget_halves, most), "mix-sources")
     # Two levels: sums of a source in each task that has rows of it, then rows within the task.
     upto = W.partitionBy("src").orderBy("_task").rowsBetween(W.unboundedPreceding, -1)
@@ -120,17 +121,22 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """
     ident, source = options.get("id_col", "doc_id"), options.get("source_col", "source")
     text = options.get("text_col", "text")
-    alike = ["id", "src", "size", "tie"]
-    key = [F.col(ident).alias("id"), _source(F.col(source)).alias("src"), common.words_count(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("tie")]
-    # Rows alike get numbers in the order of their contents; equal rows are exchangeable.
-    number = F.row_number().over(W.partitionBy(*alike).orderBy("h"))
-    rows = docs.select(*key, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("number", number)
-    mark = _mix(docs, **options).filter("size > 0")
-    mark = mark.select(*alike, "copies", "virtual_finish", F.row_number().over(W.partitionBy(*alike).orderBy("virtual_finish", "copies")).alias("number"))
-    mark = mark.filter("copies > 0").select("*", F.explode(F.sequence(F.lit(1), "copies")).alias("pass")).alias("m")
-    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"m.{c}")) for c in (*alike, "number")]
-    rows = rows.alias("d").join(mark, same[0] & same[1] & same[2] & same[3] & same[4])
-    return rows.repartitionByRange("m.pass", "m.virtual_finish").sortWithinPartitions("m.pass", "m.virtual_finish").select("d.row.*")
+    name = lambda c: F.when(F.col(c).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(c).cast("string")))
+    alike = ["name", "src", "size", "tie"]
+    marks = _mix(docs, **options).filter("size > 0").select(name("id").alias("name"), "src", "size", "tie", "copies", "virtual_finish")
+    marks = common.materialize(marks.withColumn("rows", F.count("*").over(W.partitionBy(*alike))), "mix-marks")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(name(ident).alias("name"), _source(F.col(source)).alias("src"), common.words_count(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("tie"), F.struct(*columns).alias("row"))
+    several = marks.filter("rows > 1")
+    found = rows.join(marks.filter("rows = 1 and copies > 0").drop("rows"), alike)
+    if not several.isEmpty():  # rows alike get numbers in the order of their contents; equal rows are exchangeable
+        number = lambda *order: F.row_number().over(W.partitionBy(*alike).orderBy(*order))
+        keys = common.materialize(several.select(*alike).distinct(), "mix-alike")
+        same = common.lookup(rows, keys.withColumn("_", F.lit(True)), alike, "inner").drop("_").withColumn("number", number(F.xxhash64("row")))
+        turns = several.withColumn("number", number("virtual_finish", "copies")).filter("copies > 0").drop("rows")
+        found = found.unionByName(same.join(turns, [*alike, "number"]).drop("number"))
+    found = found.withColumn("pass", F.explode(F.sequence(F.lit(1), "copies")))
+    return found.repartitionByRange("pass", "virtual_finish").sortWithinPartitions("pass", "virtual_finish").select("row.*")
 
 
 def op8_mix(spark, sf_dir: str) -> DataFrame:

@@ -41,13 +41,13 @@ def test_empty(none):
     assert exact_dedup.exact_dedup(none).collect() == []
 
 
-@pytest.mark.parametrize("most", [exact_dedup.MAX_FILTER_BITS, 1])
+@pytest.mark.parametrize("most", [exact_dedup.MAX_PIECES, 0])
 def test_runs_and_segments(spark, monkeypatch, most):
-    monkeypatch.setattr(exact_dedup, "MAX_FILTER_BITS", most)
+    monkeypatch.setattr(exact_dedup, "MAX_PIECES", most)
     index = exact_dedup.DigestIndex(9)
     for k in range(3):
         index.flush(spark.createDataFrame([(bytearray([i]), 10 * k + i) for i in range(k, 4)] * 2, "digest binary, ident long"))
-    if most > 1:  # what a run shares with older ones is known by their filter
+    if most:  # what a run shares with older ones is known by their filter
         assert [sorted(bytes(r["digest"]) for r in s.collect()) for s in index.shared] == [[b"\1", b"\2", b"\3"], [b"\2", b"\3"]]
     assert all([bytes(r["digest"]) for r in run.collect()] == sorted(bytes(r["digest"]) for r in run.collect()) for run in index.runs)
     got = {(bytes(r["digest"]), r["ident"], r["n"]) for r in index.compact().collect()}
@@ -55,12 +55,16 @@ def test_runs_and_segments(spark, monkeypatch, most):
 
 
 def test_beyond_the_filters(odd, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "MAX_FILTER_BITS", 1)
+    monkeypatch.setattr(exact_dedup, "MAX_PIECES", 0)
     got = exact_dedup.exact_dedup(odd, runs=2).collect()
     assert sorted([(r["id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in got], key=str) == brute(odd)
 
 
 def test_filter_loses_nothing(spark):
-    keys = spark.range(0, 1000, 7).withColumnRenamed("id", "k")
-    passed = {r["k"] for r in exact_dedup.among(spark.range(1000).withColumnRenamed("id", "k"), keys, "k").collect()}
-    assert set(range(0, 1000, 7)) <= passed and len(passed) < 200
+    keys = spark.range(0, 70_000, 7).withColumnRenamed("id", "k")
+    assert exact_dedup.pieces_for(10_000) == 5 and exact_dedup.pieces_for(10**9) is None
+    every = spark.range(70_000).withColumnRenamed("id", "k")
+    passed = {r["k"] for r in exact_dedup.among(every, keys, "k").collect()}
+    assert set(range(0, 70_000, 7)) <= passed and len(passed) - 10_000 < 600
+    left = {r["k"] for r in exact_dedup.without(every.unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS k")), keys, "k").collect()}
+    assert left == {k for k in range(70_000) if k % 7} | {None}
