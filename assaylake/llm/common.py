@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from assaylake.sources.scratch import materialize, scratch_path
 
-__all__ = ["ascii_lower", "lookup", "map_batches", "materialize", "numbered", "packed", "range_sorted", "scratch_path", "skew_join", "spread_lookup", "unpacked", "words_count"]
+__all__ = ["ascii_lower", "lookup", "map_batches", "materialize", "numbered", "packed", "range_sorted", "scratch_path", "skew_join", "slices", "spread_lookup", "unpacked", "words_count"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -76,7 +76,7 @@ def ascii_lower(text: Column) -> Column:
 SLICE_BYTES = 4 << 20
 
 
-def _slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     step = max(1, min(batch.num_rows, most * batch.num_rows // max(1, batch.nbytes)))
     for at in range(0, batch.num_rows, step):
         yield batch.slice(at, step)
@@ -100,7 +100,7 @@ def map_batches(df: DataFrame, kernel: Callable[[], Callable[..., dict[str, list
         pa.set_memory_pool(pa.system_memory_pool())
         step = kernel()
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch):
                 made = step(*(part.column(i).to_pylist() for i in at))
                 yield pa.RecordBatch.from_arrays([part.column(i).cast(f.type) for i, f in zip(order, arrow)] + [pa.array(made[f.name], type=f.type) for f in tail], schema=arrow)
 

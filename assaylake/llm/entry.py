@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, htmltext, linededup, minhash, mixing, ogg, tokencount, toxicity
+from . import alignment, bpe, chat, exact_dedup, htmltext, linededup, minhash, mixing, ogg, simhash, tokencount, toxicity, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_mix": mixing.op8_mix,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_main_text": htmltext.op10_main_text,
+        "op11_simhash": simhash.op11_simhash,
+        "op12_whitening": whitening.op12_whitening,
+        "op13_alignment": alignment.op13_alignment,
     }
 
 
