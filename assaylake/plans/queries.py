@@ -11,7 +11,7 @@ from ..functions.digests import rank_hex
 from ..functions.geometry import tiles_of
 from ..operators import augment, banks, cohort, deltas, depth, metrics, observe, regions, running, scoring
 from ..sources.scratch import materialize
-from . import checks, runs, validators
+from . import checks, documents, runs, validators
 from .adapters import cases, knn_scores, lines, patch_cases, scored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -249,4 +249,5 @@ QUERIES: dict[str, Query] = {
     **runs.QUERIES,
     **checks.QUERIES,
     **validators.QUERIES,
+    **documents.QUERIES,
 }
