@@ -7,9 +7,9 @@ votes for the path of the result, tags with all their classes from the root, wit
 shuffle as far as they can be. Then every page is read again and the containers on its host's winning path are its text; a page that has none,
 or none with text, takes its own choice.
 
-Boilerplate is left out by tag (nav, footer, aside, form, script, header outside of an article, ...), by role, by hidden attributes, by words in class or id, and, outside
-of articles, containers that are little but links. Words that content also uses ("search", "related") count only where nothing but layout stands beside
-them: "related-posts" is boilerplate, "related-work" isn't. Blocks are joined by one space, and any run of white space is one space.
+Boilerplate is left out by tag (nav, footer, aside, form, script, header outside of an article, ...), by role, by hidden attributes, by classes and ids that consist of known
+words only ("share-bar" is boilerplate, "share-price" isn't), and, outside of articles, containers that are little but links. Words that content also uses ("search", "related") count only where nothing but layout stands beside
+them: "related-posts" is boilerplate, "related-work" isn't. An element that is left out for its class but has nearly all of the page's text is read after all, unless it holds reader comments. A host's path gives way to an article of the page's own where its text is small beside that. Blocks are joined by one space, and any run of white space is one space.
 
 A page is read in time and memory linear in its length: unclosed tags, quotes and comments and any depth of nesting included.
 
@@ -41,17 +41,24 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 LISTS = ("ul", "ol", "table")
 MARKS = frozenset(
     "nav navbar navigation menu menubar masthead footer sidebar ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo "
-    "cookie cookies consent gdpr popup modal newsletter subscribe breadcrumb breadcrumbs comment comments disqus pagination pager share sharing social signup".split()
+    "cookie cookies consent gdpr popup modal newsletter subscribe breadcrumb breadcrumbs disqus pagination pager share sharing social signup".split()
 )
-#: These mark boilerplate only beside words of LAYOUT, or alone.
+COMMENTS = frozenset("comment comments responses".split())
+#: These mark boilerplate only beside words of LAYOUT, or alone; the ones above beside those of OTHERS too.
 WEAK_MARKS = frozenset(
     "header aside promotion promoted notice notices alert overlay subscription login reply replies respond discussion related recommended recommendations toolbar widget widgets search skip "
-    "legal copyright disclaimer".split()
+    "legal copyright disclaimer teaser teasers trending".split()
 )
 LAYOUT = frozenset(
     "site page global top bottom left right main primary secondary box bar block list links link items item posts articles stories section area container wrapper wrap inner outer row col panel "
-    "form button buttons icon icons message msg to".split()
+    "form button buttons icon icons message msg to info".split()
 )
+OTHERS = frozenset(
+    "user users reader readers visitor blog news forum thread google dfp facebook fb twitter wp js ui mod mega mini mobile desktop sticky fixed slot unit rail strip tray tool tools follow us email mail count counter "
+    "add new all show hide toggle load more title heading label law policy accept bottombar topbar data view card cards group text tag tags category author meta avatar date time".split()
+)
+#: "commentlist", "usercomments" and the like in one word; "commentary" isn't one.
+_COMMENTS = re.compile(r"(?:user|reader|post|fb|blog|article)?comments?(?:list|area|box|form|thread|section|wrap|wrapper|container|block|body|text|author|meta)?")
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 LIKELY = frozenset("article content post entry story main body text".split())
 #: Elements that are never boilerplate by class, as themes mark whole pages ("has-sidebar").
@@ -61,6 +68,8 @@ SEMANTIC = ("article", "main")
 #: A sibling container is small with under this share of the other's characters. A container is a menu with so many links, and so many times more characters in
 #: links than outside.
 SMALL, MENU_LINKS, MENU_TIMES = 0.1, 3, 2
+#: Elements that a page has this share of its text in are read although their class marks boilerplate, so many at most, one inside of the other.
+MOST, EXEMPT = 0.9, 4
 
 _OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
 #: The rest of a tag. Quotes count where they follow "=" and are closed.
@@ -74,34 +83,49 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)} if raw.strip(" \t\r\n/") else {}
 
 
-def _marked(name: str) -> bool:
-    """Whether a class or id, such as "postHeader-2" (post, header), marks boilerplate."""
+def _marks(name: str) -> str:
+    """What a class or id, such as "postHeader-2" (post, header), marks: "comments", "boilerplate" or nothing. All its words must be known: "share-price" is content."""
     words = [w.lower() for w in _WORD.findall(name)]
     if not words or words[0] in ("has", "no", "with", "is"):
-        return False
-    if not MARKS.isdisjoint(words):  # "content-sidebar-wrap" holds both
-        return LIKELY.isdisjoint(words) or words[0] in MARKS or words[-1] in MARKS
-    return not WEAK_MARKS.isdisjoint(words) and all(w in WEAK_MARKS or w in LAYOUT for w in words)
-
-
-def _boilerplate(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
+        return ""
+    said = [bool(w in COMMENTS or _COMMENTS.fullmatch(w)) for w in words]
+    if all(c or w in MARKS or w in WEAK_MARKS or w in LAYOUT or w in OTHERS or w in LIKELY for c, w in zip(said, words)):
+        ends = {words[0], words[-1]}
+        if any(said) and (LIKELY.isdisjoint(words) or said[0] or said[-1]):
+            return "comments"
+        if not MARKS.isdisjoint(words) and (LIKELY.isdisjoint(words) or not MARKS.isdisjoint(ends)):  # "content-sidebar-wrap" holds both
+            return "boilerplate"
+    return "boilerplate" if not WEAK_MARKS.isdisjoint(words) and all(w in WEAK_MARKS or w in LAYOUT for w in words) else ""
+
+
+def _boilerplate(tag: str, attributes: dict[str, str], in_article: bool) -> str:
+    """Why an element is left out: "tag", "comments", "boilerplate" (by its class) or not at all."""
     if tag in DROPPED or tag == "header" and not in_article:
-        return True
+        return "tag"
     if not attributes:
-        return False
+        return ""
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "")):
-        return True
+        return "tag"
     if attributes.get("role", "").lower() in ROLES:
-        return True
-    if tag in WHOLE or tag == "header":
-        return False
-    return any(map(_marked, f"{attributes.get('class', '')} {attributes.get('id', '')}".split()))
+        return "tag"
+    if tag in WHOLE - {"article"} or tag == "header":
+        return ""
+    if tag == "article" and not in_article:  # "comment" may be the genre of a whole article; an id such as "comment-3" is a comment's
+        return "comments" if _marks(attributes.get("id", "")) == "comments" else ""
+    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".split()
+    found = {_marks(n) for n in names}
+    if "comments" in found:
+        return "comments"
+    content = any(words and LIKELY.issuperset(w.lower() for w in words) for words in map(_WORD.findall, names))
+    return "boilerplate" if "boilerplate" in found and tag != "article" and not content else ""
 
 
 class Page:
     """Pieces of text in order, and containers as ranges of them. Container 0 is the whole page; children come after their parents."""
 
-    def __init__(self, page: str):
+    def __init__(self, page: str, exempt: frozenset[int] = frozenset()):
+        # Elements left out for their class, by where they begin: characters inside. The largest are read after all if they have nearly all of the text.
+        self._exempt, self._left_out = exempt, {}
         self.pieces: list[str] = []
         # Of each container: label, parent, first and last piece, characters outside and inside of links, links, whether in an article.
         self.labels, self.parents, self.starts, self.ends = [""], [-1], [0], [0]
@@ -109,25 +133,32 @@ class Page:
         self._keys = [xxhash.xxh64(seed=42)]
         self._read(page)
         self.ends[0] = len(self.pieces)
+        most = max(self._left_out, key=self._left_out.get, default=None)
+        if most is not None and len(exempt) < EXEMPT and self._left_out[most] > MOST * (sum(self.plain) + sum(self.linked) + sum(self._left_out.values())):
+            self.__init__(page, exempt | {most})
 
     def _read(self, page: str) -> None:
         # Of each open element: tag, its container, boilerplate or not. where: positions of open elements by tag.
         stack: list[tuple[str, int, bool]] = [("", 0, False)]
         where: dict[str, list[int]] = defaultdict(list)
         pieces, last_end = self.pieces, page.rfind(">")
-        dropped_at, quotes = 0, True
+        dropped_at, quotes, left_out, silent = 0, True, None, 0  # left_out: where an element left out for its class begins; silent: depth at which its text doesn't count
 
         def close(to: int) -> None:
-            nonlocal dropped_at
+            nonlocal dropped_at, left_out, silent
             while len(stack) > to:
                 tag, at, _ = stack.pop()
                 where[tag].pop()
                 if dropped_at == len(stack):
-                    dropped_at = 0
+                    dropped_at, left_out, silent = 0, None, 0
+                elif silent == len(stack):
+                    silent = 0
                 if at != stack[-1][1]:
                     self.ends[at] = len(pieces)
 
         def text(data: str) -> None:
+            if left_out is not None and not silent:
+                self._left_out[left_out] += len(data.strip())
             if not dropped_at and data:
                 data = entities.unescape(data) if "&" in data else data
                 pieces.append(data)
@@ -157,7 +188,7 @@ class Page:
             else:
                 raw, end = rest[1], rest.end()
             text(page[held:at])
-            at = held = end
+            begin, at, held = at, end, end
             tag = m[2].lower()
             if tag in BLOCKS and not dropped_at:
                 pieces.append("\n")
@@ -175,9 +206,15 @@ class Page:
                     close(k)
             attributes = _attributes(raw)
             parent = stack[-1][1]
-            dropped = bool(dropped_at) or _boilerplate(tag, attributes, bool(where["article"] or where["main"]))
+            why = _boilerplate(tag, attributes, bool(where["article"] or where["main"])) if begin not in self._exempt else ""
+            dropped = bool(dropped_at or why)
             if dropped and not dropped_at:
                 dropped_at = len(stack)
+                if why == "boilerplate":
+                    left_out = begin
+                    self._left_out[begin] = 0
+            elif left_out is not None and not silent and why in ("tag", "comments"):
+                silent = len(stack)
             own = parent
             if tag in CONTAINERS and not dropped:
                 own = len(self.labels)
@@ -292,11 +329,16 @@ def vote(page: str | None) -> str | None:
 
 
 def extract(page: str | None, key: int | None) -> str:
-    """The text of the containers on the path of this hash; else that of the page's own choice."""
+    """The text of the containers on the path of this hash; that of the page's own choice if there is none, or it is small beside an article of the page's own."""
     if not page:
         return ""
     read = Page(page)
-    return read.text(read.on(key)) or read.text([read.choice() or 0])
+    choice = read.choice() or 0
+    found = read.text(read.on(key))
+    if found and read._tag(choice) not in SEMANTIC:
+        return found
+    own = read.text([choice])
+    return own if len(found) < SMALL * len(own) else found
 
 
 def _host(url_col: str) -> F.Column:

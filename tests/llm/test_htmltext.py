@@ -5,7 +5,7 @@ import pytest
 from assaylake.llm import common, htmltext
 
 
-def text(page):
+def text_of(page):
     path = htmltext.vote(page)
     return htmltext.extract(page, None if path is None else htmltext.path_key(path))
 
@@ -40,7 +40,7 @@ def text(page):
     ],
 )
 def test_pages(page, want):
-    assert text(page) == want
+    assert text_of(page) == want
 
 
 def test_consensus_overrules_a_page(spark):
@@ -57,8 +57,8 @@ def test_consensus_overrules_a_page(spark):
 
 
 def test_deep_and_long_pages():
-    assert text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
-    assert len(text("<article>" + "<p>word word</p>" * 20_000 + "</article>")) == 20_000 * 10 - 1
+    assert text_of("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
+    assert len(text_of("<article>" + "<p>word word</p>" * 20_000 + "</article>")) == 20_000 * 10 - 1
 
 
 def test_paths_have_all_classes():
@@ -88,3 +88,40 @@ def test_hosts_beyond_a_broadcast(spark, monkeypatch):
     assert {r["page_id"]: r["text"] for r in htmltext.main_text(frame).collect()} == want
     monkeypatch.setattr(common, "BROADCAST_ROWS", 2)
     assert {r["page_id"]: r["text"] for r in htmltext.main_text(frame).collect()} == want
+
+
+BODY = "This is the whole article with quite some words in it, as it should be. " * 8
+
+
+@pytest.mark.parametrize("inner", ['<div class="comment-on-law">%s</div>', '<p class="share-price">%s</p>', '<blockquote class="banner-quote">%s</blockquote>', '<div class="sharing-economy">%s</div>', '<p class="menu-of-the-day">%s</p>', '<div class="consent-form-law">%s</div>', '<div class="commentary">%s</div>'])
+def test_names_with_other_words_are_content(inner):
+    page = "<html><body><nav>Home</nav><article><h1>T</h1>" + inner % BODY + "<p>End.</p></article></body></html>"
+    assert text_of(page) == " ".join(f"T {BODY} End.".split())
+
+
+COMMENTS = ['<ol class="commentlist"><li>%s</li></ol>', '<div class="responses"><p>%s</p></div>', '<section id="comments"><article class="comment">%s</article></section>', '<div class="post-comments">%s</div>', '<div class="usercomments">%s</div>', '<div id="comment-12" class="comment-body">%s</div>', '<article class="comment" id="comment-3">%s</article>']
+
+
+@pytest.mark.parametrize("comments", COMMENTS)
+@pytest.mark.parametrize("theme", ["<article><h1>T</h1><p>{}</p>{}</article>", '<main><article><h1>T</h1><p>{}</p></article>{}</main>', '<div class="content"><h1>T</h1><p>{}</p>{}</div>', '<div id="docs"><div class="page"><h1>T</h1><p>{}</p></div>{}</div>'])
+def test_reader_comments_go_in_every_theme(comments, theme):
+    page = "<html><body><nav>Home</nav>" + theme.format(BODY, comments % ("Nice post. " * 200)) + "</body></html>"
+    assert text_of(page) == " ".join(f"T {BODY}".split())
+
+
+def test_path_with_little_text_yields():
+    page = f"<html><body><div class=content>hi</div><article>{BODY}</article></body></html>"
+    assert htmltext.extract(page, htmltext.path_key("/html/body/div.content")) == BODY.strip()
+
+
+def test_forum_keeps_every_post():
+    posts = "".join(f'<article class="post"><p>Post {i} says this. {BODY}</p><div class="share-bar">Share</div></article>' for i in range(4))
+    page = f'<html><body><main class="thread">{posts}<p class="info-notice">Read the rules.</p></main></body></html>'
+    text = text_of(page)
+    assert all(f"Post {i} says this." in text for i in range(4)) and "Share" not in text and "rules" not in text
+
+
+def test_page_inside_of_a_marked_element_is_read():
+    page = f'<html><body><div class="sidebar-box"><p>{BODY}</p></div><p>x</p></body></html>'
+    assert "whole article" in text_of(page)
+    assert text_of(page.replace("sidebar-box", "comments")) == "x"
