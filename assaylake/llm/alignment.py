@@ -16,10 +16,12 @@ an empty table gives no rows; other columns aren't returned.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 from array import array
 from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,9 @@ from . import common
 from .bpe import byte_characters
 
 #: Windows that a task remembers, and the tokens of the longest of them.
-MEMORY, MEMORY_TOKENS = 100_000, 32
+MEMORY, MEMORY_TOKENS = 150_000, 32
+#: Bytes of text that are aligned at once.
+LOT = 1 << 20
 #: Pairs of ids whose counts may be broadcast, 20 bytes each, and those that a task adds up before it gives them out.
 MAX_PAIRS, PARTIAL = 4_000_000, 500_000
 #: White space characters in a row up to which the pattern is matched by backtracking.
@@ -75,20 +79,37 @@ class PieceTokens:
         return self.model.encode(texts, num_threads=1)
 
 
-def aligned(a: Sequence[int], b: Sequence[int], size_a: Sequence[int], size_b: Sequence[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
-    """Groups between shared ends and links of two token sequences over the same bytes; size_a and size_b give the length of an id's bytes."""
-    groups, links, i, j, end_a, end_b, i0, j0 = [], [], 0, 0, 0, 0, 0, 0
-    while i < len(a) and j < len(b):
-        links.append((a[i], b[j]))
-        to_a, to_b = end_a + size_a[a[i]], end_b + size_b[b[j]]
-        if to_a <= to_b:
-            i, end_a = i + 1, to_a
-        if to_b <= to_a:
-            j, end_b = j + 1, to_b
-        if to_a == to_b:
-            groups.append((list(a[i0:i]), list(b[j0:j])))
-            i0, j0 = i, j
-    return groups, links
+def _sums(x: np.ndarray, start: np.ndarray, end: np.ndarray, power: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """For each window a polynomial in its ids, modulo 2 ** 64."""
+    total = np.r_[np.uint64(0), np.cumsum((x.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * power[: len(x)], dtype=np.uint64)]
+    return (total[end] - total[start]) * back[start]
+
+
+def distinct(a: np.ndarray, from_a: np.ndarray, to_a: np.ndarray, b: np.ndarray, from_b: np.ndarray, to_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of distinct windows, and for each window which of these it is. Windows of one hash are compared by their ids; should two differ, every window is its own."""
+    odd = 0xD6E8FEB86659FD93
+    n = max(len(a), len(b)) + 1
+    power, back = (np.cumprod(np.r_[np.uint64(1), np.full(n, base, np.uint64)], dtype=np.uint64) for base in (odd, pow(odd, -1, 1 << 64)))
+    ends = to_a - from_a, to_b - from_b
+    h = _sums(a, from_a, to_a, power, back) * np.uint64(0xFF51AFD7ED558CCD) + _sums(b, from_b, to_b, power, back) + (ends[0] << 32 | ends[1]).astype(np.uint64) * np.uint64(0xC4CEB9FE1A85EC53)
+    _, first, which = np.unique(h, return_index=True, return_inverse=True)
+    for x, start, size in ((a, from_a, ends[0]), (b, from_b, ends[1])):
+        like = first[which]
+        if not np.array_equal(size, size[like]) or not np.array_equal(x, x[np.repeat(start[like] - start, size) + np.arange(len(x))]):
+            return np.arange(len(h)), np.arange(len(h))
+    return first, which
+
+
+def tuples(a: np.ndarray, from_a: np.ndarray, to_a: np.ndarray, b: np.ndarray, from_b: np.ndarray, to_b: np.ndarray) -> list[bytes]:
+    """Each window's ids of a, -1 and its ids of b, as bytes of 32 bits."""
+    size_a, size_b = to_a - from_a, to_b - from_b
+    end = np.cumsum(size_a + 1 + size_b)
+    start, out = end - size_a - 1 - size_b, np.full(end[-1] if len(end) else 0, -1, np.int32)
+    for x, begin, size, at in ((a, from_a, size_a, start), (b, from_b, size_b, end - size_b)):
+        steps = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        out[np.repeat(at, size) + steps] = x[np.repeat(begin, size) + steps]
+    flat, cuts = out.tobytes(), (4 * end).tolist()
+    return [flat[p:q] for p, q in zip([0, *cuts], cuts)]
 
 
 class Aligner:
@@ -100,26 +121,63 @@ class Aligner:
         self.bytes = table(one.pieces), table(two.pieces)
         self.sizes = [np.array(list(map(len, t)), np.int64) for t in self.bytes]
         self.spaced = [np.array([p.startswith(b" ") for p in t]) for t in self.bytes]
+        self.flat = [(np.frombuffer(b"".join(t), np.uint8), np.cumsum(z) - z) for t, z in zip(self.bytes, self.sizes)]
         self.width = len(self.bytes[1])
+        self.digits = list(map(str, range(max(map(len, self.bytes)))))
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[tuple[bytes, bytes], int] = {}
+        """Keeps the windows met most often, an eighth of the memory."""
+        kept = sorted(self.known.values(), key=lambda n: -self.uses[n])[: MEMORY // 8] if hasattr(self, "known") else []
+        old = self.known if kept else {}
+        kept = {n: k for k, n in enumerate(kept)}
+        keys = [key for key, n in sorted(((key, kept[n]) for key, n in old.items() if n in kept), key=lambda x: x[1])]
+        self.known: dict[bytes, int] = {}
         self.names: list[str] = []
         self.groups, self.links, self.starts, self.codes, self.times = array("q"), array("q"), array("q", [0]), array("q"), array("q")
-
-    def learn(self, key: tuple[bytes, bytes]) -> int:
-        """The window's number."""
-        a, b = (np.frombuffer(k, np.int32).tolist() for k in key)
-        groups, links = aligned(a, b, *self.sizes)
-        codes, times = np.unique(np.array(links, np.int64).reshape(-1, 2) @ np.array([self.width, 1]), return_counts=True)
-        self.names.append(";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups))
-        self.groups.append(len(groups))
-        self.links.append(len(links))
-        self.codes.frombytes(codes.tobytes())
-        self.times.frombytes(times.astype(np.int64).tobytes())
-        self.starts.append(len(self.codes))
-        return len(self.names) - 1
+        self.uses = np.zeros(0, np.int64)
+        if keys:
+            self.learn(keys)
+            self.known = {key: n for n, key in enumerate(keys)}
+
+    def learn(self, keys: list[bytes]) -> None:
+        """Aligns new windows, all at once: they are laid end to end, and both sides' windows have as many bytes."""
+        flat = np.frombuffer(b"".join(keys), np.int32).astype(np.int64)
+        whose, between = np.repeat(np.arange(len(keys)), np.fromiter(map(len, keys), np.int64, len(keys)) // 4), flat < 0
+        behind = np.cumsum(between) > whose
+        a, b, own = flat[~behind], flat[behind & ~between], whose[~behind]
+        size_a, size_b = self.sizes[0][a], self.sizes[1][b]
+        end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)
+        start_a, start_b = end_a - size_a, end_b - size_b
+        low = np.searchsorted(end_b, start_a, side="right")
+        count = np.searchsorted(start_b, end_a, side="left") - low
+        i = np.repeat(np.arange(len(a)), count)
+        j = np.arange(len(i)) + np.repeat(low - (np.cumsum(count) - count), count)
+        span = len(self.bytes[0]) * self.width
+        codes, times = np.unique(own[i] * span + a[i] * self.width + b[j], return_counts=True)
+        which, codes = np.divmod(codes, span)
+        at = np.searchsorted(end_b, end_a)
+        shared = np.flatnonzero(end_b[at] == end_a)
+        groups, links, pairs = (np.bincount(x, minlength=len(keys)) for x in (own[shared], own[i], which))
+        cut_a, cut_b, one, two = (shared + 1).tolist(), (at[shared] + 1).tolist(), list(map(self.digits.__getitem__, a.tolist())), list(map(self.digits.__getitem__, b.tolist()))
+        named = [f"{one[p]}|{two[r]}" if q - p == 1 == t - r else f"{','.join(one[p:q])}|{','.join(two[r:t])}" for p, q, r, t in zip([0, *cut_a], cut_a, [0, *cut_b], cut_b)]
+        to = np.cumsum(groups).tolist()
+        self.names += [";".join(named[p:q]) for p, q in zip([0, *to], to)]
+        for held, new in ((self.groups, groups), (self.links, links), (self.starts, self.starts[-1] + np.cumsum(pairs)), (self.codes, codes), (self.times, times)):
+            held.frombytes(new.astype(np.int64).tobytes())
+
+    def lossless(self, flat: list[np.ndarray], lengths: list[np.ndarray], texts: list[bytes]) -> np.ndarray:
+        """Whether the tokens of both sides give a text's bytes back, for each text."""
+        good, size_of = np.ones(len(texts), bool), np.fromiter(map(len, texts), np.int64, len(texts))
+        for ids, length, pieces, sizes in zip(flat, lengths, self.flat, self.sizes):
+            own, size = np.repeat(np.arange(len(texts)), length), sizes[ids]
+            good &= np.bincount(own, size, len(texts)).astype(np.int64) == size_of
+            kept = good[own]
+            ids, size = ids[kept], size[kept]
+            made = pieces[0][np.repeat(pieces[1][ids] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+            wrong = np.flatnonzero(made != np.frombuffer(b"".join(t for t, ok in zip(texts, good) if ok), np.uint8))
+            good[np.searchsorted(np.cumsum(np.where(good, size_of, 0)), wrong, side="right")] = False
+        return good
 
     def windows(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The number of each window of two id sequences over the same bytes, and the position in a at which it ends."""
@@ -130,22 +188,22 @@ class Aligner:
         anchor = self.spaced[0][a[np.minimum(i + 1, len(a) - 1)]] & self.spaced[1][b[np.minimum(j + 1, len(b) - 1)]]
         anchor[-1] = True
         i, j = i[anchor] + 1, j[anchor] + 1
-        flat_a, flat_b = a.astype(np.int32).tobytes(), b.astype(np.int32).tobytes()
-        cut_a, cut_b = (4 * i).tolist(), (4 * j).tolist()
-        keys = [(flat_a[p:q], flat_b[r:s]) for p, q, r, s in zip([0, *cut_a], cut_a, [0, *cut_b], cut_b)]
-        known, learn = self.known, self.learn
-        if len(known) > MEMORY:
+        from_a, from_b = np.r_[0, i[:-1]], np.r_[0, j[:-1]]
+        first, which = distinct(a, from_a, i, b, from_b, j)
+        keys = tuples(a, from_a[first], i[first], b, from_b[first], j[first])
+        if len(self.names) > MEMORY or len(self.codes) > 16 * MEMORY:
             self.forget()
-            known = self.known
-        numbers, long = list(map(known.get, keys)), {}
-        for k, number in enumerate(numbers):
-            if number is None:
-                key = keys[k]
-                if (number := known.get(key, long.get(key))) is None:
-                    number = learn(key)
-                    (known if len(key[0]) + len(key[1]) <= 4 * MEMORY_TOKENS else long)[key] = number
-                numbers[k] = number
-        return np.array(numbers, np.int64), i
+        numbers = list(map(self.known.get, keys))
+        if fresh := {key: None for key, number in zip(keys, numbers) if number is None}:
+            at = len(self.names)
+            self.learn(list(fresh))
+            fresh = dict(zip(fresh, range(at, len(self.names))))
+            numbers = [fresh[key] if number is None else number for key, number in zip(keys, numbers)]
+            self.known |= {k: n for k, n in fresh.items() if len(k) <= 4 * MEMORY_TOKENS}
+        numbers = np.array(numbers, np.int64)[which]
+        self.uses.resize(len(self.names))
+        self.uses += np.bincount(numbers, minlength=len(self.names))
+        return numbers, i
 
     def __call__(self, texts: list[str | None], named: bool) -> dict[str, list]:
         """n_a, n_b, n_groups, n_links, groups (if named, else none), codes and times (bytes of 64 and 32 bits) of each text."""
@@ -154,13 +212,14 @@ class Aligner:
         full = [k for k, t in enumerate(texts) if t]
         spaced = [" " + texts[k] for k in full]
         sides = self.one.encode(spaced), self.two.encode([texts[k] for k in full])
-        joined = lambda ids, s: b"".join(map(self.bytes[s].__getitem__, ids))
-        good = [m for m, t in enumerate(spaced) if joined(sides[0][m], 0) == joined(sides[1][m], 1) == t.encode()]
-        if not good:
+        lengths = [np.fromiter(map(len, side), np.int64, len(side)) for side in sides]
+        flat = [np.array(list(chain.from_iterable(side)), np.int64) for side in sides]
+        good = self.lossless(flat, lengths, [t.encode() for t in spaced])
+        if not good.any():
             return out
-        rows = np.array([full[m] for m in good])
-        flat = [np.fromiter((x for m in good for x in side[m]), np.int64) for side in sides]
-        n_a, n_b = ([len(side[m]) for m in good] for side in sides)
+        rows = np.array(full)[good]
+        flat = [ids[np.repeat(good, length)] for ids, length in zip(flat, lengths)]
+        n_a, n_b = (length[good].tolist() for length in lengths)
         # Texts begin with a space, so where one ends and the next begins is an anchor.
         numbers, ends = self.windows(*flat)
         own = np.searchsorted(np.cumsum(n_a), ends)  # the text of each window
@@ -263,7 +322,11 @@ def align(docs: DataFrame, byte_json: str, pattern: str, piece_model: str, id_co
         aligner = Aligner(ByteTokens(sent.value[0], pattern), PieceTokens(sent.value[1]))
 
         def step(texts):
-            made = aligner(texts, bool(adds))
+            gc.disable()  # a lot makes many short-lived objects, none of them in a cycle
+            try:
+                made = aligner(texts, bool(adds))
+            finally:
+                gc.enable()
             groups = made.pop("groups")
             return made | {name: list(map(GROUPS[name], groups)) for name in adds}
 
@@ -271,7 +334,7 @@ def align(docs: DataFrame, byte_json: str, pattern: str, piece_model: str, id_co
 
     kinds = ", ".join(["n_a long, n_b long, n_groups long, n_links long, codes binary, times binary", *(f"{a} string" for a in adds)])
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    table = common.map_batches(rows, kernel, ["text"], kinds).drop("text").withColumn("_row", F.monotonically_increasing_id())
+    table = common.map_batches(rows, kernel, ["text"], kinds, most=LOT).drop("text").withColumn("_row", F.monotonically_increasing_id())
     table = common.materialize(table, "aligned")
     counts = common.materialize(_counts(table), "pair-counts")
     # An A id has a row for each B id at most.

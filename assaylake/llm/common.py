@@ -82,11 +82,11 @@ def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.Record
         yield batch.slice(at, step)
 
 
-def map_batches(df: DataFrame, kernel: Callable[[], Callable[..., dict[str, list]]], uses: Sequence[str], adds: str | StructType, keep: bool = True) -> DataFrame:
+def map_batches(df: DataFrame, kernel: Callable[[], Callable[..., dict[str, list]]], uses: Sequence[str], adds: str | StructType, keep: bool = True, most: int = SLICE_BYTES) -> DataFrame:
     """Runs kernel() once in each task, then what it returns on the columns `uses`, as lists, slice by slice; it returns the columns `adds`.
 
     keep: the columns of df stay beside the new ones, without passing through Python objects; those named like a new one are replaced.
-    Without keep a slice may give any number of rows.
+    Without keep a slice may give any number of rows. most: bytes of a slice.
     """
     new = _parse_datatype_string(adds) if isinstance(adds, str) else adds
     fresh = {f.name for f in new}
@@ -100,7 +100,7 @@ def map_batches(df: DataFrame, kernel: Callable[[], Callable[..., dict[str, list
         pa.set_memory_pool(pa.system_memory_pool())
         step = kernel()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most):
                 made = step(*(part.column(i).to_pylist() for i in at))
                 yield pa.RecordBatch.from_arrays([part.column(i).cast(f.type) for i, f in zip(order, arrow)] + [pa.array(made[f.name], type=f.type) for f in tail], schema=arrow)
 
