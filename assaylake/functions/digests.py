@@ -74,18 +74,23 @@ def canonical_sha256(document: Column, drop: str | None = None, ensure_ascii: bo
     return digest(document)
 
 
+def python_round(v: np.ndarray, digits: int) -> np.ndarray:
+    """Python's round of each value."""
+    scaled = v * 10.0**digits
+    out = np.rint(scaled) / 10.0**digits
+    # Near a tie, or where the product isn't exact, the binary value itself decides.
+    odd = np.flatnonzero((np.abs(np.abs(scaled - np.floor(scaled)) - 0.5) < 1e-3) | (np.abs(scaled) > 2.0**50))
+    out[odd] = [round(float(v[i]), digits) for i in odd]
+    return out
+
+
 def rounded(value: Column, digits: int) -> Column:
     """Python's round: half-even on the binary value. The JVM's bround goes by the decimal text."""
 
     @F.pandas_udf("double")
     def run(x: pd.Series) -> pd.Series:
         v = x.to_numpy(float)
-        scaled = v * 10.0**digits
-        out = np.rint(scaled) / 10.0**digits
-        # Near a tie, or where the product isn't exact, the binary value itself decides.
-        odd = np.flatnonzero((np.abs(np.abs(scaled - np.floor(scaled)) - 0.5) < 1e-3) | (np.abs(scaled) > 2.0**50))
-        out[odd] = [round(float(v[i]), digits) for i in odd]
-        return pd.Series(out).where(~np.isnan(v), None)
+        return pd.Series(python_round(v, digits)).where(~np.isnan(v), None)
 
     return run(value)
 

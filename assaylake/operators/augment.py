@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import random
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import twister
 from ..functions.digests import seed
 
 
@@ -20,18 +21,30 @@ def plan(parents: DataFrame, variants: int, anchor: str, case: str = "case_id",
 
 
 def sampled(seeds: Column, ranges: Sequence[tuple[str, float, float]]) -> Column:
-    """A map of uniform samples within ranges, drawn in their order by CPython's generator from each seed, rounded to 8 digits."""
+    """A map of uniform samples within ranges, drawn in their order by CPython's generator from each seed, rounded to 8 digits; null for a null seed."""
+    draws = [("uniform", name, low, high, 0.0) for name, low, high in ranges]
 
     @F.pandas_udf("map<string,double>")
     def draw(values: pd.Series) -> pd.Series:
-        # The generator is seeded anew for each row, as the definition has it.
-        rng = random.Random()
+        kept = values.notna().to_numpy()
+        drawn = zip(*(column.tolist() for column in twister.sample(values[kept].tolist(), draws)))
+        out = np.full(len(values), None, object)
+        out[kept] = [dict(zip([d[1] for d in draws], row)) for row in drawn]
+        return pd.Series(out)
 
-        def one(value):
-            rng.seed(int(value))
-            return {name: round(rng.uniform(low, high), 8) for name, low, high in ranges}
+    return draw(seeds)
+
+
+def camera_parameters(seeds: Column, limits: Mapping[str, float]) -> Column:
+    """A struct of all that a camera recipe draws from each seed (twister.camera_draws); noise_seed is in decimal text."""
+    draws = twister.camera_draws(dict(limits))
+    kinds = {"uniform": "double", "integer": "bigint", "bits": "string"}
 
-        return values.map(one, na_action="ignore")
+    @F.pandas_udf(", ".join(f"{d[1]} {kinds[d[0]]}" for d in draws))
+    def draw(values: pd.Series) -> pd.DataFrame:
+        kept = values.notna().to_numpy()
+        made = pd.DataFrame({d[1]: [str(x) for x in v] if d[0] == "bits" else v for d, v in zip(draws, twister.sample(values[kept].tolist(), draws))}, index=values.index[kept])
+        return made.reindex(values.index)
 
     return draw(seeds)
 
