@@ -139,11 +139,11 @@ def region_overlap_counts(predicted: Column, actual: Column) -> dict[str, Column
 
 def central_width(points: DataFrame, by: str, along: str, across: str, fallback: float, slices: int = 12, least: int = 32, usable: int = 8, floor: int = 128, angle: float = 0.0) -> DataFrame:
     """(by, width): 0.90 quantile of the cross-section widths (0.005 to 0.995) in the middle 60 % of the long axis, which is `angle` radians from `along`; fallback with fewer
-    than `floor` points or `usable` slices of `least` points. A slice is bounded by the resolution of its image."""
+    than `floor` points or `usable` slices of `least` points. Groups aren't null."""
     turned = points.select(by, (F.col(along) * math.cos(angle) + F.col(across) * math.sin(angle)).alias("u"), (F.col(across) * math.cos(angle) - F.col(along) * math.sin(angle)).alias("v"))
     span = turned.groupBy(by).agg(F.min("u").alias("low"), F.max("u").alias("high"), F.count("*").alias("points"))
     part = F.floor(((F.col("u") - F.col("low")) / (F.col("high") - F.col("low")) - 0.2) / 0.6 * slices)
     cut = turned.join(span.filter((F.col("high") - F.col("low") > 1e-9) & (F.col("points") >= floor)), by).withColumn("slice", part).filter(F.col("slice").between(0, slices - 1))
-    ends = cut.groupBy(by, "slice").agg(F.count("*").alias("n"), (F.percentile("v", 0.995) - F.percentile("v", 0.005)).alias("w")).filter((F.col("n") >= least) & (F.col("w") > 0))
-    widths = ends.groupBy(by).agg(F.count("*").alias("_slices"), F.percentile("w", 0.90).alias("_width"))
+    ends = order_statistics(cut, [by, "slice"], "v", {"low_end": 0.005, "high_end": 0.995}).withColumn("w", F.col("high_end") - F.col("low_end")).filter((F.col("n") >= least) & (F.col("w") > 0))
+    widths = ends.groupBy(by).agg(F.count("*").alias("_slices"), F.percentile("w", 0.90).alias("_width"))  # of at most `slices` rows
     return points.select(by).distinct().join(widths, by, "left").select(by, F.when(F.col("_slices") >= usable, F.col("_width")).otherwise(F.lit(fallback)).alias("width"))

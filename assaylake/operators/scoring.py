@@ -1,6 +1,9 @@
-"""Nearest-neighbour scoring in blocks.
+"""Nearest-neighbour scoring.
 
-Queries and banks are dealt by hash to blocks of a bounded number of vectors within their category; every query block meets every bank block of its category,
+A bank of up to BANK_VALUES numbers, counted, is broadcast and searched where the queries are, so no query moves. It is cut into clusters around pivots: by the triangle inequality on
+angles no vector of a cluster is nearer to a query than the pivot's angle less the cluster's radius, so clusters that can't hold a nearer one are left out. The result is exact.
+
+A larger bank is met in blocks. Queries and banks are dealt by hash to blocks of a bounded number of vectors within their category; every query block meets every bank block of its category,
 one matrix product each, and the least distances are combined. SHARE query blocks meet a bank block in one place, so a category is spread over as many tasks as it has such
 shares and bank blocks, and no task holds more than two blocks at a time.
 """
@@ -11,12 +14,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 #: Vectors of a block, and query blocks that meet a bank block in one place.
 BLOCK, SHARE = 1024, 8
+#: Numbers of a bank that is broadcast, 8 bytes each, and what an angle may be off by.
+BANK_VALUES, SLACK = 1 << 22, 1e-6
 #: References of an artifact, which are broadcast.
 MAX_REFERENCES = 4096
 
@@ -40,13 +46,80 @@ def unit_rows(flat: np.ndarray, count: int) -> np.ndarray:
     return rows / norms
 
 
-def nearest(queries: DataFrame, bank: DataFrame, by: str, key: str, vector: str, block: int = BLOCK) -> DataFrame:
+class Clusters:
+    """The vectors of one category's bank around pivots. products: how many pairs of vectors were multiplied so far."""
+
+    def __init__(self, keys: np.ndarray, vectors: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        keys, units = keys[order], unit_rows(vectors.reshape(-1), len(keys))[order]
+        self.pivots = units[np.unique(np.linspace(0, len(units) - 1, max(1, int(len(units) ** 0.5))).astype(int))]
+        angles = np.arccos(np.clip(units @ self.pivots.T, -1.0, 1.0))
+        own = angles.argmin(axis=1)
+        used = np.unique(own)
+        self.pivots, self.products = self.pivots[used], 0
+        self.keys, self.units = [keys[own == c] for c in used], [units[own == c] for c in used]
+        self.radius = np.array([angles[own == c, c].max() for c in used])
+
+    def nearest(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(distance, key) for each of the queries, rows of unit length; the smallest key among equals."""
+        angles = np.arccos(np.clip(queries @ self.pivots.T, -1.0, 1.0))
+        self.products += angles.size
+        distance, key = np.full(len(queries), np.inf), np.empty(len(queries), self.keys[0].dtype)
+        bound = angles - self.radius - SLACK
+        first = angles.argmin(axis=1)
+
+        def visit(rows: np.ndarray, c: int) -> None:
+            d = np.clip(1.0 - queries[rows] @ self.units[c].T, 0.0, 2.0)
+            self.products += d.size
+            at = d.argmin(axis=1)
+            least, least_key = d[np.arange(len(rows)), at], self.keys[c][at]
+            better = (least < distance[rows]) | (least == distance[rows]) & (least_key < key[rows])
+            distance[rows[better]], key[rows[better]] = least[better], least_key[better]
+
+        for c in np.unique(first):
+            visit(np.flatnonzero(first == c), c)
+        for c in np.argsort(bound.min(axis=0)):
+            rows = np.flatnonzero((first != c) & (bound[:, c] <= np.arccos(np.clip(1.0 - distance, -1.0, 1.0))))
+            if len(rows):
+                visit(rows, c)
+        return distance, key
+
+
+def _nearest_here(queries: DataFrame, bank: DataFrame, by: str, key: str, vector: str) -> DataFrame:
+    held = bank.select(by, F.col(key).alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v")).toArrow()
+    groups: dict[object, list[int]] = {}
+    for i, name in enumerate(held.column(by).to_pylist()):
+        groups.setdefault(name, []).append(i)
+    rows = {name: held.take(pa.array(at)) for name, at in groups.items()}
+    sent = bank.sparkSession.sparkContext.broadcast({name: (r.column("k").to_numpy(), r.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)) for name, r in rows.items()})
+    kinds = queries.schema[by].dataType.simpleString(), queries.schema[key].dataType.simpleString(), bank.schema[key].dataType.simpleString()
+    out_kind = to_arrow_type(bank.schema[key].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[object, Clusters] = {}
+        for batch in batches:
+            for name in batch.column(0).unique().to_pylist():
+                if name not in sent.value:
+                    continue
+                if name not in known:
+                    keys, flat = sent.value[name]
+                    known[name] = Clusters(keys, flat)
+                own = batch.filter(pa.compute.equal(batch.column(0), name))
+                distance, found = known[name].nearest(unit_rows(own.column(2).flatten().to_numpy(zero_copy_only=False).astype(float), own.num_rows))
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(distance), pa.array(found, out_kind)], names=[by, key, "distance", "nearest"])
+
+    return queries.select(by, key, vector).mapInArrow(run, f"`{by}` {kinds[0]}, `{key}` {kinds[1]}, distance double, nearest {kinds[2]}")
+
+
+def nearest(queries: DataFrame, bank: DataFrame, by: str, key: str, vector: str, block: int = BLOCK, values: int = BANK_VALUES) -> DataFrame:
     """(by, key, distance, nearest): cosine distance to the nearest bank vector of the category and its key, the smallest among equals.
 
-    Keys are numbers. Categories without a bank give no rows.
+    Keys are numbers. Categories without a bank, null ones too, give no rows. values: numbers of a bank that may be broadcast.
     """
     if block < 1:
         raise ValueError("block must be positive")
+    if (bank.agg(F.sum(F.size(vector))).first()[0] or 0) <= values:
+        return _nearest_here(queries, bank, by, key, vector)
     kind, bank_kind = queries.schema[key].dataType.simpleString(), bank.schema[key].dataType.simpleString()
     q, b = _blocks(queries, by, key, vector, block, "q"), _blocks(bank, by, key, vector, block, "b")
     shares = queries.groupBy(by).agg(F.ceil(F.ceil(F.count("*") / block) / SHARE).alias("_shares"))

@@ -10,18 +10,40 @@ def unit(x):
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-@pytest.mark.parametrize("block", [1, 3, 1024])
-def test_nearest_as_brute_force(spark, block):
+@pytest.mark.parametrize("block, values", [(1, 0), (3, 0), (1024, 0), (1024, scoring.BANK_VALUES)])
+def test_nearest_as_brute_force(spark, block, values):
     rng = np.random.default_rng(7)
     data = {c: (rng.normal(size=(20, 4)), rng.normal(size=(9, 4))) for c in (1, 2)}
     frame = lambda k: spark.createDataFrame([(c, 100 * c + i, [float(x) for x in v]) for c, d in data.items() for i, v in enumerate(d[k])], "c int, k long, v array<double>")
-    got = {r["k"]: (r["distance"], r["nearest"]) for r in scoring.nearest(frame(0), frame(1), "c", "k", "v", block).collect()}
+    got = {r["k"]: (r["distance"], r["nearest"]) for r in scoring.nearest(frame(0), frame(1), "c", "k", "v", block, values).collect()}
     for c, (q, b) in data.items():
         d = np.clip(1 - unit(q) @ unit(b).T, 0, 2)
         for i in range(20):
             assert got[100 * c + i][0] == pytest.approx(d[i].min(), abs=1e-9) and got[100 * c + i][1] == 100 * c + d[i].argmin()
 
 
+def test_clusters_leave_most_products_out():
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16))
+    draw = lambda n: unit(centres[rng.integers(0, 40, n)] + 0.05 * rng.normal(size=(n, 16)))
+    bank, queries = draw(1600), draw(500)
+    keys = rng.permutation(1600)
+    held = scoring.Clusters(keys, bank)
+    distance, key = held.nearest(queries)
+    d = 1 - queries @ bank.T
+    assert np.allclose(distance, d.min(axis=1), atol=1e-12) and np.array_equal(key, keys[d.argmin(axis=1)])
+    assert held.products < 500 * 1600 / 5
+    spread = rng.normal(size=(300, 8))  # nothing to prune: still exact
+    held = scoring.Clusters(np.arange(300), spread)
+    assert np.array_equal(held.nearest(queries[:, :8] / np.linalg.norm(queries[:, :8], axis=1, keepdims=True))[1], (queries[:, :8] @ unit(spread).T).argmax(axis=1))
+
+
+def test_small_banks_move_no_query(spark):
+    rows = spark.createDataFrame([(1, k, [1.0, float(k)]) for k in range(5)], "c int, k long, v array<double>")
+    plan = scoring.nearest(rows, rows, "c", "k", "v")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_ties_and_bad_vectors(spark):
     bank = spark.createDataFrame([(1, 5, [1.0, 0.0]), (1, 3, [2.0, 0.0])], "c int, k long, v array<double>")
     query = spark.createDataFrame([(1, 1, [1.0, 1.0]), (2, 2, [1.0, 1.0])], "c int, k long, v array<double>")
@@ -79,7 +101,7 @@ def test_one_category_is_spread(spark, monkeypatch):
     want = sorted(map(tuple, scoring.nearest(rows, bank, "c", "k", "v", block=1000).collect()))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
-        found = scoring.nearest(rows, bank, "c", "k", "v", block=20)
+        found = scoring.nearest(rows, bank, "c", "k", "v", block=20, values=0)
         got = sorted(map(tuple, found.collect()))
         plan = found._jdf.queryExecution().toString()
     finally:
