@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from ..functions.geometry import overlaps
 from ..functions.vectors import cosine_distance
+from .rectangles import touched
 
 
 def priority(distance: Column, high: float, review: float) -> Column:
@@ -114,9 +114,7 @@ def intruding(rois: DataFrame, protected: DataFrame, on: str) -> DataFrame:
 
 def touching(boxes: DataFrame, regions: DataFrame, on: str) -> DataFrame:
     """Boxes (on, x, y, width, height) that share area with any region of the same image."""
-    a, b = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
-    hit = overlaps(a("x"), a("y"), a("width"), a("height"), b("x"), b("y"), b("width"), b("height"))
-    return boxes.alias("l").join(regions.alias("r"), (F.col(f"l.{on}") == F.col(f"r.{on}")) & hit, "left_semi")
+    return touched(boxes, regions, on)
 
 
 def assign_boxes(boxes: DataFrame, found: DataFrame, on: str, tolerance: int = 2) -> DataFrame:
