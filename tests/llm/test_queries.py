@@ -76,3 +76,47 @@ def article(page):
 def test_op10(spark):
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in QUERIES["op10_main_text"](spark, SF).collect()}
     assert got == {r["page_id"]: (t := article(r["html"]), len(t)) for r in table("pages")}
+
+
+def test_op11(spark):
+    from .test_simhash import brute as components, plain as fingerprint
+
+    rows = [(r["doc_id"], r["text"]) for r in table("documents")]
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in QUERIES["op11_simhash"](spark, SF).collect()}
+    want = components(rows)
+    assert got == {i: (f"{fingerprint(t):016x}", want[i]) for i, t in rows}
+
+
+def test_op12(spark):
+    import numpy as np
+
+    rows = [(r["vec_id"], r["embedding"]) for r in table("embeddings")]
+    rows = [(i, [float(c) for c in v]) for i, v in rows if v and None not in v and np.isfinite(np.array(v, float)).all()]
+    x = np.floor(64 * np.array([v for _, v in rows])) + 1_000_000
+    mean = x.mean(axis=0)
+    cov = (x - mean).T @ (x - mean) / len(x)
+    e, u = np.linalg.eigh(cov)
+    want = ((x - mean) @ u[:, ::-1] / np.sqrt(e[::-1]))[:, :32]
+    got = {(r["vec_id"], r["component"]): r for r in QUERIES["op12_whitening"](spark, SF).collect()}
+    assert len(got) == len(rows) * 32
+    for k, (i, _) in enumerate(rows):
+        for c in range(32):
+            r = got[i, c + 1]
+            assert abs(abs(r["whitened"]) - abs(want[k, c])) < 1e-6 and r["n"] == len(rows) and abs(r["explained"] - e[::-1][c] / np.trace(cov)) < 1e-9 and r["identity_error"] < 1e-4
+    sums = x.sum(axis=0)
+    assert {i: got[i, 1]["deviation"] for i, _ in rows} == {i: int(((len(x) * v - sums) ** 2).sum()) for (i, _), v in zip(rows, x)}
+
+
+def test_op13(spark):
+    import hashlib
+
+    import sentencepiece
+
+    from .test_alignment import PATHS, plain as aligned
+
+    one = tokenizers.Tokenizer.from_file(PATHS[0])
+    one.encode_special_tokens = True
+    rows = table("documents")
+    want = aligned([r["text"] for r in rows], (one, sentencepiece.SentencePieceProcessor(model_file=PATHS[2])))
+    got = {r["doc_id"]: tuple(r)[1:] for r in QUERIES["op13_alignment"](spark, SF).collect()}
+    assert got == {r["doc_id"]: (*w[:6], hashlib.sha256(w[6].encode()).hexdigest() if w[6] else "") for r, w in zip(rows, want)}
