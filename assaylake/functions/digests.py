@@ -95,6 +95,21 @@ def rounded(value: Column, digits: int) -> Column:
     return run(value)
 
 
+def general(value: Column, digits: int = 12) -> Column:
+    """Python's general format of a double with so many digits, as gates are reported; null for null."""
+
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        return pd.Series([None if v != v else f"{v:.{digits}g}" for v in x.to_numpy(float).tolist()], dtype=object)
+
+    return run(value)
+
+
+def map_union(left: Column, right: Column) -> Column:
+    """Both maps in one; where both have a key, right's value stays. Null if either is null."""
+    return F.map_concat(F.map_filter(left, lambda k, _: ~F.map_contains_key(right, k)), right)
+
+
 def is_close(a: Column, b: Column, tolerance: float = 1e-12) -> Column:
     return F.abs(a - b) <= tolerance
 

@@ -11,7 +11,7 @@ from ..functions.digests import rank_hex
 from ..functions.geometry import tiles_of
 from ..operators import augment, banks, cohort, deltas, depth, metrics, observe, regions, running, scoring
 from ..sources.scratch import materialize
-from . import checks, documents, gridqueries, runs, validators
+from . import checks, documents, gridqueries, runs, scans, validators
 from .adapters import cases, knn_scores, lines, patch_cases, scored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -251,4 +251,5 @@ QUERIES: dict[str, Query] = {
     **validators.QUERIES,
     **documents.QUERIES,
     **gridqueries.QUERIES,
+    **scans.QUERIES,
 }

@@ -61,24 +61,24 @@ def read_partitions(spark: SparkSession, path: str, partitions: Sequence[str], c
 def read_pool(spark: SparkSession, root: str, metadata: DataFrame, path: str = "source_remote_path", digest: str = "expected_remote_sha256", size: str = "expected_remote_bytes") -> DataFrame:
     """metadata with actual_sha256 and intact, by hashing the files below root; path is relative to root. A missing file isn't intact."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.col("path").alias("_path"), F.sha2("content", 256).alias("actual_sha256"), F.col("length").alias("_bytes"))
-    below = root.split("://", 1)[-1].removeprefix("file:").rstrip("/") + "/"
-    keyed = files.withColumn("_name", F.expr("substring(_path, instr(_path, below) + length(below))".replace("below", repr(below))))
+    below = F.lit(root.split("://", 1)[-1].removeprefix("file:").rstrip("/") + "/")
+    keyed = files.withColumn("_name", F.substring(F.col("_path"), F.position(below, F.col("_path")) + F.length(below), F.length("_path")))
     joined = metadata.join(keyed.drop("_path"), F.col(path) == F.col("_name"), "left")
     intact = (F.concat(F.lit("sha256:"), F.col("actual_sha256")) == F.col(digest)) & (F.col("_bytes") == F.col(size))
     return joined.withColumn("intact", F.coalesce(intact, F.lit(False))).drop("_name", "_bytes")
 
 
-def read_ledger(spark: SparkSession, path: str, column: str = "normal_source_sha256") -> DataFrame:
-    """(source_sha256) of a JSON ledger whose list must be sorted and unique; else the query fails."""
-    rows = spark.read.schema(f"{column} ARRAY<STRING>").json(path, multiLine=True)
+def read_ledger(spark: SparkSession, path: str, column: str = "normal_source_sha256", lines: bool = False) -> DataFrame:
+    """(source_sha256) of a JSON ledger whose list must be sorted and unique; else the query fails. lines: a ledger in each line, else in each file."""
+    rows = spark.read.schema(f"{column} ARRAY<STRING>").json(path, multiLine=not lines)
     good = F.array_sort(F.array_distinct(column)) == F.col(column)
     return rows.select(F.explode(F.when(good, F.col(column)).otherwise(F.raise_error(F.lit("LEDGER_NOT_SORTED_UNIQUE")))).alias("source_sha256"))
 
 
-def read_report(spark: SparkSession, path: str) -> DataFrame:
-    """Scores of JSON reports {..., "scores": [...]}."""
+def read_report(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Scores of JSON reports {..., "scores": [...]}; lines: a report in each line, else in each file."""
     kind = "case_id: STRING, category: STRING, role: STRING, kind: STRING, defect: STRING, source_sha256: STRING, score: DOUBLE"
-    return spark.read.schema(f"scores ARRAY<STRUCT<{kind}>>").json(path, multiLine=True).select(F.explode("scores").alias("s")).select("s.*")
+    return spark.read.schema(f"scores ARRAY<STRUCT<{kind}>>").json(path, multiLine=not lines).select(F.explode("scores").alias("s")).select("s.*")
 
 
 def cached(cases: DataFrame, cache: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:

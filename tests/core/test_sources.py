@@ -93,3 +93,10 @@ def test_pool_with_equal_names(spark, tmp_path):
     for root in (f"{tmp_path}/pool", f"file://{tmp_path}/pool/"):
         got = [(r["source_remote_path"], r["intact"]) for r in manifest.read_pool(spark, root, meta).collect()]
         assert sorted(got) == [("a/000 x.png", True), ("a/pool/000 x.png", True), ("b/000 x.png", True), ("c/000 x.png", False)]
+
+
+def test_pool_in_a_folder_with_a_quote(spark, tmp_path):
+    (tmp_path / "it's").mkdir()
+    (tmp_path / "it's" / "x.bin").write_bytes(b"abc")
+    meta = spark.createDataFrame([("x.bin", "sha256:" + hashlib.sha256(b"abc").hexdigest(), 3)], "source_remote_path string, expected_remote_sha256 string, expected_remote_bytes long")
+    assert manifest.read_pool(spark, f"{tmp_path}/it's", meta).first()["intact"]
