@@ -1,7 +1,7 @@
 """Multi-party perspective rotation, in DataFrame functions alone: for every participant, the dialogue with that speaker as assistant.
 
 Turns are gathered in parts of PART turns by their rank in the conversation, so that any conversation has bounded groups; each part is rendered for each
-participant of the whole conversation. Ranks of conversations beyond a part come from a range sort, so no task holds one. Others are named users; system turns stay system
+participant of the whole conversation, so one of very many roles is rendered as often. Ranks of conversations beyond a part come from a range sort, so no task holds one. Others are named users; system turns stay system
 turns and aren't participants. mask_spans lists what a loss counts: the assistant's content with its end mark, as "start-end" in code points of text, 0-based, end exclusive.
 
 Defined results: a null role is the speaker "unknown"; null text is empty; a null turn counts as -1; a null conv_id is one conversation of its own; rows that repeat in
@@ -22,9 +22,9 @@ SYSTEM = ("system", "developer")
 OPEN, BREAK, CLOSE = "<|im_start|>", "\n", "<|im_end|>"
 
 
-def _placed(turns: DataFrame, long: DataFrame, part_turns: int) -> DataFrame:
+def _placed(turns: DataFrame, long: DataFrame, part_turns: int, limit: int | None = None) -> DataFrame:
     """turns with part: 0 in conversations within a part, else by rank."""
-    told = common.lookup(turns, long, ["key"])
+    told = common.spread_lookup(turns, long, "key", "n", turns.count(), "left", limit)
     short = told.filter("n is null").drop("n").withColumn("part", F.lit(0).cast("long"))
     sorted_ = common.range_sorted(told.filter("n is not null").drop("n"), ["key", "turn", "role", "text"], "chat-order")
     # Of each conversation and task: its first row there, and its rows in earlier tasks.

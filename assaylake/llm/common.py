@@ -27,8 +27,8 @@ def lookup(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "lef
     return left.join(F.broadcast(right) if small else right, list(on), how)
 
 
-def skew_join(left: DataFrame, right: DataFrame, on: Sequence[str], weight: str, total: int) -> DataFrame:
-    """left joined with right, which is materialized and unique by non-null keys; weight is the number of left rows of a key, total of all.
+def skew_join(left: DataFrame, right: DataFrame, on: Sequence[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+    """left joined with right, which is materialized and unique by non-null keys; weight is the number of left rows of a key, total of all. how: inner or left.
 
     Keys with at least total / HOT_SHARE rows are at most HOT_SHARE many: they are broadcast, so that their rows aren't shuffled at all.
     The rest is joined by shuffle, where no key has more than that share of the rows.
@@ -37,15 +37,16 @@ def skew_join(left: DataFrame, right: DataFrame, on: Sequence[str], weight: str,
     hot, cold = right.filter(F.col(weight) >= bar), right.filter(F.col(weight) < bar)
     marked = left.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), list(on), "left")
     added = [c for c in right.columns if c not in on]
-    rest = marked.filter("_hot is null").drop("_hot", *added).join(cold, list(on), "inner")
+    rest = marked.filter("_hot is null").drop("_hot", *added).join(cold, list(on), how)
     return marked.filter("_hot").drop("_hot").unionByName(rest)
 
 
-def spread_lookup(left: DataFrame, right: DataFrame, on: str, weight: str) -> DataFrame:
-    """left joined with a materialized table that has each of its keys once: broadcast while its counted rows are within BROADCAST_ROWS, else in two parts as skew_join does."""
-    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+def spread_lookup(left: DataFrame, right: DataFrame, on: str, weight: str, total: int | None = None, how: str = "inner", limit: int | None = None) -> DataFrame:
+    """left joined with a materialized table: broadcast while its counted rows are within limit (BROADCAST_ROWS), else in two parts as skew_join does. total: rows of left, by default those that
+    the table counts; how: left if the table may lack a key of left."""
+    if right.limit((most := BROADCAST_ROWS if limit is None else limit) + 1).count() <= most:
         return left.join(F.broadcast(right), on, "left")
-    return skew_join(left, right, [on], weight, right.agg(F.sum(weight)).first()[0])
+    return skew_join(left, right, [on], weight, right.agg(F.sum(weight)).first()[0] if total is None else total, how)
 
 
 def range_sorted(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
