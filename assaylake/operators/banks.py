@@ -42,3 +42,16 @@ def stratified(rows: DataFrame, stratum: str, rank_hex: str, tie: str, maximum:
     ranked = hash_rank(rows, [stratum], rank_hex, [tie]).filter(F.col("rank") < maximum)
     chosen = ranked.orderBy("rank", stratum).limit(maximum)
     return chosen.withColumn("position", F.row_number().over(W.orderBy("rank", stratum)) - 1)
+
+
+def stratified_sizes(rows: DataFrame, by: Sequence[str], stratum: str, rank_hex: str, tie: str, maxima: Sequence[int]) -> DataFrame:
+    """Banks of several sizes for each group at once: rows with position and maximum, once for each size that takes them.
+
+    As stratified, within each group: round-robin over its strata, each in hash order. One ranking serves all sizes, as a smaller bank is a prefix of a larger one; strata, and rows of a group, may be in any number of tasks.
+    """
+    if min(maxima) < 1:
+        raise ValueError("maximum must be positive")
+    ranked = hash_rank(rows, [*by, stratum], rank_hex, [tie]).filter(F.col("rank") < max(maxima))
+    placed = running_totals(ranked.withColumn("_one", F.lit(1).cast("long")), by, ["rank", stratum], ["_one"]).withColumnRenamed("_one_before", "position").drop("_one", "rank")
+    sizes = F.filter(F.array(*[F.lit(m).cast("long") for m in maxima]), lambda m: m > F.col("position"))
+    return placed.withColumn("maximum", F.explode(sizes))

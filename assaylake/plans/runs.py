@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vectors import doubles
+from ..functions.digests import rank_hex
+from ..functions.vectors import doubles, patches as patches_of
 from ..operators import banks, cohort, deltas, metrics, scoring, selection
+from ..operators.running import order_statistics
 from ..sources.scratch import materialize
 from .adapters import cases, scored, table
 from .oracles import CASES, COSINE, FIT, P95, UPPER, scores, spaced
@@ -94,6 +96,49 @@ def development_runs(s: SparkSession, d: str) -> DataFrame:
     return rounded(out, "above_rate", "p95_minus_threshold", "maximum_minus_threshold")
 
 
+#: Sizes of stratified banks, the largest distances that make a score, and inputs that each category must have.
+PATCH_BANKS, TOP_K = (32, 64), 3
+INPUTS = {"FIT": ("role = 'FIT' AND NOT is_augmentation", 20), "TUNING": ("role = 'THRESHOLD_TUNING'", 15), "DERIVED": ("is_augmentation", 80)}
+
+
+def _development_inputs(s: SparkSession, d: str) -> DataFrame:
+    """(policy, category, child_id, role, is_augmentation, embedding): raw FIT and tuning cases under both policies, derived FIT cases under the second."""
+    rows = cases(s, d).filter("role <> 'BLIND'")
+    raw = materialize(rows.select("category", "case_id", (F.col("case_id") * 100).alias("child_id"), "role", doubles(F.col("embedding")).alias("embedding")), "raw-inputs")
+    children = derived(raw.filter("role = 'FIT'").drop("child_id"))
+    out = raw.filter("role = 'THRESHOLD_TUNING'").select("category", "child_id", "role", F.lit(False).alias("is_augmentation"), "embedding", F.explode(F.array(F.lit("RAW_FIT_ONLY"), F.lit("RAW_FIT_PLUS_R3"))).alias("policy"))
+    for policy in ("RAW_FIT_ONLY", "RAW_FIT_PLUS_R3"):
+        own = cohort.development_inputs(raw, children, policy)
+        out = out.unionByName(own.select("category", "child_id", "role", (F.col("child_id") % 100 > 0).alias("is_augmentation"), "embedding").withColumn("policy", F.lit(policy)))
+    return materialize(out, "development-inputs")
+
+
+def successor_development(s: SparkSession, d: str) -> DataFrame:
+    """Candidates of both input policies and of every bank size over one table of patches: stratified banks, one search, thresholds from raw tuning cases."""
+    rows = _development_inputs(s, d).withColumn("group", F.concat_ws("/", "policy", F.col("category").cast("string")))
+    patches = materialize(scoring.patch_rows(rows.withColumn("patches", patches_of(F.col("embedding"), 4)), "group", "child_id", "patches").join(rows.select("group", "child_id", "role"), ["group", "child_id"]), "development-patches")
+    fit = patches.filter("role = 'FIT'").withColumn("rank_hex", rank_hex(F.lit("patch"), F.col("child_id"), F.col("patch"), separator="|"))
+    bank = banks.stratified_sizes(fit, ["group"], "child_id", "rank_hex", "patch", PATCH_BANKS)
+    named = lambda r: F.concat_ws("#", "group", F.col("maximum").cast("string"))
+    bank = materialize(bank.withColumn("bank", named(bank)).select("bank", "key", "vector"), "development-bank")
+    queries = patches.filter("role = 'THRESHOLD_TUNING'").withColumn("maximum", F.explode(F.array(*[F.lit(m).cast("long") for m in PATCH_BANKS])))
+    # A patch is asked of every bank of its category, four of them, and has a key for each.
+    at = F.when(F.col("group").startswith("RAW_FIT_ONLY"), 0).otherwise(2) + F.when(F.col("maximum") == PATCH_BANKS[0], 0).otherwise(1)
+    queries = materialize(queries.withColumn("bank", named(queries)).select("bank", "child_id", "patch", (F.col("key") * 4 + at).alias("key"), "vector"), "development-queries")
+    found = scoring.patch_scores(queries, bank, "bank", "child_id", TOP_K)
+    scores = materialize(found.select("bank", F.round("score", 6).alias("score")), "development-scores")
+    told = order_statistics(scores, ["bank"], "score", {"median": "median", "p95": "p95"}).join(scores.groupBy("bank").agg(F.max("score").alias("threshold")), "bank")
+    counts = rows.groupBy("group", "policy", "category").agg(F.count_if((F.col("role") == "FIT") & ~F.col("is_augmentation")).alias("fit_original"), F.count_if(F.col("is_augmentation")).alias("fit_augmented"), F.count_if(F.col("role") == "THRESHOLD_TUNING").alias("tuning"))
+    sizes = bank.groupBy("bank").agg(F.count("*").alias("prototypes"))
+    out = told.join(sizes, "bank").withColumns({"group": F.substring_index("bank", "#", 1), "maximum": F.substring_index("bank", "#", -1).cast("long")}).join(counts, "group")
+    return rounded(out.select("policy", "category", "maximum", "fit_original", "fit_augmented", "tuning", "prototypes", "threshold", "median", "p95"), "median")
+
+
+def development_counts(s: SparkSession, d: str) -> DataFrame:
+    """Categories of either policy that don't have exactly the inputs they must have."""
+    return cohort.count_faults(_development_inputs(s, d), ["policy", "category"], INPUTS)
+
+
 def candidate_scores(s: SparkSession, d: str) -> DataFrame:
     """Scores against banks of every size in one pass, as candidates."""
     rows = cases(s, d)
@@ -151,10 +196,13 @@ def pixel_localization(s: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.pixel_localization(patches, masked, "category", "case_id", 2), "pixel_auroc", "aupro")
 
 
-QUERIES = {f.__name__: f for f in (stress_pairs, stress_report, nuisance_audit, synthetic_confusion, development_runs, gate_and_select, successor_selection, normal_selection, bound_lookup, pixel_localization)}
+QUERIES = {f.__name__: f for f in (stress_pairs, stress_report, nuisance_audit, synthetic_confusion, development_runs, gate_and_select, successor_selection, normal_selection, bound_lookup, pixel_localization, successor_development, development_counts)}
 
 _MOVED = "list_transform(range(1, 65), lambda i: v[i] + level * 0.2::DOUBLE * v[((i - 1 + 7 * family) % 64) + 1])"
 _KINDS = "(VALUES (1, 1), (1, 2), (2, 1), (2, 2)) k(family, level)"
+_INPUTS = f"""raw_ AS (SELECT category, case_id * 100 AS child_id, role, false AS is_augmentation, v FROM cases WHERE role <> 'BLIND'),
+inputs AS (SELECT 'RAW_FIT_ONLY' AS policy, * FROM raw_ UNION ALL SELECT 'RAW_FIT_PLUS_R3', * FROM raw_
+  UNION ALL SELECT 'RAW_FIT_PLUS_R3', category, case_id * 100 + family * 10 + level, role, true, {_MOVED} FROM cases, {_KINDS} WHERE role = 'FIT')"""
 PAIRS = f"""WITH {CASES}, {FIT}, {scores('fit')},
 limits AS (SELECT category, max(score) AS threshold FROM scores WHERE role = 'THRESHOLD_TUNING' GROUP BY 1),
 raw AS (SELECT category, case_id, score, threshold, score > threshold AS above FROM scores JOIN limits USING (category) WHERE role = 'BLIND' AND kind = 'NOMINAL'),
@@ -223,6 +271,20 @@ FROM s JOIN limits USING (policy, category) JOIN n USING (policy, category) WHER
     "bound_lookup": f"""{_candidates(_BLIND)},
 judged AS (SELECT candidate_id, max(above_rate) AS a, avg(above_rate) AS b, max(p95_minus_threshold) AS c, avg(p95_minus_threshold) AS d FROM own GROUP BY 1)
 SELECT candidate_id, category, cases, above_count, round(above_rate, 6) AS above_rate, threshold, p95, maximum FROM own WHERE candidate_id = (SELECT candidate_id FROM judged ORDER BY a, b, c, d, candidate_id LIMIT 1)""",
+    "successor_development": f"""WITH {CASES}, {_INPUTS},
+patches AS (SELECT policy, category, child_id, role, p, child_id * 16 + p AS key, v[p * 4 + 1 : p * 4 + 4] AS v, sha256('patch|' || child_id || '|' || p) AS h FROM inputs, range(16) t(p)),
+hashed AS (SELECT *, row_number() OVER (PARTITION BY policy, category, child_id ORDER BY h, p) AS r FROM patches WHERE role = 'FIT'),
+placed AS (SELECT *, row_number() OVER (PARTITION BY policy, category ORDER BY r, child_id) AS position FROM hashed),
+bank AS (SELECT * FROM placed, (VALUES {', '.join(f'({n})' for n in PATCH_BANKS)}) m(maximum) WHERE position <= maximum),
+near AS (SELECT q.policy, q.category, maximum, q.child_id, q.p, min({COSINE.format(a="q.v", b="b.v")}) AS d FROM patches q JOIN bank b ON q.policy = b.policy AND q.category = b.category WHERE q.role = 'THRESHOLD_TUNING' GROUP BY ALL),
+scored AS (SELECT policy, category, maximum, child_id, round(list_avg(list_reverse_sort(list(d))[1:{TOP_K}]), 6) AS score FROM near GROUP BY ALL),
+told AS (SELECT policy, category, maximum, max(score) AS threshold, round(quantile_cont(score, 0.5), 6) AS median, list_sort(list(score))[greatest(CAST(ceil(count(*) * 0.95::DOUBLE) AS BIGINT), 1)] AS p95 FROM scored GROUP BY ALL),
+n AS (SELECT policy, category, count(*) FILTER (role = 'FIT' AND NOT is_augmentation) AS fit_original, count(*) FILTER (is_augmentation) AS fit_augmented, count(*) FILTER (role = 'THRESHOLD_TUNING') AS tuning FROM inputs GROUP BY ALL),
+b AS (SELECT policy, category, maximum, count(*) AS prototypes FROM bank GROUP BY ALL)
+SELECT policy, category, CAST(maximum AS BIGINT) AS maximum, fit_original, fit_augmented, tuning, prototypes, threshold, median, p95 FROM told JOIN n USING (policy, category) JOIN b USING (policy, category, maximum)""",
+    "development_counts": f"""WITH {CASES}, {_INPUTS},
+k AS (SELECT policy, category, [{', '.join(f"{{'input': '{n}', 'found': count(*) FILTER ({w}), 'expected': CAST({k} AS BIGINT)}}" for n, (w, k) in INPUTS.items())}] AS all_ FROM inputs GROUP BY policy, category), n AS (SELECT policy, category, unnest(all_) AS c FROM k)
+SELECT policy, category, c.input AS "input", c.found AS found, c.expected AS expected FROM n WHERE c.found <> c.expected""",
     "pixel_localization": """
 WITH boxes AS (
   SELECT vec_id, 1 AS region, vec_id % 5 AS bx, vec_id % 7 AS y0, 4 AS bw, 3 AS bh FROM embeddings WHERE vec_id % 3 = 0

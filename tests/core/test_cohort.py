@@ -124,3 +124,29 @@ def test_ordered_digest(spark):
     got = {r["g"]: (r["records"], r["digest"]) for r in cohort.ordered_digest(rows, ["g"], ["i"], F.col("r"), block=4).collect()}
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     assert got["a"] == (10, sha("\n".join(sha("\n".join(f"r{i}" for i in range(k, min(k + 4, 10)))) for k in (0, 4, 8)))) and got["b"] == (1, sha(sha("x")))
+
+
+def test_stratified_sizes_are_prefixes_of_one_ranking(spark):
+    from pyspark.sql import functions as F
+
+    from assaylake.functions.digests import rank_hex
+    from assaylake.operators import banks
+
+    rows = spark.createDataFrame([(g, s, 100 * s + k) for g in "ab" for s in range(5) for k in range(3 + 4 * s)], "g string, s int, k int").repartition(4)
+    ranked = rows.withColumn("h", rank_hex(F.lit("x"), F.col("g"), F.col("k")))
+    got = banks.stratified_sizes(ranked, ["g"], "s", "h", "k", [4, 17, 1000]).collect()
+    for g in "ab":
+        at = {}
+        for r in sorted((r for r in ranked.collect() if r["g"] == g), key=lambda r: (r["s"], r["h"], r["k"])):
+            at.setdefault(r["s"], []).append(r["k"])
+        robin = [at[s][i] for i in range(max(map(len, at.values()))) for s in sorted(at) if i < len(at[s])]
+        for size in (4, 17, 1000):
+            assert [r["k"] for r in sorted((r for r in got if r["g"] == g and r["maximum"] == size), key=lambda r: r["position"])] == robin[:size]
+        one = banks.stratified(ranked.filter(F.col("g") == g), "s", "h", "k", 17).orderBy("position").collect()
+        assert [r["k"] for r in one] == robin[:17]
+
+
+def test_count_faults(spark):
+    rows = spark.createDataFrame([("a", "FIT"), ("a", "FIT"), ("b", "FIT"), ("b", None)], "c string, role string")
+    got = cohort.count_faults(rows, ["c"], {"fit": ("role = 'FIT'", 2), "other": ("role IS NULL", 0)}).collect()
+    assert sorted(map(tuple, got)) == [("b", "fit", 1, 2), ("b", "other", 1, 0)]
