@@ -145,8 +145,8 @@ def development_inputs(raw: DataFrame, derived: DataFrame, policy: str, case: st
 
 def count_faults(inputs: DataFrame, by: Sequence[str], expected: Mapping[str, tuple[str, int]]) -> DataFrame:
     """(by, input, found, expected) of groups that don't have exactly as many inputs of a kind; expected: name -> (SQL of the kind, number)."""
-    counted = inputs.groupBy(*by).agg(F.array(*[F.struct(F.lit(n).alias("input"), F.count_if(F.expr(w)).alias("found"), F.lit(k).cast("long").alias("expected")) for n, (w, k) in expected.items()]).alias("c"))
-    return counted.select(*by, F.inline("c")).filter("found <> expected")
+    counted = inputs.groupBy(*by).agg(F.array(*[F.struct(F.lit(n).alias("input"), F.count_if(F.expr(w)).alias("found"), F.lit(k).cast("long").alias("expected")) for n, (w, k) in expected.items()]).alias("_counts"))
+    return counted.select(*by, F.inline("_counts")).filter("found <> expected")
 
 
 def membership(parents: DataFrame, variants: int, case: str) -> DataFrame:
