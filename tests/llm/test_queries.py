@@ -56,13 +56,45 @@ def test_op4_and_op7(spark):
 
 
 def test_op6(spark):
-    got = {r["doc_id"]: (r["n_bytes"], r["payload_bytes"] % 64) for r in QUERIES["op6_ogg"](spark, SF).collect()}
-    assert got == {r["doc_id"]: (len((r["text"] or "").encode()), 0) for r in table("documents")}
+    """Against the contract, and the stored form read page by page."""
+    import hashlib
+    import zlib
+
+    got = {r["doc_id"]: r for r in QUERIES["op6_ogg"](spark, SF).collect()}
+    by_text = {}
+    for r in table("documents"):
+        raw = (r["text"] or "").encode()
+        payload = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        x = got[r["doc_id"]]
+        assert x["n_bytes"] == len(raw) and x["payload_bytes"] == len(payload) and x["payload_sha256"] == hashlib.sha256(payload).hexdigest() and x["tail_crc32"] == zlib.crc32(payload[-64:])
+        assert x["media_bytes"] > len(payload) and len(x["media_sha256"]) == 64
+        by_text.setdefault(raw, set()).add((x["media_sha256"], x["media_bytes"], x["feature"]))
+    assert all(len(v) == 1 for v in by_text.values()) and len({next(iter(v))[0] for v in by_text.values()}) == len(by_text)
 
 
 def test_op9(spark):
-    got = QUERIES["op9_toxicity"](spark, SF).collect()
-    assert len(got) == len(table("documents")) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
+    """Against a plain scorer over the fitted model: every entry at every word, no automaton."""
+    import math
+    import zlib
+
+    from assaylake.llm import toxicity
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    a, b, c = model.coefficients
+    want = {}
+    for r in table("documents"):
+        folded = toxicity.fold(r["text"])
+        words, total = ["", *folded.split(), ""], 0.0
+        for before, word, after in zip(words, words[1:], words[2:]):
+            if (before, word) not in model.phrases and (word, after) not in model.phrases:
+                total += sum(w for term, w in model.terms.items() if word.startswith(term))
+        z = a + b * math.log1p(total) + c * math.log1p(100 * total / max(len(folded), 1))
+        want[r["doc_id"]] = (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0, 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
+    got = {r["doc_id"]: r for r in QUERIES["op9_toxicity"](spark, SF).collect()}
+    assert set(got) == set(want) and any(s >= 0.5 for _, s in want.values())
+    for i, (held, score) in want.items():
+        assert got[i]["held_out"] == held and abs(got[i]["score"] - score) < 1e-9 and got[i]["predicted"] == int(score >= 0.5)
 
 
 def article(page):
