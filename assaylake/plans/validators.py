@@ -149,6 +149,21 @@ RECOVERY_LEDGER = [
     SameSet("manifest: all acquired", ("acquired", "path", "true"), ("allowlist", "path", "true")),
 ]
 
+_CELL = ("details", "family", "true")
+STRESS_REPORT = [
+    Check("condition: counts", "conditions", "family", "n > 0 AND above BETWEEN 0 AND n"),
+    Check("condition: rate is above of n", "conditions", "family", "abs(rate - above / nullif(n, 0)) <= 1e-12"),
+    Check("condition: signs make n", "conditions", "family", "positive + zero + negative = n"),
+    Unique("condition: once", "conditions", "family"),
+    SameSet("condition: families", ("conditions", "family", "true"), _CELL),
+    Total("condition: n", ("conditions", "family", "n"), _CELL),
+    Total("condition: above", ("conditions", "family", "above"), _CELL, "above"),
+    Total("condition: positive", ("conditions", "family", "positive"), _CELL, "positive"),
+    Total("overall: n", ("overall", "''", "n"), ("details", "''", "true")),
+    Total("overall: above", ("overall", "''", "above"), ("details", "''", "true"), "above"),
+    Total("overall: n of conditions", ("overall", "''", "n"), ("conditions", "''", "true"), "n"),
+]
+
 Digester = Callable[[str], str]
 _BLOCK = "'r' || lpad(cast(cast(floor(vec_id / 16) AS bigint) AS string), 6, '0')"
 _SHUFFLED = "CASE WHEN document LIKE '%7' AND n = 1 THEN 2 WHEN document LIKE '%7' AND n = 2 THEN 1 ELSE n END AS position"
@@ -246,6 +261,19 @@ def _ledgers(h: Digester) -> dict[str, str]:
     }
 
 
+def _responses(h: Digester) -> dict[str, str]:
+    """Reports of responses by family, with what all families give, over the scores that they were made from."""
+    return {
+        "details": "SELECT 'e' || lpad(cast(user_id % 60 AS string), 3, '0') AS document, event_type AS family, CASE WHEN value > 50 THEN 1 ELSE 0 END AS above, CASE WHEN value > 20 THEN 1 ELSE 0 END AS positive, CASE WHEN value < 20 THEN 1 ELSE 0 END AS negative FROM events WHERE value IS NOT NULL",
+        "truth": "SELECT document, family, count(*) AS n, sum(above) AS above, sum(positive) AS positive, sum(negative) AS negative FROM details GROUP BY document, family",
+        "conditions": """SELECT document, family, n + CASE WHEN document LIKE '%3' AND family < 'm' THEN 1 ELSE 0 END AS n, above - CASE WHEN document LIKE '%4' THEN 1 ELSE 0 END AS above, above / n + CASE WHEN document LIKE '%5' THEN 0.000001 ELSE 0 END AS rate,
+  positive + CASE WHEN document LIKE '%6' THEN 1 ELSE 0 END AS positive, n - positive - negative AS zero, negative - CASE WHEN document LIKE '%6' THEN 1 ELSE 0 END + CASE WHEN document LIKE '%7' THEN 1 ELSE 0 END AS negative FROM truth WHERE document NOT LIKE '%8' OR family >= 'm'
+UNION ALL SELECT document, family, n, above, above / n, positive, n - positive - negative, negative FROM truth WHERE document LIKE '%9' AND family >= 's'
+UNION ALL SELECT document, 'other', 0, 0, 0, 0, 0, 0 FROM truth WHERE document LIKE '%10' AND family >= 's'""",
+        "overall": "SELECT document, sum(n) + CASE WHEN document LIKE '%2' THEN 2 ELSE 0 END AS n, sum(above) AS above FROM truth GROUP BY document",
+    }
+
+
 def _spark_digest(expression: str) -> str:
     return f"sha2({expression}, 256)"
 
@@ -262,6 +290,7 @@ FAMILIES: dict[str, tuple[Callable[[Digester], dict[str, str]], tuple[str, ...],
     "pool_plan_faults": (_pools, ("part",), POOL_PLAN, False),
     "nuisance_metadata_faults": (_packages, ("customer",), NUISANCE_METADATA, False),
     "recovery_ledger_faults": (_ledgers, ("documents",), RECOVERY_LEDGER, False),
+    "stress_report_faults": (_responses, ("events",), STRESS_REPORT, False),
 }
 
 
