@@ -38,7 +38,7 @@ def plain(texts, libraries):
         ends_a, ends_b = np.cumsum(list(map(len, bytes_a))).tolist(), np.cumsum(list(map(len, bytes_b))).tolist()
         groups, p, q = [], 0, 0
         for end in sorted(set(ends_a) & set(ends_b)):
-            to_p, to_q = ends_a.index(end) + 1, ends_b.index(end) + 1
+            to_p, to_q = ends_a.index(end, p) + 1, ends_b.index(end, q) + 1
             groups.append(",".join(map(str, a[p:to_p])) + "|" + ",".join(map(str, b[q:to_q])))
             p, q = to_p, to_q
         links = []
