@@ -31,7 +31,7 @@ def delta_quantiles(rows: DataFrame, grains: Sequence[Sequence[str]], columns: S
     key = F.concat_ws("\0", F.col("grain"), *[F.coalesce(F.col(c).cast("string"), F.lit("\1")) for c in columns])
     keyed = materialize(sets.withColumn("grain", F.when(grain == "", "all").otherwise(grain)).withColumn("_key", key), "delta-counts")
     names = keyed.groupBy("_key").agg(F.first("grain").alias("grain"), *[F.first(c).alias(c) for c in columns], F.max("delta").alias("max"))
-    return quantiles_of_counts(keyed.select("_key", "delta", "_n"), ["_key"], "delta", {"p95": "p95"}).join(names, "_key").select(*columns, "grain", "n", "p95", "max")
+    return quantiles_of_counts(keyed.select("_key", "delta", "_n"), ["_key"], "delta", {"p95": "p95"}, stored=True).join(names, "_key").select(*columns, "grain", "n", "p95", "max")
 
 
 def delta_summary(rows: DataFrame, by: Sequence[str], value: str = "delta") -> DataFrame:

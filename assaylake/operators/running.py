@@ -24,9 +24,9 @@ def range_sorted(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     return materialize(placed.withColumn("_task", F.shiftright("_at", 33).cast("int")), name)
 
 
-def running_totals(rows: DataFrame, by: Sequence[str], order: str | Sequence[str], values: Sequence[str]) -> DataFrame:
-    """rows with <value>_before: sums over the rows of the group that come earlier. order is unique within a group; groups (by) must not be null."""
-    order, rows = [order] if isinstance(order, str) else list(order), materialize(rows, "running")
+def running_totals(rows: DataFrame, by: Sequence[str], order: str | Sequence[str], values: Sequence[str], stored: bool = False) -> DataFrame:
+    """rows with <value>_before: sums over the rows of the group that come earlier. order is unique within a group; groups (by) must not be null. stored: rows are columns of a written table."""
+    order, rows = [order] if isinstance(order, str) else list(order), rows if stored else materialize(rows, "running")
     if rows.count() <= FEW:
         earlier = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
         return rows.withColumns({f"{v}_before": F.coalesce(F.sum(v).over(earlier), F.lit(0)) for v in values})
@@ -94,9 +94,9 @@ def order_statistics(rows: DataFrame, by: Sequence[str], value: str, wanted: Map
     return quantiles_of_counts(value_counts(rows, by, value), by, value, wanted)
 
 
-def quantiles_of_counts(counts: DataFrame, by: Sequence[str], value: str, wanted: Mapping[str, str | float]) -> DataFrame:
-    """As order_statistics, of rows (by, value, _n)."""
-    counts = running_totals(counts, by, value, ["_n"])
+def quantiles_of_counts(counts: DataFrame, by: Sequence[str], value: str, wanted: Mapping[str, str | float], stored: bool = False) -> DataFrame:
+    """As order_statistics, of rows (by, value, _n); stored: they are columns of a written table."""
+    counts = running_totals(counts, by, value, ["_n"], stored)
     placed = counts.join(counts.groupBy(*by).agg(F.sum("_n").alias("n")), list(by))
     spots = positions(F.col("n"))
     here = lambda at: (F.col("_n_before") <= at) & (at < F.col("_n_before") + F.col("_n"))
