@@ -46,7 +46,7 @@ def stored_features(s: SparkSession, d: str) -> DataFrame:
     store = FeatureStore(s, scratch_path(s, "features"))
     store.features(rows.filter(F.substring("source_sha256", 1, 1) < "8"), "letters/1", lambda: "letters/1", _letters)
     out = store.features(rows, "letters/1", lambda: "letters/1", _letters)
-    return out.select("doc_id", "source_sha256", *[F.round(F.get("vector", F.lit(i)), 6).alias(c) for i, c in enumerate("aeiou")], F.get("vector", F.lit(5)).cast("long").alias("length"))
+    return out.select("doc_id", "source_sha256", *[F.round(F.get("vector", F.lit(i)) * (F.get("vector", F.lit(5)) + 1)).cast("long").alias(c) for i, c in enumerate("aeiou")], F.get("vector", F.lit(5)).cast("long").alias("length"))
 
 
 QUERIES = {"strict_scan": strict_scan, "stored_features": stored_features}
@@ -62,6 +62,6 @@ g AS (SELECT 'FAULT' AS kind, fault, field, '' AS identity, NULL AS decoded, NUL
     CASE WHEN blind THEN CASE WHEN note THEN 4 ELSE 0 END + CASE WHEN bare THEN 0 ELSE length(payload) END ELSE 0 END, NOT (blind OR twice OR note OR bare OR odd), doc NOT IN (SELECT doc FROM f) FROM w)
 SELECT kind, fault, field, identity, CAST(decoded AS BIGINT) AS decoded, CAST(skipped AS BIGINT) AS skipped, given, sound, count(*) AS n FROM g GROUP BY ALL""",
     "stored_features": "WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents) SELECT doc_id, sha256(t) AS source_sha256, "
-    + ", ".join(f"round((length(t) - length(replace(t, '{c}', ''))) / (length(t) + 1.0), 6) AS {c}" for c in "aeiou")
+    + ", ".join(f"length(t) - length(replace(t, '{c}', '')) AS {c}" for c in "aeiou")
     + ", length(t) AS length FROM t",
 }
