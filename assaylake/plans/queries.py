@@ -13,15 +13,12 @@ from ..operators import augment, banks, cohort, deltas, depth, metrics, observe,
 from ..sources.scratch import materialize
 from . import checks, documents, gridqueries, runs, scans, validators
 from .adapters import cases, knn_scores, lines, patch_cases, scored, table
+from .runs import rounded as _rounded
 
 Query = Callable[[SparkSession, str], DataFrame]
 RANGES = [("rotation", -4.0, 4.0), ("scale", -0.05, 0.05), ("exposure", -0.5, 0.5)]
 
 
-def _rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in columns})
-
-
 def _events(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "events").select("event_id", "user_id", "event_type", "value")
 

@@ -78,3 +78,15 @@ def test_observation_and_extractor(spark):
     state = lambda rows: spark.createDataFrame(rows, "case_id int, state string")
     replay = {r["case_id"]: r["agrees"] for r in observe.replay_states(state([(1, "A"), (2, "A")]), state([(1, "A")]), state([(1, "A"), (2, "A")])).collect()}
     assert replay == {1: True, 2: False}
+
+
+def test_rounding_of_ties_as_sql(spark):
+    """0.0638695 times a million is below its tie as a double: SQL's round gives 0.063869, that of the decimal text 0.06387."""
+    import duckdb
+
+    from assaylake.plans.runs import rounded
+
+    values = [0.0638695, -0.0638695, 0.0000005, 0.1234565, 2.5, -1e-9, 123456.0000015]
+    have = [r["x"] for r in rounded(spark.createDataFrame([(i, v) for i, v in enumerate(values)] + [(99, None)], "i int, x double"), "x").orderBy("i").collect()]
+    want = [duckdb.sql(f"SELECT round({v!r}::DOUBLE, 6)").fetchall()[0][0] for v in values] + [None]
+    assert have == want and have[0] == 0.063869
