@@ -66,7 +66,8 @@ def pinned_bundles(s: SparkSession, d: str) -> DataFrame:
 
 
 def subject_scopes(s: SparkSession, d: str) -> DataFrame:
-    rows = table(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x > 0.15).alias("mask"))
+    """Cells above 0.15 as the subject. Entries have single precision, and so has the limit: what is stored as 0.15 isn't above it."""
+    rows = table(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x > F.lit(0.15).cast("float")).alias("mask"))
     told = regions.scopes(rows, "vec_id", "mask", SIDE, PADDING, BAND)
     place = lambda c: F.aggregate(F.transform(c, lambda x, i: F.when(x, i + 1).otherwise(0)), F.lit(0), lambda a, b: a + b)
     return told.select("vec_id", F.size(F.filter("support", lambda x: x)).alias("support"), place("support").alias("support_places"), F.size(F.filter("boundary", lambda x: x)).alias("boundary"), place("boundary").alias("boundary_places"))

@@ -174,3 +174,18 @@ def test_dominant_layer_and_posterior(spark):
     low, high = band["lower95"], band["upper95"]
     r = spark.range(1).select(band["offset"], low, high, depth.improves_prior(low, high, F.lit(0.0), F.lit(60.0)), depth.improves_prior(low, high, F.lit(10.0), F.lit(60.0)), depth.improves_prior(low, F.lit(None), F.lit(0.0), F.lit(60.0))).first()
     assert list(r) == [20.0, 9.0, 31.0, True, False, False]
+
+
+def test_subject_scopes_at_the_limit(spark, tmp_path):
+    """An entry that is stored as 0.15 is no part of the subject, as in the SQL."""
+    import duckdb
+
+    from assaylake.plans import scans
+
+    rows = [(1, [0.15] * 64), (2, [0.15] * 9 + [0.16] + [0.15] * 54), (3, [float(np.nextafter(np.float32(0.15), np.float32(1)))] + [0.0] * 63)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = sorted(con.execute(scans.ORACLES["subject_scopes"]).fetchall())
+    assert sorted(map(tuple, scans.subject_scopes(spark, str(tmp_path)).collect())) == want
+    assert [r[1] for r in want] == [0, 11, 6]
