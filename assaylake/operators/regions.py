@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine_distance
+from ..sources.scratch import materialize
 from .rectangles import touched
 
 
@@ -187,3 +188,41 @@ def mutual_nearest(pairs: DataFrame, a: str, b: str, distance: str, ratio: float
         return one.filter(F.col("_second").isNull() | (F.col(distance) < ratio * F.col("_second"))).drop("_second")
 
     return best(a, b).join(best(b, a).select(a, b), [a, b])
+
+
+def nearest_two(queries: DataFrame, targets: DataFrame, on: str, name: str) -> DataFrame:
+    """(on, x, y, name, distance, second) of each place of queries: the nearest of targets (on, x, y, name) of the same `on` by L1 distance, ties to the least name, and the distance of the next, null if there is none.
+
+    Points of one place count as one with a number. Places meet in the nine cells around a query's, whose side suits how dense the targets of their `on` are; what isn't within a side is looked
+    for again with sides twice as long. So pairs grow with the places, not with their square. Points without coordinates take no part.
+    """
+    known = lambda d: d.filter(F.col(on).isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull())
+    places = known(targets).groupBy(on, "x", "y").agg(F.count("*").alias("n"), F.min(name).alias(name))
+    places = materialize(places.select(on, F.col("x").alias("tx"), F.col("y").alias("ty"), "n", name), "places")
+    wide, high = F.max("tx").cast("double") - F.min("tx"), F.max("ty").cast("double") - F.min("ty")
+    side = F.greatest(2 * F.sqrt(wide * high / F.count("*")), 2 * F.greatest(wide, high) / F.count("*"))
+    spans = materialize(places.groupBy(on).agg(F.sum("n").alias("total"), F.when(side > 0, side).otherwise(1.0).alias("side")), "spans")
+    rest = materialize(known(queries).select(on, "x", "y").distinct().join(spans, on), "asked-places")
+    found, near, key = None, F.array(*[F.lit(i) for i in (-1, 0, 1)]), [on, "x", "y"]
+    while not rest.isEmpty():
+        asked = rest.withColumn("cx", F.explode(F.transform(near, lambda i: F.floor(F.col("x") / F.col("side")) + i))).withColumn("cy", F.explode(F.transform(near, lambda i: F.floor(F.col("y") / F.col("side")) + i)))
+        there = places.join(rest.select(on, "side").distinct(), on).withColumns({"cx": F.floor(F.col("tx") / F.col("side")), "cy": F.floor(F.col("ty") / F.col("side"))}).drop("side")
+        distance = (F.abs(F.col("x") - F.col("tx")) + F.abs(F.col("y") - F.col("ty"))).cast("double")
+        rings = asked.join(there, [on, "cx", "cy"]).groupBy(*key, "side", "total", distance.alias("distance")).agg(F.sum("n").alias("n"), F.min(name).alias(name))
+        ranked = rings.withColumns({"_k": F.row_number().over(W.partitionBy(*key).orderBy("distance")), "_seen": F.sum("n").over(W.partitionBy(*key))}).filter("_k <= 2")
+        one = ranked.groupBy(*key, "side", "total").agg(F.min_by(name, "_k").alias(name), F.min("distance").alias("distance"), F.min_by("n", "_k").alias("n"), F.max(F.when(F.col("_k") == 2, F.col("distance"))).alias("next"), F.max("_seen").alias("_seen"))
+        one = one.withColumn("second", F.when(F.col("n") > 1, F.col("distance")).otherwise(F.col("next")))
+        told = materialize(one.filter((F.col("second") <= F.col("side")) | (F.col("_seen") == F.col("total"))).select(*key, name, "distance", "second"), "nearest-places")
+        found = told if found is None else found.unionByName(told)
+        rest = materialize(rest.join(told, key, "left_anti").withColumn("side", 2 * F.col("side")), "asked-places")
+    return found if found is not None else queries.limit(0).select(*key, F.lit(None).cast(targets.schema[name].dataType).alias(name), *[F.lit(None).cast("double").alias(c) for c in ("distance", "second")])
+
+
+def mutual_nearest_points(left: DataFrame, right: DataFrame, on: str, a: str, b: str, ratio: float = 0.75) -> DataFrame:
+    """(a, b, distance), as mutual_nearest over all pairs of points (on, a or b, x, y) of the same `on` by L1 distance, without making the pairs."""
+
+    def best(d: DataFrame, x: str, other: DataFrame, y: str) -> DataFrame:
+        told = nearest_two(d, other, on, y).filter(F.col("second").isNull() | (F.col("distance") < ratio * F.col("second")))
+        return d.join(told, [on, "x", "y"]).select(x, y, "distance")
+
+    return best(left, a, right, b).join(best(right, b, left, a).select(a, b), [a, b])

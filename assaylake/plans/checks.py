@@ -209,9 +209,8 @@ def tile_pair_scores(s: SparkSession, d: str) -> DataFrame:
 def mutual_parts(s: SparkSession, d: str) -> DataFrame:
     """Small against large parts of an image, by distance of their boxes."""
     rows = _parts(s, d)
-    small, large = rows.filter("p_size <= 25").select("image", F.col("p_partkey").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay")), rows.filter("p_size > 25").select("image", F.col("p_partkey").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    pairs = small.join(large, "image").select("a", "b", (F.abs(F.col("ax") - F.col("bx")) + F.abs(F.col("ay") - F.col("by"))).cast("double").alias("distance"))
-    return regions.mutual_nearest(pairs, "a", "b", "distance")
+    small, large = rows.filter("p_size <= 25").select("image", F.col("p_partkey").alias("a"), "x", "y"), rows.filter("p_size > 25").select("image", F.col("p_partkey").alias("b"), "x", "y")
+    return regions.mutual_nearest_points(small, large, "image", "a", "b")
 
 
 def overlap_means(s: SparkSession, d: str) -> DataFrame:

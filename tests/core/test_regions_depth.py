@@ -189,3 +189,16 @@ def test_subject_scopes_at_the_limit(spark, tmp_path):
     want = sorted(con.execute(scans.ORACLES["subject_scopes"]).fetchall())
     assert sorted(map(tuple, scans.subject_scopes(spark, str(tmp_path)).collect())) == want
     assert [r[1] for r in want] == [0, 11, 6]
+
+
+@pytest.mark.parametrize("wide", [3, 12, 1000])
+def test_mutual_points_as_over_all_pairs(spark, wide):
+    """Many points in few places with ties, clusters with far outliers, an image with one target and one without; the pairs themselves aren't made."""
+    rnd = np.random.default_rng(wide)
+    points = lambda n, first: [(int(i), first + k, int(x), int(y)) for k, (i, x, y) in enumerate(np.c_[rnd.integers(0, 2, n), rnd.integers(0, wide, (n, 2))].tolist())] + [(0, first + n, 9 * wide + first, -7 * wide)]
+    a, b = points(60, 0) + [(2, 100, 5, 5), (2, 101, 50, 5), (3, 102, 1, 1)], points(50, 1000) + [(2, 1100, 0, 0)]
+    kind = "image int, {0} int, x int, y int"
+    left, right = spark.createDataFrame(a, kind.format("a")), spark.createDataFrame(b, kind.format("b"))
+    pairs = spark.createDataFrame([(p[1], q[1], float(abs(p[2] - q[2]) + abs(p[3] - q[3]))) for p in a for q in b if p[0] == q[0]], "a int, b int, distance double")
+    want = sorted(map(tuple, regions.mutual_nearest(pairs, "a", "b", "distance").collect()))
+    assert sorted(map(tuple, regions.mutual_nearest_points(left, right, "image", "a", "b").select("a", "b", "distance").collect())) == want and (100, 1100, 10.0) in want
