@@ -56,9 +56,31 @@ def meeting(left: DataFrame, right: DataFrame, on: str, dense: int = DENSE) -> D
     return met.filter((F.col("level") == F.greatest(l("own"), r("own"))) & here & share).select(F.col("on").alias(on), "l", "r")
 
 
+def _scouted(boxes: DataFrame, regions: DataFrame, on: str) -> DataFrame:
+    """_row of boxes that share area with one of their cells' scouts: of each quarter of a cell the region that has most of it. So no more than four pairs for a box and cell."""
+    kinds = [r[0] for r in boxes.unionByName(regions).filter("width > 0 and height > 0").select(_level(F.greatest("width", "height"))).distinct().collect()]  # some tens
+    key, levels = ["on", "level", "cx", "cy"], sorted(kinds)
+    one, two = _placed(boxes, on, levels, "l"), _placed(regions, on, levels, "r")
+    l = lambda c: F.col(f"l.{c}")  # noqa: E731,E741
+    half = F.pow(F.lit(2.0), F.col("level")) / 2
+    part = lambda at, by, c, k: F.greatest(F.least(F.col(f"r.{at}") + F.col(f"r.{by}"), (2 * F.col(c) + k + 1) * half) - F.greatest(F.col(f"r.{at}"), (2 * F.col(c) + k) * half), F.lit(0.0))
+    box = F.struct(*[F.col(f"r.{c}").alias(c) for c in ("x", "y", "width", "height")])
+    scouts = two.groupBy(*key).agg(*[F.max(F.struct((part("x", "width", "cx", i) * part("y", "height", "cy", j)).alias("area"), box.alias("box"))).alias(f"q{i}{j}") for i in (0, 1) for j in (0, 1)])
+    scouts = scouts.select(*key, F.array_distinct(F.array(*[F.col(f"q{i}{j}.box") for i in (0, 1) for j in (0, 1)])).alias("scouts"))
+    share = lambda s: overlaps(l("x"), l("y"), l("width"), l("height"), s["x"], s["y"], s["width"], s["height"])
+    return one.join(scouts, key).filter(F.exists("scouts", share)).select(F.col("l._row").alias("_row")).distinct()
+
+
 def touched(boxes: DataFrame, regions: DataFrame, on: str, dense: int = DENSE) -> DataFrame:
-    """boxes (on, x, y, width, height and others) that share area with any region of the same `on`; equal rows stay as often as they are."""
+    """boxes (on, x, y, width, height and others) that share area with any region of the same `on`; equal rows stay as often as they are.
+
+    Where regions are crowded nearly every box meets one of a few large ones, so boxes are first held against those of their cells; only boxes that meet none go through all regions.
+    """
     numbered = materialize(boxes.withColumn("_row", F.monotonically_increasing_id()), "numbered-boxes")
-    others = regions.select(on, "x", "y", "width", "height").withColumn("_row", F.monotonically_increasing_id())
-    hit = meeting(numbered, others, on, dense).select(F.col("l._row").alias("_row")).distinct()
+    # Equal regions are one.
+    others = materialize(regions.select(on, "x", "y", "width", "height").distinct().withColumn("_row", F.monotonically_increasing_id()), "numbered-regions")
+    plain = numbered.select(on, "_row", "x", "y", "width", "height")
+    hit = materialize(_scouted(plain, others, on), "scouted-boxes")
+    rest = materialize(plain.join(hit, "_row", "left_anti"), "other-boxes")
+    hit = hit.unionByName(meeting(rest, others, on, dense).select(F.col("l._row").alias("_row")).distinct())
     return numbered.join(hit, "_row", "left_semi").select(*boxes.columns)

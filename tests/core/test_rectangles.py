@@ -47,3 +47,14 @@ def test_one_crowded_image_is_in_many_tasks(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert sum(by_task) >= (n // 2) ** 2 and max(by_task) < sum(by_task) / 8
+
+
+def test_crowded_boxes_meet_few_regions(spark, monkeypatch):
+    """As brute force, and of 2,000 boxes over 2,000 regions only few are held against all of these."""
+    rnd = np.random.default_rng(3)
+    a, b = boxes(rnd, 2000, 1), [(0, float(x), float(y), 60.0, 50.0, k) for k, (x, y) in enumerate(rnd.integers(-100, 300, (2000, 2)))]
+    a += [(0, 900.0 + i, 900.0, 2.0, 2.0, 5000 + i) for i in range(5)]  # far from all regions
+    met, meeting = [], rectangles.meeting
+    monkeypatch.setattr(rectangles, "meeting", lambda left, *rest: met.append(left.count()) or meeting(left, *rest))
+    have = sorted(r["name"] for r in rectangles.touched(spark.createDataFrame(a, KIND).withColumnRenamed("_row", "name"), spark.createDataFrame(b, KIND), "image").collect())
+    assert have == sorted({x for x, _ in brute(a, b)}) and sum(met) < 100
