@@ -56,16 +56,21 @@ def unmet_quotas(allocated: DataFrame, quotas: DataFrame, by: str) -> DataFrame:
     return both.filter("groups <> quota")
 
 
+def touched_groups(rows: DataFrame, ledger: DataFrame, group: str, digest: str) -> DataFrame:
+    """Groups (group) of which any member's digest is in the ledger."""
+    return rows.select(group, digest).join(ledger.select(digest), digest, "left_semi").select(group).distinct()
+
+
 def exclude_history(rows: DataFrame, ledger: DataFrame, group: str, digest: str) -> DataFrame:
     """rows without whole groups of which any member's digest is in the ledger."""
-    touched = rows.join(ledger.select(digest).distinct(), digest, "left_semi").select(group).distinct()
-    return rows.join(touched, group, "left_anti")
+    return rows.join(touched_groups(rows, ledger, group, digest), group, "left_anti")
 
 
 def history_counts(rows: DataFrame, ledger: DataFrame, group: str, digest: str) -> DataFrame:
     """One row: matched sources, excluded groups, eligible sources."""
-    matched = rows.join(ledger.select(digest).distinct(), digest, "left_semi")
-    eligible = exclude_history(rows, ledger, group, digest)
+    rows = rows.select(group, digest)
+    matched = rows.join(ledger.select(digest), digest, "left_semi")
+    eligible = rows.select(group).join(touched_groups(rows, ledger, group, digest), group, "left_anti")
     sides = matched.agg(F.count("*").alias("matched_sources"), F.count_distinct(group).alias("excluded_groups")), eligible.agg(F.count("*").alias("eligible_sources"))
     one = [s.withColumn("_k", F.lit(1)) for s in sides]
     return one[0].join(one[1], "_k").drop("_k")

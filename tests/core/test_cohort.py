@@ -150,3 +150,16 @@ def test_count_faults(spark):
     rows = spark.createDataFrame([("a", "FIT"), ("a", "FIT"), ("b", "FIT"), ("b", None)], "c string, role string")
     got = cohort.count_faults(rows, ["c"], {"fit": ("role = 'FIT'", 2), "other": ("role IS NULL", 0)}).collect()
     assert sorted(map(tuple, got)) == [("b", "fit", 1, 2), ("b", "other", 1, 0)]
+
+
+def test_history_of_lines_moves_no_text_of_digests(spark, tmp_path):
+    """Digests are joined as bytes, and those of the lines that stay are told after the join."""
+    from assaylake.plans import queries
+
+    rows = [(1, 1, "N"), (1, 2, "R"), (2, 1, "N"), (2, 2, "A"), (3, 1, "R")]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = queries.history_group_anti_join(spark, str(tmp_path))
+    assert sorted((r["group_id"], r["l_linenumber"], r["digest"]) for r in out.collect()) == [(2, n, hashlib.sha256(f"2|{n}".encode()).hexdigest()) for n in (1, 2)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" in plan.splitlines()[0] and "LeftAnti" in plan.splitlines()[1]
+    assert queries.history_counts(spark, str(tmp_path)).first().asDict() == {"matched_sources": 2, "excluded_groups": 2, "eligible_sources": 2}
