@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
 from .cohort import strict_join
 from .metrics import auroc, rate
-from .running import order_statistics, quantiles_of_counts
+from .running import order_statistics, positions, running_totals
+
+#: Buckets of values by which a quantile is looked for.
+BUCKETS = 1 << 10
 
 
 def paired(children: DataFrame, parents: DataFrame, parent_of: str, case: str, score: str = "score") -> DataFrame:
@@ -22,16 +25,40 @@ def paired(children: DataFrame, parents: DataFrame, parent_of: str, case: str, s
 
 
 def delta_quantiles(rows: DataFrame, grains: Sequence[Sequence[str]], columns: Sequence[str]) -> DataFrame:
-    """(columns, grain, n, p95, max) of delta at every grain; columns outside of a grain are null. Rows are counted by value once, and only the counts are taken at each grain."""
-    counts = rows.filter("delta is not null").groupBy(*columns, "delta").agg(F.count("*").alias("_n"))
-    sets = counts.groupingSets([[*g, "delta"] for g in grains], *columns, "delta").agg(F.sum("_n").alias("_n"), *[F.grouping(c).alias(f"_out{i}") for i, c in enumerate(columns)])
+    """(columns, grain, n, p95, max) of delta at every grain; columns outside of a grain are null.
+
+    Rows are counted in BUCKETS of equal width, and only the counts are taken at each grain. They tell the bucket that has a group's quantile; the values of that bucket alone are counted and ranked.
+    """
+    known = materialize(rows.filter("delta is not null").select(*columns, "delta"), "deltas")
+    x = F.col("delta").cast("double")
+    finite = F.when(F.abs(x) < float("inf"), x)
+    low, high = known.agg(F.min(finite), F.max(finite)).first()
+    low, width = (0.0, 1.0) if low is None or not high > low else (low, (high - low) / BUCKETS)
+    # Buckets grow with the values, infinite ones and NaN included; no more is asked of them.
+    bucket = F.when(F.isnan(x), BUCKETS - 1).otherwise(F.greatest(F.lit(0), F.least(F.lit(BUCKETS - 1), F.floor((x - low) / width)))).cast("int")
+    placed = known.withColumn("_bucket", bucket)
+    counts = placed.groupBy(*columns, "_bucket").agg(F.count("*").alias("_n"), F.max("delta").alias("max"))
+    sets = counts.groupingSets([[*g, "_bucket"] for g in grains], *columns, "_bucket").agg(F.sum("_n").alias("_n"), F.max("max").alias("max"), *[F.grouping(c).alias(f"_out{i}") for i, c in enumerate(columns)])
     named = [F.when(F.col(f"_out{i}") == 0, F.lit(c)) for i, c in enumerate(columns)]
     grain = F.array_join(F.array_compact(F.array(*named)), ",")
     # Nulls of a grain are equal: the group's key is its text.
     key = F.concat_ws("\0", F.col("grain"), *[F.coalesce(F.col(c).cast("string"), F.lit("\1")) for c in columns])
     keyed = materialize(sets.withColumn("grain", F.when(grain == "", "all").otherwise(grain)).withColumn("_key", key), "delta-counts")
-    names = keyed.groupBy("_key").agg(F.first("grain").alias("grain"), *[F.first(c).alias(c) for c in columns], F.max("delta").alias("max"))
-    return quantiles_of_counts(keyed.select("_key", "delta", "_n"), ["_key"], "delta", {"p95": "p95"}, stored=True).join(names, "_key").select(*columns, "grain", "n", "p95", "max")
+    whole, upto = W.partitionBy("_key"), W.partitionBy("_key").orderBy("_bucket")
+    ranked = keyed.withColumns({"n": F.sum("_n").over(whole), "max": F.max("max").over(whole), "_upto": F.sum("_n").over(upto)}).withColumn("_rank", positions(F.col("n"))["p95"][0])
+    at = ranked.filter((F.col("_upto") - F.col("_n") <= F.col("_rank")) & (F.col("_rank") < F.col("_upto")))
+    at = materialize(at.select("_key", "grain", *columns, "_bucket", "n", "max", (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_left")), "delta-places")
+    held = None
+    for g in grains:
+        own = at.filter(F.col("grain") == (",".join(c for c in columns if c in g) or "all")).select("_key", F.col("_bucket").alias("_b"), *[F.col(c).alias(f"_{c}") for c in g])
+        same = F.col("_bucket") == F.col("_b")
+        for c in g:
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        part = placed.join(own, same).groupBy("_key", "delta").agg(F.count("*").alias("_n"))
+        held = part if held is None else held.unionByName(part)
+    told = running_totals(held, ["_key"], "delta", ["_n"]).join(at.select("_key", "_left"), "_key")
+    told = told.filter((F.col("_n_before") <= F.col("_left")) & (F.col("_left") < F.col("_n_before") + F.col("_n"))).select("_key", F.col("delta").alias("p95"))
+    return at.join(told, "_key").select(*columns, "grain", "n", "p95", "max")
 
 
 def delta_summary(rows: DataFrame, by: Sequence[str], value: str = "delta") -> DataFrame:

@@ -90,3 +90,22 @@ def test_rounding_of_ties_as_sql(spark):
     have = [r["x"] for r in rounded(spark.createDataFrame([(i, v) for i, v in enumerate(values)] + [(99, None)], "i int, x double"), "x").orderBy("i").collect()]
     want = [duckdb.sql(f"SELECT round({v!r}::DOUBLE, 6)").fetchall()[0][0] for v in values] + [None]
     assert have == want and have[0] == 0.063869
+
+
+def test_delta_quantiles_rank_few_rows(spark, monkeypatch):
+    """As sorted lists have it, with ties, nulls and infinite values; of what is ranked there is one bucket a group."""
+    import math
+    import random
+
+    rnd = random.Random(4)
+    rows = [(rnd.choice(["a", "b", None]), rnd.randrange(2), round(rnd.gauss(0, 50), 3)) for _ in range(3000)] + [("c", 1, 2.0)] * 30 + [("d", 0, None), ("d", 0, -1.0), ("e", 0, float("inf")), ("e", 0, float("-inf"))]
+    counted, running_totals = [], deltas.running_totals
+    monkeypatch.setattr(deltas, "running_totals", lambda d, *rest: counted.append(d.count()) or running_totals(d, *rest))
+    out = deltas.delta_quantiles(spark.createDataFrame(rows, "category string, variant int, delta double"), [["category"], ["category", "variant"], []], ["category", "variant"])
+    have = {(r["grain"], r["category"], r["variant"]): (r["n"], r["p95"], r["max"]) for r in out.collect()}
+    groups: dict = {}
+    for c, v, x in rows:
+        if x is not None:
+            for k in (("category", c, None), ("category,variant", c, v), ("all", None, None)):
+                groups.setdefault(k, []).append(x)
+    assert have == {k: (len(x), sorted(x)[math.ceil(len(x) * 0.95) - 1], max(x)) for k, x in groups.items()} and counted[0] < 150
