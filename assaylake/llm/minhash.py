@@ -5,15 +5,16 @@ a row in each of TREES sorted orders, by a sequence of signature labels of its o
 in any number of tasks, a region of copies too.
 
 Two rounds find links. First the next neighbours in the first FIRST_TREES orders, if they share START labels; what the full sets confirm joins
-classes to components. Then, in all orders, every two classes of a region that aren't in one component yet. A region is what shares START labels; while
-its pairs across components are more than CROWD for each row, it is split by the next label, so depth adapts to how dense it is, up to DEPTH labels,
-where all pairs across components are taken. So a group of thousands of copies costs a few pairs a member, yet no member is left out by a cap.
-Where a range border cuts a region its parts are put together: few rows outside its main component are compared with every row of the region (see across_borders).
-Members of a region that was split, or cut with more such rows, go through an exact similarity join (see exact_pairs).
+classes to components. Then, in all orders, every two classes of a region that aren't in one component yet. A region is what shares START labels; if
+its pairs across components are more than CROWD for each row, it is crowded: a row meets those of the CROWD next ones that share as many of its DEPTH labels as similar
+classes do on average, which links most of what can be linked, and all members go through an exact similarity join (see exact_pairs), which finds what these pairs lack.
+So a group of thousands of near copies costs a few pairs a member, linked with each other or not, and no member is left out by a cap.
+Where a range border cuts a region its parts are put together: few rows outside its main component are compared with every row of the region (see across_borders);
+if they are more, its members go through the exact join, too.
 
 Every pair is confirmed on full sets, of 64-bit shingle hashes; the chance of two shingles of one pair being equal in these is below 1e-10. To this end classes
 have homes of HOME members that are neighbours in the first order. A pair is checked at the home of its smaller id, where each set arrives once, however many
-pairs need it; a home with many pairs is dealt to parts, so that no group is large. A pair of similarity s is met in an order of START labels with probability s ** START: at 0.85 and 32 orders it is missed with less than 1e-12, at 0.80 with 6e-11.
+pairs need it; a home whose pairs need many other sets is dealt to parts, so that no group is large. A pair of similarity s is met in an order of START labels with probability s ** START: at 0.85 and 32 orders it is missed with less than 1e-12, at 0.80 with 6e-11.
 
 Defined results: null text is empty; a document without words has an empty set, is linked with nothing and is kept; with fewer words than
 a shingle its words are one shingle; rows of a null id take no part, are kept and have a null component; ids should be unique, rows that repeat one have its
@@ -38,15 +39,15 @@ from .exact_dedup import among, without
 
 WORDS, PERCENT = 5, 80
 HASHES, TREES, FIRST_TREES, START, DEPTH = 128, 32, 4, 3, 16
-#: Pairs across components for each row of a region, above which it is split.
-CROWD = 32
-#: Rows outside the largest component that a region has at most if it isn't split.
+#: Pairs across components for each row of a region, above which it is crowded.
+CROWD = 4
+#: Rows outside the largest component that a region has at most if it isn't crowded.
 FEW = 2 * CROWD
 #: Kinds of rows that a scan gives.
 PAIRS, SPLIT, PART = 0, 1, 2
 #: Counts of the sketch of shingles, the shift that gives a shingle's, and classes that meet at a shingle in one block.
 SLOTS, SLOT_SHIFT, BLOCK = 1 << 20, np.uint64(44), 2000
-#: Classes of a home, and pairs of a home that are confirmed in one group or so.
+#: Classes of a home, and other classes that are confirmed with a home's in one group at most. Groups of a quarter are aimed at, as they are dealt by hash and by an estimate.
 HOME, GROUP = 128, 1024
 _RANDOM = np.random.default_rng(20)
 _A = _RANDOM.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -152,35 +153,34 @@ def _like(sizes_a: np.ndarray, sizes_b: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(sizes_a, sizes_b) >= percent * np.maximum(sizes_a, sizes_b)
 
 
+def _shared(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many labels rows share."""
+    return (labels.view(np.uint16)[i] == labels.view(np.uint16)[j]).sum(axis=1)
+
+
 def _crowded(component: np.ndarray) -> bool:
-    """Whether a region of these rows is split."""
+    """Whether a region of these rows has more pairs across components than are taken."""
     n, counts = len(component), np.unique(component, return_counts=True)[1].astype(np.int64)
     return (n * n - int((counts**2).sum())) // 2 > CROWD * n
 
 
 def _region(labels: np.ndarray, component: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of pairs across components within a region of rows that share their first depth labels."""
-    n = len(component)
+    """Positions of pairs across components within a region, whose rows are sorted by their labels: all of them, or those of each row and the CROWD next ones if it is crowded."""
     _, which, counts = np.unique(component, return_inverse=True, return_counts=True)
     if len(counts) == 1:
         return
-    across = (n * n - int((counts.astype(np.int64) ** 2).sum())) // 2
-    if across <= CROWD * n or depth == DEPTH:
-        # Rows of the largest component meet all others, and these each other; so only rows that give pairs are walked.
-        top = counts.argmax()
-        main, rest = np.flatnonzero(which == top), np.flatnonzero(which != top)
-        for k, i in enumerate(rest):
-            later = rest[k + 1 :]
-            j = np.r_[main, later[which[later] != which[i]]]
-            yield np.minimum(i, j), np.maximum(i, j)
+    if _crowded(component):
+        for lag in range(1, CROWD + 1):
+            i = np.flatnonzero(which[lag:] != which[:-lag])
+            yield i, i + lag
         return
-    cuts = np.flatnonzero(np.any(labels[1:, 2 * depth : 2 * depth + 2] != labels[:-1, 2 * depth : 2 * depth + 2], axis=1)) + 1
-    near = cuts[which[cuts] != which[cuts - 1]]  # neighbours on either side of a cut have the longest common prefix there
-    yield near - 1, near
-    for low, high in zip(np.r_[0, cuts], np.r_[cuts, n]):
-        if high - low > 1:
-            for i, j in _region(labels[low:high], component[low:high], depth + 1):
-                yield i + low, j + low
+    # Rows of the largest component meet all others, and these each other; so only rows that give pairs are walked.
+    top = counts.argmax()
+    main, rest = np.flatnonzero(which == top), np.flatnonzero(which != top)
+    for k, i in enumerate(rest):
+        later = rest[k + 1 :]
+        j = np.r_[main, later[which[later] != which[i]]]
+        yield np.minimum(i, j), np.maximum(i, j)
 
 
 def _pack(rows: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
@@ -215,6 +215,17 @@ def scan(classes: DataFrame, percent: int, first: bool) -> DataFrame:
         split: list[np.ndarray] = []
         ended = False
 
+        def inside(labels: np.ndarray, ids: np.ndarray, component: np.ndarray, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """Pairs of the region from low to high; of a crowded one the likely links, as the exact join takes its members."""
+            if crowded := _crowded(component[low:high]):
+                split.append(ids[low:high])
+            for i, j in _region(labels[low:high], component[low:high], START):
+                i, j = i + low, j + low
+                if crowded:
+                    likely = _shared(labels, i, j) >= START + (DEPTH - START) * percent // 100
+                    i, j = i[likely], j[likely]
+                yield i, j
+
         def pairs_of(rows: tuple[np.ndarray, ...]) -> Iterator[np.ndarray]:
             """Arrays of columns home, a, b."""
             tree, labels, ids, sizes, component, home = rows
@@ -224,9 +235,7 @@ def scan(classes: DataFrame, percent: int, first: bool) -> DataFrame:
                 found = iter([(i, i + 1)])
             else:
                 cuts = np.flatnonzero(start) + 1
-                lows, highs = np.r_[0, cuts], np.r_[cuts, len(ids)]
-                split.extend(ids[low:high] for low, high in zip(lows, highs) if high - low > 1 and _crowded(component[low:high]))
-                found = ((i + low, j + low) for low, high in zip(lows, highs) if high - low > 1 for i, j in _region(labels[low:high], component[low:high], START))
+                found = (pair for low, high in zip(np.r_[0, cuts], np.r_[cuts, len(ids)]) if high - low > 1 for pair in inside(labels, ids, component, low, high))
             for i, j in found:
                 ok = _like(sizes[i], sizes[j], percent) & (ids[i] != ids[j])
                 if ok.any():
@@ -337,10 +346,24 @@ def across_borders(classes: DataFrame, percent: int, found: DataFrame) -> DataFr
 
 
 def by_home(found: DataFrame, name: str) -> DataFrame:
-    """(home, part, packed): the pairs of each home, those of a home with more than GROUP dealt to parts by their larger id. So a group has the sets of its home and about GROUP others at most."""
+    """(home, part, packed): the pairs of each home, those of a home with many others dealt to parts by their larger id, the other. So a group has the sets of its home and GROUP others at most,
+    and a home's own sets go to one group for some GROUP / 4 others, however many pairs they have with them."""
     rows = found.filter(F.col("kind") == PAIRS).select("home", "packed")
-    full = rows.groupBy("home").agg(F.floor(F.sum(F.length("packed")) / (16 * GROUP)).alias("parts")).filter("parts > 0")
-    full = common.materialize(full.withColumn("parts", F.col("parts") + 1), f"{name}-full")
+    many = rows.groupBy("home").agg(F.sum(F.length("packed")).alias("bytes")).filter(F.col("bytes") > 16 * GROUP).select("home")
+    counted = max(1, GROUP // 64)
+
+    def others():
+        def step(homes, packed):
+            ids = [np.unique(np.frombuffer(p, np.int64)[1::2]) for p in packed]
+            ids = [x[_mix(x.astype(np.uint64)) % np.uint64(counted) == 0] for x in ids]
+            return {"at": np.repeat(np.array(homes, np.int64), [len(x) for x in ids]), "other": np.concatenate([np.zeros(0, np.int64), *ids])}
+
+        return step
+
+    # The number of a home's others is estimated from one of so many, by hash.
+    some = common.map_batches(common.lookup(rows, common.materialize(many, f"{name}-many"), ["home"], "left_semi"), others, ["home", "packed"], "at long, other long", keep=False)
+    full = some.groupBy(F.col("at").alias("home")).agg(F.ceil(F.count_distinct("other") * (4 * counted) / GROUP).alias("parts")).filter("parts > 1")
+    full = common.materialize(full, f"{name}-full")
     told = common.lookup(rows, full, ["home"])
 
     def deal():

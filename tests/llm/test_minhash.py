@@ -160,3 +160,37 @@ def test_region_of_one_component_and_an_outsider_is_quick():
     began = time.process_time()
     assert sum(len(i) for i, _ in minhash._region(labels, component, minhash.START)) == n - 1
     assert time.process_time() - began < 2
+
+
+def test_pairs_with_few_others_stay_together(spark):
+    """20,000 pairs need 300 sets: dealt by pairs, each set of the home went to some 20 groups."""
+    pairs = np.array([(a, b) for a in range(100) for b in range(1000, 1200)], np.int64)
+    found = minhash.by_home(spark.createDataFrame([(minhash.PAIRS, 0, pairs.tobytes())], "kind int, home long, packed binary"), "test").collect()
+    assert sum(len(np.unique(minhash.unpack(list(r["packed"])))) for r in found) <= 400
+    assert sorted(tuple(map(int, p)) for r in found for p in minhash.unpack(list(r["packed"]))) == sorted(map(tuple, pairs.tolist()))
+
+
+def test_crowd_of_unlinked_near_copies_moves_few_sets(spark, monkeypatch):
+    """Near copies of one text, most below the threshold: each set moves a few times, not once for each group of its pairs, and no link is lost."""
+    rnd = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(20000)]
+    base = [rnd.choice(vocabulary) for _ in range(150)]
+    texts = []
+    for _ in range(900):
+        words = list(base)
+        for _ in range(rnd.randrange(1, 18)):
+            words[rnd.randrange(150)] = rnd.choice(vocabulary)
+        texts.append(" ".join(words))
+    visits, write = [], minhash.common.materialize
+
+    def counted(df, name, *more):
+        out = write(df, name, *more)
+        if name == "minhash-visits":
+            visits.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash.common, "materialize", counted)
+    docs = list(enumerate(rnd.sample(texts, len(texts))))
+    got = minhash.near_dedup(docs_frame(spark, [(i, t, "a") for i, t in docs]), 3, 85).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(docs, 3, 85)
+    assert sum(visits) <= 20 * len(docs)
